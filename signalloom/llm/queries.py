@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets, topk
+from . import decontaminate, licenses, linededup, mixing, secrets, simhash, topk, warc
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_linededup": linededup.op2_linededup,
     "op4_licenses": licenses.op4_licenses,
     "op5_secrets": secrets.op5_secrets,
+    "op7_warc": warc.op7_warc,
+    "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLE_SQL = {"op9_topk": topk.SQL, "op10_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {
+    "op1_mixing": mixing.SQL,
+    "op2_linededup": linededup.SQL,
+    "op7_warc": warc.SQL,
+    "op9_topk": topk.SQL,
+    "op10_decontaminate": decontaminate.SQL,
+}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, linededup, mixing, secrets, simhash, topk, warc
+from . import ctw, decontaminate, langid, licenses, linededup, mixing, secrets, simhash, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_linededup": linededup.op2_linededup,
+    "op3_langid": langid.op3_langid,
     "op4_licenses": licenses.op4_licenses,
     "op5_secrets": secrets.op5_secrets,
+    "op6_ctw": ctw.op6_ctw,
     "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -95,6 +95,15 @@ def append(df: DataFrame, text_col: str, make, added: str) -> DataFrame:
     return map_batches(inner, build, schema).toDF(*names, *new.names)
 
 
+def sheltered(docs: DataFrame, used: Iterable[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` with all but the used columns under names that can't clash.
+
+    Returns the columns of ``docs`` of its result, under their own names.
+    """
+    hidden = [c if c in set(used) else f"_hidden{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*hidden)).select(*hidden).toDF(*docs.columns)
+
+
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in schema:

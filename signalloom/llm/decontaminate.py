@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD_WORDS, append, read
+from .common import FOLD_WORDS, append, read, sheltered
 
 #: Bounds of one chunk of the benchmark: windows in an automaton, and bytes of text at the driver.
 CHUNK_WINDOWS, CHUNK_BYTES = 200_000, 32 << 20
@@ -166,8 +166,8 @@ def char_spans(text: str, spans: list[list[int]]) -> list[tuple[int, int]]:
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in."""
-    found = contamination(docs, items, **options)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    used = [options.get("text_col", "text")]
+    return sheltered(docs, used, lambda rows: contamination(rows, items, **options).where(F.size("spans") == 0))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import append, read
+from .common import append, read, sheltered
 
 PER_LANG, MOST = 300, 3000
 SEGMENT, BUCKETS, NGRAMS, LEXICON, ROUNDS = 64, 1 << 16, 4, 1000, 40
@@ -246,8 +246,11 @@ def predict(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> Da
 
 def accepted(docs: DataFrame, *, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` in a learned language with a mean posterior of ``least`` or more."""
-    known = predict(docs, train(docs))
-    return known.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*docs.columns)
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        return predict(rows, train(rows)).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least))
+
+    return sheltered(docs, ("doc_id", "text", "lang"), chosen)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,13 +87,14 @@ def literals(text: bytes, min_score: float = 0.5) -> list[tuple[int, int, float]
             for i in range(1, len(tokens)):
                 if tokens[i][1] not in _ASSIGNS or tokens[i][0] != "op":
                     continue
-                kind, name, _, _ = tokens[i - 1]
+                typed = i >= 3 and tokens[i][1] == b"=" and tokens[i - 2][1] == b":" and tokens[i - 1][0] == "name"
+                kind, name, _, _ = tokens[i - 3 if typed else i - 1]  # name: Type = value
                 if kind not in ("name", "string") or name in _DECLARE:
                     continue
                 name = name.strip(b"\"'`")
                 parts, source, end = _values(tokens, i + 1)
                 if not parts and source and end < len(tokens) and tokens[end][1] in _ASSIGNS:
-                    parts, source = [], b""  # name: Type = value; the later sign assigns
+                    parts, source = [], b""  # a type; the later sign assigns
                 if not parts and source in bound:
                     parts = bound[source]
                 if parts:

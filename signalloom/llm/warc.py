@@ -13,7 +13,9 @@ if it decompresses with a good checksum and its record has a version line,
 headers, the stated length and matching digests. Where a check fails, the
 reader searches byte by byte for the next member or version line that passes
 all of them, goes on there, and logs the bytes between as a quarantined gap.
-Records that aren't compressed are read alike.
+Records that aren't compressed are read alike; their headers have no checksum
+in this format, so damage there shows only where it breaks syntax, the length
+or a digest.
 
 Defined cases: a null html is an empty payload; equal rows with the largest
 id are all responses; a null page id counts as smallest and stays null; line

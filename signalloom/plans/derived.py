@@ -9,12 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid as G
 from ..operators.panel import PanelConfig, build_panel
 
+#: Panels that were asked for, by application, folder and universe.
+_PANELS: dict[tuple[str, str, str], DataFrame] = {}
 CONFIG = PanelConfig(lookback_sessions=26, min_observations=13, target_horizon_sessions=4, entry_lag_sessions=1, annualization_sessions=52)
 TARGET = "forward_excess_return"
 
@@ -100,4 +103,8 @@ class Universe:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return build_panel(self.prices, self.calendar, self.bench, self.members, self.dates, CONFIG)
+        """The panel, which an application builds once for all queries on it (kept in memory, else on disk)."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.by)
+        if key not in _PANELS:
+            _PANELS[key] = build_panel(self.prices, self.calendar, self.bench, self.members, self.dates, CONFIG).persist(StorageLevel.MEMORY_AND_DISK)
+        return _PANELS[key]

@@ -6,6 +6,7 @@ of its week, rounded so that any engine starts from equal numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from ..operators import grid as G
 from ..operators.panel import PanelConfig, build_panel
 
-#: Panels that were asked for, by application, folder and universe.
-_PANELS: dict[tuple[str, str, str], DataFrame] = {}
+#: Tables that were asked for, by application, folder, universe and name.
+_KEPT: dict[tuple[str, str, str, str], DataFrame] = {}
 CONFIG = PanelConfig(lookback_sessions=26, min_observations=13, target_horizon_sessions=4, entry_lag_sessions=1, annualization_sessions=52)
 TARGET = "forward_excess_return"
 
@@ -68,7 +69,7 @@ class Universe:
 
     @cached_property
     def prices(self) -> DataFrame:
-        return week_prices(self.spark, self.sf_dir, self.by)
+        return self._kept("prices", lambda: week_prices(self.spark, self.sf_dir, self.by))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -103,8 +104,15 @@ class Universe:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """The panel, which an application builds once for all queries on it (kept in memory, else on disk)."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.by)
-        if key not in _PANELS:
-            _PANELS[key] = build_panel(self.prices, self.calendar, self.bench, self.members, self.dates, CONFIG).persist(StorageLevel.MEMORY_AND_DISK)
-        return _PANELS[key]
+        return self._kept("panel", lambda: build_panel(self.prices, self.calendar, self.bench, self.members, self.dates, CONFIG))
+
+    def _kept(self, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that an application builds once for all queries on it, in memory or else on disk.
+
+        Prices are aggregates, far smaller than the lines they come from, which
+        are so read once and not by every use of the prices.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.by, what)
+        if key not in _KEPT:
+            _KEPT[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return _KEPT[key]

@@ -136,7 +136,9 @@ def _factor_counts(u: Universe) -> DataFrame:
 
 
 query("factor_status_counts", f"WITH {sql.base('brand')}, " + ", ".join(sql.factor(n).replace("f0 AS", f"g{i} AS").replace("FROM f0", f"FROM g{i}").replace("\nf AS", f"\nh{i} AS") for i, n in enumerate(P.FACTORS)) + " " + " UNION ALL ".join(f"SELECT '{n}' AS factor, status, count(*) AS n FROM h{i} GROUP BY status" for i, n in enumerate(P.FACTORS)), "brand")(_factor_counts)
-query("panel_with_factors", None, "brand")(lambda u: P.add_factors(u.panel, P.price_factors(u.grid)))
+query("panel_with_factors", f"WITH {sql.panel('brand')}, {sql.factor('return_21s')} SELECT panel.as_of_date, panel.symbol, {s6('beta')}, round(CASE WHEN status = 'ok' THEN v END, 6) + 0.0e0 AS return_21s, status AS return_21s_status FROM panel LEFT JOIN f ON f.session = panel.as_of_date AND f.symbol = panel.symbol", "brand")(
+    lambda u: P.add_factors(u.panel, P.price_factors(u.grid)).select("as_of_date", "symbol", *r6("beta", "return_21s"), "return_21s_status")
+)
 
 # Screening
 
@@ -239,7 +241,15 @@ query("training_cross_sections", f"{_SPLIT} SELECT fold, as_of_date, symbol, rou
 query("evaluation_cross_sections", f"{_SPLIT} SELECT fold, as_of_date, symbol, round(CASE WHEN label_end_date < lock_start THEN forward_excess_return END, 6) + 0.0e0 AS forward_excess_return FROM panel JOIN ob ON as_of_date BETWEEN evaluation_start AND evaluation_end, lk")(
     lambda u: SP.evaluation_cross_sections(u.panel, _blocks(u), TARGET, _lock_start(u)).select("fold", "as_of_date", "symbol", *r6(TARGET))
 )
-query("walk_forward_report")(lambda u: E.walk_forward_report(SP.walk_forward_rows(u.panel, _walk(u)), list(SIGNALS), TARGET, u.least, u.quantiles))
+_REPORT = f"""{_SPLIT}, wr AS (SELECT *, CASE WHEN as_of_date >= test_start THEN 'test' WHEN label_end_date < test_start THEN 'training' ELSE 'purged' END AS role FROM panel JOIN wf ON as_of_date <= test_end),
+wr1 AS (SELECT * FROM wr WHERE role <> 'purged'), {sql.long(SIGNALS, 'fold, role, as_of_date, forward_excess_return', 'wr1', 'wl')}, {sql.ic('ic', 'wl', 'fold, role, feature, as_of_date', 'value', 'forward_excess_return')},
+wt AS (SELECT * FROM wl WHERE role = 'test'), {sql.spread('s', 'wt', 'fold, feature, as_of_date', 'value', 'forward_excess_return')},
+sm AS (SELECT fold, feature, avg(spread) AS mean_spread FROM s WHERE pairs >= 5 GROUP BY fold, feature),
+tt AS (SELECT fold, feature, avg(CASE WHEN role = 'training' THEN rank_ic END) AS train_ic, avg(CASE WHEN role = 'test' THEN rank_ic END) AS test_ic FROM ic GROUP BY fold, feature),
+ta AS (SELECT *, sign(train_ic) * test_ic AS adjusted_ic FROM tt LEFT JOIN sm USING (fold, feature))"""
+query("walk_forward_report", f"{_REPORT} SELECT fold, feature, {s6('train_ic', 'test_ic', 'adjusted_ic', 'mean_spread')} FROM ta")(
+    lambda u: E.walk_forward_report(SP.walk_forward_rows(u.panel, _walk(u)), list(SIGNALS), TARGET, u.least, u.quantiles).select("fold", "feature", *r6("train_ic", "test_ic", "adjusted_ic", "mean_spread"))
+)
 query("preflight_dates", f"WITH {sql.panel()} SELECT as_of_date, count(*) AS row_count, count(forward_excess_return) AS target_count, count(forward_return) AS return_count, count(forward_excess_return) >= 20 AS ic_evaluable, count(forward_return) >= 20 AS spread_evaluable FROM panel GROUP BY as_of_date")(lambda u: A.preflight_dates(u.panel, TARGET, "forward_return", u.least))
 
 # Baselines and evaluation
@@ -421,7 +431,9 @@ def _bench_returns(u: Universe) -> DataFrame:
 
 
 query("large_moves", f"WITH {sql.base()} SELECT session, symbol, {s6('r')} FROM ret WHERE abs(r) > 0.5 ORDER BY session, symbol LIMIT 20")(lambda u: T.large_moves(G.adjacent_returns(u.grid)).select("session", "symbol", *r6("r")))
-query("coverage_profile")(lambda u: T.archive_coverage(u.prices.withColumnRenamed("session", "date"), u.calendar))
+query("coverage_profile", f"WITH {sql.base()}, e AS (SELECT count(*) AS expected FROM cal) SELECT symbol, expected, count(*) AS observed, expected - count(*) AS missing, round((expected - count(*)) / expected, 6) AS missing_rate FROM pw, e GROUP BY symbol, expected")(
+    lambda u: T.archive_coverage(u.prices.withColumnRenamed("session", "date"), u.calendar).select("symbol", "expected", "observed", "missing", *r6("missing_rate"))
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

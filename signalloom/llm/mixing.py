@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, read
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK, PARTS, ROUNDS, SHARD_SLOTS, RUN, SEED = 256, 4096, 16, 4096, 4096, 20240229
+BLOCK, PARTS, ROUNDS, SHARD_SLOTS, RUN, RUNS_A_TASK, SEED = 256, 4096, 16, 4096, 4096, 4, 20240229
+#: Sources up to which their table is broadcast.
+FEW_SOURCES = 1 << 16
 _P = 2147483647
 #: A word of the corpus.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,11 +105,13 @@ def plan(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int =
 
 def slots(plan: DataFrame, *, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: rank, slot, pass_no, block_no, words (taken from the block's start), shard and place."""
+    tasks = 1 + plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0] // (RUNS_A_TASK * RUN)
     sums = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = plan.where("slots > 0").withColumn("first_slot", F.coalesce(F.sum("slots").over(sums), F.lit(0)))
     placed = placed.withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
     runs = placed.select("rank", "blocks", "slots", "passes", "whole", "part", "first_slot", "all_slots", F.explode(F.expr(f"sequence(0L, slots - 1, {RUN}L)")).alias("run"))
-    runs = runs.repartition("rank", "run").withColumn("slot", F.explode(F.expr(f"sequence(run, least(run + {RUN}, slots) - 1)")))
+    # A stated number of partitions, as these small rows would be put together but make many.
+    runs = runs.repartition(tasks, "rank", "run").withColumn("slot", F.explode(F.expr(f"sequence(run, least(run + {RUN}, slots) - 1)")))
     out = runs.withColumn("pass_no", F.expr("slot div blocks")).withColumn("place_no", F.expr("slot % blocks"))
     out = out.withColumn("keys", _keys("rank", "pass_no")).withColumn("block_no", permuted("place_no", "keys", "blocks"))
     out = out.withColumn("words", F.expr(f"CASE WHEN pass_no = passes AND place_no = whole THEN part ELSE {block}L END"))
@@ -120,9 +124,14 @@ def shard_counts(mix: DataFrame) -> DataFrame:
     return mix.groupBy("shard", "rank").agg(F.count("*").alias("slots"))
 
 
+def _shared(sources: DataFrame) -> DataFrame:
+    """The sources' table with the join that its counted size allows."""
+    return F.broadcast(sources) if sources.count() <= FEW_SOURCES else sources.hint("merge")
+
+
 def stretches(sizes: DataFrame, plan: DataFrame, *, parts: int = PARTS) -> DataFrame:
     """Where each document lies in its source's stream: rank, doc_id, size, start."""
-    ranks = plan.select("rank", F.col("source").alias("of"))
+    ranks = _shared(plan.select("rank", F.col("source").alias("of")))
     named = sizes.where("size > 0").join(ranks, F.col("source").eqNullSafe(F.col("of")))
     named = named.select("rank", "doc_id", "size", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(parts)).alias("part"))
     sums = named.groupBy("rank", "part").agg(F.sum("size").alias("part_size"))
@@ -130,7 +139,7 @@ def stretches(sizes: DataFrame, plan: DataFrame, *, parts: int = PARTS) -> DataF
     offsets = sums.select("rank", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("rank", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(offsets, ["rank", "part"]).select("rank", "doc_id", "size", (F.col("part_start") + F.col("inner")).alias("start"))
+    return placed.join(offsets.hint("merge"), ["rank", "part"]).select("rank", "doc_id", "size", (F.col("part_start") + F.col("inner")).alias("start"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, parts: int = PARTS, **targets) -> DataFrame:
@@ -146,11 +155,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     begin, end = F.greatest("start", F.col("block_no") * block), F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block)
     cut_end = F.least(end, F.col("block_no") * block + F.coalesce("cut", F.lit(0)))
     words = F.coalesce("uses", F.lit(0)) * (end - begin) + F.greatest(F.lit(0), cut_end - begin)
-    joined = cells.join(uses, ["rank", "block_no"], "left")
+    # Stated, as sizes before an explode say nothing about those after it.
+    joined = cells.join(uses.hint("merge"), ["rank", "block_no"], "left")
     taken = joined.groupBy("rank", "start", "doc_id", "size").agg(F.sum(words).cast("long").alias("taken"))
-    facts = planned.select("rank", "source", "source_size", "target")
+    facts = _shared(planned.select("rank", "source", "source_size", "target"))
     some = taken.join(facts, "rank").select("doc_id", "source", "size", "source_size", "target", "taken")
-    of = facts.withColumnRenamed("source", "of")
+    of = _shared(planned.select("rank", F.col("source").alias("of"), "source_size", "target"))
     none = sizes.where("size = 0").join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of", "rank").withColumn("taken", F.lit(0).cast("long"))
     return some.unionByName(none)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import append, read, sheltered
 
-PER_LANG, MOST = 300, 3000
+PER_LANG, MOST = 150, 2000
 SEGMENT, BUCKETS, NGRAMS, LEXICON, ROUNDS = 64, 1 << 16, 4, 1000, 40
 #: Words whose emissions a worker remembers.
 _REMEMBERED = 200_000

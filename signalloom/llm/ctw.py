@@ -13,11 +13,12 @@ never seen, the estimate of the longest seen one stands for it.
 
 Counts are of all training text: each task counts the strings of DEPTH + 1
 bytes in its rows, sums and the weighting bottom-up are grouped aggregates.
-What scoring needs of a node, its probability of a one and its weight, goes
-to a table of ``SLOTS`` slots, the same size for any corpus and so bounded when
-it is broadcast: a node's slot is a hash, the node that was seen most often
-gets it and leaves a check of itself, and for the others shorter contexts
-stand, as for contexts never seen.
+Every node is kept. Nodes of contexts up to ``SHORT`` bytes, of which there are
+at most 256 ** SHORT * 255 whatever the corpus, are broadcast; those of longer
+contexts stay in a table that is dealt to buckets by the last SHORT + 1 bytes of
+the context. Documents are dealt to chunks of text; the distinct strings of a
+chunk meet the nodes in the buckets and bring their log probabilities back to
+the chunk, whose texts are then scored.
 
 The base score is a unigram model of words with one added to counts. Its table
 isn't bounded: the ``HOT`` most frequent words are broadcast, and each
@@ -33,21 +34,27 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import FOLD_CASE, append, checkpoint, map_batches, read, texts
+from .common import FOLD_CASE, checkpoint, map_batches, read, texts, to_batch
 
-DEPTH, SLOTS, HOT = 5, 1 << 22, 1 << 17
+DEPTH, SHORT, HOT = 5, 2, 1 << 17
+#: Bytes of text for each chunk of documents, and for each bucket of nodes.
+CHUNK, BUCKET = 1 << 24, 1 << 19
 #: Bytes of text whose strings are looked up at a time, and words or strings a task holds before it hands them on.
 _SLICE, _HELD = 1 << 21, 1 << 19
-#: Strings of bytes that a worker remembers.
+#: Slots of a chunk's strings; those that another took are searched for.
 _MEMO = 1 << 21
 _U = np.uint64
-_SCORED = "n_tokens long, hot_known long, hot_score double, rest array<binary>, rest_n array<long>, model_score double"
+_SCORED = "n_tokens long, hot_known long, hot_score double, rest array<binary>, rest_n array<long>"
 
 
 def strings(rows: list[bytes], depth: int = DEPTH) -> np.ndarray:
@@ -73,86 +80,148 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return gamma(zeros + 0.5) + gamma(ones + 0.5) - gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def place(depth: int, context: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A node's slot and check."""
-    key = (context << _U(8)) | path
-    key = (key + _U((depth + 1) * 0x9E3779B97F4A7C15 % 2**64)) * _U(0xBF58476D1CE4E5B9)
-    key = (key ^ (key >> _U(29))) * _U(0x94D049BB133111EB)
-    key ^= key >> _U(32)
-    return (key % _U(SLOTS)).astype(np.int64), ((key >> _U(48)) | _U(1)).astype(np.int64)
-
-
-class Model:
-    """The table: of a slot its node's check, the log odds as probability of a one, and the weight."""
-
-    def __init__(self, slot: np.ndarray, check: np.ndarray, one: np.ndarray, weight: np.ndarray):
-        self.check, self.one, self.weight = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-        self.check[slot], self.one[slot], self.weight[slot] = check, one, weight
-        #: Strings looked up before and their log probabilities, made in the worker.
-        self.memo: tuple[np.ndarray, np.ndarray] | None = None
-
-    def looked_up(self, keys: np.ndarray) -> np.ndarray:
-        """``log10`` of any strings, remembering them in a table of fixed size."""
-        if self.memo is None:
-            self.memo = np.full(_MEMO, np.iinfo(np.uint64).max), np.zeros(_MEMO)
-        known, values = self.memo
-        slot = ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - _MEMO.bit_length() + 1)).astype(np.int64)
-        out = values[slot]
-        missed = np.flatnonzero(known[slot] != keys)
-        if len(missed):
-            distinct, first, which = np.unique(keys[missed], return_index=True, return_inverse=True)
-            found = self.log10(distinct)
-            out[missed] = found[which]
-            at = slot[missed[first]]
-            known[at], values[at] = distinct, found
-        return out
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probabilities of bytes after contexts (distinct ``strings``)."""
-        byte, context = keys & _U(255), keys >> _U(8)
-        out = np.zeros(len(keys))
-        for i in range(8):
-            path = (_U(1) << _U(i)) | (byte >> _U(8 - i))
-            bit = ((byte >> _U(7 - i)) & _U(1)).astype(bool)
-            mixed, known = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-            for d in range(DEPTH, -1, -1):
-                slot, check = place(d, context & _U((1 << 8 * d) - 1), path)
-                seen = self.check[slot] == check
-                one = self.one[slot].astype(np.float64)
-                own = np.where(bit, one, 1.0 - one)
-                weight = np.where(known, self.weight[slot], 1.0)
-                mixed = np.where(seen, weight * own + (1.0 - weight) * mixed, mixed)
-                known |= seen
-            out += np.log10(mixed)
+class Nodes:
+    """Nodes by number: the probability of a one, and the weight."""
+
+    def __init__(self, node: np.ndarray, one: np.ndarray, weight: np.ndarray):
+        order = np.argsort(node)
+        self.node, self.one, self.weight = node[order], one[order], weight[order]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the nodes are there, with their values."""
+        if not len(self.node):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted)), np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(self.node, wanted), len(self.node) - 1)
+        return self.node[at] == wanted, self.one[at].astype(np.float64), self.weight[at].astype(np.float64)
+
+
+def log10(keys: np.ndarray, short: Nodes, long: Nodes) -> np.ndarray:
+    """log10 probabilities of bytes after contexts (distinct ``strings``)."""
+    byte, context = keys & _U(255), keys >> _U(8)
+    out = np.zeros(len(keys))
+    for i in range(8):
+        path = (_U(1) << _U(i)) | (byte >> _U(8 - i))
+        bit = ((byte >> _U(7 - i)) & _U(1)).astype(bool)
+        mixed, known = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
+        for d in range(DEPTH, -1, -1):
+            wanted = (_U(d) << _U(48)) | ((context & _U((1 << 8 * d) - 1)) << _U(8)) | path
+            seen, one, weight = (long if d > SHORT else short).find(wanted.view(np.int64))
+            own = np.where(bit, one, 1.0 - one)
+            weight = np.where(known, weight, 1.0)
+            mixed = np.where(seen, weight * own + (1.0 - weight) * mixed, mixed)
+            known |= seen
+        out += np.log10(mixed)
+    return out
+
+
+class Values:
+    """The log probabilities of all strings of a chunk."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.known, self.value = np.full(_MEMO, np.iinfo(np.uint64).max), np.zeros(_MEMO)
+        slot = self._slot(self.keys)
+        self.known[slot], self.value[slot] = self.keys, self.values
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - _MEMO.bit_length() + 1)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.value[slot]
+        missed = np.flatnonzero(self.known[slot] != keys)
+        out[missed] = self.values[np.searchsorted(self.keys, keys[missed])]
         return out
 
     def scores(self, rows: list[bytes]) -> list[float]:
         """log10 probability of each text, many looked up at once."""
-        out: list[float] = []
-        at = 0
-        while at < len(rows):
-            stop, size = at, 0
-            while stop < len(rows) and (stop == at or size + len(rows[stop]) < _SLICE):
-                size += len(rows[stop])
-                stop += 1
-            if stop == at + 1 and size > _SLICE:
-                out.append(self._long(rows[at]))
+        out = []
+        for some in sliced(rows):
+            if len(some) == 1:
+                out.append(float(sum(self.of(keys).sum() for keys in pieces(some[0]))))
             else:
-                starts = np.cumsum([0] + [len(t) + 1 for t in rows[at : stop - 1]])
-                out += np.add.reduceat(self.looked_up(strings(rows[at:stop])), starts).tolist()
-            at = stop
+                starts = np.cumsum([0] + [len(t) + 1 for t in some[:-1]])
+                out += np.add.reduceat(self.of(strings(some)), starts).tolist()
         return out
 
-    def _long(self, text: bytes) -> float:
-        """One text by pieces that overlap by a context."""
-        total = 0.0
-        for a in range(0, len(text) + 1, _SLICE):
-            piece = text[max(0, a - DEPTH) : a + _SLICE]
-            last = a + _SLICE > len(text)
-            keys = strings([piece])[min(a, DEPTH) : None if last else -1]
-            distinct, counts = np.unique(keys, return_counts=True)
-            total += float((self.log10(distinct) * counts).sum())
-        return total
+
+def sliced(rows: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts of a slice together, and a longer one by itself."""
+    at = 0
+    while at < len(rows):
+        stop, size = at, 0
+        while stop < len(rows) and (stop == at or size + len(rows[stop]) < _SLICE):
+            size += len(rows[stop])
+            stop += 1
+        yield rows[at:stop]
+        at = stop
+
+
+def pieces(text: bytes) -> Iterator[np.ndarray]:
+    """The strings of one text by pieces that overlap by a context."""
+    for a in range(0, len(text) + 1, _SLICE):
+        last = a + _SLICE > len(text)
+        yield strings([text[max(0, a - DEPTH) : a + _SLICE]])[min(a, DEPTH) : None if last else -1]
+
+
+def distinct_strings(rows: list[bytes]) -> np.ndarray:
+    found = [np.unique(keys) for some in sliced(rows) for keys in (pieces(some[0]) if len(some) == 1 else [strings(some)])]
+    return np.unique(np.concatenate(found))
+
+
+class Model:
+    """All nodes: those of short contexts, and a table of the others."""
+
+    def __init__(self, short: Nodes, long: DataFrame):
+        self.short, self.long = short, long
+
+    def score(self, docs: DataFrame, make, added: str) -> DataFrame:
+        """The columns of ``docs`` but ``text``, those that ``make``'s handler adds, and model_score."""
+        spark = docs.sparkSession
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        chunks, buckets = 1 + size // CHUNK, 1 + size // BUCKET
+        dealt = docs.withColumn("chunk", F.pmod(F.xxhash64(*docs.columns), F.lit(chunks)))
+        bucket = lambda context: F.pmod(F.xxhash64(context.bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))), F.lit(buckets))
+        asked = dealt.groupBy("chunk").applyInArrow(_asked, "chunk long, key long").withColumn("bucket", bucket(F.shiftrightunsigned("key", 8)))
+        nodes = self.long.withColumn("bucket", bucket(F.shiftrightunsigned("node", 8)))
+        short = spark.sparkContext.broadcast(self.short)
+
+        def valued(key, strings: pa.Table, nodes: pa.Table) -> pa.Table:
+            distinct, which = np.unique(strings.column("key").to_numpy().view(np.uint64), return_inverse=True)
+            long = Nodes(*(nodes.column(c).to_numpy() for c in ("node", "one", "weight")))
+            values = log10(distinct, short.value, long)[which]
+            return pa.table({"chunk": strings.column("chunk"), "key": strings.column("key"), "value": values})
+
+        values = asked.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(valued, "chunk long, key long, value double")
+        kept = [c for c in docs.columns if c != "text"]
+        schema = StructType([*docs.select(*kept).schema.fields, *StructType.fromDDL(added).fields, StructField("model_score", DoubleType())])
+        arrow = to_arrow_schema(schema)
+
+        def scored(key, rows: pa.Table, table: pa.Table) -> pa.Table:
+            low = _folded(rows)
+            look = Values(table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy())
+            out = {c: rows.column(c) for c in kept} | make()(low) | {"model_score": look.scores(low)}
+            return pa.Table.from_batches([to_batch(out, arrow)])
+
+        return dealt.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(scored, schema)
+
+    def scores(self, rows: list[bytes]) -> list[float]:
+        """log10 probability of each of a few texts."""
+        spark = self.long.sparkSession
+        docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(rows)], "at long, text string")
+        found = self.score(docs, lambda: lambda low: {"n": [len(t) for t in low]}, "n long").select("at", "model_score").collect()
+        return [r["model_score"] for r in sorted(found, key=lambda r: r["at"])]
+
+
+def _folded(rows: pa.Table) -> list[bytes]:
+    return [t.translate(FOLD_CASE) for t in texts(rows)]
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    """The distinct strings of a chunk."""
+    keys = distinct_strings(_folded(rows))
+    return pa.table({"chunk": np.full(len(keys), rows.column("chunk")[0].as_py()), "key": keys.view(np.int64)})
 
 
 # Training
@@ -231,19 +300,6 @@ def _weighted():
     return handle
 
 
-def _placed(depth: int):
-    def make():
-        def handle(batch: pa.RecordBatch) -> dict:
-            context, path = (batch.column(c).to_numpy().astype(np.uint64) for c in ("context", "path"))
-            zeros, ones = (batch.column(c).to_numpy().astype(np.float64) for c in ("zeros", "ones"))
-            slot, check = place(depth, context, path)
-            return {"slot": slot, "seen": (zeros + ones).astype(np.int64), "check": check, "one": (ones + 0.5) / (zeros + ones + 1.0), "weight": batch.column("weight")}
-
-        return handle
-
-    return make
-
-
 def train(texts_only: DataFrame) -> Model:
     """Fit on the column ``text``, all rows whole."""
     counted = map_batches(texts_only, _counted(), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -253,29 +309,27 @@ def train(texts_only: DataFrame) -> Model:
     steps = F.explode(F.array(*[F.struct(p.alias("path"), b.alias("bit")) for p, b in path])).alias("s")
     nodes = counted.select(shift(F.col("key"), 8).alias("context"), "n", steps).groupBy("context", F.col("s.path").alias("path"))
     nodes = nodes.agg(F.sum(F.when(F.col("s.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("s.bit") == 1, F.col("n")).otherwise(0)).alias("ones"), F.lit(None).cast("double").alias("below"))
-    placed = None
+    kept = {}
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
     for depth in range(DEPTH, -1, -1):
         done = checkpoint(map_batches(nodes, lambda: _weighted(), "context long, path long, zeros long, ones long, weighted double, weight double"))
-        own = map_batches(done, _placed(depth), "slot long, seen long, check long, one double, weight double")
-        placed = own if placed is None else placed.unionByName(own)
+        number = F.shiftleft("context", 8).bitwiseOR(F.col("path")).bitwiseOR(F.lit(depth << 48))
+        kept[depth] = done.select(number.alias("node"), one.cast("float").alias("one"), F.col("weight").cast("float").alias("weight"))
         if depth:
             parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
             nodes = done.groupBy(parent.alias("context"), "path").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-    best = placed.groupBy("slot").agg(F.max(F.struct("seen", "check", "one", "weight")).alias("b"))
-    # At most SLOTS rows.
-    rows = best.select(F.col("slot").cast("int").alias("slot"), F.col("b.check").cast("int").alias("check"), F.col("b.one").cast("float").alias("one"), F.col("b.weight").cast("float").alias("weight")).toArrow()
-    return Model(*(rows.column(c).to_numpy() for c in ("slot", "check", "one", "weight")))
+    # At most 256 ** SHORT * 255 rows of the deepest, whatever the input.
+    short = reduce(DataFrame.unionByName, [kept[d] for d in range(SHORT + 1)]).toArrow()
+    return Model(Nodes(*(short.column(c).to_numpy() for c in ("node", "one", "weight"))), reduce(DataFrame.unionByName, [kept[d] for d in range(SHORT + 1, DEPTH + 1)]))
 
 
-def _scored(model, hot, total: float):
-    """Scores of texts, with the part of the base score that hot words give and the other words."""
+def _scored(hot, total: float):
+    """The part of the base score that hot words give, and the other words."""
 
     def make():
-        ctw, known = model.value, hot.value
-        logs = {w: math.log10((n + 1) / total) for w, n in known.items()}
+        logs = {w: math.log10((n + 1) / total) for w, n in hot.value.items()}
 
-        def work(rows: list[bytes]) -> dict:
-            low = [t.translate(FOLD_CASE) for t in rows]
+        def work(low: list[bytes]) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "hot_known", "hot_score", "rest", "rest_n")}
             for t in low:
                 words = t.split()
@@ -292,7 +346,7 @@ def _scored(model, hot, total: float):
                 out["hot_score"].append(score)
                 out["rest"].append([*rest])
                 out["rest_n"].append([*rest.values()])
-            return out | {"model_score": ctw.scores(low)}
+            return out
 
         return work
 
@@ -305,7 +359,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out)
     learned = chosen.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("text")
-    model = spark.sparkContext.broadcast(train(learned))
+    model = train(learned)
 
     # A task without rows gives the end a count of 0.
     words = checkpoint(map_batches(learned, _words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
@@ -315,7 +369,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     few = words.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(few.column("word").to_pylist(), few.column("n").to_pylist(), strict=True)))
 
-    made = append(chosen, "text", _scored(model, hot, total), _SCORED).drop("text")
+    made = model.score(chosen, _scored(hot, total), _SCORED)
     made = checkpoint(made.withColumn("_row", F.monotonically_increasing_id()))
     rest = made.select("_row", F.explode(F.arrays_zip("rest", "rest_n")).alias("r")).select("_row", F.col("r.rest").alias("word"), F.col("r.rest_n").alias("k"))
     count = F.coalesce("n", F.lit(0))

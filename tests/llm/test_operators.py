@@ -291,6 +291,13 @@ def test_context_tree_by_brute_force(spark, monkeypatch):
     assert np.allclose(model.scores(tried), whole)
 
 
+def test_context_tree_keeps_every_node(spark):
+    trained = [t.encode().translate(ctw.FOLD_CASE)[:400].decode(errors="ignore").encode() for _, t in texts_of()[:25]]
+    model = ctw.train(spark.createDataFrame([(t.decode(),) for t in trained], "text string"))
+    score = brute_tree(trained, ctw.DEPTH)
+    assert np.allclose(model.scores(trained), [score(t) for t in trained], rtol=1e-6)
+
+
 def test_base_score_by_brute_force(spark, monkeypatch):
     rows = texts_of()
     low = {i: lower(t or "").encode().split() for i, t in rows}

@@ -3,7 +3,11 @@
 Two layers. Fixed patterns give the base spans (``assign``, ``access``,
 ``hex``). Then lines of source or configuration syntax are lexed into
 assignments ``name = value`` (also ``:``, ``:=``, ``=>``, with declaration
-keywords, quoted keys and ``+`` concatenation); names bound to a literal
+keywords, quoted keys and ``+`` concatenation). A value without quotes that is
+neither a bound name nor a call is a literal up to the end of the line, a
+comment after a blank, or a delimiter; one of letters alone, with dots and
+underscores, could be a reference or prose and counts only in a line that is
+``NAME=value`` as a whole. Names bound to a literal
 propagate it to later names in the document; a literal whose name, or a name
 it reaches, is sensitive is scored by the name and by its own form. Literals
 that reach ``min_score`` become ``literal`` spans.
@@ -42,6 +46,10 @@ _LEX = re.compile(
 )
 _DECLARE = {b"const", b"let", b"var", b"export", b"set", b"final", b"static", b"public", b"private", b"String", b"string", b"str", b"val", b"def"}
 _ASSIGNS = (b"=", b":", b":=", b"=>")
+_BARE = re.compile(rb"""\s*([^\s"'`,;(){}\[\]]+)(?=\s*$|\s+(?:#|//|--|;)|\s*[,;)}\]])""")
+_REFERENCE = re.compile(rb"[A-Za-z_.]+")
+_WHOLE = re.compile(rb"\s*(?:export\s+)?[A-Za-z_][A-Za-z0-9_.-]*=[A-Za-z_]+\s*")
+_PLACEHOLDER = re.compile(rb"\$\{.*\}|\$[A-Za-z_][A-Za-z0-9_]*|<[^<>]*>|\{\{.*\}\}|\{[A-Za-z0-9_]*\}|%[A-Za-z0-9_]+%|%\([A-Za-z0-9_]+\)s")
 
 
 def sensitivity(name: str) -> float:
@@ -51,7 +59,7 @@ def sensitivity(name: str) -> float:
 
 def strength(literal: bytes) -> float:
     """0 to 1 from the length and the entropy of a literal; 0 for placeholders and prose."""
-    if len(literal) < 8 or b" " in literal or literal[:1] in b"$<{%" or len(set(literal)) < 5:
+    if len(literal) < 8 or b" " in literal or _PLACEHOLDER.fullmatch(literal) or len(set(literal)) < 5:
         return 0.0
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
@@ -76,6 +84,14 @@ def _values(tokens: list, i: int) -> tuple[list[tuple[int, int, bytes]], bytes,
     return parts, name, i
 
 
+def _bare(line: bytes, at: int) -> tuple[int, int, bytes] | None:
+    """The value without quotes that stands at a place of a line."""
+    m = _BARE.match(line, at)
+    if not m or _REFERENCE.fullmatch(m[1]) and not _WHOLE.fullmatch(line):
+        return None
+    return m.start(1), m.end(1), m[1]
+
+
 def literals(text: bytes, min_score: float = 0.5) -> list[tuple[int, int, float]]:
     """Byte spans and scores of literals that reach a sensitive name."""
     bound: dict[bytes, list[tuple[int, int, bytes]]] = {}
@@ -97,6 +113,8 @@ def literals(text: bytes, min_score: float = 0.5) -> list[tuple[int, int, float]
                     parts, source = [], b""  # a type; the later sign assigns
                 if not parts and source in bound:
                     parts = bound[source]
+                elif not parts and (bare := _bare(line, tokens[i][3] - at)):
+                    parts = [(at + bare[0], at + bare[1], bare[2])]
                 if parts:
                     bound[name] = parts
                     whole = b"".join(p[2] for p in parts)

@@ -229,6 +229,21 @@ def test_secret_lexing(spark):
     assert secrets.find_secrets(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]),
+        ("db_pwd: q8Zr71LmPx02Vb  # rotated\n", ["q8Zr71LmPx02Vb"]), ("[db]\nprivate_key = zX81kQ0ppLm2Wq\n", ["zX81kQ0ppLm2Wq"]),
+        ("export credential=Kd83hQz71mPq", ["Kd83hQz71mPq"]), ("{pwd: q8Zr71LmPx02Vb, n: 1}", ["q8Zr71LmPx02Vb"]), ("DB_PWD=correcthorsebattery", ["correcthorsebattery"]),
+        ("pwd=q8Zr+71Lm==\r\nx=1", ["q8Zr+71Lm=="]), ('pwd_hash = "$2b$12$Kd83hQz71mPq"', ["$2b$12$Kd83hQz71mPq"]), ("k = q8Zr71LmPx02Vb\ncredential = k", ["q8Zr71LmPx02Vb"]),
+        ("pwd = read_secret1(name)", []), ("pwd = settings.DB_PASSWORD", []), ("pwd = ${DB_PASSWORD_1}", []), ("pwd = $DB_PASSWORD_1", []), ("pwd: %DB_PASSWORD_1%", []),
+        ('pwd: "{{ vault.db1_pwd }}"', []), ('pwd: "<your-pwd-here-1>"', []), ("the password: remember123 to change it", []), ("secretKey: string", []), ("pwd == q8Zr71LmPx02Vb", []),
+    ],
+)
+def test_secrets_without_quotes(text, want):
+    assert [text.encode()[a:b].decode() for a, b, _ in secrets.literals(text.encode())] == want
+
+
 # Language model
 
 

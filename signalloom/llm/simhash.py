@@ -14,6 +14,12 @@ A bucket above ``bucket_rows`` is split into groups by a hash, and each pair of
 groups is a bucket of its own, so that no task holds a large bucket. There are
 at most 65,536 values a band, which bounds the broadcast list of such buckets.
 
+``keep_unlike`` is for stages that remove near copies: texts are alike when the
+sets of their word shingles have a Jaccard similarity of ``least`` or more.
+Texts of equal sets are one class. The other candidates share one of ``GROUPS``
+groups of ``HASHES`` minimum hashes with the least or the greatest class of
+that value, and each pair is held against the sets themselves.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like
 any other; repeated rows have equal fingerprints and each keeps its row; a
 null id takes part but never names a component that has an id; an empty
@@ -32,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import FOLD_CASE, append, checkpoint, map_batches, read
 
 BUCKET_ROWS = 4096
+#: Minimum hashes a group, and groups: of pairs at a similarity of 0.8 all but 1 in 1,500 share a group.
+HASHES, GROUPS = 6, 24
 #: Pairs of nodes that are expanded at a time, and the product of sizes below which they are compared directly.
 _FRONTIER, _DIRECT = 1 << 19, 64
 _ROOT = np.uint64(63)
@@ -274,6 +282,94 @@ def keep_one(docs: DataFrame, *, size: int = 3, budget: int = 3) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates()
 
 
+def _least_hashes():
+    """Factors and terms of the hash functions."""
+    rng = np.random.default_rng(8)
+    odd = rng.integers(0, 2**63, HASHES * GROUPS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    more = rng.integers(0, 2**63, HASHES * GROUPS, dtype=np.uint64)
+    return odd, more
+
+
+def _sets(size: int):
+    def make():
+        import xxhash
+
+        odd, more = _least_hashes()
+
+        def work(rows: list[bytes]) -> dict:
+            out: dict[str, list] = {"_class": [], "_groups": []}
+            for text in rows:
+                found = np.unique(shingle_hashes(text, size))
+                out["_class"].append(int.from_bytes(xxhash.xxh64_digest(found.tobytes(), 8), "big", signed=True))
+                groups = []
+                if len(found):
+                    least = np.array([(found * a + b).min() for a, b in zip(odd, more, strict=True)], np.uint64).reshape(GROUPS, HASHES)
+                    groups = [int.from_bytes(xxhash.xxh64_digest(g.tobytes(), k), "big", signed=True) for k, g in enumerate(least)]
+                out["_groups"].append(groups)
+            return out
+
+        return work
+
+    return make
+
+
+def _shingle_set(size: int):
+    def make():
+        import xxhash
+
+        def work(rows: list[bytes]) -> dict:
+            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in rows]
+            return {"_set": sets, "_class": [int.from_bytes(xxhash.xxh64_digest(x, 8), "big", signed=True) for x in sets]}
+
+        return work
+
+    return make
+
+
+def _alike(least: float):
+    def handle(batch: pa.RecordBatch) -> dict:
+        near = []
+        for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            if min(len(x), len(y)) < least * max(len(x), len(y)):
+                near.append(False)
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both >= least * (len(x) + len(y) - both))
+        keep = pa.array(near, pa.bool_())
+        return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+    return handle
+
+
+def like_links(docs: DataFrame, *, size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class) of each row of ``docs`` (doc_id, text), and links (a, b) of alike classes."""
+    classed = checkpoint(append(docs, "text", _sets(size), "_class long, _groups array<long>").select("doc_id", F.col("_class").alias("class"), F.col("_groups").alias("groups")))
+    first = classed.groupBy("class").agg(F.min_by("groups", "doc_id").alias("groups"), F.min("doc_id").alias("doc_id"))
+    dealt = first.select("class", F.explode("groups").alias("value"))
+    hubs = dealt.groupBy("value").agg(F.array(F.min("class"), F.max("class")).alias("ends"), F.count("*").alias("n")).where("n > 1").select("value", F.explode("ends").alias("b"))
+    pairs = checkpoint(dealt.join(hubs, "value").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct())
+    # One row of a class stands for it; only those of a pair are read.
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    ids = first.select("class", "doc_id").join(asked, "class", "left_semi")
+    stands = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select("class", "text")
+    # Documents of one id may differ.
+    sets = append(stands, "text", _shingle_set(size), "_set binary, _class long").where("class = _class").groupBy("class").agg(F.first("_set").alias("set"))
+    left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("left")), sets.select(F.col("class").alias("b"), F.col("set").alias("right"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return classed.select("doc_id", "class"), map_batches(met, lambda: _alike(least), "a long, b long")
+
+
+def keep_unlike(docs: DataFrame, *, size: int = 5, least: float = 0.8) -> DataFrame:
+    """One document of each component of alike texts, the one with the least id; of equal rows one."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    classed, links = like_links(chosen, size=size, least=least)
+    roots = connected(links).withColumnRenamed("node", "class")
+    rooted = classed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("kept")).select("kept").distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept"]), "left_semi").dropDuplicates()
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"), size=3, budget=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")

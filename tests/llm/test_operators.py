@@ -442,6 +442,26 @@ def test_simhash_odd(spark):
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
 
 
+def test_pipeline_removes_near_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    rows = [(d, " ".join(f"w{k}" for k in rng.integers(0, 5000, 120))) for d in range(60)]
+    near, far = [], []
+    for d, text in rows:
+        for i, n in ((1000 + d, 2), (2000 + d, 12)):  # shingles shared: about 0.84 and 0.33
+            words = text.split()
+            for k in range(n):
+                words[(k * 120 // n + 7) % 115 + 2] = f"new{i}x{k}"
+            (near if n == 2 else far).append((i, " ".join(words)))
+    odd = [(4000, rows[0][1]), (4000, rows[0][1]), (3000, None), (3001, ""), (None, "of its own")]
+    docs = spark.createDataFrame([*rows, *near, *far, *odd], "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i in kept if i is not None) == [*range(60), *[2000 + d for d in range(60)], 3000]
+    assert kept.count(None) == 1
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
 # Search
 
 

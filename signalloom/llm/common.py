@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -21,7 +23,6 @@ FOLD_WORDS = bytes(
 )
 #: ASCII capitals to small letters only.
 FOLD_CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -30,18 +31,41 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The reliable folder that the cluster names; one of this machine only where the machine is the cluster."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster shares."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable folder that the cluster names."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
-def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Add an id of the row. Checkpoint the result before it is read twice."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared folder, which takes less disk than a checkpoint."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema) -> DataFrame:

@@ -21,8 +21,8 @@ chunk meet the nodes in the buckets and bring their log probabilities back to
 the chunk, whose texts are then scored.
 
 The base score is a unigram model of words with one added to counts. Its table
-isn't bounded: the ``HOT`` most frequent words are broadcast, and each
-document's other words are joined by word.
+isn't bounded: at most ``HOT`` of the most frequent words are broadcast, and
+each document's other words are joined by word.
 
 Defined cases: a null or empty text has the end alone; null ids train nothing
 and are not held out; repeated rows train and are scored each; with no
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import FOLD_CASE, checkpoint, map_batches, read, texts, to_batch
+from .common import FOLD_CASE, map_batches, read, stored, texts, to_batch
 
 DEPTH, SHORT, HOT = 5, 2, 1 << 17
 #: Bytes of text for each chunk of documents, and for each bucket of nodes.
@@ -54,7 +54,7 @@ _SLICE, _HELD = 1 << 21, 1 << 19
 #: Slots of a chunk's strings; those that another took are searched for.
 _MEMO = 1 << 21
 _U = np.uint64
-_SCORED = "n_tokens long, hot_known long, hot_score double, rest array<binary>, rest_n array<long>"
+_SCORED = "n_bytes long, n_tokens long, hot_known long, hot_score double, rest array<binary>, rest_n array<long>"
 
 
 def strings(rows: list[bytes], depth: int = DEPTH) -> np.ndarray:
@@ -74,10 +74,19 @@ def strings(rows: list[bytes], depth: int = DEPTH) -> np.ndarray:
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    gamma = np.vectorize(math.lgamma, otypes=[float])
-    if not len(zeros):
-        return np.empty(0)
-    return gamma(zeros + 0.5) + gamma(ones + 0.5) - gamma(zeros + ones + 1.0) - math.log(math.pi)
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+
+
+#: lgamma of halves below 16; beyond, Stirling's series is good to 1e-12.
+_HALVES = np.array([math.inf] + [math.lgamma(i / 2) for i in range(1, 32)])
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of whole and half numbers."""
+    far = np.maximum(x, 16.0)
+    r = 1.0 / (far * far)
+    series = (far - 0.5) * np.log(far) - far + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / far
+    return np.where(x < 16.0, _HALVES[np.minimum(2 * x, 31).astype(np.int64)], series)
 
 
 class Nodes:
@@ -312,8 +321,8 @@ def train(texts_only: DataFrame) -> Model:
     kept = {}
     one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
     for depth in range(DEPTH, -1, -1):
-        done = checkpoint(map_batches(nodes, lambda: _weighted(), "context long, path long, zeros long, ones long, weighted double, weight double"))
-        number = F.shiftleft("context", 8).bitwiseOR(F.col("path")).bitwiseOR(F.lit(depth << 48))
+        done = stored(map_batches(nodes, lambda: _weighted(), "context long, path int, zeros long, ones long, weighted double, weight double"), f"nodes-{depth}")
+        number = F.shiftleft("context", 8).bitwiseOR(F.col("path").cast("long")).bitwiseOR(F.lit(depth << 48))
         kept[depth] = done.select(number.alias("node"), one.cast("float").alias("one"), F.col("weight").cast("float").alias("weight"))
         if depth:
             parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
@@ -330,7 +339,7 @@ def _scored(hot, total: float):
         logs = {w: math.log10((n + 1) / total) for w, n in hot.value.items()}
 
         def work(low: list[bytes]) -> dict:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "hot_known", "hot_score", "rest", "rest_n")}
+            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "hot_known", "hot_score", "rest", "rest_n")}
             for t in low:
                 words = t.split()
                 counts = Counter(words)
@@ -341,6 +350,7 @@ def _scored(hot, total: float):
                         score += k * logs[w]
                     else:
                         rest[w] = k
+                out["n_bytes"].append(len(t) + 1)
                 out["n_tokens"].append(len(words) + 1)
                 out["hot_known"].append(n)
                 out["hot_score"].append(score)
@@ -353,8 +363,21 @@ def _scored(hot, total: float):
     return make
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the most frequent words: all whose count reaches a level, eight levels for each doubling."""
+    level = F.floor(8 * F.log2("n"))
+    counts = words.groupBy(level.alias("level")).count().collect()  # at most 8 * 63 rows
+    least, taken = math.inf, 0
+    for row in sorted(counts, reverse=True):
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row["level"]
+    return words.where(level >= F.lit(float(least)))
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, hot_words: int = HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """Of every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (code length, its end counted as a byte)."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out)
@@ -362,15 +385,15 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     model = train(learned)
 
     # A task without rows gives the end a count of 0.
-    words = checkpoint(map_batches(learned, _words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
+    words = stored(map_batches(learned, _words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
     n_all, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = words.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total = float(n_all + n_kinds + 1)
-    few = words.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
+    few = frequent(words.where(F.octet_length("word") <= 64), hot_words).toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(few.column("word").to_pylist(), few.column("n").to_pylist(), strict=True)))
 
     made = model.score(chosen, _scored(hot, total), _SCORED)
-    made = checkpoint(made.withColumn("_row", F.monotonically_increasing_id()))
+    made = stored(made.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rest = made.select("_row", F.explode(F.arrays_zip("rest", "rest_n")).alias("r")).select("_row", F.col("r.rest").alias("word"), F.col("r.rest_n").alias("k"))
     count = F.coalesce("n", F.lit(0))
     sums = rest.join(words.where("word is not null"), "word", "left").groupBy("_row").agg(
@@ -382,7 +405,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         (F.col("hot_known") + F.coalesce("rest_known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("rest_score", F.lit(0.0)) + end).alias("base_score"),
-        F.col("model_score").alias("score"),
+        F.col("model_score").alias("score"), (F.col("model_score") * -math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

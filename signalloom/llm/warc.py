@@ -28,7 +28,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, read
+from .common import map_batches, read, shared_folder
 
 ARCHIVE_BYTES = 16 << 20
 _STEP = 1 << 14
@@ -237,12 +236,6 @@ def _archives(date: str, archive_bytes: int):
     return make
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares."""
-    checkpoint(spark.range(0))  # sets the folder if none is set
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def write_archives(
     pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z",

@@ -1,205 +1,371 @@
 """Line dedup by winnowing over line hashes.
 
-The lines of a document that hold a word are hashed by their words. Windows are
-the shortest runs of lines with at least ``min_words`` words, one that begins
-at each line and one that ends at each line; each selects the least line hash
-in it (the last of equal ones) as its fingerprint. A run of that many words
-that repeats holds the same windows in both places and so the same selected
-lines: fingerprints that were selected only once can't be part of a repeat.
-
-Positions whose fingerprint repeats are joined: the windows around them are
-compared by a 128-bit hash of their lines with the earliest window of equal
-content, and the matching windows, which reach from the fingerprint both
-ways, unite to maximal runs. Every line of a run that stands earlier is
-deleted. A run's line is either in the window that begins at the run's first
-line or in the window that ends at the line, and both lie in the run, so
-exactly those lines go that are part of a run of ``min_words`` words or more
-with an earlier occurrence. Only sums and least positions are aggregated, so
-the work is linear however often a passage repeats.
-
-Documents are ordered by id, then by a hash of the text, then by line.
-
-Defined cases: a null text stays null and an empty one empty; lines without
-words are kept and don't part a run; rows equal in id and text are one
-document and are treated alike; null ids come first; an empty table gives an
+A repeated passage may begin and end anywhere in the text's own lines, so the
+text is taken re-wrapped: from each word on stands a line of ``LINE_WORDS``
+words, wherever line breaks are. Of the lines in each window of ``min_words``
+words the least hash is the window's fingerprint. Equal windows have equal
+fingerprints wherever they stand, so a fingerprint that was selected only once
+is in no repeat.
+
+Consecutive windows of one fingerprint are a stretch, whose outermost windows
+are the furthest that a match reaches from the fingerprint to the left and to
+the right while it decides. Positions of repeated fingerprints are joined:
+equal whole stretches match as one, by a hash of all their words; of stretches
+that differ and share a fingerprint, or in which it stands more than once, one
+of each kind is extended window by window. Each is compared with the earliest place of equal content. Matches
+unite over the stretches of a document to maximal runs, and the words of a run
+that stands earlier are deleted: exactly those words go that are in
+``min_words`` consecutive words with an earlier occurrence. Only sums and least
+places are aggregated, so the work is linear however often a passage repeats.
+
+A first scan counts fingerprints. Those that repeat set bits of a bitmap of
+``FILTER_BITS`` (16 MB whatever the input), with which the second scan leaves
+out most others; what it lets through by chance matches nothing.
+
+Documents are ordered by id, then by a hash of the text, then by word. Hashes
+of words and runs are 64 bits, compared within equal fingerprints of 64 bits.
+
+Defined cases: a null text stays null and an empty one empty; a line of which
+some words go keeps the others with a blank between them, one of which all go
+is left out, other lines stay as they are; a very long text is hashed piece by
+piece and cut as a whole; rows equal in id and text are one document and are
+treated alike; null ids come first; other columns go along unseen, whatever
+their names, but n_words and n_deleted are replaced; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import append, checkpoint, map_batches, read, texts
+from .common import append, discard, map_batches, read, stored, texts
 
-MIN_WORDS = 50
+MIN_WORDS, LINE_WORDS, FILTER_BITS = 50, 8, 27
+#: Most windows of a stretch, bytes hashed at a time, words looked at a time, and words that are hashed one by one.
+_STRETCH, _SLICE, _CHUNK, _LONG_WORD = 64, 1 << 20, 1 << 20, 4096
+_U = np.uint64
+_BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
+_BLANK = np.isin(np.arange(256, dtype=np.uint8), list(_BLANKS))
+_BLANK_AT = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def lines_of(text: bytes) -> tuple[list[int], list[int], bytes]:
-    """Of the lines with a word: their numbers, words in each, and 16 bytes of hash each."""
-    import xxhash
+# Hashes of words and of runs of words: sums of values times powers, so that a run's is a difference of two sums.
+
+_BYTE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE = 0x9E3779B97F4A7C15
+_held = {True: np.ones(1, _U), False: np.ones(1, _U)}
+
+
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    if len(_held[inverse]) < n:
+        out = np.full(1 << (n - 1).bit_length(), pow(_BASE, -1, 1 << 64) if inverse else _BASE, _U)
+        out[0] = 1
+        _held[inverse] = np.multiply.accumulate(out)
+    return _held[inverse][:n]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> _U(29))) * _U(0xA0761D6478BD642F)
+    return x ^ (x >> _U(32))
 
-    at, words, hashes = [], [], []
-    for i, line in enumerate(text.split(b"\n")):
-        if parts := line.split():
-            at.append(i)
-            words.append(len(parts))
-            hashes.append(xxhash.xxh3_128_digest(b" ".join(parts)))
-    return at, words, b"".join(hashes)
-
-
-def windows(words: list[int], hashes: bytes, least: int) -> list[tuple[int, int, int, int]]:
-    """(first, last, selected line, its hash) of each window, in order, without repeats."""
-    n = len(words)
-    sums = np.array(list(accumulate(words, initial=0)))
-    if sums[-1] < least:
-        return []
-    forward_end = np.searchsorted(sums, sums[:-1] + least, "left") - 1
-    backward_start = np.searchsorted(sums, sums[1:] - least, "right") - 1
-    spans = {(i, int(j)) for i, j in enumerate(forward_end) if j < n} | {(int(i), j) for j, i in enumerate(backward_start) if i >= 0}
-    short = np.frombuffer(hashes, "<i8").reshape(-1, 2)[:, 0]
-    out = []
-    for i, j in sorted(spans):
-        part = short[i : j + 1]
-        pick = j - int(np.argmin(part[::-1]))
-        out.append((i, j, pick, int(short[pick])))
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * _powers(len(values)), out=out[1:])
     return out
 
 
+def _runs(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [first, end)."""
+    return _mixed((sums[end] - sums[first]) * _powers(len(sums), True)[first])
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the first byte of each word of a slice."""
+    import xxhash
+
+    raw = np.frombuffer(data, np.uint8)
+    ink = np.zeros(len(raw) + 2, bool)
+    ink[1:-1] = ~_BLANK[raw]
+    edges = np.flatnonzero(ink[1:] != ink[:-1])
+    first, end = edges[::2], edges[1::2]
+    if not len(first):
+        return np.empty(0, _U), first
+    out = _runs(_sums(_BYTE[raw]), first, end)
+    for i in np.flatnonzero(end - first > _LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[first[i] : end[i]])
+    return out, first
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """The hash of each word of a text of any length."""
+    import xxhash
+
+    out, at = [], 0
+    while at < len(text):
+        stop = at + _SLICE
+        if stop < len(text):
+            following = _BLANK_AT.search(text, stop, stop + _LONG_WORD + 1)
+            if following:
+                stop = following.start()
+            else:  # within a word that is hashed by itself
+                stop = max(at, *(text.rfind(bytes([c]), at, stop) for c in _BLANKS))
+                if stop == at and text[at] not in _BLANKS:
+                    following = _BLANK_AT.search(text, at)
+                    stop = following.start() if following else len(text)
+                    out.append(np.array([xxhash.xxh64_intdigest(text[at:stop])], _U))
+                    at = stop
+                    continue
+                stop += 1
+        out.append(_hashed(text[at:stop])[0])
+        at = stop
+    return np.concatenate(out) if out else np.empty(0, _U)
+
+
+def pieces(rows: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of words, the row of each and its number in the row; several short rows or overlapping parts of a long one."""
+    at = 0
+    while at < len(rows):
+        if len(rows[at]) > _SLICE:
+            found = word_hashes(rows[at])
+            for a in range(0, max(1, len(found) - least + 1), _CHUNK):
+                part = found[a : a + _CHUNK + least - 1]
+                yield part, np.full(len(part), at), np.arange(a, a + len(part))
+            at += 1
+            continue
+        stop, size = at, 0
+        while stop < len(rows) and size + len(rows[stop]) <= _SLICE:
+            size += len(rows[stop])
+            stop += 1
+        found, first = _hashed(b"\n".join(rows[at:stop]))
+        begins = np.cumsum([0] + [len(t) + 1 for t in rows[at:stop]])
+        row = np.searchsorted(begins, first, "right") - 1
+        counts = np.bincount(row, minlength=stop - at)
+        yield found, row + at, np.arange(len(found)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = stop
+
+
+def _sliding_least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each ``width`` values, and where the last one of it stands."""
+    at, have = np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        right = values[step:] <= values[:-step]
+        values, at = np.where(right, values[step:], values[:-step]), np.where(right, at[step:], at[:-step])
+        have += step
+    return values, at
+
+
+class Stretches:
+    """Stretches of windows with one fingerprint, of the words of ``pieces``.
+
+    ``tied`` are those in which the fingerprint stands more than once: only there
+    may windows of one stretch be equal.
+    """
+
+    def __init__(self, words: np.ndarray, row: np.ndarray, least: int):
+        line = min(LINE_WORDS, least)
+        n = max(0, len(words) - least + 1)
+        self.sums, self.least = _sums(words), least
+        self.at = np.flatnonzero(row[:n] == row[least - 1 :]) if n else np.empty(0, np.int64)
+        if not len(self.at):
+            self.first = self.size = self.at
+            self.mark, self.tied = np.empty(0, _U), np.empty(0, bool)
+            return
+        starts = np.arange(len(words) - line + 1)
+        mark, stands = (x[self.at] for x in _sliding_least(_runs(self.sums, starts, starts + line), least - line + 1))
+        new = np.ones(len(mark), bool)
+        new[1:] = (mark[1:] != mark[:-1]) | (np.diff(self.at) != 1) | (row[self.at[1:]] != row[self.at[:-1]])
+        begin = np.flatnonzero(new)
+        sizes = np.diff(np.append(begin, len(mark)))
+        tied = np.repeat(stands[begin] != stands[begin + sizes - 1], sizes)
+        inner = np.arange(len(mark)) - np.repeat(begin, sizes)
+        self.first = np.flatnonzero(inner % _STRETCH == 0)
+        self.size = np.diff(np.append(self.first, len(mark)))
+        self.mark, self.tied = mark[self.first], tied[self.first]
+
+    def whole(self, some: np.ndarray) -> np.ndarray:
+        """Hashes of all words of the chosen stretches, and of how many windows they are."""
+        first = self.at[self.first[some]]
+        return _runs(self.sums, first, first + self.size[some] - 1 + self.least) ^ _mixed(self.size[some].astype(_U))
+
+    def windows(self, some: np.ndarray) -> pa.ListArray:
+        """Hashes of the windows of the chosen stretches."""
+        size = self.size[some]
+        ends = np.cumsum(size)
+        which = np.repeat(self.first[some] - (ends - size), size) + np.arange(size.sum())
+        at = self.at[which]
+        values = _runs(self.sums, at, at + self.least)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.view(np.int64)))
+
+
 def _signed(text: bytes) -> int:
     import xxhash
 
     return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
 
 
-def _selected(min_words: int):
-    """One row for each selected line."""
+def _selected(least: int):
+    """Fingerprints of a batch and how many stretches have them, tied ones twice."""
 
     def make():
         def handle(batch: pa.RecordBatch) -> dict:
-            out = []
-            for text in texts(batch):
-                _, words, hashes = lines_of(text)
-                out += {pick: h for _, _, pick, h in windows(words, hashes, min_words)}.values()
-            return {"mark": out}
+            found = [Stretches(words, row, least) for words, row, _ in pieces(texts(batch), least)]
+            marks, n = np.unique(np.concatenate([x for f in found for x in (f.mark, f.mark[f.tied])]), return_counts=True)
+            return {"mark": marks.view(np.int64), "n": n}
 
         return handle
 
     return make
 
 
-def _windows(min_words: int):
-    """One row for each window."""
+def _positions(least: int, bits):
+    """Stretches whose fingerprint has its bit set."""
 
     def make():
-        import xxhash
+        lit = bits.value
 
         def handle(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "body", "first", "last", "mark", "content")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                _, words, hashes = lines_of(text)
-                found = windows(words, hashes, min_words)
-                body = _signed(text)
-                for i, j, _, mark in found:
-                    out["first"].append(i)
-                    out["last"].append(j)
-                    out["mark"].append(mark)
-                    out["content"].append(xxhash.xxh3_128_digest(hashes[16 * i : 16 * j + 16]))
-                out["doc_id"] += [doc] * len(found)
-                out["body"] += [body] * len(found)
-            return out
+            rows = texts(batch)
+            body = np.array([_signed(t) for t in rows], np.int64)
+            out: dict[str, list] = {k: [] for k in ("doc_id", "body", "first", "n", "mark", "tied", "whole", "windows")}
+            for words, row, number in pieces(rows, least):
+                found = Stretches(words, row, least)
+                slot = found.mark & _U((1 << FILTER_BITS) - 1)
+                some = np.flatnonzero((lit[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1))
+                at = found.at[found.first[some]]
+                out["doc_id"].append(batch.column("doc_id").take(pa.array(row[at])))
+                out["body"].append(pa.array(body[row[at]]))
+                out["first"].append(pa.array(number[at]))
+                out["n"].append(pa.array(found.size[some]))
+                out["mark"].append(pa.array(found.mark[some].view(np.int64)))
+                out["tied"].append(pa.array(found.tied[some]))
+                out["whole"].append(pa.array(found.whole(some).view(np.int64)))
+                out["windows"].append(found.windows(some))
+            return {k: pa.chunked_array(v) for k, v in out.items()}
 
         return handle
 
     return make
 
 
+def _bitmap(marks: DataFrame) -> np.ndarray:
+    """A bit for each slot that a fingerprint falls on; 16 MB at most."""
+    slot = F.col("mark").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    found = marks.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(_U)
+
+
 def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, body (a hash of the text), spans: line intervals [first, last] that stand earlier."""
+    """doc_id, body (a hash of the text), spans: intervals [first, end) of words that stand earlier; they may overlap."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = map_batches(chosen, _selected(min_words), "mark long").groupBy("mark").count().where("count > 1").select("mark")
-    made = map_batches(chosen, _windows(min_words), "doc_id long, body long, first int, last int, mark long, content binary")
-    near = checkpoint(made.join(marks, "mark", "left_semi").select("doc_id", "body", "first", "last", "content"))
+    marks = map_batches(chosen.select("text"), _selected(min_words), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1")
+    lit = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
+    near = stored(map_batches(chosen, _positions(min_words, lit), "doc_id long, body long, first long, n long, mark long, tied boolean, whole long, windows array<long>"), "positions")
     place = F.struct("doc_id", "body", "first")
-    earliest = near.groupBy("content").agg(F.min(place).alias("origin"), F.max(place).alias("final")).where("origin <> final").select("content", "origin")
-    later = near.join(earliest, "content").where(~F.struct("doc_id", "body", "first").eqNullSafe(F.col("origin")))
-    return later.groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    # Written, as the joins below then stand alone and skewed ones are split.
+    kinds = stored(near.groupBy("mark", "whole").agg(F.min(place).alias("origin"), F.max(place).alias("final"), F.bool_or("tied").alias("tied"), F.first("windows").alias("windows")), "stretches")
+    copied = kinds.where("origin <> final").select("mark", "whole", "origin")
+    later = near.select("mark", "whole", "doc_id", "body", "first", "n").join(copied, ["mark", "whole"]).where(~place.eqNullSafe(F.col("origin")))
+    later = later.select("doc_id", "body", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end"))
+
+    shared = kinds.groupBy("mark").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied")).where("n > 1 OR tied").select("mark")
+    differing = stored(kinds.join(shared, "mark", "left_semi").select("mark", "origin", "windows"), "differing")
+    each = differing.select("mark", "origin", F.posexplode("windows").alias("i", "window"))
+    each = each.select("mark", "window", F.col("origin.doc_id").alias("doc_id"), F.col("origin.body").alias("body"), (F.col("origin.first") + F.col("i")).alias("first"))
+    found = each.groupBy("mark", "window").agg(F.min(place).alias("origin"), F.max(place).alias("final")).where("origin <> final").select("mark", "window", "origin")
+    found = stored(found, "windows")
+    partly = each.join(found, ["mark", "window"]).where(~place.eqNullSafe(F.col("origin"))).select("doc_id", "body", "first", (F.col("first") + min_words).alias("end"))
+    spans = stored(later.unionByName(partly).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    for table in (near, kinds, differing, found):
+        discard(table)
+    return spans
 
 
 def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the text that is left, n_lines, n_deleted and words_deleted."""
+    """The rows of ``docs`` with the text that is left, and n_words and n_deleted (words before, and gone)."""
     found = repeats(docs, min_words=min_words, id_col=id_col, text_col=text_col)
+    names = docs.columns
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    hidden = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    keyed = append(hidden, text, lambda: lambda rows: {"body": [_signed(t) for t in rows]}, "body long")
+    spans = found.select(F.col("doc_id").alias("of"), F.col("body").alias("hash"), "spans")
+    joined = keyed.join(spans, F.col(key).cast("long").eqNullSafe(F.col("of")) & (F.col("body") == F.col("hash")), "left").drop("of", "hash", "body")
+    kept = [f for f in hidden.schema if f.name != text]
+    schema = StructType([*kept, StructField("left", StringType()), StructField("n_words", LongType()), StructField("n_deleted", LongType())])
+
+    def make():
+        def handle(batch: pa.RecordBatch) -> dict:
+            there = batch.column(text).is_valid().to_pylist()
+            each = [cut(t, s) for t, s in zip(texts(batch, text), batch.column("spans").to_pylist(), strict=True)]
+            out = {"left": [x[0].decode() if ok else None for x, ok in zip(each, there, strict=True)], "n_words": [x[1] for x in each], "n_deleted": [x[2] for x in each]}
+            return {f.name: batch.column(f.name) for f in kept} | out
+
+        return handle
 
-    def hashed():
-        return lambda rows: {"_body": [_signed(t) for t in rows]}
-
-    keyed = append(docs, text_col, hashed, "_body long")
-    spans = found.select(F.col("doc_id").alias("_of"), F.col("body").alias("_hash"), F.col("spans").alias("_spans"))
-    joined = keyed.join(spans, keyed[id_col].cast("long").eqNullSafe(spans["_of"]) & (keyed["_body"] == spans["_hash"]), "left").drop("_of", "_hash", "_body")
-    # The spans reach the handler as text in front of the document's.
-    tagged = joined.withColumn("_spans", F.coalesce(F.to_json("_spans"), F.lit("[]")))
-    packed = tagged.withColumn("_packed", F.concat(F.col("_spans"), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))).drop("_spans")
-    packed = packed.withColumn("_null", F.col(text_col).isNull()).drop(text_col)
-    done = append(packed, "_packed", _cut, "_left string, n_lines long, n_deleted long, words_deleted long")
-    done = done.withColumn(text_col, F.when(~F.col("_null"), F.col("_left")))
-    new = ["n_lines", "n_deleted", "words_deleted"]
-    return done.select(*[c for c in docs.columns if c not in new], *new)
-
-
-def _cut():
-    import json
-
-    def work(rows: list[bytes]) -> dict:
-        out: dict[str, list] = {"_left": [], "n_lines": [], "n_deleted": [], "words_deleted": []}
-        for packed in rows:
-            spans, _, text = packed.partition(b"\n")
-            lines = text.split(b"\n")
-            at = [i for i, line in enumerate(lines) if line.strip()]
-            gone = {at[k] for s in json.loads(spans) for k in range(s["first"], s["last"] + 1)}
-            out["_left"].append(b"\n".join(line for i, line in enumerate(lines) if i not in gone).decode() if gone else text.decode())
-            out["n_lines"].append(len(at))
-            out["n_deleted"].append(len(gone))
-            out["words_deleted"].append(sum(len(lines[i].split()) for i in gone))
-        return out
-
-    return work
+    done = map_batches(joined, make, schema)
+    order = ["left" if f"c{i}" == text else f"c{i}" for i, c in enumerate(names) if c not in ("n_words", "n_deleted")]
+    return done.select(*order, "n_words", "n_deleted").toDF(*[c for c in names if c not in ("n_words", "n_deleted")], "n_words", "n_deleted")
+
+
+def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+    """The text without the words of the spans, how many words it had, and how many went."""
+    if not spans:
+        return text, len(text.split()), 0
+    lines = text.split(b"\n")
+    parts = [line.split() for line in lines]
+    gone = np.zeros(sum(map(len, parts)), bool)
+    for s in spans:
+        gone[s["first"] : s["end"]] = True
+    out, at = [], 0
+    for line, words in zip(lines, parts, strict=True):
+        here = gone[at : at + len(words)]
+        at += len(words)
+        if not here.any():
+            out.append(line)
+        elif not here.all():
+            out.append(b" ".join(w for w, g in zip(words, here, strict=True) if not g))
+    return b"\n".join(out), at, int(gone.sum())
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = drop_repeats(docs, min_words=MIN_WORDS)
-    return found.select("doc_id", "n_lines", "n_deleted", "words_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return found.select("doc_id", "n_words", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-#: DuckDB, on the definition: windows that begin and that end at each line, compared by content.
+#: DuckDB, on the definition: every window of 50 words, compared by content.
 SQL = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
-w AS (
-  SELECT doc_id, raw, list_transform(raw, lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS parts FROM d),
-f AS (
-  SELECT doc_id, raw, list_filter(generate_series(1, len(raw)), lambda i: len(parts[i]) > 0) AS ln, parts FROM w),
-l AS (
-  SELECT doc_id, raw, ln, list_transform(ln, lambda i: array_to_string(parts[i], ' ')) AS lines,
-         list_transform(ln, lambda i: len(parts[i])) AS n FROM f),
-s AS (
-  SELECT *, list_transform(generate_series(0, len(n)), lambda k: CAST(coalesce(list_sum(n[1 : k]), 0) AS BIGINT)) AS sums
-  FROM l),
-i AS (SELECT doc_id, lines, sums, len(lines) AS k, unnest(generate_series(1, len(lines))) AS p FROM s),
-spans AS (
-  SELECT DISTINCT doc_id, a, b, array_to_string(lines[a : b], chr(10)) AS content FROM (
-    SELECT doc_id, lines, p AS a, list_min(list_filter(generate_series(p, k), lambda j: sums[j + 1] - sums[p] >= 50)) AS b FROM i
-    UNION ALL
-    SELECT doc_id, lines, list_max(list_filter(generate_series(1, p), lambda j: sums[p + 1] - sums[j] >= 50)) AS a, p AS b FROM i)
-  WHERE a IS NOT NULL AND b IS NOT NULL),
-later AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS r FROM spans) WHERE r > 1),
-gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(generate_series(a, b)) AS p FROM later) GROUP BY doc_id)
-SELECT s.doc_id, CAST(len(ln) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_deleted,
-       CAST(coalesce(list_sum(list_transform(g, lambda p: n[p])), 0) AS BIGINT) AS words_deleted,
-       sha256(array_to_string(list_transform(list_filter(generate_series(1, len(raw)),
-         lambda i: NOT list_contains(list_transform(coalesce(g, []), lambda p: ln[p]), i)), lambda i: raw[i]), chr(10))) AS text_sha256
-FROM s LEFT JOIN gone USING (doc_id)
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+         unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS ln FROM documents),
+x AS (SELECT doc_id, ln, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w FROM l),
+p AS (
+  SELECT doc_id, ln, word, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS pos
+  FROM (SELECT doc_id, ln, unnest(w) AS word, unnest(generate_series(1, len(w))) AS k FROM x WHERE len(w) > 0)),
+a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS r FROM (
+      SELECT doc_id, pos, array_to_string(w[pos : pos + 49], ' ') AS content
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS pos FROM a WHERE len(w) >= 50)))
+  WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS pos FROM later),
+lines AS (
+  SELECT p.doc_id, ln, count(*) AS n, count(gone.pos) AS g, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+  FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.pos = gone.pos GROUP BY p.doc_id, ln)
+SELECT x.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_words, CAST(coalesce(sum(g), 0) AS BIGINT) AS n_deleted,
+       sha256(coalesce(string_agg(CASE WHEN coalesce(g, 0) = 0 THEN raw ELSE kept END, chr(10) ORDER BY x.ln) FILTER (WHERE g IS NULL OR g < n), '')) AS text_sha256
+FROM x LEFT JOIN lines ON x.doc_id = lines.doc_id AND x.ln = lines.ln GROUP BY x.doc_id
 """

@@ -77,43 +77,80 @@ def test_mix_slots_are_permutations(spark):
 # Line dedup
 
 
-def brute_lines(rows, least):
-    """Lines that are in a run of ``least`` words or more that stands earlier, by comparing all pairs of positions."""
-    parsed = [[(" ".join(x.split()), len(x.split())) for x in (t or "").split("\n") if x.split()] for _, t in rows]
-    flat = [(d, i) for d, lines in enumerate(parsed) for i in range(len(lines))]
-    gone = collections.defaultdict(set)
-    for a in range(len(flat)):
-        for b in range(a):
-            (d, i), (e, j) = flat[a], flat[b]
-            n = words = 0
-            while i + n < len(parsed[d]) and j + n < len(parsed[e]) and parsed[d][i + n][0] == parsed[e][j + n][0]:
-                words += parsed[d][i + n][1]
-                n += 1
-            if words >= least:
-                gone[d].update(range(i, i + n))
+def brute_repeats(rows, least):
+    """Per row, the numbers of the words that lie in ``least`` consecutive words which stand earlier."""
+    seen, gone = set(), []
+    for _, text in rows:
+        words, mine = (text or "").split(), set()
+        for i in range(len(words) - least + 1):
+            window = tuple(words[i : i + least])
+            if window in seen:
+                mine.update(range(i, i + least))
+            seen.add(window)
+        gone.append(mine)
     return gone
 
 
-def test_line_dedup_is_exact(spark):
+def without(text, gone):
+    at, out = 0, []
+    for line in text.split("\n"):
+        words = line.split()
+        kept = [w for k, w in enumerate(words) if at + k not in gone]
+        out += [line] if len(kept) == len(words) else [" ".join(kept)] if kept else []
+        at += len(words)
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"_SLICE": 90, "_CHUNK": 20, "_LONG_WORD": 12, "_STRETCH": 3}])
+def test_repeats_are_exact(spark, monkeypatch, sizes):
     rng = np.random.default_rng(3)
-    lines = [" ".join(f"w{rng.integers(99)}" for _ in range(rng.integers(1, 9))) for _ in range(6)]
-    rows = [(d, "\n".join(lines[k] for k in rng.integers(0, 6, rng.integers(1, 14)))) for d in range(24)]
-    rows = [(d, t) for d, t in rows]
-    got = {r["doc_id"]: r for r in linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12).collect()}
-    gone = brute_lines(rows, 12)
-    assert sum(map(len, gone.values())) > 20
-    for d, t in rows:
-        kept = [x for i, x in enumerate(t.split("\n")) if i not in gone[d]]
-        assert got[d]["text"] == "\n".join(kept) and got[d]["n_deleted"] == len(gone[d])
+    passages = [[f"w{rng.integers(40)}" for _ in range(n)] for n in (12, 13, 14, 20, 30, 40)]
+    passages += [["same"] * 30, ["verylongword" * 3, *map(str, range(15))]]
+    rows = []
+    for d in range(60):
+        words = []
+        for _ in range(rng.integers(0, 5)):
+            words += [f"w{rng.integers(40)}" for _ in range(rng.integers(0, 9))]
+            p = passages[rng.integers(len(passages))]
+            a = rng.integers(0, 3)
+            words += p[a : len(p) - rng.integers(0, 3)]
+        rows.append((d, "".join(w + (" ", "\n", "  ")[rng.choice(3, p=(0.8, 0.15, 0.05))] for w in words)))
+    rows += [(99, rows[7][1]), (100, "")]
+    for k, v in sizes.items():
+        monkeypatch.setattr(linededup, k, v)
+    flat = [t.encode() for _, t in rows]
+    assert all((np.concatenate([w[r == i][a[r == i].argsort()] for w, r, a in linededup.pieces([t], 1) for i in [0]] or [[]]) == linededup.word_hashes(t)).all() for t in flat if len(t) <= 60)
+    gone = brute_repeats(rows, 12)
+    assert sum(map(len, gone)) > 300
+    # Pieces are hashed where the handlers run, so the arrays are compared here and the rows below with the usual sizes.
+    for (d, t), want in zip(rows, gone, strict=True):
+        assert linededup.cut(t.encode(), [{"first": k, "end": k + 1} for k in want]) == (without(t, want).encode(), len(t.split()), len(want))
+    out = linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), min_words=12).collect()
+    got = {r["doc_id"]: (r["text"], r["n_words"], r["n_deleted"]) for r in out}
+    assert got == {d: (without(t, g), len(t.split()), len(g)) for (d, t), g in zip(rows, gone, strict=True)}
+
+
+def test_pieces_of_long_texts_hash_alike(monkeypatch):
+    text = (LONG + " " + "x" * 9000 + "\n" + LONG[:5000] + "y" * 5000).encode()
+    whole = linededup.word_hashes(text)
+    assert len(whole) == len(text.split()) and len(set(whole.tolist())) == len(set(text.split()))
+    marks = lambda: {(int(m), int(n[s.at[f]])) for w, r, n in linededup.pieces([b"a b", text, b""], 50) for s in [linededup.Stretches(w, r, 50)] for m, f in zip(s.mark, s.first, strict=True)}
+    before = marks()
+    monkeypatch.setattr(linededup, "_SLICE", 7000)
+    assert (linededup.word_hashes(text) == whole).all() and marks() == before
+    monkeypatch.setattr(linededup, "_CHUNK", 999)
+    assert before <= marks()
 
 
 def test_line_dedup_odd(spark):
-    out = linededup.drop_repeats(documents(spark))
-    rows = sorted(out.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
-    assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 4, 5, 6, 7, 8, 9, None]
+    more = [(10, "a b c " + LONG[:400], "en", "a"), (11, "c " + LONG[:400] + "q d\ne", "en", "a")]
+    hidden = documents(spark, [*ODD, *more]).selectExpr("*", "1 as _spans", "2 as left", "3 as body", "map('k', 1) as c0", "4 as of", "5 as hash", "6 as n_deleted")
+    rows = sorted(linededup.drop_repeats(hidden).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 11, None]
     by = {r["doc_id"]: r for r in rows}
-    assert by[2]["text"] is None and by[3]["text"] == "" and by[9]["text"] == "x\ny" and by[4]["n_deleted"] == 0 and by[6]["text"] == "   \t\n"
-    assert by[1]["simhash"] == "x" and by[1]["spans"] == 1
+    assert by[2]["text"] is None and by[3]["text"] == "" and by[9]["text"] == "x\ny" and by[4]["n_deleted"] == 30_000 - 977 and by[6]["text"] == "   \t\n"
+    assert by[10]["text"].startswith("a b c") and by[11]["text"].startswith("c wo") and by[11]["text"].endswith("q d\ne") and by[11]["n_deleted"] >= 50
+    assert (by[1]["simhash"], by[1]["spans"], by[1]["_spans"], by[1]["left"], by[1]["body"], by[1]["c0"], by[1]["of"], by[1]["hash"]) == ("x", 1, 1, 2, 3, {"k": 1}, 4, 5)
     assert linededup.drop_repeats(documents(spark, [])).collect() == []
 
 

@@ -3,24 +3,31 @@
 Sizes are words. Each source is one stream of words, its documents in a fixed
 order, packed into blocks of ``block`` words. A source's target is a number of
 words; its slots are as many whole passes over its blocks as fit, and a last,
-partial pass that stops within a block where the target is met. Slot k of a
-source takes block p(k mod blocks), where p is a pseudorandom permutation of
-the source's block indexes, another one for each pass ("swap-or-not": a fixed
-number of rounds that each swap an index with its mirror image or don't, an
-exact permutation of any number of indexes). Slots are numbered over all
-sources, and a permutation of these numbers deals them to output shards of
-``shard_slots``: a shard's counts by source are multinomial draws conditioned
-on the totals, so totals meet the targets and don't just expect them.
-
-Block uses join the documents' stretches of blocks by index, which gives the
-words that the mix takes of each document. No source lies in one task: offsets
-are sums over ``parts`` parts of a source and then within a part, slots are
-made in runs, and joins are on (source, block).
-
-Defined cases: a null or empty text has size 0 and gives nothing; null is a
-source of its own, the last; of rows equal in id, source and size each is
-a stretch of its own; sources without words have target 0; an empty table
-gives an empty result. The same input gives the same mix.
+partial pass that stops within a block where the target is met.
+
+The mix is made of output shards of ``shard_slots`` slots. Each slot of a shard
+draws a source with the sources' shares of all slots as probabilities, so a
+shard's counts by source are multinomial. The counts decide which slots of a
+source the shard gets: the next ones, as long as the source has any; the slots
+that are left over in the end make the last shards, which reconcile the counts
+with the targets. Slot k of a source takes block p(k mod blocks), where p is a
+pseudorandom permutation of the source's block indexes, another one for each
+pass ("swap-or-not": a fixed number of rounds that each swap an index with its
+mirror image or don't, an exact permutation of any number of indexes). Another
+permutation orders the slots of a shard.
+
+Shards' slots join the documents' stretches of blocks by index: ``mix`` gives
+the words that the mix takes of each document, ``packed`` the blocks with their
+text. No source lies in one task: offsets are sums over ``parts`` parts of a
+source and then within a part, draws and slots are made in runs, and joins are
+on (source, block).
+
+Defined cases: a null or empty text has size 0 and gives nothing; a very long
+text gives pieces of many blocks; null is a source of its own, the last; null
+ids come first in their part; of rows equal in id, source and size each is a
+stretch of its own; sources without words have target 0; other columns aren't
+read, whatever their names; an empty table gives an empty result. The same
+input gives the same mix.
 """
 
 from __future__ import annotations
@@ -28,10 +35,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read
+from .common import read, stored
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK, PARTS, ROUNDS, SHARD_SLOTS, RUN, RUNS_A_TASK, SEED = 256, 4096, 16, 4096, 4096, 4, 20240229
+BLOCK, PARTS, ROUNDS, SHARD_SLOTS, RUN, RUNS_A_TASK, SEED = 256, 1 << 16, 16, 1 << 14, 4096, 4, 20240229
+#: Stretches of the number line of draws, each with few sources.
+CELLS = 4096
 #: Sources up to which their table is broadcast.
 FEW_SOURCES = 1 << 16
 _P = 2147483647
@@ -47,10 +56,15 @@ def _round_key(rank: str, epoch: str, r: str) -> str:
 
 
 def _scrambled(c: str) -> str:
-    """A second number from a round's key, for the mirror."""
+    """A second number from a round's key."""
     return f"((({c} * 69621 + 12345) % {_P}) * 48271 % {_P})"
 
 
+def _wide(c: str) -> str:
+    """A number below 2^62 from a round's key, for mirrors anywhere among the indexes."""
+    return f"({_scrambled(c)} * {_P} + {_scrambled(_scrambled(c))})"
+
+
 def _swapped(x: str, k: str, c: str, n: str, div: str) -> str:
     """One round: x, or its mirror image in [0, n)."""
     mirror = f"(({k} % {n} + {n} - {x}) % {n})"
@@ -61,7 +75,7 @@ def _swapped(x: str, k: str, c: str, n: str, div: str) -> str:
 
 def _keys(rank: str, epoch: str) -> F.Column:
     c = _round_key(rank, epoch, "r")
-    return F.expr(f"transform(sequence(1L, {ROUNDS}L), r -> struct({_scrambled(c)} AS k, {c} AS c))")
+    return F.expr(f"transform(sequence(1L, {ROUNDS}L), r -> struct({_wide(c)} AS k, {c} AS c))")
 
 
 def permuted(x: str, keys: str, n: str, *, inverse: bool = False) -> F.Column:
@@ -103,25 +117,49 @@ def plan(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int =
     return out.withColumn("slots", F.expr("CASE WHEN blocks > 0 THEN passes * blocks + whole + CAST(part > 0 AS BIGINT) ELSE 0L END"))
 
 
+def shard_counts(plan: DataFrame, *, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The draw: shard, rank, and the slots [first, first + n) of the source that the shard gets."""
+    spark = plan.sparkSession
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    shards, width = -(-total // shard_slots), -(-total // CELLS) or 1
+    sums = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    lain = plan.where("slots > 0").select("rank", "slots", F.coalesce(F.sum("slots").over(sums), F.lit(0)).alias("low"))
+    cells = lain.withColumn("cell", F.explode(F.expr(f"sequence(low div {width}, (low + slots - 1) div {width})")))
+    tasks = 1 + total // (RUNS_A_TASK * RUN)
+    c = f"((id % {_P}) * 48271 + (id div {_P}) * 69621 + {SEED}) % {_P}"
+    drawn = spark.range(0, total, 1, tasks).select("id", F.expr(c).alias("c"))
+    drawn = drawn.select("id", F.expr(f"(c * c + c) % {_P}").alias("c")).select("id", "c", F.expr(f"(c * 48271 + 12345) % {_P}").alias("d"))
+    drawn = drawn.select(F.expr(f"id div {shard_slots}").alias("shard"), F.expr(f"(((d * d + c) % {_P}) * {_P} + d) % {max(total, 1)}").alias("v"))
+    met = drawn.withColumn("cell", F.expr(f"v div {width}")).join(_shared(cells), "cell").where("v >= low AND v < low + slots")
+    counts = met.groupBy("shard", "rank").agg(F.count("*").alias("drawn"), F.first("slots").alias("slots"))
+    until = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = stored(counts.withColumn("until", F.sum("drawn").over(until)), "draws")
+    given = summed.select("shard", "rank", F.least(F.expr("until - drawn"), "slots").alias("first"), F.least("until", "slots").alias("end"))
+    # What no draw has given makes further shards.
+    ends = summed.groupBy("rank").agg(F.max("until").alias("until"))
+    left = lain.join(ends, "rank", "left").withColumn("first", F.least(F.coalesce("until", F.lit(0)), "slots")).where("first < slots")
+    left = left.withColumn("at", F.coalesce(F.sum(F.expr("slots - first")).over(sums), F.lit(0)))
+    left = left.withColumn("k", F.explode(F.expr(f"sequence(at div {shard_slots}, (at + slots - first - 1) div {shard_slots})")))
+    begin, end = F.greatest("at", F.col("k") * shard_slots), F.least(F.expr("at + slots - first"), (F.col("k") + 1) * shard_slots)
+    left = left.select((F.col("k") + shards).alias("shard"), "rank", (F.col("first") + begin - F.col("at")).alias("first"), (F.col("first") + end - F.col("at")).alias("end"))
+    return given.unionByName(left).where("first < end").select("shard", "rank", "first", F.expr("end - first").alias("n"))
+
+
 def slots(plan: DataFrame, *, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix: rank, slot, pass_no, block_no, words (taken from the block's start), shard and place."""
+    """The mix: shard, place, rank, slot, pass_no, block_no, words (taken from the block's start)."""
+    counts = shard_counts(plan, shard_slots=shard_slots)
     tasks = 1 + plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0] // (RUNS_A_TASK * RUN)
-    sums = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    placed = plan.where("slots > 0").withColumn("first_slot", F.coalesce(F.sum("slots").over(sums), F.lit(0)))
-    placed = placed.withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
-    runs = placed.select("rank", "blocks", "slots", "passes", "whole", "part", "first_slot", "all_slots", F.explode(F.expr(f"sequence(0L, slots - 1, {RUN}L)")).alias("run"))
+    within = Window.partitionBy("shard")
+    placed = counts.withColumn("before", F.sum("n").over(within.orderBy("rank")) - F.col("n")).withColumn("all_n", F.sum("n").over(within))
+    known = placed.join(_shared(plan.select("rank", "blocks", "passes", "whole", "part")), "rank")
+    runs = known.withColumn("run", F.explode(F.expr(f"sequence(first, first + n - 1, {RUN}L)")))
     # A stated number of partitions, as these small rows would be put together but make many.
-    runs = runs.repartition(tasks, "rank", "run").withColumn("slot", F.explode(F.expr(f"sequence(run, least(run + {RUN}, slots) - 1)")))
+    runs = runs.repartition(tasks, "rank", "run").withColumn("slot", F.explode(F.expr(f"sequence(run, least(run + {RUN}, first + n) - 1)")))
     out = runs.withColumn("pass_no", F.expr("slot div blocks")).withColumn("place_no", F.expr("slot % blocks"))
     out = out.withColumn("keys", _keys("rank", "pass_no")).withColumn("block_no", permuted("place_no", "keys", "blocks"))
     out = out.withColumn("words", F.expr(f"CASE WHEN pass_no = passes AND place_no = whole THEN part ELSE {block}L END"))
-    dealt = out.withColumn("all_keys", _keys("0", "0")).withColumn("dealt", permuted("first_slot + slot", "all_keys", "all_slots"))
-    return dealt.select("rank", "slot", "pass_no", "block_no", "words", F.expr(f"dealt div {shard_slots}").alias("shard"), F.expr(f"dealt % {shard_slots}").alias("place"))
-
-
-def shard_counts(mix: DataFrame) -> DataFrame:
-    """Slots of each source in each output shard."""
-    return mix.groupBy("shard", "rank").agg(F.count("*").alias("slots"))
+    out = out.withColumn("shard_keys", _keys("0", "shard")).withColumn("place", permuted("before + slot - first", "shard_keys", "all_n"))
+    return out.select("shard", "place", "rank", "slot", "pass_no", "block_no", "words")
 
 
 def _shared(sources: DataFrame) -> DataFrame:
@@ -129,25 +167,34 @@ def _shared(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.count() <= FEW_SOURCES else sources.hint("merge")
 
 
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *more)
+
+
 def stretches(sizes: DataFrame, plan: DataFrame, *, parts: int = PARTS) -> DataFrame:
-    """Where each document lies in its source's stream: rank, doc_id, size, start."""
+    """Where each document lies in its source's stream: rank, start, and the columns of ``sizes`` but source."""
     ranks = _shared(plan.select("rank", F.col("source").alias("of")))
+    kept = [c for c in sizes.columns if c != "source"]
     named = sizes.where("size > 0").join(ranks, F.col("source").eqNullSafe(F.col("of")))
-    named = named.select("rank", "doc_id", "size", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(parts)).alias("part"))
+    # Neither ids that share a residue nor null ids fall on one part.
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 4), 16, 10).cast("long")
+    named = named.select("rank", *kept, F.pmod(key, F.lit(parts)).alias("part"))
     sums = named.groupBy("rank", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("rank", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("rank", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(offsets.hint("merge"), ["rank", "part"]).select("rank", "doc_id", "size", (F.col("part_start") + F.col("inner")).alias("start"))
+    return placed.join(offsets.hint("merge"), ["rank", "part"]).select("rank", *kept, (F.col("part_start") + F.col("inner")).alias("start"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, parts: int = PARTS, **targets) -> DataFrame:
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, parts: int = PARTS, shard_slots: int = SHARD_SLOTS, **targets
+) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target and taken words."""
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = checkpoint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
-    planned = checkpoint(plan(sizes, block=block, **targets))
-    uses = slots(planned, block=block).groupBy("rank", "block_no").agg(
+    sizes = stored(_sizes(docs, id_col, text_col, source_col), "sizes")
+    planned = stored(plan(sizes, block=block, **targets), "plan")
+    uses = slots(planned, block=block, shard_slots=shard_slots).groupBy("rank", "block_no").agg(
         F.sum((F.col("words") == block).cast("long")).alias("uses"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("cut")
     )
     lain = stretches(sizes, planned, parts=parts)
@@ -165,6 +212,30 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return some.unionByName(none)
 
 
+def packed(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, parts: int = PARTS, shard_slots: int = SHARD_SLOTS, **targets
+) -> DataFrame:
+    """The mix itself: shard, place, source, pass_no, block_no, n_words, doc_ids (in order) and the block's text."""
+    planned = stored(plan(_sizes(docs, id_col, text_col, source_col), block=block, **targets), "plan")
+    lain = stretches(_sizes(docs, id_col, text_col, source_col, F.col(text_col).alias("text")), planned, parts=parts)
+    # The outer lambda binds the words, so that they are split once a document and not once a block.
+    pieces = F.expr(
+        f"""transform(array(regexp_extract_all(text, r'{WORD}', 0)), w ->
+              transform(sequence(start div {block}, (start + size - 1) div {block}), b -> named_struct(
+                'block_no', b, 'at', greatest(start - b * {block}, 0L),
+                'words', slice(w, CAST(greatest(b * {block} - start, 0L) + 1 AS INT), CAST(least(start + size, (b + 1) * {block}) - greatest(start, b * {block}) AS INT)))))[0]"""
+    )
+    cells = lain.select("rank", "doc_id", F.explode(pieces).alias("c")).select("rank", "c.block_no", F.struct("c.at", "doc_id", F.array_join("c.words", " ").alias("piece")).alias("p"))
+    blocks = cells.groupBy("rank", "block_no").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
+    uses = slots(planned, block=block, shard_slots=shard_slots).groupBy("rank", "block_no").agg(F.collect_list(F.struct("shard", "place", "pass_no", "words")).alias("uses"))
+    met = blocks.join(uses.hint("merge"), ["rank", "block_no"]).select("rank", "block_no", "pieces", F.explode("uses").alias("u")).select("rank", "block_no", "u.*", "pieces")
+    met = met.withColumn("pieces", F.expr("filter(pieces, p -> p.at < words)"))
+    words = F.slice(F.split(F.array_join("pieces.piece", " "), " "), 1, F.col("words").cast("int"))
+    facts = _shared(planned.select("rank", "source"))
+    out = met.join(facts, "rank").withColumn("text", words)
+    return out.select("shard", "place", "source", "pass_no", "block_no", F.size("text").cast("long").alias("n_words"), F.col("pieces.doc_id").alias("doc_ids"), F.array_join("text", " ").alias("text"))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -172,7 +243,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _duck_permuted(x: str, rank: str, epoch: str, n: str, *, inverse: bool = False) -> str:
     c = _round_key(rank, epoch, "r")
     order = f"generate_series({ROUNDS}, 1, -1)" if inverse else f"generate_series(1, {ROUNDS})"
-    return f"list_reduce({order}, lambda x, r: {_swapped('x', _scrambled(c), c, n, '//')}, CAST({x} AS BIGINT))"
+    return f"list_reduce({order}, lambda x, r: {_swapped('x', _wide(c), c, n, '//')}, CAST({x} AS BIGINT))"
 
 
 SQL = rf"""
@@ -204,7 +275,7 @@ s AS (
 u AS (SELECT rank, block_no, count(*) FILTER (words = {BLOCK}) AS uses, coalesce(max(words) FILTER (words < {BLOCK}), 0) AS cut FROM s GROUP BY ALL),
 n AS (
   SELECT d.doc_id, d.source, d.size, g.rank, g.source_size, g.target,
-         CAST(coalesce(sum(d.size) OVER (PARTITION BY g.rank ORDER BY coalesce(d.doc_id, 0) % {PARTS}, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY g.rank ORDER BY CAST('0x' || substr(md5(concat_ws(':', d.doc_id, d.size)), 1, 4) AS BIGINT) % {PARTS}, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
          row_number() OVER () AS id
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 c AS (SELECT *, unnest(generate_series(start // {BLOCK}, (start + size - 1) // {BLOCK})) AS block_no FROM n WHERE size > 0),

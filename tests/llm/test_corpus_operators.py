@@ -65,13 +65,62 @@ def test_mix_slots_are_permutations(spark):
     sizes = spark.createDataFrame([("a", 100_000), ("b", 40), ("c", 0)], "source string, size long")
     plan = mixing.plan(sizes)
     slots = mixing.slots(plan, shard_slots=64).collect()
+    assert sum(s["words"] for s in slots) > 0
     facts = {r["rank"]: r for r in plan.collect()}
     for rank in {s["rank"] for s in slots}:
         for n in {s["pass_no"] for s in slots if s["rank"] == rank}:
             blocks = [s["block_no"] for s in slots if s["rank"] == rank and s["pass_no"] == n]
             assert len(set(blocks)) == len(blocks) <= facts[rank]["blocks"]
-    places = [(s["shard"], s["place"]) for s in slots]
-    assert len(set(places)) == len(places) and max(c for c in collections.Counter(p[0] for p in places).values()) <= 64
+        taken = sorted(s["slot"] for s in slots if s["rank"] == rank)
+        assert taken == list(range(facts[rank]["slots"]))  # the shards' counts add up to the targets
+    places = collections.Counter((s["shard"], s["place"]) for s in slots)
+    sizes = collections.Counter(s["shard"] for s in slots)
+    assert set(places.values()) == {1} and max(sizes.values()) <= 64 and all(p < sizes[shard] for shard, p in places)
+
+
+def test_shard_counts_are_multinomial_draws(spark):
+    plan = mixing.plan(spark.createDataFrame([(s, n) for s, n in zip("abc", (1 << 20, 3 << 20, 1 << 19), strict=True)], "source string, size long"))
+    facts = {r["rank"]: r["slots"] for r in plan.collect()}
+    total, got = sum(facts.values()), collections.defaultdict(collections.Counter)
+    rows = mixing.shard_counts(plan, shard_slots=256).collect()
+    for r in rows:
+        got[r["shard"]][r["rank"]] += r["n"]
+    assert {k: sum(c[k] for c in got.values()) for k in facts} == facts
+    for k, n in facts.items():  # the next slots of a source, shard by shard
+        ends = sorted((r["first"], r["first"] + r["n"]) for r in rows if r["rank"] == k)
+        assert ends[0][0] == 0 and ends[-1][1] == n and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+        assert [r["shard"] for r in sorted((r for r in rows if r["rank"] == k), key=lambda r: r["first"])] == sorted(r["shard"] for r in rows if r["rank"] == k)
+    whole = [c for c in got.values() if sum(c.values()) == 256]
+    assert len(whole) > 40
+    for k, n in facts.items():
+        p = n / total
+        spread = np.var([c[k] for c in whole]) / (256 * p * (1 - p))
+        assert 0.5 < spread < 1.7 and abs(np.mean([c[k] for c in whole]) / (256 * p) - 1) < 0.1
+
+
+def test_packed_blocks_hold_the_mix(spark):
+    docs = documents(spark)
+    rows = mixing.packed(docs, block=16, shard_slots=32).collect()
+    taken, size = collections.Counter(), {}
+    for r in mixing.mix(docs, block=16, shard_slots=32).collect():
+        taken[r["source"]] += r["taken"]
+        size[r["source"]] = r["source_size"]
+    assert len({(r["shard"], r["place"]) for r in rows}) == len(rows)
+    got, words = collections.Counter(), collections.defaultdict(collections.Counter)
+    texts = collections.defaultdict(collections.Counter)
+    for i, t, _, s in ODD:
+        words[s].update((t or "").split())
+        texts[s].update([i] if (t or "").split() else [])
+    for r in rows:
+        assert len(r["text"].split(" ")) == r["n_words"] <= 16
+        got[r["source"]] += r["n_words"]
+        assert set(r["text"].split(" ")) <= set(words[r["source"]]) and set(r["doc_ids"]) <= set(texts[r["source"]])
+    assert got == {s: n for s, n in taken.items() if n}
+    # A whole pass holds each word of its source.
+    for s in words:
+        first = collections.Counter(w for r in rows if r["source"] == s and r["pass_no"] == 0 for w in r["text"].split(" "))
+        assert first == words[s] or got[s] < size[s]
+    assert mixing.packed(documents(spark, [])).collect() == []
 
 
 # Line dedup
@@ -149,7 +198,7 @@ def test_line_dedup_odd(spark):
     assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 11, None]
     by = {r["doc_id"]: r for r in rows}
     assert by[2]["text"] is None and by[3]["text"] == "" and by[9]["text"] == "x\ny" and by[4]["n_deleted"] == 30_000 - 977 and by[6]["text"] == "   \t\n"
-    assert by[10]["text"].startswith("a b c") and by[11]["text"].startswith("c wo") and by[11]["text"].endswith("q d\ne") and by[11]["n_deleted"] >= 50
+    assert by[10]["text"] == "a b c word" and by[11]["text"] == "wordq d\ne" and by[11]["n_deleted"] >= 50
     assert (by[1]["simhash"], by[1]["spans"], by[1]["_spans"], by[1]["left"], by[1]["body"], by[1]["c0"], by[1]["of"], by[1]["hash"]) == ("x", 1, 1, 2, 3, {"k": 1}, 4, 5)
     assert linededup.drop_repeats(documents(spark, [])).collect() == []
 

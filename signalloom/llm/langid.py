@@ -8,16 +8,21 @@ are labelled piece by piece. Forward-backward over runs of ``SEGMENT`` words
 gives each word's posterior; a text's language has the largest mean posterior,
 which is its score.
 
-The model is fitted by gradient ascent on a bounded sample: at most
-``per_lang`` labelled documents a language, and ``most`` in all, of those with
-the least hashes of their ids. Everything else reads every row whole. Only text
-and lang are learned from, and only text is read to predict.
+The model is fitted by gradient ascent on a bounded sample of each language: of
+its labelled texts, a row repeated counting once, at most ``per_lang`` with the
+least hashes, and no further ones once these hold ``lang_bytes``. No language
+goes without. A share of the sample is cut to pieces of a few words that are
+spliced over languages, from which the transitions between languages are
+learned. Everything else reads every row whole. Only text and lang are learned
+from, and only text is read to predict.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0,
-and so is every text if nothing was labelled; repeated rows are predicted
-alike; null ids are never learned from and are not held out; null langs are
-not learned from; equal posteriors go to the first language by code point; an
-empty table gives an empty result.
+and so is every text if nothing was labelled; a very long text is labelled
+whole; repeated rows are predicted alike; null ids are never learned from and
+are not held out; null langs are not learned from; equal posteriors go to the
+first language by code point; other columns go along unseen, whatever their
+names, but lang_pred and lang_score (or lang_runs) are replaced; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import append, read, sheltered
+from .common import append, read, sheltered, stored
 
-PER_LANG, MOST = 150, 2000
+PER_LANG, LANG_BYTES = 150, 1 << 19
+#: One in so many sampled texts is spliced, in pieces of so many words.
+SPLICED, PIECE = 4, (4, 24)
 SEGMENT, BUCKETS, NGRAMS, LEXICON, ROUNDS = 64, 1 << 16, 4, 1000, 40
 #: Words whose emissions a worker remembers.
 _REMEMBERED = 200_000
@@ -134,6 +141,21 @@ def runs_of(sizes: list[int]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def spliced(docs: list[tuple[list[bytes], str]]) -> list[list[tuple[list[bytes], str]]]:
+    """Texts made of pieces of some documents, in an order by chance, about as long as those."""
+    rng = np.random.default_rng(3)
+    cut = []
+    for words, lang in docs[::SPLICED]:
+        at = 0
+        while at < len(words):
+            n = int(rng.integers(*PIECE))
+            cut.append((words[at : at + n], lang))
+            at += n
+    cut = [cut[i] for i in rng.permutation(len(cut))]
+    each = max(1, len(cut) * SPLICED // max(1, len(docs)))
+    return [cut[i : i + each] for i in range(0, len(cut), each)]
+
+
 def fit(sample: list[tuple[bytes, str]]) -> Crf | None:
     """Fit on labelled texts by Adam on the mean log-likelihood of a word."""
     docs = [(w, lang) for text, lang in sample if (w := words_of(text))]
@@ -149,12 +171,12 @@ def fit(sample: list[tuple[bytes, str]]) -> Crf | None:
         for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon.setdefault(w, []).append(i)
     model = Crf(labels, lexicon)
-    flat = [w for ws, _ in docs for w in ws]
+    made = [[x] for x in docs] + (spliced(docs) if len(labels) > 1 else [])
+    flat = [w for pieces in made for ws, _ in pieces for w in ws]
     vocab = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     ids = np.array([vocab[w] for w in flat])
-    sizes = [len(w) for w, _ in docs]
-    truth = np.repeat([number[lang] for _, lang in docs], sizes)
-    lens = runs_of(sizes)
+    truth = np.repeat([number[lang] for pieces in made for _, lang in pieces], [len(ws) for pieces in made for ws, _ in pieces])
+    lens = runs_of([sum(len(ws) for ws, _ in pieces) for pieces in made])
     words = list(vocab)
     buckets, starts = ngram_buckets(words)
     per_word = np.diff(np.append(starts, len(buckets)))
@@ -191,19 +213,49 @@ def fold(id_col: F.Column, parts: int) -> F.Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, per_lang: int = PER_LANG, most: int = MOST) -> Crf | None:
-    """Fit on a bounded sample of the labelled documents that aren't held out."""
-    order = F.xxhash64(id_col)
-    ids = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), order.alias("h"))
-    best = ids.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_lang)
-    chosen = best.orderBy("r", "l").limit(most).select("i")
-    keys = [r["i"] for r in chosen.collect()]
-    if not keys:
-        return None
-    some = docs.where(F.col(id_col).isin(sorted(set(keys))) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col)
-    # Ids may repeat, so the rows are bounded as well.
-    rows = some.orderBy(F.xxhash64(id_col), lang_col, F.xxhash64(text_col)).limit(most).collect()
-    return fit([(r[text_col].encode(), r[lang_col]) for r in rows])
+def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, per_lang: int = PER_LANG, lang_bytes: int = LANG_BYTES) -> DataFrame:
+    """lang, h and text of a bounded number of labelled texts of each language that aren't held out."""
+    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("i"), folds) != held)).withColumn("h", F.xxhash64("i", "text"))
+    kinds = rows.select("lang", "h", F.octet_length("text").cast("long").alias("size")).distinct()
+    order = Window.partitionBy("lang").orderBy("h")
+    best = kinds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = stored(best.withColumn("before", before).where(F.col("before") < lang_bytes).select("lang", "h"), "sample")
+    # per_lang rows of a language; text isn't moved to find them if they are few enough for Spark to broadcast.
+    return rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+
+def train(docs: DataFrame, **options) -> Crf | None:
+    """Fit on the ``sample`` of the documents."""
+    found = sorted((r["lang"], r["h"], r["text"]) for r in sample(docs, **options).collect())
+    return fit([(text.encode(), lang) for lang, _, text in found])
+
+
+def _labeller(crf: Crf | None):
+    """A function from texts to (text numbers, word counts, posteriors of their words), those without a word left out."""
+    number: dict[bytes, int] = {}
+    table = np.empty((0, len(crf.labels) if crf else 0), np.float32)
+
+    def label(rows: list[bytes]):
+        nonlocal number, table
+        held = [words_of(t) if crf and has_letter(t) else [] for t in rows]
+        some = [i for i, w in enumerate(held) if w]
+        if not some:
+            return some, [], table[:0]
+        flat = [w for i in some for w in held[i]]
+        if len(number) > _REMEMBERED:
+            number, table = {}, table[:0]
+        new = list({w for w in flat if w not in number})
+        for w in new:
+            number[w] = len(number)
+        if new:
+            table = np.concatenate([table, crf.emissions(new)])
+        ids = np.array([number[w] for w in flat])
+        sizes = [len(held[i]) for i in some]
+        return some, sizes, crf.posteriors(table[ids], runs_of(sizes))
+
+    return label
 
 
 def predict(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> DataFrame:
@@ -212,26 +264,12 @@ def predict(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> Da
 
     def make():
         crf = shared.value
-        number: dict[bytes, int] = {}
-        table = np.empty((0, len(crf.labels) if crf else 0), np.float32)
+        label = _labeller(crf)
 
         def work(rows: list[bytes]) -> dict:
-            nonlocal number, table
             langs, scores = ["und"] * len(rows), [0.0] * len(rows)
-            held = [words_of(t) if crf and has_letter(t) else [] for t in rows]
-            some = [i for i, w in enumerate(held) if w]
+            some, sizes, marginal = label(rows)
             if some:
-                flat = [w for i in some for w in held[i]]
-                if len(number) > _REMEMBERED:
-                    number, table = {}, table[:0]
-                new = list({w for w in flat if w not in number})
-                for w in new:
-                    number[w] = len(number)
-                if new:
-                    table = np.concatenate([table, crf.emissions(new)])
-                ids = np.array([number[w] for w in flat])
-                sizes = [len(held[i]) for i in some]
-                marginal = crf.posteriors(table[ids], runs_of(sizes))
                 sums = np.add.reduceat(marginal.astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
                 means = sums / np.array(sizes)[:, None]
                 for i, mean in zip(some, means, strict=True):
@@ -244,6 +282,31 @@ def predict(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> Da
     return append(docs, text_col, make, "lang_pred string, lang_score double")
 
 
+def label_words(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with lang_runs: the languages of runs of words [first, end), words as ``words_of`` finds them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        crf = shared.value
+        label = _labeller(crf)
+
+        def work(rows: list[bytes]) -> dict:
+            out: list[list] = [[] for _ in rows]
+            some, sizes, marginal = label(rows)
+            best = marginal.argmax(axis=1) if some else ()
+            at = 0
+            for i, n in zip(some, sizes, strict=True):
+                mine = best[at : at + n]
+                first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+                out[i] = [{"lang": crf.labels[mine[a]], "first": int(a), "end": int(b)} for a, b in zip(first, np.append(first[1:], n), strict=True)]
+                at += n
+            return {"lang_runs": out}
+
+        return work
+
+    return append(docs, text_col, make, "lang_runs array<struct<lang:string,first:long,`end`:long>>")
+
+
 def accepted(docs: DataFrame, *, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` in a learned language with a mean posterior of ``least`` or more."""
 

@@ -173,12 +173,21 @@ def test_repeats_are_exact(spark, monkeypatch, sizes):
     assert sum(map(len, gone)) > 300
     # Pieces are hashed where the handlers run, so the arrays are compared here and the rows below with the usual sizes.
     for (d, t), want in zip(rows, gone, strict=True):
-        assert linededup.cut(t.encode(), [{"first": k, "end": k + 1} for k in want]) == (without(t, want).encode(), len(t.split()), len(want))
+        assert linededup.cut(t.encode(), [{"first": k, "end": k + 1} for k in want]) == (without(t, want).encode(), len(want))
     out = linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), min_words=12).collect()
     got = {r["doc_id"]: (r["text"], r["n_words"], r["n_deleted"]) for r in out}
     assert got == {d: (without(t, g), len(t.split()), len(g)) for (d, t), g in zip(rows, gone, strict=True)}
 
 
+def test_count_words():
+    import pyarrow as pa
+
+    rows = ["", "a b", None, " x\n\ty ", "z", "é\x0bq\x1cw", "", " "]
+    column = pa.array(["skipped one", *rows])[1:]
+    assert linededup.count_words(column).tolist() == [len((t or "").encode().split()) for t in rows]
+    assert linededup.count_words(pa.array([None, ""], pa.string())).tolist() == [0, 0]
+
+
 def test_pieces_of_long_texts_hash_alike(monkeypatch):
     text = (LONG + " " + "x" * 9000 + "\n" + LONG[:5000] + "y" * 5000).encode()
     whole = linededup.word_hashes(text)
@@ -229,6 +238,63 @@ def test_language_labels_pieces_and_odd(spark):
     assert langid.fit([]) is None
 
 
+def test_language_sample_keeps_every_class(spark):
+    rows = [(i, f"repeated text {i}", "en") for i in range(5)] * 300 + [(1000 + i, f"deutscher text {i}", "de") for i in range(200)]
+    rows += [(3000 + i, f"texte {i}" if i % 5 == 0 else None, "fr") for i in range(400)] + [(9000 + i, f"lang {i % 700} {i}", f"x{i % 700}") for i in range(2800)]
+    rows += [(20_000 + i, "long " * 100 + str(i), "big") for i in range(200)] + [(None, "no id", "none"), (1, "no lang", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    want = collections.Counter()
+    for i, text, lang in set(rows):
+        want[lang] += None not in (i, text, lang) and learned(i)
+    got = collections.Counter(r["lang"] for r in langid.sample(docs, per_lang=50, lang_bytes=3000).collect())
+    assert {k: n for k, n in got.items() if k != "big"} == {k: min(n, 50) for k, n in want.items() if n and k != "big"}
+    assert got["big"] == 6  # the texts that begin below 3,000 bytes
+
+
+def test_language_label_runs(spark):
+    rows = [(f"the house {i} and the garden of my friend".encode(), "en") for i in range(60)] + [(f"das haus {i} und der garten von meinem freund".encode(), "de") for i in range(60)]
+    model = langid.fit(rows)
+    assert model.steps[0, 1] > -20 and abs(model.steps[0, 0] - model.steps[0, 1]) > 0.1
+    docs = spark.createDataFrame([(1, "the garden and the house das haus und der garten the house of my friend"), (2, None), (3, "12")], "doc_id long, text string")
+    runs = {r["doc_id"]: [(x["lang"], x["first"], x["end"]) for x in r["lang_runs"]] for r in langid.label_words(docs, model).collect()}
+    assert runs == {1: [("en", 0, 5), ("de", 5, 10), ("en", 10, 15)], 2: [], 3: []}
+
+
+def brute_language(model, text):
+    """The language and score by forward-backward in plain floats, run by run."""
+    words = [w.encode() for w in re.findall("[a-z\x80-\U0010ffff]+", text.lower())] if re.search("[A-Za-z]", text) or any(c.isalpha() for c in text) else []
+    words = [w for w in b" ".join(words).split()]
+    if not words:
+        return "und", 0.0
+    k, sums = len(model.labels), np.zeros(len(model.labels))
+    for a in range(0, len(words), langid.SEGMENT):
+        part = words[a : a + langid.SEGMENT]
+        local = [np.array([sum(float(model.grams[g, j]) for g in langid.ngram_buckets([w])[0]) + sum(float(model.known[x, j]) for x in model.lexicon.get(w, [-1])) for j in range(k)]) for w in part]
+        ahead = [local[0] + model.start]
+        for x in local[1:]:
+            ahead.append(x + np.array([np.logaddexp.reduce(ahead[-1] + model.steps[:, j]) for j in range(k)]))
+        back = [np.zeros(k)]
+        for x in local[:0:-1]:
+            back.append(np.array([np.logaddexp.reduce(model.steps[i] + x + back[-1]) for i in range(k)]))
+        for f, b in zip(ahead, back[::-1], strict=True):
+            both = np.exp(f + b - np.logaddexp.reduce(f + b))
+            sums += both
+    mean = sums / len(words)
+    return model.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_language_query_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in langid.op3_langid(spark, DATA).collect()}
+    tried = [(i, t) for i, t in texts_of() if len(t or "") < 2500][:50]
+    assert len(got) == len(texts_of()) and len(tried) == 50
+    for i, text in tried:
+        lang, score = brute_language(model, text or "")
+        assert got[i]["lang_pred"] == lang and math.isclose(got[i]["score"], score, abs_tol=1e-4)
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
     model = langid.Crf(["a", "b", "c"], {})

@@ -326,12 +326,25 @@ def test_license_base_counts(spark):
         assert labels <= set(filter(None, r["labels"].split(",")))
 
 
+def filled(template, optional, holder):
+    return re.sub(r"\{\{\w+\|\d+\}\}", holder, re.sub(r"\[\[((?:[^\]]|\](?!\]))*)\]\]", optional, template))
+
+
 def test_license_templates():
     labels = lambda t: licenses.scan(t.encode())["labels"]
+    assert len({k for k, _, _ in licenses.TEMPLATES}) >= 30
     for label, _, template in licenses.TEMPLATES:
         for optional in ("", r"\1"):
-            text = re.sub(r"\{\{\w+\|\d+\}\}", "Some Body Inc", re.sub(r"\[\[((?:[^\]]|\](?!\]))*)\]\]", optional, template))
-            assert label in labels(text.upper().replace(" ", ",\n ")), (label, text)
+            text = filled(template, optional, "Body")
+            found = licenses.scan(("Notice. " + text.upper().replace(" ", ",\n ") + " End").encode())
+            assert label in found["labels"], (label, text)
+            # A changed word of the mandatory text is not accepted.
+            words = text.split()
+            middle = len(words) // 2
+            words[middle + (words[middle] == "Body")] = "entirelyother"
+            assert (label, 1, found["matches"][0][2]) not in licenses.scan(("Notice. " + " ".join(words)).encode())["matches"]
+    assert labels(filled(next(t for k, _, t in licenses.TEMPLATES if k == "bsd-3-clause"), "", "X")) == ["bsd-3-clause"]
+    assert labels(filled(next(t for k, _, t in licenses.TEMPLATES if k == "x11"), "", "X")) == ["x11"]
     isc = next(t for k, _, t in licenses.TEMPLATES if k == "isc")
     assert "isc" not in labels(isc.replace("any purpose", "most purposes"))
     assert labels("Released under the terms of the MIT License.") == ["mit"] and labels("unit license mitlicense") == []
@@ -339,6 +352,42 @@ def test_license_templates():
     assert [auto.accepts(t.encode().split(), 0) for t in ("a b e", "a q q b c d e", "a q q q b e", "a b c e", "a b b e")] == [3, 7, -1, -1, 4]
 
 
+def test_license_labels_by_brute_force(spark):
+    """Templates as regular expressions over the words, tried at every word."""
+    fold = lambda t: t.encode().translate(licenses.FOLD_WORDS).decode().split()
+
+    def pattern(template):
+        out = ""
+        for optional, most, plain in licenses._MARK.findall(template):
+            words = "".join(w + " " for w in fold(optional or plain))
+            out += f"(?:{words})?" if optional else f"(?:[^ ]+ ){{0,{most}}}" if most else words
+        return re.compile(out)
+
+    tried = [(label, pattern(t)) for label, _, t in licenses.TEMPLATES]
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(150):
+        words = []
+        for _ in range(rng.integers(1, 4)):
+            label, _, t = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))]
+            part = filled(t, ("", r"\1")[rng.integers(2)], " ".join(["Body"] * rng.integers(0, 14))).split()
+            if rng.random() < 0.3:
+                part[rng.integers(len(part))] = "changed"
+            words += ["and"] * rng.integers(0, 3) + part
+        rows.append((k, " ".join(words)))
+    got = {r["doc_id"]: r["labels"] for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    several = 0
+    for k, text in rows:
+        joined, want = "".join(w + " " for w in fold(text)), {v for p, v in licenses.PHRASES.items() if f" {p} " in " " + " ".join(fold(text)) + " "}
+        starts = [0] + [m.end() for m in re.finditer(" ", joined)][:-1]
+        for at in starts:
+            found = [(label, m.end()) for label, p in tried if (m := p.match(joined, at))]
+            want |= {label for label, end in found if end == max(e for _, e in found)}
+        assert got[k] == sorted(want), text
+        several += len(want) > 1
+    assert several > 50
+
+
 def test_licenses_odd(spark):
     rows = licenses.find_licenses(documents(spark)).collect()
     assert len(rows) == len(ODD) and all(r["labels"] == [] for r in rows)

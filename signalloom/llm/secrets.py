@@ -3,17 +3,21 @@
 Two layers. Fixed patterns give the base spans (``assign``, ``access``,
 ``hex``). Then lines of source or configuration syntax are lexed into
 assignments ``name = value`` (also ``:``, ``:=``, ``=>``, with declaration
-keywords, quoted keys and ``+`` concatenation). A value without quotes that is
+keywords, quoted keys and ``+`` concatenation; a value may stand on the line
+after its sign). A value without quotes that is
 neither a bound name nor a call is a literal up to the end of the line, a
 comment after a blank, or a delimiter; one of letters alone, with dots and
 underscores, could be a reference or prose and counts only in a line that is
 ``NAME=value`` as a whole. Names bound to a literal
-propagate it to later names in the document; a literal whose name, or a name
-it reaches, is sensitive is scored by the name and by its own form. Literals
+propagate it to the names that they are assigned to, wherever in the document;
+the binding before a use goes before one after it. A literal whose name, or a
+name it reaches, is sensitive is scored by the name and by its own form. Literals
 that reach ``min_score`` become ``literal`` spans.
 
-Defined cases: null and empty texts have no spans; a span found twice counts
-once; repeated rows are scanned each; an empty table gives an empty result.
+Defined cases: null and empty texts have no spans; a very long text is scanned
+whole; a span found twice counts once; repeated rows are scanned each; other
+columns go along unseen, whatever their names, but secret_spans and
+secret_score are replaced; an empty table gives an empty result.
 Offsets are code points of the whole text, end exclusive.
 """
 
@@ -37,7 +41,10 @@ KINDS = ("assign", "access", "hex", "literal")
 
 #: Sensitive name parts and how much each says.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.8, "privatekey": 1.0, "accesskey": 1.0, "authkey": 0.9, "encryptionkey": 1.0, "signingkey": 1.0}
-_FIRST = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"key", b"credential")
+_PARTS = tuple(part.encode() for part in SENSITIVE)
+#: Names are compared without what isn't a letter or digit, and so are texts before they are lexed.
+_FLAT = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_NOT_FLAT = bytes(c for c in range(256) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _HEX_MAP = bytes(120 if 48 <= c <= 57 or 97 <= c <= 102 else 46 for c in range(256))
 
 _LEX = re.compile(
@@ -52,8 +59,8 @@ _WHOLE = re.compile(rb"\s*(?:export\s+)?[A-Za-z_][A-Za-z0-9_.-]*=[A-Za-z_]+\s*")
 _PLACEHOLDER = re.compile(rb"\$\{.*\}|\$[A-Za-z_][A-Za-z0-9_]*|<[^<>]*>|\{\{.*\}\}|\{[A-Za-z0-9_]*\}|%[A-Za-z0-9_]+%|%\([A-Za-z0-9_]+\)s")
 
 
-def sensitivity(name: str) -> float:
-    flat = re.sub(r"[^a-z0-9]", "", name.lower())
+def sensitivity(name: bytes) -> float:
+    flat = name.translate(_FLAT, _NOT_FLAT).decode()
     return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
 
 
@@ -84,22 +91,25 @@ def _values(tokens: list, i: int) -> tuple[list[tuple[int, int, bytes]], bytes,
     return parts, name, i
 
 
-def _bare(line: bytes, at: int) -> tuple[int, int, bytes] | None:
-    """The value without quotes that stands at a place of a line."""
+def _bare(line: bytes, at: int, before: int) -> tuple[int, int, bytes] | None:
+    """The value without quotes that stands at a place of a line with so many bytes before it."""
     m = _BARE.match(line, at)
     if not m or _REFERENCE.fullmatch(m[1]) and not _WHOLE.fullmatch(line):
         return None
-    return m.start(1), m.end(1), m[1]
+    return before + m.start(1), before + m.end(1), m[1]
 
 
-def literals(text: bytes, min_score: float = 0.5) -> list[tuple[int, int, float]]:
-    """Byte spans and scores of literals that reach a sensitive name."""
-    bound: dict[bytes, list[tuple[int, int, bytes]]] = {}
-    found: dict[tuple[int, int], float] = {}
-    at = 0
+def _assignments(text: bytes) -> list[tuple]:
+    """(name, literals, name that stands for a value, value without quotes) of each assignment, with byte places."""
+    found, at, pending = [], 0, None
     for line in text.split(b"\n"):
-        if b"=" in line or b":" in line:
+        if pending or b"=" in line or b":" in line:
             tokens = [(m.lastgroup, m[0], at + m.start(), at + m.end()) for m in _LEX.finditer(line)]
+            if pending and tokens:
+                if not any(t[0] == "op" and t[1] in _ASSIGNS for t in tokens):
+                    parts, source, _ = _values(tokens, 0)
+                    found.append((pending, parts, source, None if parts else _bare(line, 0, at)))
+                pending = None
             for i in range(1, len(tokens)):
                 if tokens[i][1] not in _ASSIGNS or tokens[i][0] != "op":
                     continue
@@ -108,27 +118,48 @@ def literals(text: bytes, min_score: float = 0.5) -> list[tuple[int, int, float]
                 if kind not in ("name", "string") or name in _DECLARE:
                     continue
                 name = name.strip(b"\"'`")
+                if i + 1 == len(tokens) or tokens[i + 1 :][0][1] == b"\\":
+                    pending = name
+                    continue
                 parts, source, end = _values(tokens, i + 1)
                 if not parts and source and end < len(tokens) and tokens[end][1] in _ASSIGNS:
-                    parts, source = [], b""  # a type; the later sign assigns
-                if not parts and source in bound:
-                    parts = bound[source]
-                elif not parts and (bare := _bare(line, tokens[i][3] - at)):
-                    parts = [(at + bare[0], at + bare[1], bare[2])]
-                if parts:
-                    bound[name] = parts
-                    whole = b"".join(p[2] for p in parts)
-                    score = sensitivity(name.decode(errors="replace")) * strength(whole)
-                    if score >= min_score:
-                        for a, b, _ in parts:
-                            found[a, b] = max(score, found.get((a, b), 0.0))
+                    continue  # a type; the later sign assigns
+                found.append((name, parts, source, None if parts else _bare(line, tokens[i][3] - at, at)))
         at += len(line) + 1
+    return found
+
+
+def literals(text: bytes, min_score: float = 0.5) -> list[tuple[int, int, float]]:
+    """Byte spans and scores of literals that reach a sensitive name."""
+    made = _assignments(text)
+    first: dict[bytes, tuple] = {}
+    for name, parts, source, bare in made:
+        if parts or source or bare:
+            first.setdefault(name, (parts, source, bare))
+
+    def reached(name: bytes, seen: set) -> list:
+        """The literal that a name is bound to anywhere, over other names."""
+        parts, source, bare = first.get(name, ((), b"", None))
+        if name in seen or not parts and not source and not bare:
+            return []
+        return list(parts) or (reached(source, seen | {name}) if source and len(seen) < 100 else []) or ([bare] if bare else [])
+
+    bound: dict[bytes, list[tuple[int, int, bytes]]] = {}
+    found: dict[tuple[int, int], float] = {}
+    for name, parts, source, bare in made:
+        parts = parts or bound.get(source) or (reached(source, {name}) if source else []) or ([bare] if bare else [])
+        if parts:
+            bound[name] = parts
+            score = sensitivity(name) * strength(b"".join(p[2] for p in parts))
+            if score >= min_score:
+                for a, b, _ in parts:
+                    found[a, b] = max(score, found.get((a, b), 0.0))
     return sorted((a, b, s) for (a, b), s in found.items())
 
 
 def scan(text: bytes) -> tuple[list[tuple[int, int, int]], float]:
     """(start, kind, end) in code points, by start and kind, and the score of the document."""
-    low = text.lower()
+    low, flat = text.lower(), text.translate(_FLAT, _NOT_FLAT)
     spans: list[tuple[int, int, int]] = []
     score = 0.0
     if any(s in low for s in _STEMS):
@@ -137,7 +168,7 @@ def scan(text: bytes) -> tuple[list[tuple[int, int, int]], float]:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
     if b"x" * 16 in text.translate(_HEX_MAP):
         spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if (b"=" in text or b":" in text) and any(s in low for s in _FIRST):
+    if (b"=" in text or b":" in text) and any(part in flat for part in _PARTS):
         for a, b, s in literals(text):
             spans.append((a, 3, b))
             score = max(score, s)

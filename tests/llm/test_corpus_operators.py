@@ -437,12 +437,17 @@ def test_secret_lexing(spark):
         ("db_pwd: q8Zr71LmPx02Vb  # rotated\n", ["q8Zr71LmPx02Vb"]), ("[db]\nprivate_key = zX81kQ0ppLm2Wq\n", ["zX81kQ0ppLm2Wq"]),
         ("export credential=Kd83hQz71mPq", ["Kd83hQz71mPq"]), ("{pwd: q8Zr71LmPx02Vb, n: 1}", ["q8Zr71LmPx02Vb"]), ("DB_PWD=correcthorsebattery", ["correcthorsebattery"]),
         ("pwd=q8Zr+71Lm==\r\nx=1", ["q8Zr+71Lm=="]), ('pwd_hash = "$2b$12$Kd83hQz71mPq"', ["$2b$12$Kd83hQz71mPq"]), ("k = q8Zr71LmPx02Vb\ncredential = k", ["q8Zr71LmPx02Vb"]),
+        ('PASS_WORD = "zX81kQ0ppLm2"', ["zX81kQ0ppLm2"]), ('se-cret: "zX81kQ0ppLm2"', ["zX81kQ0ppLm2"]), ("password:\n  q8Zr71LmPx02Vb\nuser: x", ["q8Zr71LmPx02Vb"]),
+        ('token = \\\n    "a9Kd83hQz71m"', ["a9Kd83hQz71m"]), ('client.password = K\nJ = "q8Zr71LmPx02Vb"\nK = J', ["q8Zr71LmPx02Vb"]), ("secret:\n  name: q8Zr71LmPx02Vb", []),
+        ("token = key_2_old\nkey_2_old = 'q8Zr71LmPx02Vb'", ["q8Zr71LmPx02Vb"]), ("password = a\na = b\nb = a", []), ("password:\n\n", []), ("the secret:\nit is that you are", []),
         ("pwd = read_secret1(name)", []), ("pwd = settings.DB_PASSWORD", []), ("pwd = ${DB_PASSWORD_1}", []), ("pwd = $DB_PASSWORD_1", []), ("pwd: %DB_PASSWORD_1%", []),
         ('pwd: "{{ vault.db1_pwd }}"', []), ('pwd: "<your-pwd-here-1>"', []), ("the password: remember123 to change it", []), ("secretKey: string", []), ("pwd == q8Zr71LmPx02Vb", []),
     ],
 )
 def test_secrets_without_quotes(text, want):
     assert [text.encode()[a:b].decode() for a, b, _ in secrets.literals(text.encode())] == want
+    spans, _ = secrets.scan(text.encode())  # nothing that comes before the lexer leaves a text out
+    assert [text[a:b] for a, k, b in spans if k == 3] == want
 
 
 # Language model

@@ -175,8 +175,14 @@ def pieces(text: bytes) -> Iterator[np.ndarray]:
 
 
 def distinct_strings(rows: list[bytes]) -> np.ndarray:
-    found = [np.unique(keys) for some in sliced(rows) for keys in (pieces(some[0]) if len(some) == 1 else [strings(some)])]
-    return np.unique(np.concatenate(found))
+    found = [_distinct(keys) for some in sliced(rows) for keys in (pieces(some[0]) if len(some) == 1 else [strings(some)])]
+    return _distinct(np.concatenate(found))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """By sorting, which is many times faster here than the hash table of ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
 class Model:

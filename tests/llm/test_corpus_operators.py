@@ -593,7 +593,11 @@ def brute_fingerprint(text):
 
 
 def components(prints: dict):
-    keys = sorted(prints)
+    return components_of(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+
+
+def components_of(keys, linked):
+    keys = sorted(keys)
     root = {k: k for k in keys}
 
     def find(k):
@@ -603,7 +607,7 @@ def components(prints: dict):
 
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and find(a) != find(b):
+            if find(a) != find(b) and linked(a, b):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {k: find(k) for k in keys}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import os
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from test_operators import brute_fingerprint, brute_lines, components  # noqa: E402
+from test_corpus_operators import brute_repeats, components_of, without  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from signalloom.llm import decontaminate, langid  # noqa: E402
@@ -39,17 +40,17 @@ def test_stages(spark, tmp_path):
     assert not {1000, 1001, 1002} & {i for i, _ in rows[0]}
 
     distinct = list(dict.fromkeys(rows[0]))
-    gone = brute_lines(distinct, 50)
-    want = {}
-    for d, (i, text) in enumerate(distinct):
-        at = [k for k, x in enumerate(text.split("\n")) if x.split()]
-        cut = {at[k] for k in gone[d]}
-        if len(cut) < len(at) or not cut:
-            want[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in cut)
-    assert dict(rows[1]) == want
+    gone = brute_repeats(distinct, 50)
+    want = {i: without(t, g) for (i, t), g in zip(distinct, gone, strict=True) if len(g) < len(t.split())}
+    assert dict(rows[1]) == want and sum(map(len, gone)) > 100
 
-    groups = components({i: brute_fingerprint(t) for i, t in rows[1]})
-    assert [i for i, _ in rows[2]] == sorted({i for i, _ in rows[1] if groups[i] == i})
+    def alike(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+        return len(x & y) >= 0.8 * len(x | y)
+
+    texts = dict(rows[1])
+    groups = components_of(texts, lambda a, b: alike(texts[a], texts[b]))
+    assert [i for i, _ in rows[2]] == sorted({i for i in texts if groups[i] == i}) and len(rows[2]) < len(texts)
 
     windows = {w for r in bench.collect() for w in decontaminate.item_windows((r["text"] or "").encode(), 10)}
 
@@ -59,9 +60,17 @@ def test_stages(spark, tmp_path):
 
     assert [i for i, _ in rows[3]] == [i for i, t in rows[2] if not hit(t)]
     mixed = outs[4].collect()
-    assert {r["doc_id"] for r in mixed} <= {i for i, _ in rows[3]} and all(0 < r["taken"] <= 2 * r["size"] for r in mixed)
-    for source in {r["source"] for r in mixed}:
-        found = [r for r in mixed if r["source"] == source]
-        assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 1
+    kept = {r["doc_id"]: r for r in outs[3].collect()}
+    taken, words = collections.Counter(), collections.defaultdict(collections.Counter)
+    for r in kept.values():
+        words[r["source"]].update(r["text"].split())
+    for r in mixed:
+        assert {kept[i]["source"] for i in r["doc_ids"]} == {r["source"]} and len(r["text"].split(" ")) == r["n_words"]
+        taken.update(dict.fromkeys([r["source"]], r["n_words"]))
+    planned = {r["source"]: r for r in corpus_pipeline.mixing.mix(outs[3]).collect()}
+    for source, n in taken.items():
+        assert abs(n - planned[source]["target"]) <= 1
+        once = collections.Counter(w for r in mixed if r["source"] == source and r["pass_no"] == 0 for w in r["text"].split(" "))
+        assert once == words[source] or n < planned[source]["source_size"]
     assert corpus_pipeline.ORACLE_SQL is None
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, mixed))

@@ -39,8 +39,8 @@ from .common import read, stored
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, PARTS, ROUNDS, SHARD_SLOTS, RUN, RUNS_A_TASK, SEED = 256, 1 << 16, 16, 1 << 14, 4096, 4, 20240229
-#: Stretches of the number line of draws, each with few sources.
-CELLS = 4096
+#: Stretches of the number line of draws, each with few sources, and rows that a running sum takes in one task.
+CELLS, FAN = 4096, 256
 #: Sources up to which their table is broadcast.
 FEW_SOURCES = 1 << 16
 _P = 2147483647
@@ -84,6 +84,16 @@ def permuted(x: str, keys: str, n: str, *, inverse: bool = False) -> F.Column:
     return F.expr(f"aggregate({rounds}, CAST({x} AS BIGINT), (x, r) -> {_swapped('x', 'r.k', 'r.c', n, 'div')})")
 
 
+def _before(rows: DataFrame, at: str, size: str) -> DataFrame:
+    """Add ``before``: the sum of ``size`` over the rows of the same rank with a smaller ``at``, in two levels."""
+    order = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("fan", F.expr(f"{at} div {FAN}"))
+    far = near.groupBy("rank", "fan").agg(F.sum(size).alias("fan_size"))
+    far = far.select("rank", "fan", F.coalesce(F.sum("fan_size").over(order("rank").orderBy("fan")), F.lit(0)).alias("far"))
+    near = near.withColumn("near", F.coalesce(F.sum(size).over(order("rank", "fan").orderBy(at)), F.lit(0)))
+    return near.join(far.hint("merge"), ["rank", "fan"]).withColumn("before", F.expr("far + near")).drop("fan", "far", "near")
+
+
 # The plan of the sources
 
 
@@ -132,9 +142,8 @@ def shard_counts(plan: DataFrame, *, shard_slots: int = SHARD_SLOTS) -> DataFram
     drawn = drawn.select(F.expr(f"id div {shard_slots}").alias("shard"), F.expr(f"(((d * d + c) % {_P}) * {_P} + d) % {max(total, 1)}").alias("v"))
     met = drawn.withColumn("cell", F.expr(f"v div {width}")).join(_shared(cells), "cell").where("v >= low AND v < low + slots")
     counts = met.groupBy("shard", "rank").agg(F.count("*").alias("drawn"), F.first("slots").alias("slots"))
-    until = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = stored(counts.withColumn("until", F.sum("drawn").over(until)), "draws")
-    given = summed.select("shard", "rank", F.least(F.expr("until - drawn"), "slots").alias("first"), F.least("until", "slots").alias("end"))
+    summed = stored(_before(counts, "shard", "drawn").withColumn("until", F.expr("before + drawn")), "draws")
+    given = summed.select("shard", "rank", F.least("before", "slots").alias("first"), F.least("until", "slots").alias("end"))
     # What no draw has given makes further shards.
     ends = summed.groupBy("rank").agg(F.max("until").alias("until"))
     left = lain.join(ends, "rank", "left").withColumn("first", F.least(F.coalesce("until", F.lit(0)), "slots")).where("first < slots")
@@ -181,8 +190,7 @@ def stretches(sizes: DataFrame, plan: DataFrame, *, parts: int = PARTS) -> DataF
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 4), 16, 10).cast("long")
     named = named.select("rank", *kept, F.pmod(key, F.lit(parts)).alias("part"))
     sums = named.groupBy("rank", "part").agg(F.sum("size").alias("part_size"))
-    before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("rank", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
+    offsets = _before(sums, "part", "part_size").select("rank", "part", F.col("before").alias("part_start"))
     within = Window.partitionBy("rank", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return placed.join(offsets.hint("merge"), ["rank", "part"]).select("rank", *kept, (F.col("part_start") + F.col("inner")).alias("start"))

@@ -1,18 +1,19 @@
 """SimHash near-dedup with a binary trie self-join.
 
-Fingerprints that differ in at most ``budget`` bits agree on one of
-``budget + 1`` equal bands of bits, so equal fingerprints are first counted
-once and then dealt by (band, value of the band). Each bucket is a binary trie
-over the sorted fingerprints: pairs of nodes are traversed together from the
-root, differing bits add up, and a pair is dropped once it exceeds the budget.
-The traversal is vectorised over many buckets and works through its frontier
-in bounded slices. Buckets give spanning links only (a node to the least of
-its local component), never all pairs; alternating large-star and small-star
-steps, with a checkpoint each, join them into components.
+Fingerprints that differ in at most ``budget`` bits agree on two or more of
+``budget + 2`` equal bands of bits, so equal fingerprints are first counted
+once and then dealt by each two bands and their values (25 bits or more for the
+usual budget of 3: buckets stay small up to billions of fingerprints). Each
+bucket is a binary trie over the sorted fingerprints: pairs of nodes are
+traversed together from the root, differing bits add up, and a pair is dropped
+once it exceeds the budget. The traversal is vectorised over many buckets and
+works through its frontier in bounded slices. Buckets give spanning links only
+(a node to the least of its local component), never all pairs; alternating
+large-star and small-star steps, each written to the shared folder, join them
+into components.
 
 A bucket above ``bucket_rows`` is split into groups by a hash, and each pair of
-groups is a bucket of its own, so that no task holds a large bucket. There are
-at most 65,536 values a band, which bounds the broadcast list of such buckets.
+groups is a bucket of its own, so that no task holds a large bucket.
 
 ``keep_unlike`` is for stages that remove near copies: texts are alike when the
 sets of their word shingles have a Jaccard similarity of ``least`` or more.
@@ -21,21 +22,23 @@ groups of ``HASHES`` minimum hashes with the least or the greatest class of
 that value, and each pair is held against the sets themselves.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like
-any other; repeated rows have equal fingerprints and each keeps its row; a
-null id takes part but never names a component that has an id; an empty
-table gives an empty result.
+any other; a very long text is hashed whole; repeated rows have equal
+fingerprints and each keeps its row, but stages keep one of rows equal in id
+and shingles; a null id takes part but never names a component that has an id;
+other columns go along unseen, whatever their names and types, but simhash is
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD_CASE, append, checkpoint, map_batches, read
+from .common import FOLD_CASE, append, discard, map_batches, read, stored
 
 BUCKET_ROWS = 4096
 #: Minimum hashes a group, and groups: of pairs at a similarity of 0.8 all but 1 in 1,500 share a group.
@@ -219,15 +222,15 @@ class _Buckets:
 
 def near_links(prints: DataFrame, *, budget: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Spanning links (a, b) of the distinct fingerprints in column ``simhash``."""
-    bands = budget + 1
-    width = 64 // bands
-    spans = [(i * width, width if i < bands - 1 else 64 - i * width) for i in range(bands)]
-    value = lambda at, bits: F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << bits) - 1))
-    dealt = prints.select("simhash", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value(*s).alias("value")) for i, s in enumerate(spans)])).alias("x")).select("simhash", "x.*")
+    bands = budget + 2
+    edges = [64 * i // bands for i in range(bands + 1)]
+    value = lambda i: F.shiftrightunsigned("simhash", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    keys = [F.struct(F.lit(k).alias("band"), F.shiftleft(value(i), edges[j + 1] - edges[j]).bitwiseOR(value(j)).alias("value")) for k, (i, j) in enumerate(combinations(range(bands), 2))]
+    dealt = prints.select("simhash", F.explode(F.array(*keys)).alias("x")).select("simhash", "x.*")
     large = dealt.groupBy("band", "value").count().where(F.col("count") > bucket_rows)
-    large = large.select("band", "value", F.ceil(F.col("count") / bucket_rows).cast("int").alias("groups"))
-    # At most bands * 2^width entries, whatever the input.
-    near = dealt.join(F.broadcast(large), ["band", "value"], "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    # Written, so that Spark sees its size when it chooses the join.
+    large = stored(large.select("band", "value", F.ceil(F.col("count") / bucket_rows).cast("int").alias("groups")), "large")
+    near = dealt.join(large, ["band", "value"], "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     own = F.pmod(F.xxhash64("simhash"), F.col("groups")).cast("int")
     near = near.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     near = near.select(
@@ -245,7 +248,7 @@ def connected(links: DataFrame) -> DataFrame:
     Large-star hangs each larger neighbour of a node on the node's least
     neighbour; small-star does so with the smaller neighbours and the node.
     """
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -253,8 +256,9 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, stored(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         before, state = state, _state(edges)
+        discard(last)
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -263,23 +267,53 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.bit_xor(F.hash("v", "u")), F.lit(0))).first())
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 3, budget: int = 3, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Per document: doc_id, simhash, component_id (the least id reachable over links)."""
+def _rooted(docs: DataFrame, size: int, budget: int, id_col: str, text_col: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, simhash) of each row, and (simhash, least, root) of each fingerprint."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = checkpoint(with_fingerprint(chosen, size=size).select("doc_id", "simhash"))
-    classes = checkpoint(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")))
+    prints = stored(with_fingerprint(chosen, size=size).select("doc_id", "simhash"), "prints")
+    classes = stored(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected(near_links(classes, budget=budget, bucket_rows=bucket_rows)).withColumnRenamed("node", "simhash")
-    rooted = classes.join(roots, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+    return prints, classes.join(roots, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 3, budget: int = 3, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Per document: doc_id, simhash, component_id (the least id reachable over links)."""
+    prints, rooted = _rooted(docs, size, budget, id_col, text_col, bucket_rows)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(named, "root").select("simhash", "component_id")
     return prints.join(named, "simhash").select("doc_id", "simhash", "component_id")
 
 
+def _least(doc_id: str, kind: str) -> F.Column:
+    """The class with the least id, no id coming last, as kept_id and kept_class."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("kept_id"), F.col(kind).alias("kept_class")))
+
+
+def _keep(docs: DataFrame, kept: DataFrame, make, kind: str) -> DataFrame:
+    """The rows of ``docs`` whose id and class are in ``kept`` (kept_id, kept_class); of those equal in both one.
+
+    ``make`` makes the handler that gives the class of each text as ``class_``.
+    """
+    names = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    keyed = append(docs.toDF(*at.values()), at["text"], make, f"class_ {kind}")
+    # The id's value and whether it is null, so that join and window are dealt alike.
+    ids = lambda c: (F.coalesce(c, F.lit(0)), c.isNull())
+    value, null = ids(F.col(at["doc_id"]).cast("long"))
+    keyed = keyed.withColumn("id_", value).withColumn("null_", null)
+    value, null = ids(F.col("kept_id"))
+    chosen = kept.select(value.alias("id_"), null.alias("null_"), F.col("kept_class").alias("class_"))
+    key = ["id_", "null_", "class_"]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(at["text"]), at["text"]))
+    left = keyed.join(chosen, key, "left_semi").withColumn("first_", first).where("first_ = 1")
+    return left.select(*at.values()).toDF(*names)
+
+
 def keep_one(docs: DataFrame, *, size: int = 3, budget: int = 3) -> DataFrame:
-    """One document of each component, the one with the least id; of equal rows one."""
-    found = near_duplicates(docs, size=size, budget=budget)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates()
+    """One document of each component, the one with the least id; of rows equal in id and fingerprint one."""
+    _, rooted = _rooted(docs, size, budget, "doc_id", "text", BUCKET_ROWS)
+    kept = rooted.groupBy("root").agg(_least("least", "simhash").alias("kept")).select("kept.kept_id", "kept.kept_class")
+    return _keep(docs, kept, lambda: lambda rows: {"class_": pa.array(np.array([fingerprint(shingle_hashes(t, size)) for t in rows], np.uint64).view(np.int64))}, "long")
 
 
 def _least_hashes():
@@ -313,6 +347,17 @@ def _sets(size: int):
     return make
 
 
+def _class_of(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64_digest(np.unique(hashes).tobytes(), 8), "big", signed=True)
+
+
+def _classes(size: int):
+    """The class of a text: a hash of its set of shingles."""
+    return lambda: lambda rows: {"class_": [_class_of(shingle_hashes(t, size)) for t in rows]}
+
+
 def _shingle_set(size: int):
     def make():
         import xxhash
@@ -344,11 +389,11 @@ def _alike(least: float):
 
 def like_links(docs: DataFrame, *, size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class) of each row of ``docs`` (doc_id, text), and links (a, b) of alike classes."""
-    classed = checkpoint(append(docs, "text", _sets(size), "_class long, _groups array<long>").select("doc_id", F.col("_class").alias("class"), F.col("_groups").alias("groups")))
+    classed = stored(append(docs, "text", _sets(size), "_class long, _groups array<long>").select("doc_id", F.col("_class").alias("class"), F.col("_groups").alias("groups")), "classes")
     first = classed.groupBy("class").agg(F.min_by("groups", "doc_id").alias("groups"), F.min("doc_id").alias("doc_id"))
     dealt = first.select("class", F.explode("groups").alias("value"))
     hubs = dealt.groupBy("value").agg(F.array(F.min("class"), F.max("class")).alias("ends"), F.count("*").alias("n")).where("n > 1").select("value", F.explode("ends").alias("b"))
-    pairs = checkpoint(dealt.join(hubs, "value").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct())
+    pairs = stored(dealt.join(hubs, "value").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "pairs")
     # One row of a class stands for it; only those of a pair are read.
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     ids = first.select("class", "doc_id").join(asked, "class", "left_semi")
@@ -361,13 +406,13 @@ def like_links(docs: DataFrame, *, size: int = 5, least: float = 0.8) -> tuple[D
 
 
 def keep_unlike(docs: DataFrame, *, size: int = 5, least: float = 0.8) -> DataFrame:
-    """One document of each component of alike texts, the one with the least id; of equal rows one."""
+    """One document of each component of alike texts, the one with the least id; of rows equal in id and shingles one."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     classed, links = like_links(chosen, size=size, least=least)
     roots = connected(links).withColumnRenamed("node", "class")
     rooted = classed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("kept")).select("kept").distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept"]), "left_semi").dropDuplicates()
+    kept = rooted.groupBy("root").agg(_least("doc_id", "class").alias("kept")).select("kept.kept_id", "kept.kept_class")
+    return _keep(docs, kept, _classes(size), "long")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -649,6 +649,11 @@ def test_simhash_odd(spark):
     kept = simhash.keep_one(documents(spark))
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(4) == 1 and 5 not in ids and 3 not in ids and kept.columns == documents(spark).columns
+    more = documents(spark).selectExpr("*", "map('k', spans) as class_", "array(map(1, 2)) as c0", "1 as id_", "2 as first_", "3 as _class")
+    for keep, ids in ((simhash.keep_one, [1, 2, 4, 7, 8, 9]), (simhash.keep_unlike, [1, 2, 4, 7, 8])):
+        rows = keep(more).collect()
+        assert keep(more).columns == more.columns and rows[0]["class_"] == {"k": 1} and rows[0]["c0"] == [{1: 2}] and rows[0]["first_"] == 2
+        assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == ids and len(rows) == len(ids) + 1
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
 
 

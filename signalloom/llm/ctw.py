@@ -50,7 +50,7 @@ DEPTH, SHORT, HOT = 5, 2, 1 << 17
 #: Bytes of text for each chunk of documents, and for each bucket of nodes.
 CHUNK, BUCKET = 1 << 24, 1 << 19
 #: Bytes of text whose strings are looked up at a time, and words or strings a task holds before it hands them on.
-_SLICE, _HELD = 1 << 21, 1 << 19
+_SLICE, _HELD = 1 << 19, 1 << 19
 #: Slots of a chunk's strings; those that another took are searched for.
 _MEMO = 1 << 21
 _U = np.uint64

@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -49,7 +50,7 @@ from .common import append, discard, map_batches, read, stored, texts
 
 MIN_WORDS, LINE_WORDS, FILTER_BITS = 50, 8, 27
 #: Most windows of a stretch, bytes hashed at a time, words looked at a time, and words that are hashed one by one.
-_STRETCH, _SLICE, _CHUNK, _LONG_WORD = 64, 1 << 20, 1 << 20, 4096
+_STRETCH, _SLICE, _CHUNK, _LONG_WORD = 64, 1 << 18, 1 << 18, 4096
 _U = np.uint64
 _BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _BLANK = np.isin(np.arange(256, dtype=np.uint8), list(_BLANKS))
@@ -280,15 +281,17 @@ def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_i
     later = near.select("mark", "whole", "doc_id", "body", "first", "n").join(copied, ["mark", "whole"]).where(~place.eqNullSafe(F.col("origin")))
     later = later.select("doc_id", "body", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end"))
 
-    shared = kinds.groupBy("mark").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied")).where("n > 1 OR tied").select("mark")
-    differing = stored(kinds.join(shared, "mark", "left_semi").select("mark", "origin", "windows"), "differing")
-    each = differing.select("mark", "origin", F.posexplode("windows").alias("i", "window"))
-    each = each.select("mark", "window", F.col("origin.doc_id").alias("doc_id"), F.col("origin.body").alias("body"), (F.col("origin.first") + F.col("i")).alias("first"))
-    found = each.groupBy("mark", "window").agg(F.min(place).alias("origin"), F.max(place).alias("final")).where("origin <> final").select("mark", "window", "origin")
+    shared = stored(kinds.groupBy("mark").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied")).where("n > 1 OR tied").select("mark"), "shared")
+    differing = kinds.join(shared, "mark", "left_semi").select("mark", "origin.*", "windows").orderBy("doc_id", "body", "first")
+    # Sorted by place, so that a number stands for the place of a window; a stretch has fewer windows than 2^10.
+    differing = stored(differing.withColumn("number", F.monotonically_increasing_id()), "differing")
+    each = differing.select("mark", "number", "doc_id", "body", "first", F.posexplode("windows").alias("i", "window"))
+    each = each.withColumn("number", F.expr("number * 1024 + i"))
+    found = each.groupBy("mark", "window").agg(F.min("number").alias("origin"), F.max("number").alias("final")).where("origin <> final").select("mark", "window", "origin")
     found = stored(found, "windows")
-    partly = each.join(found, ["mark", "window"]).where(~place.eqNullSafe(F.col("origin"))).select("doc_id", "body", "first", (F.col("first") + min_words).alias("end"))
+    partly = each.join(found, ["mark", "window"]).where("number <> origin").select("doc_id", "body", (F.col("first") + F.col("i")).alias("first"), (F.col("first") + F.col("i") + min_words).alias("end"))
     spans = stored(later.unionByName(partly).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
-    for table in (near, kinds, differing, found):
+    for table in (near, kinds, shared, differing, found):
         discard(table)
     return spans
 
@@ -307,10 +310,15 @@ def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "
 
     def make():
         def handle(batch: pa.RecordBatch) -> dict:
-            there = batch.column(text).is_valid().to_pylist()
-            each = [cut(t, s) for t, s in zip(texts(batch, text), batch.column("spans").to_pylist(), strict=True)]
-            out = {"left": [x[0].decode() if ok else None for x, ok in zip(each, there, strict=True)], "n_words": [x[1] for x in each], "n_deleted": [x[2] for x in each]}
-            return {f.name: batch.column(f.name) for f in kept} | out
+            left, spans = batch.column(text), batch.column("spans")
+            changed = spans.is_valid()
+            rows = texts(batch.filter(changed), text)
+            each = [cut(t, s) for t, s in zip(rows, spans.drop_null().to_pylist(), strict=True)]
+            if each:
+                left = pc.replace_with_mask(left, changed, pa.array([x[0].decode() for x in each], left.type))
+            gone = np.zeros(batch.num_rows, np.int64)
+            gone[changed.to_numpy(zero_copy_only=False)] = [x[1] for x in each]
+            return {f.name: batch.column(f.name) for f in kept} | {"left": left, "n_words": count_words(batch.column(text)), "n_deleted": gone}
 
         return handle
 
@@ -319,10 +327,24 @@ def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "
     return done.select(*order, "n_words", "n_deleted").toDF(*[c for c in names if c not in ("n_words", "n_deleted")], "n_words", "n_deleted")
 
 
-def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
-    """The text without the words of the spans, how many words it had, and how many went."""
-    if not spans:
-        return text, len(text.split()), 0
+def count_words(column: pa.StringArray) -> np.ndarray:
+    """The number of words of each text."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    ink = ~_BLANK[raw]
+    first = ink.copy()
+    first[1:] &= ~ink[:-1]
+    begins = at[:-1][at[:-1] < len(raw)]
+    first[begins] = ink[begins]
+    sums = np.concatenate([[0], np.cumsum(first)])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
+    """The text without the words of the spans, and how many went."""
     lines = text.split(b"\n")
     parts = [line.split() for line in lines]
     gone = np.zeros(sum(map(len, parts)), bool)
@@ -336,7 +358,7 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
             out.append(line)
         elif not here.all():
             out.append(b" ".join(w for w, g in zip(words, here, strict=True) if not g))
-    return b"\n".join(out), at, int(gone.sum())
+    return b"\n".join(out), int(gone.sum())
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,16 @@ the k best of each query, and a merge over the blocks keeps the k best of all.
 No vector meets the driver; a block has at most ``block_rows`` rows, so a task
 holds two blocks and one tile of scores.
 
+Blocks are dealt to a stated number of partitions, one for each pair of blocks,
+as their number of bytes says nothing about the work that a pair is.
+
 Defined cases: a row whose vector is null or has a null or non-finite
 component takes no part, nor does a row with a null id; an empty vector has
 score 0 with every other; vectors of different lengths meet on their common
 terms; a repeated row is a candidate like any other, and of several rows with
 a query's id only the query's own is left out; ties go to the smaller id;
-fewer than k candidates are all returned; an empty table gives no rows.
+fewer than k candidates are all returned; other columns aren't read, whatever
+their names; very long vectors are taken whole; an empty table gives no rows.
 Scores beyond the range of a long stop at its ends.
 """
 
@@ -26,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, read
+from .common import map_batches, read, stored
 
-BLOCK_ROWS, QUERY_ROWS = 8192, 4096
+BLOCK_ROWS, QUERY_ROWS, MOST_PARTS = 8192, 4096, 20_000
 _TILE = (128, 2048)
 _PACKED = "n long, dims long, ids binary, uids binary, weights binary, exact boolean"
 _LONG = np.iinfo(np.int64)
@@ -186,7 +190,7 @@ def search_blocks(queries: tuple, candidates: tuple, k: int) -> dict[str, list]:
 
 def _numbered(blocks: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Blocks as one struct column beside their number from 1 on; and how many there are."""
-    held = checkpoint(blocks.withColumn("at", F.monotonically_increasing_id()))
+    held = stored(blocks.withColumn("at", F.monotonically_increasing_id()), "numbered")
     numbers = held.select("at", F.row_number().over(Window.orderBy("at")).cast("int").alias(f"{name}_no"))
     columns = [c.split()[0] for c in _PACKED.split(", ")]
     return held.join(numbers, "at").select(f"{name}_no", F.struct(*columns).alias(name)), held.count()
@@ -199,14 +203,15 @@ def top_k(
     """query_id, rank, vec_id, score: for each row whose id ``every`` divides, its k best other rows."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.repartition(-(-df.count() // block_rows) or 1)
-    blocks = checkpoint(map_batches(rows, _packing(scale, block_rows), _PACKED))
-    chosen = checkpoint(map_batches(blocks, _querying(every), "id long, uid long, vector array<double>"))
+    blocks = stored(map_batches(rows, _packing(scale, block_rows), _PACKED), "blocks")
+    chosen = stored(map_batches(blocks, _querying(every), "id long, uid long, vector array<double>"), "queries")
     asked = map_batches(chosen.repartition(-(-chosen.count() // query_rows) or 1), _packing(1.0, query_rows), _PACKED)
     blocks, n_blocks = _numbered(blocks, "candidate")
     asked, n_asked = _numbered(asked, "query")
     # Each pair of blocks has a key of its own, so pairs spread over all tasks.
     every_of = lambda n: F.explode(F.sequence(F.lit(1), F.lit(max(n, 1))))
-    pairs = blocks.withColumn("query_no", every_of(n_asked)).join(asked.withColumn("candidate_no", every_of(n_blocks)), ["candidate_no", "query_no"])
+    key, parts = ["candidate_no", "query_no"], min(2 * max(1, n_blocks * n_asked), MOST_PARTS)
+    pairs = blocks.withColumn("query_no", every_of(n_asked)).repartition(parts, *key).join(asked.withColumn("candidate_no", every_of(n_blocks)).repartition(parts, *key), key)
 
     def make():
         def handle(batch: pa.RecordBatch):

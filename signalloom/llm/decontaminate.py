@@ -6,25 +6,28 @@ numbers of a document once. Word positions map back to character offsets of
 the original text.
 
 The patterns reach the driver and the executors in chunks of at most
-``chunk_windows`` windows, each with its own pass over the (lazily chained)
-documents, so what is broadcast is bounded whatever the size of the benchmark;
-a benchmark up to the bound takes one automaton and one pass.
+``chunk_windows`` windows, each with its own pass over the documents. What a
+pass finds is written to the shared folder before the next one begins, so that
+what is broadcast and held at a time is bounded whatever the size of the
+benchmark; a benchmark up to the bound takes one automaton and one pass.
 
-Defined cases: a null or empty text has no words; an item without words
+Defined cases: a null or empty text has no words; a very long text is scanned
+whole; an item without words
 occurs nowhere; an item with a null id marks words but is not counted or
 listed; items with the same id count once; a repeated document row is scanned
-again and kept; empty tables give empty results or clean documents.
+again and kept; other columns go along unseen, whatever their names, but those
+that this adds are replaced; empty tables give empty results or clean documents.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD_WORDS, append, read, sheltered
+from .common import FOLD_WORDS, append, discard, read, sheltered, stored
 
 #: Bounds of one chunk of the benchmark: windows in an automaton, and bytes of text at the driver.
 CHUNK_WINDOWS, CHUNK_BYTES = 200_000, 32 << 20
@@ -106,11 +109,21 @@ def contamination(
     bench = items.select(
         F.col(item_id_col).cast("string").alias("item_key"), F.col(item_text_col).cast("string").alias("text")
     )
-    found = None
+    names = docs.columns
+    text, added = f"c{names.index(text_col)}", [c.split()[0] for c in _ADDED.split(", ")]
+    hidden, found, last = docs.toDF(*[f"c{i}" for i in range(len(names))]), None, None
     for chunk in _chunks(bench, window, chunk_windows, chunk_bytes):
-        one = append(docs if found is None else found, text_col, _scan_with(sc.broadcast(chunk)), _MORE if found is not None else _ADDED)
-        found = one if found is None else _united(one)
-    return append(docs, text_col, _scan_with(None), _ADDED) if found is None else found
+        if found is not None:  # there is a further chunk
+            before, last = last, stored(found, "scanned")
+            found = _united(append(last, text, _scan_with(sc.broadcast(chunk)), _MORE))
+            if before is not None:
+                discard(before)
+        else:
+            found = append(hidden, text, _scan_with(sc.broadcast(chunk)), _ADDED)
+    if found is None:
+        found = append(hidden, text, _scan_with(None), _ADDED)
+    kept = [(f"c{i}", c) for i, c in enumerate(names) if c not in added]
+    return found.select(*[c for c, _ in kept], *added).toDF(*[c for _, c in kept], *added)
 
 
 #: What a further chunk adds, before it is united with what the chunks before it found.
@@ -160,8 +173,35 @@ def char_spans(text: str, spans: list[list[int]]) -> list[tuple[int, int]]:
     """Code-point intervals of word intervals in the original text."""
     raw = text.encode()
     at = [m.span() for m in _WORD.finditer(raw)]
-    chars = lambda i: len(raw[:i].decode())
-    return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in merge(spans)]
+    out, chars, before = [], 0, 0
+    for a, b in merge(spans):
+        ends = []
+        for i in (at[a][0], at[b - 1][1]):
+            chars += len(raw[before:i].decode())
+            before = i
+            ends.append(chars)
+        out.append(tuple(ends))
+    return out
+
+
+def with_offsets(found: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """Add char_spans to the rows of ``contamination``: the hit code points [first, end) of the original text."""
+    packed = found.withColumn("spans", F.to_json("spans"))
+    names = found.columns
+    text, spans = f"c{names.index(text_col)}", f"c{names.index('spans')}"
+    joined = packed.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("packed", F.concat(F.col(spans), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))))
+
+    def make():
+        def work(rows: list[bytes]) -> dict:
+            both = [r.partition(b"\n") for r in rows]
+            return {"char_spans": [[list(x) for x in char_spans(t.decode(), json.loads(s))] for s, _, t in both]}
+
+        return work
+
+    kept = [c for c in names if c != "char_spans"]
+    done = append(joined, "packed", make, "char_spans array<array<long>>")
+    done = done.withColumn(spans, F.from_json(spans, "array<array<long>>"))
+    return done.select(*[f"c{i}" for i, c in enumerate(names) if c in kept], "char_spans").toDF(*kept, "char_spans")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -173,7 +173,7 @@ def test_repeats_are_exact(spark, monkeypatch, sizes):
     assert sum(map(len, gone)) > 300
     # Pieces are hashed where the handlers run, so the arrays are compared here and the rows below with the usual sizes.
     for (d, t), want in zip(rows, gone, strict=True):
-        assert linededup.cut(t.encode(), [{"first": k, "end": k + 1} for k in want]) == (without(t, want).encode(), len(want))
+        assert linededup.cut(t.encode(), [(k, k + 1) for k in want]) == (without(t, want).encode(), len(want))
     out = linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), min_words=12).collect()
     got = {r["doc_id"]: (r["text"], r["n_words"], r["n_deleted"]) for r in out}
     assert got == {d: (without(t, g), len(t.split()), len(g)) for (d, t), g in zip(rows, gone, strict=True)}
@@ -710,6 +710,9 @@ def test_decontamination_chunks_and_odd(spark):
         assert (by[1]["n"], by[1]["item_keys"]) == (2, ["2"]) and (by[20]["n"], by[20]["item_keys"]) == (10, ["1"]) and by[21]["n"] == 0 and by[2]["n_words"] == 0
         (a, b), = decontaminate.char_spans(by[20]["text"], by[20]["spans"])
         assert by[20]["text"][a:b] == "One, two three four five six seven eight nine ten"
+        whole = decontaminate.contamination(documents(spark, [*ODD, (22, "é Gamma über BETA", "en", "a")]).selectExpr("*", "1 as spans_", "2 as c0", "3 as packed"), items, chunk_windows=size, chunk_bytes=40)
+        rows = {r["doc_id"]: r for r in decontaminate.with_offsets(whole).collect()}
+        assert [rows[22]["text"][a:b] for a, b in rows[22]["char_spans"]] == ["Gamma", "BETA"] and rows[2]["char_spans"] == [] and (rows[1]["spans_"], rows[1]["c0"], rows[1]["packed"]) == (1, 2, 3)
     kept = decontaminate.clean_documents(docs, items)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 6, 7, 8, 9, 21, None}
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == len(ODD) + 2

@@ -13,14 +13,19 @@ if it decompresses with a good checksum and its record has a version line,
 headers, the stated length and matching digests. Where a check fails, the
 reader searches byte by byte for the next member or version line that passes
 all of them, goes on there, and logs the bytes between as a quarantined gap.
+In a member that is damaged, or holds a bad record among several, the search
+goes on within what could be inflated: records there whose own digests match
+are recovered, and gaps are logged by their place in the content. The log of
+gaps is written as JSON beside the archives on demand.
 Records that aren't compressed are read alike; their headers have no checksum
 in this format, so damage there shows only where it breaks syntax, the length
 or a digest.
 
 Defined cases: a null html is an empty payload; equal rows with the largest
 id are all responses; a null page id counts as smallest and stays null; line
-breaks in an url become spaces and a null url is left out; an empty table
-gives no archives and no rows.
+breaks in an url become spaces and a null url is left out; a very long html is
+one record, in an archive of its own size; other columns aren't read, whatever
+their names; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -35,14 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read, shared_folder
+from .common import map_batches, read, shared_folder, stored
 
 ARCHIVE_BYTES = 16 << 20
 _STEP = 1 << 14
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-_RECORDS = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, uri string, path string, offset long, length long, reason string"
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_RECORDS = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, uri string, path string, offset long, length long, inner long, reason string"
 
 
 def digest(data: bytes) -> str:
@@ -81,9 +87,12 @@ def member(data: bytes) -> bytes:
 # Reading
 
 
-def parse_record(data, at: int = 0) -> tuple[dict, int]:
-    """The headers and checked payload facts of the record at ``at``, and its end. ValueError where a check fails."""
-    if not (line := re.compile(rb"WARC/1\.[01]\r\n").match(data, at)):
+def parse_record(data, at: int = 0, *, proven: bool = False) -> tuple[dict, int]:
+    """The headers and checked payload facts of the record at ``at``, and its end. ValueError where a check fails.
+
+    ``proven`` records must bring a digest of their block or payload.
+    """
+    if not (line := _LINE.match(data, at)):
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", line.end())
     if stop < 0:
@@ -104,6 +113,8 @@ def parse_record(data, at: int = 0) -> tuple[dict, int]:
     if headers.get("warc-block-digest", f"sha1:{digest(block)}") != f"sha1:{digest(block)}":
         raise ValueError("block digest differs")
     kind = headers.get("warc-type", "")
+    if proven and not ("warc-block-digest" in headers or kind == "response" and "warc-payload-digest" in headers):
+        raise ValueError("no digest")
     said = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
     size = int(headers["payload-length"]) if headers.get("payload-length", "").isdecimal() else None
     if kind == "response":
@@ -115,63 +126,93 @@ def parse_record(data, at: int = 0) -> tuple[dict, int]:
     return out, end + 4
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """One member's content and its end."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int | None, str]:
+    """One member's content as far as it goes, and its end or what is wrong."""
     press, out, pos = zlib.decompressobj(31), [], at
     while not press.eof:
         part = data[pos : pos + _STEP]
         if not part:
-            raise ValueError("member is cut off")
+            return b"".join(out), None, "member is cut off"
         try:
             out.append(press.decompress(part))
         except zlib.error as e:
-            raise ValueError(f"bad member: {e}") from None
+            return b"".join(out) + _last(data, pos, press_from=at), None, f"bad member: {e}"
         pos += len(part)
-    return b"".join(out), pos - len(press.unused_data)
-
-
-def _take(data: bytes, view: memoryview, at: int) -> tuple[list[dict], int]:
-    """The records of what starts at ``at`` and its end; ValueError where a check fails."""
-    if data.startswith(b"\x1f\x8b\x08", at):
-        content, end = _inflate(view, at)
-        found, pos = [], 0
-        while pos < len(content):
-            facts, pos = parse_record(content, pos)
-            found.append(facts)
-        if not found:
-            raise ValueError("empty member")
-        return found, end
-    facts, end = parse_record(data, at)
-    return [facts], end
+    return b"".join(out), pos - len(press.unused_data), ""
+
+
+def _last(data: memoryview, pos: int, *, press_from: int) -> bytes:
+    """What of a bad step can still be inflated, byte by byte."""
+    press, at, out = zlib.decompressobj(31), press_from, []
+    while at < pos:
+        press.decompress(data[at : min(at + _STEP, pos)])
+        at += _STEP
+    try:
+        for i in range(pos, min(pos + _STEP, len(data))):
+            out.append(press.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _within(content: bytes, *, proven: bool) -> tuple[list[dict], list[dict], str]:
+    """The records and gaps of a member's content, by ``inner`` place, and what was wrong first."""
+    found, gaps, at, reason = [], [], 0, ""
+    while at < len(content):
+        try:
+            facts, end = parse_record(content, at, proven=proven)
+        except ValueError as e:
+            reason = reason or str(e)
+            following = _LINE.search(content, at + 1)
+            end = following.start() if following else len(content)
+            if gaps and gaps[-1]["inner"] + gaps[-1]["length"] == at:
+                gaps[-1]["length"] += end - at
+            else:
+                gaps.append({"record_type": "gap", "inner": at, "length": end - at, "reason": str(e)})
+        else:
+            found.append(facts | {"inner": at})
+        at = end
+    return found, gaps, reason
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records (with offset and length) and gaps (record_type ``gap`` with a reason) of an archive."""
-    view, at, lost, reason = memoryview(data), 0, None, ""
+    view, at, lost, why = memoryview(data), 0, None, ""
     while at < len(data):
         if lost is None and data[at] == 0:  # padding
             at += 1
             continue
-        try:
-            found, end = _take(data, view, at)
-        except ValueError as e:
-            if lost is None:
-                lost, reason = at, str(e)
-            following = _START.search(data, at + 1)
-            at = following.start() if following else len(data)
+        found, gaps, end, reason = [], [], None, ""
+        if data.startswith(b"\x1f\x8b\x08", at):
+            content, end, reason = _inflate(view, at)
+            found, gaps, wrong = _within(content, proven=end is None)
+            reason = reason or wrong or "empty member"
+        else:
+            try:
+                facts, end = parse_record(data, at)
+                found = [facts]
+            except ValueError as e:
+                reason = str(e)
+        if found and end is not None:
+            if lost is not None:
+                yield {"record_type": "gap", "offset": lost, "length": at - lost, "reason": why}
+                lost = None
+            for facts in [*found, *gaps]:
+                yield {"length": end - at} | facts | {"offset": at}
+            at = end
             continue
-        if lost is not None:
-            yield {"record_type": "gap", "offset": lost, "length": at - lost, "reason": reason}
-            lost = None
-        for facts in found:
-            yield facts | {"offset": at, "length": end - at}
-        at = end
+        if lost is None:
+            lost, why = at, reason
+        # Of a damaged member's content, what its own digests prove.
+        yield from ({"length": len(content) - x["inner"]} | x | {"offset": at} for x in found)
+        following = _START.search(data, at + 1)
+        at = following.start() if following else len(data)
     if lost is not None:
-        yield {"record_type": "gap", "offset": lost, "length": len(data) - lost, "reason": reason}
+        yield {"record_type": "gap", "offset": lost, "length": len(data) - lost, "reason": why}
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records and gaps of the archives in a folder."""
+def read_archives(spark: SparkSession, path: str, *, log: str | None = None) -> DataFrame:
+    """All records and gaps of the archives in a folder. The gaps are also written to the folder ``log``, if given."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     names = [c.split()[0] for c in _RECORDS.split(", ")]
 
@@ -182,7 +223,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         return handle
 
-    return map_batches(files, make, _RECORDS)
+    found = map_batches(files, make, _RECORDS)
+    if log is None:
+        return found
+    found = stored(found, "records")
+    found.where("record_type = 'gap'").select("path", "offset", "inner", "length", "reason").write.json(log)
+    return found
 
 
 # Writing
@@ -265,7 +311,7 @@ def _base32(sha: F.Column) -> F.Column:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
-    found = read_archives(spark, path)
+    found = read_archives(spark, path, log=f"{path}-quarantine")
     return found.where(F.col("record_type").isin("response", "revisit")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -580,6 +580,40 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == [] and [r["record_type"] for r in warc.salvage(b"junk")] == ["gap"]
 
 
+def test_warc_salvage_within_a_member():
+    plain = [warc.record("response", i, "u", bytes([65 + i]) * 40 * i, warc.digest(bytes([65 + i]) * 40 * i), 40 * i, None, "d") for i in range(6)]
+    starts = np.cumsum([0] + [len(r) for r in plain])
+    whole = b"".join(plain)
+    assert [(r["page_id"], r["inner"], r["offset"]) for r in warc.salvage(warc.member(whole))] == [(i, starts[i], 0) for i in range(6)]
+    bad = bytearray(whole)
+    bad[starts[3] - 6] ^= 255  # a bad record in a good member
+    found = list(warc.salvage(warc.member(bytes(bad)) + warc.member(plain[5])))
+    assert [(r.get("page_id"), r["record_type"]) for r in found] == [(0, "response"), (1, "response"), (3, "response"), (4, "response"), (5, "response"), (None, "gap"), (5, "response")]
+    gap = found[5]
+    assert (gap["inner"], gap["length"], gap["offset"]) == (starts[2], len(plain[2]), 0) and gap["reason"]
+    rng = np.random.default_rng(6)
+    noisy = [warc.record("response", i, "u", p, warc.digest(p), len(p), None, "d") for i, p in enumerate(rng.bytes(3000) for _ in range(20))]
+    packed = bytearray(warc.member(b"".join(noisy)))
+    packed[len(packed) // 2] ^= 255  # a bad member: records before the damage are recovered
+    found = list(warc.salvage(bytes(packed) + warc.member(plain[4])))
+    ids = [r["page_id"] for r in found if r["record_type"] == "response"]
+    assert ids[-1] == 4 and ids[:-1] == sorted(ids[:-1]) and len(set(range(20)) - set(ids[:-1])) == 1  # random bytes are stored as they are
+    assert [r["record_type"] for r in found][-2:] == ["gap", "response"] and found[-2]["length"] == len(packed)
+    cut = list(warc.salvage(warc.member(b"".join(noisy))[:30_000]))
+    assert [r["page_id"] for r in cut[:-1]] == list(range(len(cut) - 1)) and len(cut) > 8 and cut[-1]["record_type"] == "gap"
+
+
+def test_warc_quarantine_log(spark, tmp_path):
+    bad = bytearray(b"".join(warc.member(warc.record("response", i, "u", b"x" * 99, warc.digest(b"x" * 99), 99, None, "d")) for i in range(3)))
+    bad[len(bad) // 2] ^= 255
+    (tmp_path / "a.warc.gz").write_bytes(bytes(bad))
+    log = warc.shared_folder(spark, "log")
+    found = warc.read_archives(spark, str(tmp_path), log=log)
+    assert sorted(r["page_id"] for r in found.where("record_type = 'response'").collect()) == [0, 2]
+    (gap,) = spark.read.json(log).collect()
+    assert gap["path"].endswith("a.warc.gz") and abs(gap["length"] - len(bad) / 3) < 3 and gap["reason"]
+
+
 # SimHash
 
 

@@ -45,6 +45,18 @@ def unpivoted(panel: DataFrame, keep: list[str], features: list[str]) -> DataFra
     return panel.select(*keep, *[clean_double(f).alias(f) for f in features]).unpivot(keep, features, "feature", "value")
 
 
+def on_each(df: DataFrame, few: DataFrame, most: int) -> DataFrame:
+    """Every row of ``df`` beside every row of a table of at most ``most`` rows; more are an error.
+
+    The few rows ride on each row as one array, and one row is all that is
+    broadcast, its size proven before it is.
+    """
+    packed = few.limit(most + 1).agg(F.collect_list(F.struct(*few.columns)).alias("_few"))
+    message = F.lit(f"more than {most} rows of {', '.join(few.columns)}")
+    proven = packed.select(F.when(F.size("_few") <= most, F.col("_few")).otherwise(F.raise_error(message)).alias("_few"))
+    return df.join(F.broadcast(proven)).select(*df.columns, F.explode("_few").alias("_one")).select(*df.columns, "_one.*")
+
+
 def erfc_sql(x: str) -> str:
     """SQL text of the complementary error function for x >= 0, by its Chebyshev fit (relative error 1.2e-7).
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numeric import two_sided_p_sql
+from .numeric import on_each, two_sided_p_sql
 
+#: Dates of a schedule at most.
+MOST_DATES = 1 << 20
 
-def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
-    """Per key: n, mean, hac_t of contiguous non-null values in order.
+
+def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int, more: tuple = ()) -> DataFrame:
+    """Per key: n, mean, hac_t of contiguous non-null values in order, and ``more`` aggregates of the same pass.
 
     The long-run variance weighs autocovariances by Bartlett's kernel and divides
     by n; hac_t is NULL where a value is missing, n is below 2 or lags exceed
@@ -22,14 +25,15 @@ def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int
     for k in range(1, lags + 1):
         centred = centred.withColumn(f"_l{k}", F.lag("_d", k).over(ordered))
         products.append(F.coalesce(F.sum(F.col("_d") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_g{k}"))
-    sums = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("n_values"), F.avg(value).alias("mean"), *products)
+    sums = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("n_values"), F.avg(value).alias("mean"), *products, *more)
     variance = F.col("_g0")
     for k in range(1, lags + 1):
         variance = variance + 2 * (1 - k / (lags + 1)) * F.col(f"_g{k}")
     variance = variance / F.col("n") / F.col("n")
     supported = (F.col("n_values") == F.col("n")) & (F.col("n") >= 2) & (F.lit(lags) <= F.col("n") - 1)
     t = F.when(supported & (variance > 0), F.col("mean") / F.sqrt(F.when(variance > 0, variance)))
-    return sums.withColumn("hac_t", t).withColumn("hac_p", F.expr(two_sided_p_sql("hac_t"))).select(*keys, "n", "n_values", "mean", "hac_t", "hac_p")
+    kept = [c for c in sums.columns if not c.startswith("_g")]
+    return sums.withColumn("hac_t", t).select(*kept, "hac_t", F.expr(two_sided_p_sql("hac_t")).alias("hac_p"))
 
 
 def scheduled_inference(values: DataFrame, schedule: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
@@ -39,7 +43,7 @@ def scheduled_inference(values: DataFrame, schedule: DataFrame, keys: list[str],
     insufficient_lag_support, undefined_variance or ok, in this order.
     """
     dates = schedule.select(order).distinct()
-    every = values.select(*keys).distinct().join(F.broadcast(dates)).join(values.select(*keys, order, value), [*keys, order], "left")
+    every = on_each(values.select(*keys).distinct(), dates, MOST_DATES).join(values.select(*keys, order, value), [*keys, order], "left")
     out = newey_west(every, keys, order, value, lags)
     status = (
         F.when(F.col("n_values") < F.col("n"), "missing_scheduled_values")
@@ -63,7 +67,3 @@ def bh_q_values(df: DataFrame, p: str, *, keys: list[str] | None = None, name: s
     scaled = F.col(p) * F.count("*").over(within) / rank
     running = F.min("_scaled").over(within.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_rank", rank).withColumn("_scaled", scaled).withColumn(name, F.when(some, F.least(running, F.lit(1.0)))).drop("_rank", "_scaled")
-
-
-def inference_row(ok: Column, value: Column) -> Column:
-    return F.when(ok, value)

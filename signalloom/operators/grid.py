@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sessions up to which a calendar is numbered; over two thousand years of days.
+from ..functions.numeric import on_each
+
+#: Sessions of a calendar at most, which bounds what is broadcast; over two thousand years of days.
 MOST_SESSIONS = 1 << 20
 
 
@@ -20,9 +22,7 @@ def dense_grid(prices: DataFrame, cal: DataFrame, bench: DataFrame | None = None
     The calendar rides on each symbol as one array, so no cross join is made;
     off-calendar prices vanish.
     """
-    days = cal.agg(F.sort_array(F.collect_list(F.struct("pos", "session"))).alias("days"))
-    symbols = prices.select("symbol").distinct().join(F.broadcast(days))
-    dense = symbols.select("symbol", F.explode("days").alias("d")).select("symbol", "d.pos", "d.session")
+    dense = on_each(prices.select("symbol").distinct(), cal.select("pos", "session"), MOST_SESSIONS)
     out = dense.join(prices.select("symbol", "session", "price"), ["symbol", "session"], "left")
     if bench is not None:
         out = out.join(bench.select("session", F.col("price").alias("bench")), "session", "left")

@@ -49,31 +49,31 @@ class PanelConfig:
 def trailing_metrics(grid: DataFrame, cal: DataFrame, active: DataFrame, config: PanelConfig) -> DataFrame:
     """Ten metrics over the lookback of each active (as_of_date, symbol).
 
-    Sessions meet the decision dates whose window holds them in one equi-join on
-    the session, and one grouped aggregate a (date, symbol) follows; only windows
-    of decision dates are ever made.
+    The grid is dense, so a lookback is a frame of rows: one shuffle by symbol,
+    and each grid row moves once. Two frames of a symbol's sessions serve all
+    metrics; rows of active decision dates are taken after them.
     """
-    days = cal.join(active.select("as_of_date").distinct(), F.col("session") == F.col("as_of_date")).select("as_of_date", F.col("pos").alias("at"))
-    windows = days.select("as_of_date", "at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - config.lookback_sessions), F.col("at"))).alias("pos"))
-    windows = windows.withColumn("start", F.greatest(F.lit(0), F.col("at") - config.lookback_sessions))
     n_year, rf = float(config.annualization_sessions), float(config.annual_risk_free_rate)
-    inside = adjacent_returns(grid).join(windows, "pos").join(active, ["as_of_date", "symbol"], "left_semi")
-    paired = (F.col("pos") > F.col("start")) & F.col("r").isNotNull() & F.col("b").isNotNull()
-    inside = inside.withColumn("x", F.when(paired, F.col("r"))).withColumn("y", F.when(paired, F.col("b")))
-    at_start, at_end = F.col("pos") == F.col("start"), F.col("pos") == F.col("at")
+    paired = F.col("r").isNotNull() & F.col("b").isNotNull()
+    rows = adjacent_returns(grid).withColumn("x", F.when(paired, F.col("r"))).withColumn("y", F.when(paired, F.col("b")))
     short = F.when(F.col("x").isNotNull(), F.least(F.col("x") - rf / n_year, F.lit(0.0)))
-    sums = inside.groupBy("as_of_date", "symbol").agg(
-        F.min("start").alias("start"), F.min("at").alias("at"),
-        F.max(F.when(at_start, F.col("price"))).alias("first_price"), F.max(F.when(at_end, F.col("price"))).alias("last_price"),
-        F.count("x").alias("n"), F.avg("x").alias("mean_r"), F.stddev_samp("x").alias("sd_r"), F.avg("y").alias("mean_b"),
-        F.var_samp("y").alias("var_b"), F.covar_samp("x", "y").alias("cov"), F.avg(short * short).alias("down"),
-        F.avg(F.col("x") - F.col("y")).alias("mean_d"), F.stddev_samp(F.col("x") - F.col("y")).alias("sd_d"),
-        F.percentile("x", F.lit(0.05)).alias("q05"),
-        F.sort_array(F.collect_list(F.when(F.col("price").isNotNull(), F.struct("pos", "price")))).alias("path"),
+    rows = rows.withColumn("s", short * short).withColumn("d", F.col("x") - F.col("y"))
+    by_symbol = Window.partitionBy("symbol").orderBy("pos")
+    prices, returns = by_symbol.rowsBetween(-config.lookback_sessions, 0), by_symbol.rowsBetween(1 - config.lookback_sessions, 0)
+    framed = rows.select(
+        "symbol", F.col("session").alias("as_of_date"), F.col("price").alias("last_price"),
+        F.first("session").over(prices).alias("feature_window_start"), F.first("price").over(prices).alias("first_price"), F.collect_list("price").over(prices).alias("path"),
+        F.count("x").over(returns).alias("n"), F.avg("x").over(returns).alias("mean_r"), F.stddev_samp("x").over(returns).alias("sd_r"), F.avg("y").over(returns).alias("mean_b"),
+        F.var_samp("y").over(returns).alias("var_b"), F.covar_samp("x", "y").over(returns).alias("cov"), F.avg("s").over(returns).alias("down"),
+        F.avg("d").over(returns).alias("mean_d"), F.stddev_samp("d").over(returns).alias("sd_d"), F.sort_array(F.collect_list("x").over(returns)).alias("xs"),
     )
     zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
-    fall = lambda a, p: F.struct(F.greatest(a["peak"], p["price"]).alias("peak"), F.least(a["worst"], p["price"] / F.greatest(a["peak"], p["price"]) - 1).alias("worst"))
+    fall = lambda a, p: F.struct(F.greatest(a["peak"], p).alias("peak"), F.least(a["worst"], p / F.greatest(a["peak"], p) - 1).alias("worst"))
     drawdown = F.when(F.size("path") > 0, F.aggregate("path", zero, fall, lambda a: a["worst"]))
+    # The 5 % quantile by linear interpolation, of the sorted returns.
+    place = (F.col("n") - 1) * 0.05
+    low, high = F.get("xs", F.floor(place).cast("int")), F.get("xs", F.ceil(place).cast("int"))
+    q05 = F.when(F.col("n") > 0, low + (high - low) * (place - F.floor(place)))
     root = float(n_year) ** 0.5
     excess = F.col("mean_r") * n_year - rf
     sd_b = F.sqrt("var_b")
@@ -88,11 +88,10 @@ def trailing_metrics(grid: DataFrame, cal: DataFrame, active: DataFrame, config:
         "beta": beta,
         "capm_alpha": F.col("mean_r") * n_year - (rf + beta * (F.col("mean_b") * n_year - rf)),
         "information_ratio": safe_ratio(F.col("mean_d") * n_year, F.col("sd_d") * root),
-        "historical_var_5pct": F.greatest(F.lit(0.0), -F.col("q05")),
+        "historical_var_5pct": F.greatest(F.lit(0.0), -q05),
     }
     enough = F.col("n") >= config.min_observations
-    spans = cal.select(F.col("pos").alias("start"), F.col("session").alias("feature_window_start"))
-    all_active = active.join(sums, ["as_of_date", "symbol"], "left").join(spans, "start", "left")
+    all_active = active.join(framed, ["as_of_date", "symbol"], "left")
     return all_active.select(
         "as_of_date", "symbol", F.col("as_of_date").alias("feature_available_at"), "feature_window_start", F.col("as_of_date").alias("feature_window_end"),
         *[F.when(enough, made[f]).alias(f) for f in config.features],

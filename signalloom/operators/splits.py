@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import on_each
+
+#: Folds at most.
+MOST_FOLDS = 1000
+
 
 def date_index(panel: DataFrame, date: str = "as_of_date") -> DataFrame:
     """Distinct dates and their index from 0."""
@@ -23,7 +28,7 @@ def walk_forward(panel: DataFrame, *, folds: int, test_dates: int, least_train:
 
 def walk_forward_rows(panel: DataFrame, blocks: DataFrame, date: str = "as_of_date") -> DataFrame:
     """Rows of each fold with a role: training rows end before the test begins (strictly), test rows are all rows of the block."""
-    rows = panel.join(F.broadcast(blocks), panel[date] <= blocks["test_end"])
+    rows = on_each(panel, blocks, MOST_FOLDS).where(F.col(date) <= F.col("test_end"))
     test = F.col(date) >= F.col("test_start")
     training = (F.col(date) < F.col("test_start")) & (F.col("label_end_date") < F.col("test_start"))
     return rows.withColumn("role", F.when(test, "test").when(training, "training").otherwise("purged"))
@@ -56,7 +61,7 @@ def fold_assignments(panel: DataFrame, blocks: DataFrame, lock_start, target: st
     """
     locked = F.lit(lock_start).cast("date")
     safe = panel.where(F.col(target).isNotNull() & (F.col("label_end_date") < locked) & (F.col(date) < locked)).select(F.col(date).alias("safe_date")).distinct()
-    rows = panel.join(F.broadcast(blocks)).join(F.broadcast(safe), F.col(date) == F.col("safe_date"), "left")
+    rows = on_each(panel, blocks, MOST_FOLDS).join(safe, F.col(date) == F.col("safe_date"), "left")
     start, end, label = F.col("evaluation_start"), F.col("evaluation_end"), F.col("label_end_date")
     lacking = F.when(label.isNull(), "missing_label").when(F.col(target).isNull(), "missing_target")
     reason = (
@@ -75,17 +80,18 @@ def fold_assignments(panel: DataFrame, blocks: DataFrame, lock_start, target: st
 def phase_schedule(panel: DataFrame, blocks: DataFrame, date: str = "as_of_date") -> DataFrame:
     """All panel dates from the first evaluation start to the last end, gaps between folds included."""
     span = blocks.agg(F.min("evaluation_start").alias("a"), F.max("evaluation_end").alias("b"))
-    return panel.select(date).distinct().join(F.broadcast(span), F.col(date).between(F.col("a"), F.col("b"))).select(date)
+    return on_each(panel.select(date).distinct(), span, 1).where(F.col(date).between(F.col("a"), F.col("b"))).select(date)
 
 
 def training_weights(rows: DataFrame, keys: list[str], date: str = "as_of_date") -> DataFrame:
-    """Weights that give each date the same total, with mean 1."""
-    per_date = F.count("*").over(Window.partitionBy(*keys, date))
-    total = F.count("*").over(Window.partitionBy(*keys))
-    days = F.size(F.collect_set(date).over(Window.partitionBy(*keys))) if keys else None
-    if days is None:
-        days = F.size(F.collect_set(date).over(Window.partitionBy()))
-    return rows.withColumn("weight", total / days / per_date)
+    """Weights that give each date the same total, with mean 1.
+
+    Rows are counted by date first; windows see one row a date.
+    """
+    counts = rows.groupBy(*keys, date).agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(*keys)
+    weights = counts.select(*keys, date, (F.sum("_n").over(every) / F.count("*").over(every) / F.col("_n")).alias("weight"))
+    return rows.join(weights, [*keys, date])
 
 
 def maturity_mask(panel: DataFrame, target: str, cutoff) -> DataFrame:
@@ -103,7 +109,7 @@ def training_cross_sections(assigned: DataFrame, target: str, date: str = "as_of
 
 def evaluation_cross_sections(panel: DataFrame, blocks: DataFrame, target: str, label_before=None, date: str = "as_of_date") -> DataFrame:
     """All rows in each fold's date range; outcomes only where the label is known (and early enough)."""
-    rows = panel.join(F.broadcast(blocks), F.col(date).between(F.col("evaluation_start"), F.col("evaluation_end")))
+    rows = on_each(panel, blocks, MOST_FOLDS).where(F.col(date).between(F.col("evaluation_start"), F.col("evaluation_end")))
     known = F.col("label_end_date").isNotNull()
     if label_before is not None:
         known = known & (F.col("label_end_date") < F.lit(label_before).cast("date"))

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import on_each
 from ..operators import grid as G
 from ..operators.panel import PanelConfig, build_panel
 
@@ -23,6 +25,13 @@ CONFIG = PanelConfig(lookback_sessions=26, min_observations=13, target_horizon_s
 TARGET = "forward_excess_return"
 
 
+def release() -> None:
+    """Let go of the tables that applications share, as before a cold measurement."""
+    for df in _KEPT.values():
+        df.unpersist(blocking=True)
+    _KEPT.clear()
+
+
 def six(x: F.Column) -> F.Column:
     """Six decimals by plain arithmetic, with a nudge, so that exact halves round alike whatever the order of a sum."""
     return F.floor(x * 1e6 + 0.5001) / 1e6
@@ -54,18 +63,9 @@ class Universe:
     sf_dir: str
     by: str = "supplier"
 
-    @property
-    def small(self) -> bool:
-        return "sf0.001" in self.sf_dir
-
-    @property
-    def least(self) -> int:
-        """Least cross-section."""
-        return 5 if self.small else 20
-
-    @property
-    def quantiles(self) -> int:
-        return 2 if self.small else 5
+    #: Least cross-section and quantiles, the same for every folder: a small one gives thin results.
+    least: ClassVar[int] = 20
+    quantiles: ClassVar[int] = 5
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -91,7 +91,7 @@ class Universe:
         one = F.array(F.struct(F.col("s0").alias("effective_from"), F.lit(None).cast("date").alias("effective_to")))
         two = F.array(F.struct(F.col("s0").alias("effective_from"), F.col("s150").alias("effective_to")), F.struct(F.col("s200").alias("effective_from"), F.lit(None).cast("date").alias("effective_to")))
         gap = F.lit(False) if self.by == "brand" else F.col("symbol") % 3 == 0
-        rows = self.prices.select("symbol").distinct().join(F.broadcast(days)).select("symbol", F.explode(F.when(gap, two).otherwise(one)).alias("m"))
+        rows = on_each(self.prices.select("symbol").distinct(), days, 1).select("symbol", F.explode(F.when(gap, two).otherwise(one)).alias("m"))
         return rows.select(F.lit(self.by).alias("universe_id"), "symbol", "m.effective_from", "m.effective_to", F.lit("derived").alias("source"))
 
     @cached_property

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.contracts import ContractError, daily_date, require_columns, validate_as_of_dates
-from ..functions.numeric import clean_double
+from ..functions.numeric import clean_double, on_each
+
+#: Years of an archive at most.
+MOST_YEARS = 10_000
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +153,7 @@ def archive_coverage(prices: DataFrame, sessions: DataFrame, by_year: bool = Fal
     days = sessions.select(F.col("session").alias("date"), F.year("session").alias("year"))
     due = days.groupBy(*keys[1:]).agg(F.count("*").alias("expected"))
     seen = prices.join(days, "date").groupBy(*keys).agg(F.count("*").alias("observed"))
-    every = prices.select("symbol").distinct().join(F.broadcast(due))
+    every = on_each(prices.select("symbol").distinct(), due, MOST_YEARS)
     out = every.join(seen, keys, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     return out.withColumn("missing", F.col("expected") - F.col("observed")).withColumn("missing_rate", F.col("missing") / F.col("expected"))
 

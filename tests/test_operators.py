@@ -44,52 +44,83 @@ def small_panel(spark, prices, bench, at, **config):
     return P.build_panel(px, cal, bx, members, dates, P.PanelConfig(**settings))
 
 
-def test_trailing_metrics_by_hand(spark):
-    stock = [100, 110, 99, 108.9, 119.79, 107.811]
-    row = small_panel(spark, {"A": stock, "B": [100, 101, None, 103, 104, 105]}, [100, 105, 100, 104, 110, 103], 5).collect()
-    a = next(r for r in row if r["symbol"] == "A")
-    assert math.isclose(a["trailing_return"], 0.07811, abs_tol=1e-9) and math.isclose(a["max_drawdown"], -0.10, abs_tol=1e-9)
-    returns = [y / x - 1 for x, y in zip(stock, stock[1:], strict=False)]
-    mean = sum(returns) / 5
-    sd = math.sqrt(sum((r - mean) ** 2 for r in returns) / 4)
-    assert math.isclose(a["annualized_volatility"], sd * math.sqrt(5)) and math.isclose(a["sharpe_ratio"], mean * 5 / (sd * math.sqrt(5)))
-    down = math.sqrt(sum(min(r, 0) ** 2 for r in returns) / 5)
-    assert math.isclose(a["sortino_ratio"], mean * 5 / (down * math.sqrt(5)))
-    b = next(r for r in row if r["symbol"] == "B")
-    assert b["observation_count"] == 3 and b["feature_status"] == "insufficient_history" and b["max_drawdown"] is None and b["decision_price_available"]
-    assert a["target_status"] == "insufficient_future_benchmark_history" and a["label_start_date"] is None
-
-
-def test_identical_series_have_no_information_ratio(spark):
-    p = [100, 110, 99, 108.9, 119.79, 107.811]
+def wave(n, a, b, level=50.0):
+    """A price series by rule."""
+    return [level * math.exp(0.03 * math.sin(a * i) + 0.02 * math.cos(b * i * i)) for i in range(n)]
+
+
+def by_definition(stock, bench, lookback, year):
+    """The ten metrics of the last session in plain Python, from prices without gaps."""
+    import numpy as np
+
+    p, q = np.array(stock[-lookback - 1 :]), np.array(bench[-lookback - 1 :])
+    x, y = p[1:] / p[:-1] - 1, q[1:] / q[:-1] - 1
+    root, mean, sd = math.sqrt(year), x.mean() * year, x.std(ddof=1)
+    beta = np.cov(x, y)[0, 1] / y.var(ddof=1)
+    return {
+        "trailing_return": p[-1] / p[0] - 1, "annualized_volatility": sd * root, "sharpe_ratio": mean / (sd * root),
+        "sortino_ratio": mean / (math.sqrt((np.minimum(x, 0) ** 2).mean()) * root), "max_drawdown": (p / np.maximum.accumulate(p) - 1).min(),
+        "benchmark_correlation": np.corrcoef(x, y)[0, 1], "beta": beta, "capm_alpha": mean - beta * y.mean() * year,
+        "information_ratio": (x - y).mean() * year / ((x - y).std(ddof=1) * root), "historical_var_5pct": max(0.0, -np.quantile(x, 0.05)),
+    }
+
+
+@pytest.mark.parametrize("lookback", [4, 7, 30])
+def test_trailing_metrics_by_definition(spark, lookback):
+    stock, bench = wave(14, 1.1, 0.7), wave(14, 0.4, 1.3, 200.0)
+    gappy = [None if i == 11 else v for i, v in enumerate(wave(14, 0.9, 0.2))]
+    rows = {r["symbol"]: r for r in small_panel(spark, {"A": stock, "B": gappy}, bench, 13, lookback_sessions=lookback, min_observations=3, annualization_sessions=12).collect()}
+    want = by_definition(stock, bench, lookback, 12)
+    assert all(math.isclose(rows["A"][m], v, rel_tol=1e-9, abs_tol=1e-12) for m, v in want.items()) and set(want) == set(P.METRICS)
+    assert rows["A"]["feature_window_start"] == days(14)[max(0, 13 - lookback)] and rows["A"]["observation_count"] == min(lookback, 13)
+    # A gap takes two returns away, and what is left must reach the least count.
+    n = min(lookback, 13) - 2
+    assert rows["B"]["observation_count"] == n and rows["B"]["feature_status"] == ("ok" if n >= 3 else "insufficient_history")
+    assert (rows["B"]["max_drawdown"] is None) == (n < 3) and rows["B"]["decision_price_available"]
+    assert rows["A"]["target_status"] == "insufficient_future_benchmark_history" and rows["A"]["label_start_date"] is None
+
+
+def test_a_stock_that_is_the_benchmark(spark):
+    p = wave(6, 2.2, 0.3)
     row = small_panel(spark, {"A": p}, p, 5).first()
     assert row["information_ratio"] is None and math.isclose(row["beta"], 1) and math.isclose(row["benchmark_correlation"], 1)
 
 
 def test_future_prices_change_no_feature(spark):
-    bench = [100, 105, 100, 104, 110, 103, 104, 105]
-    a = small_panel(spark, {"A": [100, 110, 99, 108, 119, 107, 1, 2]}, bench, 5).first()
-    b = small_panel(spark, {"A": [100, 110, 99, 108, 119, 107, 900, 3]}, bench, 5).first()
+    bench, past = wave(8, 0.6, 0.8), wave(6, 1.9, 0.1)
+    a = small_panel(spark, {"A": [*past, 1, 2]}, bench, 5).first()
+    b = small_panel(spark, {"A": [*past, 900, 3]}, bench, 5).first()
     assert all(a[m] == b[m] for m in P.METRICS) and a["forward_return"] != b["forward_return"]
 
 
-def test_price_factors_by_hand(spark):
-    px = series(spark, {"A": [100 + i for i in range(253)]})
-    last = P.price_factors(G.dense_grid(px, G.calendar(px))).orderBy(F.desc("session")).first()
-    assert math.isclose(last["return_21s"], 352 / 331 - 1) and math.isclose(last["momentum_252s_skip_21s"], 331 / 100 - 1) and math.isclose(last["ma_distance_63s"], 352 / 321 - 1)
-    gap = series(spark, {"A": [100 + i if i != 240 else None for i in range(253)], "B": [1] * 253})
+def test_price_factors_by_definition(spark):
+    p = wave(300, 0.13, 0.011)
+    px = series(spark, {"A": p})
+    rows = P.price_factors(G.dense_grid(px, G.calendar(px))).orderBy("session").collect()
+    for i in (20, 21, 61, 62, 251, 252, 299):
+        for name, value in (("return_21s", p[i] / p[i - 21] - 1 if i >= 21 else None), ("momentum_252s_skip_21s", p[i - 21] / p[i - 252] - 1 if i >= 252 else None), ("ma_distance_63s", p[i] * 63 / sum(p[i - 62 : i + 1]) - 1 if i >= 62 else None)):
+            assert (rows[i][name] is None and value is None and rows[i][f"{name}_status"] == "insufficient_history") or math.isclose(rows[i][name], value, rel_tol=1e-9)
+    gap = series(spark, {"A": [v if i != 289 else None for i, v in enumerate(p)], "B": [1] * 300})
     row = P.price_factors(G.dense_grid(gap, G.calendar(gap)), ("return_21s",)).where("symbol = 'A'").orderBy(F.desc("session")).first()
     assert row["return_21s_status"] == "missing_required_prices" and row["return_21s_observed_price_count"] == 21 and row["return_21s"] is None
     with pytest.raises(ValueError):
         P.price_factors(gap, ("nope",))
 
 
-@pytest.mark.parametrize(("q", "want"), [(2, -4.5), (4, -9.0)])
-@pytest.mark.parametrize("order", [(0, 10, 20), (20, 0, 10), (10, 20, 0)])
-def test_tied_spreads(spark, q, want, order):
-    rows = [(DAY, float(s), float(r)) for s, r in zip((0, 0, 0, 1), (*order, 1), strict=True)]
-    got = S.spread_masses(spark.createDataFrame(rows, "d date, s double, r double"), ["d"], "s", "r", q).first()
-    assert math.isclose(got["spread"], want)
+def test_spreads_share_ties_whatever_the_rows_order(spark):
+    """Against the mean over all orders in which equal scores could stand."""
+    from itertools import permutations
+
+    scores, outcomes = [3.0, 1.0, 1.0, 2.0, 1.0, 2.0], [0.5, -1.5, 4.0, 2.5, 7.0, -3.0]
+    for q in (2, 3):
+        k, spreads = len(scores) // q, []
+        for order in permutations(range(6)):
+            if all(scores[a] <= scores[b] for a, b in zip(order, order[1:], strict=False)):
+                ranked = [outcomes[i] for i in order]
+                spreads.append(sum(ranked[-k:]) / k - sum(ranked[:k]) / k)
+        df = spark.createDataFrame([(DAY, s, r) for s, r in zip(scores, outcomes, strict=True)], "d date, s double, r double")
+        got = S.spread_masses(df, ["d"], "s", "r", q).first()
+        assert len(spreads) == 12 and math.isclose(got["spread"], sum(spreads) / len(spreads)) and (got["pairs"], got["scores"]) == (6, 3)
 
 
 def test_rank_with_ties_and_nulls(spark):
@@ -99,9 +130,14 @@ def test_rank_with_ties_and_nulls(spark):
 
 
 def test_benjamini_hochberg(spark):
-    df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.8), ("e", None)], "f string, p double")
+    ps = {f"f{i}": (0.37 * i * i % 1) ** 3 for i in range(1, 13)} | {"same": (0.37 * 16 % 1) ** 3, "none": None}
+    df = spark.createDataFrame(list(ps.items()), "f string, p double")
     q = {r["f"]: r["q_value"] for r in ST.bh_q_values(df, "p").collect()}
-    assert math.isclose(q["a"], 0.04) and math.isclose(q["b"], q["c"]) and math.isclose(q["b"], 0.04 * 4 / 3) and q["d"] == 0.8 and q["e"] is None
+    some = sorted(p for p in ps.values() if p is not None)
+    for f, p in ps.items():
+        # The least of p * m / rank over the values from p on.
+        want = None if p is None else min(1.0, *(x * len(some) / (i + 1) for i, x in enumerate(some) if x >= p))
+        assert (q[f] is None and want is None) or math.isclose(q[f], want)
 
 
 def test_newey_west_and_schedule(spark):
@@ -132,15 +168,17 @@ def test_cost_equation():
     cost = sum((0.01 if t > 0 else -0.02) * t for t in (0.5 * x - 0.9, 0.5 * x, -0.1))
     assert math.isclose(x + cost, 1)
     assert math.isclose(PF.nav_fraction({}, {"A": 1.0}, 0.0, 0.01), 0.99)
-    with pytest.raises(ValueError):
-        PF.SideCosts(0.6, 0.3, 0.1)
+    assert math.isclose(PF.side_rate(commission=0.001, spread=0.0005), 0.0015)
+    for bad in ({"a": 0.6, "b": 0.4}, {"a": -0.1}, {"a": float("nan")}, {"a": True}):
+        with pytest.raises(ValueError):
+            PF.side_rate(**bad)
 
 
 def test_ledger_trades_next_session_and_blocks(spark):
     px = series(spark, {"A": [100, 100, 110, 110, 121], "B": [50, 50, 50, None, 50]})
     cal = G.calendar(px)
     weights = spark.createDataFrame([("good", DAY, "A", 1.0), ("bad", DAY, "B", 1.0)], "account string, as_of_date date, symbol string, weight double")
-    config = PF.LongOnlyConfig(top_k=1, initial_cash=1000.0, buy=PF.SideCosts(0.01), sell=PF.SideCosts(0.0))
+    config = PF.LongOnlyConfig(top_k=1, initial_cash=1000.0, buy_rate=0.01)
     daily = PF.ledger(PF.ledger_input(weights, px, cal, days(5)[-1], config), config)
     rows = [r for r in daily.orderBy("session").collect() if r["account"] == "good"]
     assert rows[0]["session"] == days(2)[1] and math.isclose(rows[0]["nav"], 1000 / 1.01) and rows[0]["reason"] == "scheduled_rebalance"

@@ -83,16 +83,14 @@ def common_daily_metrics(predictions: DataFrame, models: list[str], least: int,
 
 
 def _rolled(daily: DataFrame, keys: list[str], lags: int | None) -> DataFrame:
-    out = daily.groupBy(*keys).agg(
+    sums = (
         F.count("*").alias("date_count"), F.count("rank_ic").alias("ic_date_count"), F.avg("rank_ic").alias("mean_rank_ic"), F.median("rank_ic").alias("median_rank_ic"),
         F.stddev_samp("rank_ic").alias("std_rank_ic"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_date_rate"),
         F.avg("spread").alias("mean_spread"), F.count("spread").alias("spread_date_count"),
         F.avg("score_coverage").alias("mean_score_coverage"), F.avg("ic_coverage").alias("mean_ic_coverage"), F.avg("spread_coverage").alias("mean_spread_coverage"),
     )
-    out = out.withColumn("information_ratio", F.when(F.col("std_rank_ic") > 0, F.col("mean_rank_ic") / F.col("std_rank_ic")))
-    if lags is None:
-        return out
-    return out.join(newey_west(daily, keys, "as_of_date", "rank_ic", lags).select(*keys, "hac_t", "hac_p"), keys)
+    out = daily.groupBy(*keys).agg(*sums) if lags is None else newey_west(daily, keys, "as_of_date", "rank_ic", lags, sums).drop("n", "n_values", "mean")
+    return out.withColumn("information_ratio", F.when(F.col("std_rank_ic") > 0, F.col("mean_rank_ic") / F.col("std_rank_ic")))
 
 
 def fold_metrics(daily: DataFrame) -> DataFrame:
@@ -138,6 +136,22 @@ def walk_forward_report(rows: DataFrame, features: list[str], target: str, least
     return out.join(spread.groupBy("fold", "feature").agg(F.avg("spread").alias("mean_spread")), ["fold", "feature"], "left")
 
 
+def walk_forward_rollup(report: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """Per feature over the folds of ``walk_forward_report``: selection, mean and median test IC, and how often the direction held.
+
+    ``selected`` (fold, feature, selected) tells which features each fold's training rows selected.
+    """
+    rows = report if selected is None else report.join(selected, ["fold", "feature"], "left")
+    chosen = F.lit(None).cast("boolean") if selected is None else F.coalesce("selected", F.lit(False))
+    ic, adjusted = F.col("test_ic"), F.when(F.col("train_ic") != 0, F.col("adjusted_ic"))
+    share = lambda c: F.avg((c > 0).cast("double"))
+    return rows.groupBy("feature").agg(
+        F.count("*").alias("fold_count"), F.sum(chosen.cast("long")).alias("selection_count"), F.avg(chosen.cast("double")).alias("selection_rate"),
+        F.count(ic).alias("test_fold_count"), F.avg(ic).alias("mean_test_ic"), F.median(ic).alias("median_test_ic"), share(ic).alias("positive_fold_rate"),
+        F.avg(adjusted).alias("mean_directional_ic"), share(adjusted).alias("direction_consistency_rate"), F.avg("mean_spread").alias("mean_test_spread"),
+    )
+
+
 def acceptance(facts: dict, limits: dict) -> list[dict]:
     """The thirteen checks of a final evaluation; a null fails."""
     above = lambda k, x: facts.get(k) is not None and facts[k] > x

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..functions import statistics as ST
+from ..functions.numeric import on_each
 from ..operators import audit as A
+from ..operators import comparison as CP
 from ..operators import evaluation as E
 from ..operators import grid as G
 from ..operators import models as M
@@ -250,6 +252,12 @@ ta AS (SELECT *, sign(train_ic) * test_ic AS adjusted_ic FROM tt LEFT JOIN sm US
 query("walk_forward_report", f"{_REPORT} SELECT fold, feature, {s6('train_ic', 'test_ic', 'adjusted_ic', 'mean_spread')} FROM ta")(
     lambda u: E.walk_forward_report(SP.walk_forward_rows(u.panel, _walk(u)), list(SIGNALS), TARGET, u.least, u.quantiles).select("fold", "feature", *r6("train_ic", "test_ic", "adjusted_ic", "mean_spread"))
 )
+_ROLLUP = ["mean_test_ic", "median_test_ic", "positive_fold_rate", "mean_directional_ic", "direction_consistency_rate", "mean_test_spread"]
+query("walk_forward_rollup", f"""{_REPORT}, ru AS (SELECT feature, count(*) AS fold_count, count(test_ic) AS test_fold_count, avg(test_ic) AS mean_test_ic, median(test_ic) AS median_test_ic, avg(CAST(test_ic > 0 AS DOUBLE)) AS positive_fold_rate,
+    avg(CASE WHEN train_ic <> 0 THEN adjusted_ic END) AS mean_directional_ic, avg(CASE WHEN train_ic <> 0 THEN CAST(adjusted_ic > 0 AS DOUBLE) END) AS direction_consistency_rate, avg(mean_spread) AS mean_test_spread FROM ta GROUP BY feature)
+    SELECT feature, fold_count, test_fold_count, {s6(*_ROLLUP)} FROM ru""")(
+    lambda u: E.walk_forward_rollup(E.walk_forward_report(SP.walk_forward_rows(u.panel, _walk(u)), list(SIGNALS), TARGET, u.least, u.quantiles)).select("feature", "fold_count", "test_fold_count", *r6(*_ROLLUP))
+)
 query("preflight_dates", f"WITH {sql.panel()} SELECT as_of_date, count(*) AS row_count, count(forward_excess_return) AS target_count, count(forward_return) AS return_count, count(forward_excess_return) >= 20 AS ic_evaluable, count(forward_return) >= 20 AS spread_evaluable FROM panel GROUP BY as_of_date")(lambda u: A.preflight_dates(u.panel, TARGET, "forward_return", u.least))
 
 # Baselines and evaluation
@@ -270,7 +278,8 @@ def predictions(u: Universe) -> DataFrame:
     """Scores of the fixed baselines over the outer folds' date ranges, for everyone in them."""
     wide = E.signed_ranks(u.panel, dict.fromkeys(SIGNS, 1))
     equal = E.equal_weight_scores(u.panel, SIGNS).select("as_of_date", "symbol", F.col("score").alias("equal_weight_rank"))
-    rows = wide.join(equal, ["as_of_date", "symbol"]).join(F.broadcast(_blocks(u)), F.col("as_of_date").between(F.col("evaluation_start"), F.col("evaluation_end")))
+    rows = wide.join(equal, ["as_of_date", "symbol"])
+    rows = on_each(rows, _blocks(u), SP.MOST_FOLDS).where(F.col("as_of_date").between(F.col("evaluation_start"), F.col("evaluation_end")))
     scores = {"equal_weight_rank": F.col("equal_weight_rank"), "metric:trailing_return": F.col("_rank_trailing_return"), "metric:beta": F.col("_rank_beta")}
     kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), s.alias("score")) for m, s in scores.items()])).alias("m")
     out = rows.select(F.lit("development").alias("phase"), "fold", "as_of_date", "symbol", kinds, F.col(TARGET).alias("target"), F.col("forward_return").alias("realized_return"))
@@ -321,24 +330,88 @@ query("paired_deltas", f"{_DELTAS} SELECT as_of_date, {s6('candidate_ic', 'refer
 query("paired_summary", f"{_DELTAS} SELECT count(*) AS scheduled_count, count(candidate_ic) AS candidate_count, count(reference_ic) AS reference_count, count(delta) AS paired_count, round(count(delta) / count(*), 6) AS paired_coverage, round(avg(delta), 6) AS mean_paired_delta FROM dl")(
     lambda u: E.paired_summary(_deltas(u)).select("scheduled_count", "candidate_count", "reference_count", "paired_count", *r6("paired_coverage", "mean_paired_delta"))
 )
-query("frozen_family", f"{_NATIVE} SELECT model, round(avg(rank_ic), 6) AS mean_rank_ic FROM dm GROUP BY model ORDER BY avg(rank_ic) DESC LIMIT 1")(lambda u: E.frozen_family(E.phase_summary(native(u), LAGS), list(MODELS)).select("model", *r6("mean_rank_ic")))
+query("frozen_family", f"{_NATIVE} SELECT model, round(avg(rank_ic), 6) AS mean_rank_ic FROM dm GROUP BY model HAVING avg(rank_ic) IS NOT NULL ORDER BY avg(rank_ic) DESC LIMIT 1")(lambda u: E.frozen_family(E.phase_summary(native(u), LAGS), list(MODELS)).select("model", *r6("mean_rank_ic")))
+
+# Contracts between runs
+
+_TABLE = f"""{_SPLIT}, asg AS (SELECT 'development' AS phase, fold, 'development_fold_' || (fold - 1) AS split_id, as_of_date || '|' || symbol AS row_id, role, exclusion_reason,
+  max(CASE WHEN role = 'training' THEN as_of_date END) OVER (PARTITION BY fold) AS train_end_date, max(CASE WHEN role = 'training' THEN label_end_date END) OVER (PARTITION BY fold) AS train_label_end_max, evaluation_start, fe.evaluation_end, as_of_date, symbol, forward_excess_return, forward_return
+  FROM (SELECT fa.*, forward_return FROM fa JOIN panel USING (as_of_date, symbol)) f JOIN (SELECT fold, evaluation_end FROM ob) fe USING (fold)),
+af AS (SELECT * REPLACE (CASE WHEN symbol % 17 = 0 AND fold = 2 AND role = 'training' THEN 'excluded' ELSE role END AS role, CASE WHEN symbol % 13 = 0 AND fold = 1 AND exclusion_reason IS NULL THEN 'odd' ELSE exclusion_reason END AS exclusion_reason,
+  CASE WHEN symbol % 19 = 0 THEN ' ' || row_id ELSE row_id END AS row_id) FROM asg WHERE NOT (symbol % 23 = 0 AND fold = 3))"""
+
+
+def _table(u: Universe) -> DataFrame:
+    row = F.concat(F.col("as_of_date").cast("string"), F.lit("|"), F.col("symbol").cast("string"))
+    return CP.assignment_table(_assigned(u), row)
+
+
+def _faulty(u: Universe) -> DataFrame:
+    """Assignments with planted faults, by rules on symbol and fold."""
+    name = F.split("row_id", "[|]")[1].cast("long")
+    rows = _table(u).withColumn("s", name).where(~((F.col("s") % 23 == 0) & (F.col("fold") == 3)))
+    rows = rows.withColumn("exclusion_reason", F.when((F.col("s") % 13 == 0) & (F.col("fold") == 1) & F.col("exclusion_reason").isNull(), "odd").otherwise(F.col("exclusion_reason")))
+    rows = rows.withColumn("role", F.when((F.col("s") % 17 == 0) & (F.col("fold") == 2) & (F.col("role") == "training"), "excluded").otherwise(F.col("role")))
+    return rows.withColumn("row_id", F.when(F.col("s") % 19 == 0, F.concat(F.lit(" "), "row_id")).otherwise(F.col("row_id"))).drop("s")
+
+
+def _violations(u: Universe) -> DataFrame:
+    blocks = _blocks(u)
+    return CP.assignment_violations(_faulty(u), SP.phase_schedule(u.panel, blocks), folds=FOLDS, fold_dates=BLOCK, start=date(1995, 1, 1), lock_start=date(2001, 6, 1))
+
+
+query("assignment_violations", f"""{_TABLE}, du AS (SELECT DISTINCT as_of_date FROM panel WHERE as_of_date BETWEEN (SELECT min(evaluation_start) FROM ob) AND (SELECT max(evaluation_end) FROM ob)),
+fb AS (SELECT fold, min(train_end_date) AS a, min(train_label_end_max) AS b, min(evaluation_start) AS c, min(evaluation_end) AS d, count(DISTINCT (train_end_date, train_label_end_max, evaluation_start, evaluation_end)) AS kinds FROM af GROUP BY fold),
+fd AS (SELECT *, (SELECT count(*) FROM du WHERE as_of_date BETWEEN c AND d) AS dates, lag(d) OVER (ORDER BY fold) AS before FROM fb),
+rk2 AS (SELECT row_id, count(*) AS n, count(DISTINCT fold) AS k FROM af GROUP BY row_id)
+SELECT unnest(['wrong_phase', 'bad_fold', 'untidy_text', 'unknown_role', 'reason_without_exclusion', 'wrong_split_id', 'duplicate_rows', 'incomplete_rows', 'fold_numbers', 'varying_bounds', 'disordered_bounds', 'overlapping_folds', 'bounds_off_schedule', 'wrong_date_count', 'schedule_span']) AS "check",
+ unnest([0, 0, (SELECT count(*) FROM af WHERE trim(row_id) <> row_id), 0, (SELECT count(*) FROM af WHERE (role = 'excluded') <> (exclusion_reason IS NOT NULL)), 0,
+  (SELECT coalesce(CAST(sum(n - k) AS BIGINT), 0) FROM rk2), (SELECT count(*) FROM rk2 WHERE k <> {FOLDS}), abs((SELECT count(*) FROM fb) - {FOLDS}), (SELECT count(*) FROM fb WHERE kinds <> 1),
+  (SELECT count(*) FROM fb WHERE NOT coalesce(DATE '1995-01-01' <= a AND a < b AND b < c AND c <= d AND d < DATE '2001-06-01', false)), (SELECT count(*) FROM fd WHERE c <= before), (SELECT count(*) FROM fb WHERE c NOT IN (SELECT as_of_date FROM du) OR d NOT IN (SELECT as_of_date FROM du)),
+  (SELECT count(*) FROM fd WHERE dates <> {BLOCK}), CASE WHEN (SELECT min(c) FROM fb) = (SELECT min(as_of_date) FROM du) AND (SELECT max(d) FROM fb) = (SELECT max(as_of_date) FROM du) THEN 0 ELSE 1 END]) AS violations""")(_violations)
+query("assignment_differences", f"""{_TABLE} SELECT fold, row_id, CASE WHEN r.phase IS NULL THEN 'only_left' WHEN l.phase IS NULL THEN 'only_right' ELSE array_to_string(list_filter([CASE WHEN l.role <> r.role THEN 'role' END, CASE WHEN l.exclusion_reason IS DISTINCT FROM r.exclusion_reason THEN 'exclusion_reason' END], lambda x: x IS NOT NULL), ',') END AS difference
+  FROM asg l FULL JOIN af r USING (fold, row_id) WHERE l.phase IS NULL OR r.phase IS NULL OR l.role <> r.role OR l.exclusion_reason IS DISTINCT FROM r.exclusion_reason""")(lambda u: CP.assignment_differences(_table(u), _faulty(u)))
+
+
+def _evidence(u: Universe) -> DataFrame:
+    """Scores of the rows that a model may score, with planted faults."""
+    rows = _assigned(u).where((F.col("role") == "evaluation") | F.col("exclusion_reason").isin("missing_label", "missing_target") & F.col("as_of_date").between(F.col("evaluation_start"), F.col("evaluation_end")))
+    row = F.concat(F.col("as_of_date").cast("string"), F.lit("|"), F.col("symbol").cast("string"))
+    ends = _table(u).groupBy("fold").agg(F.min("train_end_date").alias("fit_end_date"), F.min("train_label_end_max").alias("train_label_end_max"))
+    made = rows.where("symbol % 29 <> 0").join(ends, "fold").withColumn("fit_end_date", F.when(F.col("symbol") % 31 == 0, F.date_sub("fit_end_date", 7)).otherwise(F.col("fit_end_date")))
+    odd = F.when(F.col("symbol") % 37 == 0, F.col("fold") % FOLDS + 1).otherwise(F.col("fold")).cast("int")
+    return made.select(odd.alias("fold"), "as_of_date", "symbol", row.alias("row_id"), "fit_end_date", "train_label_end_max", "evaluation_start", F.col(TARGET).alias("target"), F.when(F.col("symbol") % 5 != 0, F.col("forward_return")).alias("realized_return"))
+
+
+_EVIDENCE = f"""{_TABLE}, ev AS (SELECT CAST(CASE WHEN symbol % 37 = 0 THEN fold % {FOLDS} + 1 ELSE fold END AS INTEGER) AS fold, as_of_date, symbol, row_id, CAST(CASE WHEN symbol % 31 = 0 THEN train_end_date - 7 ELSE train_end_date END AS DATE) AS fit_end_date, train_label_end_max, evaluation_start, forward_excess_return AS target, CASE WHEN symbol % 5 <> 0 THEN forward_return END AS realized_return
+  FROM asg WHERE symbol % 29 <> 0 AND (role = 'evaluation' OR exclusion_reason IN ('missing_label', 'missing_target') AND as_of_date BETWEEN evaluation_start AND evaluation_end)),
+eb AS (SELECT fold, min(train_end_date) AS te, min(train_label_end_max) AS tl, min(evaluation_start) AS es, min(evaluation_end) AS ee FROM asg GROUP BY fold),
+du AS (SELECT DISTINCT fold, as_of_date FROM panel JOIN eb ON as_of_date BETWEEN es AND ee),
+ej AS (SELECT ev.fold AS scored, asg.fold AS there, role, exclusion_reason FROM ev FULL JOIN asg ON ev.fold = asg.fold AND ev.row_id = asg.row_id)"""
+query("evidence_violations", f"""{_EVIDENCE} SELECT unnest(['fit_end_date_differs', 'train_label_end_max_differs', 'evaluation_start_differs', 'scored_not_allowed', 'evaluation_not_scored', 'dates_off_schedule', 'dates_missing', 'repeated_keys']) AS "check",
+ unnest([(SELECT count(*) FROM ev JOIN eb USING (fold) WHERE fit_end_date IS DISTINCT FROM te), (SELECT count(*) FROM ev JOIN eb USING (fold) WHERE train_label_end_max IS DISTINCT FROM tl), (SELECT count(*) FROM ev JOIN eb USING (fold) WHERE evaluation_start IS DISTINCT FROM es),
+  (SELECT count(*) FROM ej WHERE scored IS NOT NULL AND NOT coalesce(role = 'evaluation' OR role = 'excluded' AND exclusion_reason IN ('missing_label', 'missing_target', 'locked_test_overlap'), false)), (SELECT count(*) FROM ej WHERE role = 'evaluation' AND scored IS NULL),
+  (SELECT count(*) FROM (SELECT DISTINCT fold, as_of_date FROM ev) e WHERE NOT EXISTS (SELECT 1 FROM du WHERE du.fold = e.fold AND du.as_of_date = e.as_of_date)), (SELECT count(*) FROM du WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.fold = du.fold AND ev.as_of_date = du.as_of_date)),
+  (SELECT coalesce(CAST(sum(n - 1) AS BIGINT), 0) FROM (SELECT count(*) AS n FROM ev GROUP BY fold, as_of_date, symbol))]) AS violations""")(lambda u: CP.evidence_violations(_evidence(u), _table(u), SP.phase_schedule(u.panel, _blocks(u))))
+query("outcome_violations", f"""{_EVIDENCE}, oj AS (SELECT ev.*, role, exclusion_reason FROM ev LEFT JOIN asg ON ev.fold = asg.fold AND ev.row_id = asg.row_id) SELECT unnest(['evaluation_without_target', 'target_that_is_missing', 'unauthorised_outcome']) AS "check",
+ unnest([(SELECT count(*) FROM oj WHERE role = 'evaluation' AND target IS NULL), (SELECT count(*) FROM oj WHERE exclusion_reason = 'missing_target' AND target IS NOT NULL), (SELECT count(*) FROM oj WHERE exclusion_reason IN ('missing_label', 'locked_test_overlap') AND (target IS NOT NULL OR realized_return IS NOT NULL))]) AS violations""")(lambda u: CP.outcome_violations(_evidence(u), _table(u)))
 
 # Portfolio
 
-_WEIGHTS = f"""{_SCORES}, tk AS (SELECT as_of_date, symbol, round(equal_score, 2) AS score FROM sc WHERE equal_score IS NOT NULL),
+_WEIGHTS = f"""{_SCORES}, tk AS (SELECT as_of_date, symbol, floor(equal_score * 100 + 0.5001e0) / 100 AS score FROM sc WHERE equal_score IS NOT NULL),
 tr AS (SELECT *, rank() OVER (PARTITION BY as_of_date ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY as_of_date, score) AS c FROM tk),
 tw AS (SELECT as_of_date, symbol, score, greatest(0, least(5 - (r - 1), c)) / 5.0e0 / c AS weight FROM tr)"""
 
 
 def _weights(u: Universe) -> DataFrame:
-    scores = E.equal_weight_scores(u.panel, SIGNS).withColumn("score", F.round("score", 2))
+    scores = E.equal_weight_scores(u.panel, SIGNS).withColumn("score", F.floor(F.col("score") * 100 + 0.5001) / 100)
     return PF.top_k_weights(scores, 5)
 
 
 query("top_k_weights", f"{_WEIGHTS} SELECT as_of_date, symbol, score, {s6('weight')} FROM tw WHERE weight > 0")(lambda u: _weights(u).select("as_of_date", "symbol", "score", *r6("weight")))
 query("execution_dates", f"WITH {sql.base()} SELECT d.as_of_date, d.pos, c.session AS execution_date FROM dec d LEFT JOIN cal c ON c.pos = d.pos + 1")(lambda u: G.session_offset(u.calendar, u.dates, 1).select("as_of_date", "pos", "execution_date"))
 
-_ACCOUNT = PF.LongOnlyConfig(top_k=5, buy=PF.SideCosts(0.001, 0.0005), sell=PF.SideCosts(0.001, 0.0005))
+_ACCOUNT = PF.LongOnlyConfig(top_k=5, buy_rate=0.0015, sell_rate=0.0015)
 
 
 def _ledger(u: Universe) -> DataFrame:

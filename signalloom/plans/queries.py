@@ -183,7 +183,16 @@ def _selection(u: Universe) -> DataFrame:
     return u.spark.createDataFrame(picked["selection"], "feature string, selected boolean, reason string")
 
 
-query("metric_screen")(_selection)
+_SCREEN = f"""WITH RECURSIVE {sql.panel()}, tp AS (SELECT * FROM panel WHERE as_of_date <= DATE '2000-01-01'), {sql.long(SIGNALS, 'as_of_date, forward_excess_return', 'tp')}, {sql.ic('ic', 'long', 'feature, as_of_date', 'value', 'forward_excess_return')},
+ql AS (SELECT feature, count(value) / count(*) AS coverage, count(DISTINCT value) <= 1 AS flat FROM long GROUP BY feature), mi AS (SELECT feature, avg(rank_ic) AS mean FROM ic GROUP BY feature),
+pairs0 AS ({" UNION ALL ".join(f"SELECT as_of_date, '{a}' AS lft, '{b}' AS rgt, {a} AS x, {b} AS y FROM tp" for i, a in enumerate(SIGNALS) for b in SIGNALS[i + 1 :])}), pr AS (SELECT * FROM pairs0 WHERE x IS NOT NULL AND y IS NOT NULL), {sql.ic('pic', 'pr', 'lft, rgt, as_of_date', 'x', 'y')},
+cl AS (SELECT lft, rgt FROM pic GROUP BY lft, rgt HAVING avg(abs(rank_ic)) >= 0.9), twins AS (SELECT feature, list(other) AS others FROM (SELECT lft AS feature, rgt AS other FROM cl UNION ALL SELECT rgt, lft FROM cl) GROUP BY feature),
+od AS (SELECT feature, coalesce(others, []) AS others, row_number() OVER (ORDER BY CASE WHEN mean IS NULL THEN 1 ELSE -abs(mean) END, coverage DESC, feature) AS k,
+  CASE WHEN flat THEN 'zero_variance' WHEN coverage < 0.5 THEN 'low_coverage' WHEN mean IS NULL THEN 'insufficient_rank_ic' END AS base FROM ql LEFT JOIN mi USING (feature) LEFT JOIN twins USING (feature)),
+gr AS (SELECT CAST(0 AS BIGINT) AS k, '' AS feature, CAST(NULL AS VARCHAR) AS reason, CAST([] AS VARCHAR[]) AS kept UNION ALL
+  SELECT k, feature, reason, CASE WHEN reason IS NULL THEN list_append(kept, feature) ELSE kept END FROM (SELECT od.k, od.feature, coalesce(base, 'redundant_with:' || list_filter(gr.kept, lambda x: list_contains(others, x))[1]) AS reason, gr.kept FROM gr JOIN od ON od.k = gr.k + 1))
+SELECT feature, reason IS NULL AS selected, reason FROM gr WHERE k > 0"""
+query("metric_screen", _SCREEN)(_selection)
 
 # Splits
 
@@ -414,21 +423,40 @@ query("execution_dates", f"WITH {sql.base()} SELECT d.as_of_date, d.pos, c.sessi
 _ACCOUNT = PF.LongOnlyConfig(top_k=5, buy_rate=0.0015, sell_rate=0.0015)
 
 
-def _ledger(u: Universe) -> DataFrame:
+def _journal(u: Universe, account: PF.LongOnlyConfig) -> DataFrame:
     """Accounts of three scores on brands, liquidated at the calendar's end; weeks without a mark carry the last one."""
     panel = u.panel
     scores = {"equal_weight": E.equal_weight_scores(panel, SIGNS), "trailing_return": panel.select("as_of_date", "symbol", F.col("trailing_return").alias("score")), "beta": panel.select("as_of_date", "symbol", F.col("beta").alias("score"))}
-    weights = [PF.top_k_weights(s, _ACCOUNT.top_k).withColumn("account", F.lit(a)) for a, s in scores.items()]
+    weights = [PF.top_k_weights(s, account.top_k).withColumn("account", F.lit(a)) for a, s in scores.items()]
     every = weights[0].unionByName(weights[1]).unionByName(weights[2])
     from pyspark.sql import Window
 
     marks = G.dense_grid(u.prices, u.calendar).withColumn("price", F.last("price", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("pos")))
     terminal = u.calendar.agg(F.max("session")).first()[0]
-    return PF.ledger(PF.ledger_input(every, marks, u.calendar, terminal, _ACCOUNT), _ACCOUNT)
-
-
-query("ledger_daily", None, "brand")(_ledger)
-query("ledger_summary", None, "brand")(lambda u: PF.ledger_summary(_ledger(u), _ACCOUNT.initial_cash))
+    return PF.journal(PF.ledger_input(every, marks, u.calendar, terminal, account), account)
+
+
+def _days(u: Universe, account: PF.LongOnlyConfig = _ACCOUNT) -> DataFrame:
+    return PF.of_kind(_journal(u, account), "day")
+
+
+query("ledger_daily", None, "brand")(_days)
+query("ledger_summary", None, "brand")(lambda u: PF.ledger_summary(_days(u), _ACCOUNT.initial_cash))
+query("ledger_trades", None, "brand")(lambda u: PF.of_kind(_journal(u, _ACCOUNT), "trade"))
+query("ledger_positions", None, "brand")(lambda u: PF.of_kind(_journal(u, _ACCOUNT), "position"))
+# An account without costs has a closed form: its growth between two executions is that of its weights.
+_FREE = f"""WITH {sql.panel('brand')}, last AS (SELECT max(pos) AS pos FROM cal),
+mk AS (SELECT symbol, pos, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY pos) AS price FROM grid),
+fs AS (SELECT as_of_date, symbol, m.account, m.score FROM (SELECT as_of_date, symbol, unnest([{{'account': 'trailing_return', 'score': trailing_return}}, {{'account': 'beta', 'score': beta}}]) AS m FROM panel) WHERE m.score IS NOT NULL),
+fr AS (SELECT *, rank() OVER (PARTITION BY account, as_of_date ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY account, as_of_date, score) AS c FROM fs),
+fw AS (SELECT account, symbol, cal.pos + 1 AS p0, greatest(0, least(5 - (r - 1), c)) / 5.0e0 / c AS w FROM fr JOIN cal ON cal.session = as_of_date WHERE greatest(0, least(5 - (r - 1), c)) > 0 AND cal.pos + 1 < (SELECT pos FROM last)),
+fp AS (SELECT account, p0, coalesce(lead(p0) OVER (PARTITION BY account ORDER BY p0), (SELECT pos FROM last)) AS p1 FROM (SELECT DISTINCT account, p0 FROM fw)),
+fg AS (SELECT fw.account, fp.p0, p1, m1.pos, 1 - sum(w) + sum(w * m1.price / m0.price) AS growth FROM fw JOIN fp USING (account, p0) JOIN mk m0 ON m0.symbol = fw.symbol AND m0.pos = fp.p0 JOIN mk m1 ON m1.symbol = fw.symbol AND m1.pos BETWEEN fp.p0 AND p1 GROUP BY fw.account, fp.p0, p1, m1.pos),
+fc AS (SELECT account, p0, coalesce(exp(sum(ln(growth)) OVER (PARTITION BY account ORDER BY p0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS before FROM fg WHERE pos = p1),
+fv AS (SELECT account, session, round(ln(before * growth), 6) + 0.0e0 AS log_growth FROM fg JOIN fc USING (account, p0) JOIN cal USING (pos) WHERE pos < p1 OR p1 = (SELECT pos FROM last))"""
+_NO_COSTS = PF.LongOnlyConfig(top_k=5)
+query("ledger_without_costs", f"{_FREE} SELECT account, session, log_growth FROM fv", "brand")(lambda u: _days(u, _NO_COSTS).where("account <> 'equal_weight'").select("account", "session", (F.round(F.ln(F.col("nav") / _NO_COSTS.initial_cash), 6) + F.lit(0.0)).alias("log_growth")))
+query("ledger_balance", f"{_FREE} SELECT account, count(*) AS sessions, 0 AS broken_nav, 0 AS broken_cash FROM fv GROUP BY account", "brand")(lambda u: PF.balance(_journal(u, _ACCOUNT), _ACCOUNT.initial_cash).where("account <> 'equal_weight'"))
 
 # Models
 
@@ -468,12 +496,42 @@ def _model_scores(u: Universe, components: float | None = None) -> DataFrame:
 
 
 query("ridge_scores")(lambda u: _model_scores(u))
+
+
+def _complete_scores(u: Universe) -> DataFrame:
+    """Ridge fitted on training rows with all inputs, which needs no imputation: a system of three unknowns."""
+    complete = F.lit(True)
+    for f in _INPUTS:
+        complete = complete & F.col(f).isNotNull()
+    rows = training(u).drop("weight").where(complete)
+    model = M.fit_ridge(SP.training_weights(rows, []), _INPUTS, TARGET, [1.0])[0]
+    later = M.rank_features(u.panel.select("as_of_date", "symbol", *_INPUTS), _INPUTS).where((F.col("as_of_date") >= F.lit(date(2000, 1, 1))) & complete)
+    return model.score(later).select("as_of_date", "symbol", *r6("score"))
+
+
+def _cramer(column: int) -> str:
+    """The determinant of the 3 by 3 system with its right side in a column, or in none."""
+    cell = lambda i, j: f"b{i}" if j == column else f"a{min(i, j)}{max(i, j)}"
+    minor = lambda j, k: f"({cell(1, j)} * {cell(2, k)} - {cell(1, k)} * {cell(2, j)})"
+    return f"({cell(0, 0)} * {minor(1, 2)} - {cell(0, 1)} * {minor(0, 2)} + {cell(0, 2)} * {minor(0, 1)})"
+
+
+_THREE = range(3)
+_COMPLETE = f"""{_TRAIN.split('tr AS (')[0]}cc AS (SELECT as_of_date, y, {', '.join(f'{f} AS x{i}' for i, f in enumerate(_INPUTS))} FROM tr0 WHERE {' AND '.join(f'{f} IS NOT NULL' for f in _INPUTS)}),
+cw AS (SELECT *, (SELECT count(*) FROM cc) / (SELECT count(DISTINCT as_of_date) FROM cc) / count(*) OVER (PARTITION BY as_of_date) AS w FROM cc),
+cm AS (SELECT {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}' for i in _THREE)} FROM cc),
+cz AS (SELECT y, w, {', '.join(f'(x{i} - m{i}) / s{i} AS z{i}' for i in _THREE)} FROM cw, cm),
+cv AS (SELECT sum(w) AS sw, sum(w * y) / sum(w) AS my, {', '.join(f'sum(w * z{i}) / sum(w) AS c{i}' for i in _THREE)} FROM cz),
+cs AS (SELECT {', '.join(f"sum(w * (z{i} - c{i}) * (z{j} - c{j})){' + 1' if i == j else ''} AS a{i}{j}" for i in _THREE for j in range(i, 3))}, {', '.join(f'sum(w * (z{i} - c{i}) * (y - my)) AS b{i}' for i in _THREE)} FROM cz, cv),
+cb AS (SELECT {', '.join(f'{_cramer(i)} / {_cramer(9)} AS k{i}' for i in _THREE)} FROM cs)
+SELECT as_of_date, symbol, round(my + {' + '.join(f'k{i} * (({f} - m{i}) / s{i} - c{i})' for i, f in enumerate(_INPUTS))}, 6) + 0.0e0 AS score FROM rk, cm, cv, cb WHERE as_of_date >= DATE '2000-01-01' AND {' AND '.join(f'{f} IS NOT NULL' for f in _INPUTS)}"""
+query("ridge_complete_scores", _COMPLETE)(_complete_scores)
 query("ridge_pca_scores")(lambda u: _model_scores(u, 0.95))
 query("pca_baseline")(lambda u: M.pca_baseline(u.panel, list(SIGNALS), date(2000, 1, 1))[0])
 
 
 def _tree_scores(u: Universe) -> DataFrame:
-    score = M.fit_trees(training(u), _INPUTS, TARGET, rounds=10)
+    score = M.fit_trees(training(u), _INPUTS, TARGET)
     later = M.rank_features(u.panel.select("as_of_date", "symbol", *_INPUTS), _INPUTS).where(F.col("as_of_date") >= F.lit(date(2000, 1, 1)))
     return score(later).select("as_of_date", "symbol", "feature_count", "score")
 
@@ -485,7 +543,7 @@ query("gbt_scores")(_tree_scores)
 
 def _wide(u: Universe) -> DataFrame:
     """Brand prices with a column a ticker."""
-    names = [r[0] for r in u.prices.select("symbol").distinct().orderBy("symbol").limit(10).collect()]
+    names = [r[0] for r in u.prices.select("symbol").distinct().orderBy("symbol").collect()]
     return u.prices.groupBy(F.col("session").alias("Date")).pivot("symbol", names).agg(F.first("price"))
 
 

@@ -219,7 +219,7 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("i"), folds) != held)).withColumn("h", F.xxhash64("i", "text"))
     kinds = stored(rows.select("lang", "h", F.octet_length("text").cast("long").alias("size")).distinct(), "labelled")
     # Hashes are even, so that about four times as many as are asked for lie below this share of their range.
-    below = kinds.groupBy("lang").agg((4.0 * per_lang / F.count("*")).alias("share"))
+    below = stored(kinds.groupBy("lang").agg((4.0 * per_lang / F.count("*")).alias("share")), "shares")
     kinds = kinds.join(below, "lang").where(F.col("h").cast("double") / 2.0**64 + 0.5 < F.col("share"))
     order = Window.partitionBy("lang").orderBy("h")
     best = kinds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)

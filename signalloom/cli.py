@@ -53,6 +53,17 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--registry")
             p.add_argument("--manifest")
             p.add_argument("--final", action="store_true")
+    dev = sub.add_parser("develop", help="a development run from input tables to a verified bundle")
+    for name in ("prices", "memberships", "dates", "panel-config", "config", "registry", "manifest", "output"):
+        dev.add_argument(f"--{name}", required=True)
+    ver = sub.add_parser("verify", help="check a bundle against its registry")
+    for name in ("bundle", "registry"):
+        ver.add_argument(f"--{name}", required=True)
+    abl = sub.add_parser("ablate", help="the benchmark by target or by features")
+    abl.add_argument("kind", choices=("target", "features"))
+    for name in ("panel", "config", "output"):
+        abl.add_argument(f"--{name}", required=True)
+    abl.add_argument("--more", nargs="*", default=[])
     sub.add_parser("experiments").add_argument("--registry", required=True)
     return top
 
@@ -76,14 +87,30 @@ def main(argv: list[str] | None = None) -> int:
         config = R.PanelConfig(**settings)
         prices, members = tables.read_table(spark, args.prices), tables.read_table(spark, args.memberships)
         dates = tables.read_as_of_dates(spark, args.dates)
-        panel = R.panel_from_tables(prices, members, dates, config)
         if args.command == "audit":
-            counts = panel.groupBy("feature_status", "target_status").count().collect()
-            print(json.dumps([r.asDict() for r in counts]))
+            found = R.audit_inputs(prices, members, dates, config, args.least)
+            if args.output:
+                sinks.write_bundle(args.output, {k: found[k] for k in ("by_date", "by_security")}, {"warnings": found["warnings"]})
+            print(json.dumps({"dates": found["by_date"].count(), "warnings": found["warnings"]}))
             return 0
+        panel = R.panel_from_tables(prices, members, dates, config)
         out = R.run_research(panel, list(config.features), "forward_excess_return", args.train_end, least=args.least, lags=args.lags, folds=args.folds, test_dates=args.test_dates or 4, least_train=args.least_train or 12, pca_share=args.pca)
         reports = {k: v for k, v in out.items() if hasattr(v, "write")}
         sinks.write_run(args.output, panel, reports, {"selection": out["selection"], "config": settings})
+    elif args.command == "develop":
+        settings = tables.read_json_object(args.panel_config)
+        settings["features"] = tuple(settings.get("features", R.PanelConfig().features))
+        bench = R.BenchmarkConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in tables.read_json_object(args.config).items()})
+        out = R.develop(tables.read_table(spark, args.prices), tables.read_table(spark, args.memberships), tables.read_as_of_dates(spark, args.dates), R.PanelConfig(**settings), bench, registry=ExperimentRegistry(args.registry), manifest=tables.read_json_object(args.manifest), path=args.output)
+        print(json.dumps({"run": out["run"], "frozen": out["frozen"], "warnings": out["audit"]["warnings"]}))
+    elif args.command == "verify":
+        report = R.verify_development(spark, args.bundle, ExperimentRegistry(args.registry))
+        print(json.dumps({"run": report["run"], "frozen": report["frozen"]}))
+    elif args.command == "ablate":
+        config = R.BenchmarkConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in tables.read_json_object(args.config).items()})
+        panel = tables.read_table(spark, args.panel)
+        arms = R.target_ablation(panel, config) if args.kind == "target" else R.feature_ablation(panel, config, tuple(args.more))
+        sinks.write_bundle(args.output, {f"{arm}_{t}": out[t] for arm, out in arms.items() for t in ("fold_metrics", "summary")}, {"frozen": {arm: out["frozen"] for arm, out in arms.items()}})
     else:
         settings = tables.read_json_object(args.config)
         config = R.BenchmarkConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})

@@ -163,6 +163,62 @@ def validate_panel(panel: DataFrame, features: list[str], target: str, realized:
     return out.drop("_bad").withColumns({c: clean_double(c) for c in numbers}).withColumn("row_id", row_id())
 
 
+def observations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as finite doubles: numbers and numeric text are read, missing and non-finite numbers are null; other types and text are errors."""
+    made, bad = {}, {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        if not isinstance(kind, (*_PLAIN, T.StringType)):
+            raise ContractError(f"{c} must be numeric, not {kind.simpleString()}")
+        made[c] = clean_double(F.expr(f"try_cast(`{c}` AS DOUBLE)"))
+        if isinstance(kind, T.StringType):
+            bad[c] = F.col(c).isNotNull() & (F.trim(c) != "") & made[c].isNull()
+    if bad and (found := {c: n for c, n in df.agg(*[F.count_if(x).alias(c) for c, x in bad.items()]).first().asDict().items() if n}):
+        raise ContractError(f"text that isn't a finite number: {found}")
+    return df.withColumns(made)
+
+
+def validate_signal_panel(panel: DataFrame, features: list[str], target: str, least: int) -> DataFrame:
+    """A panel for screening: a least cross-section of 2 or more, its columns, unique (as_of_date, symbol), days, numeric signals."""
+    if isinstance(least, bool) or not isinstance(least, int) or least < 2:
+        raise ContractError("the least cross-section must be an integer of 2 or more")
+    require_columns(panel, ["as_of_date", "symbol", *features, target], "panel")
+    day, bad = daily_date(panel, "as_of_date")
+    rows = observations(panel, list(dict.fromkeys([*features, target]))).withColumn("as_of_date", day).withColumn("_bad", bad)
+    _enforce(rows, {"bad dates": F.col("_bad") | F.col("as_of_date").isNull(), "bad symbols": F.coalesce(text("symbol"), F.lit("")) == ""}, ["as_of_date", "symbol"], "panel")
+    return rows.drop("_bad")
+
+
+def validate_daily_ic(daily: DataFrame, date: str = "as_of_date") -> DataFrame:
+    """Rank correlations by feature and date: both there, unique together, values finite or null."""
+    require_columns(daily, ["feature", date, "rank_ic"], "daily correlations")
+    rows = observations(daily, ["rank_ic"])
+    _enforce(rows, {"no feature": F.coalesce(text("feature"), F.lit("")) == "", "no date": F.col(date).isNull()}, ["feature", date], "daily correlations")
+    return rows
+
+
+def validate_schedule(dates) -> list:
+    """An ordered sequence of distinct increasing days; sets have no order and are refused."""
+    import datetime
+
+    if isinstance(dates, (set, frozenset, dict, str)):
+        raise ContractError("a schedule must be an ordered sequence")
+    days = [datetime.date.fromisoformat(d) if isinstance(d, str) else d for d in dates]
+    if not days or any(not isinstance(d, datetime.date) or isinstance(d, datetime.datetime) for d in days):
+        raise ContractError("a schedule must hold days")
+    if any(a >= b for a, b in zip(days, days[1:], strict=False)):
+        raise ContractError("a schedule must increase")
+    return days
+
+
+def validate_training(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """Training rows of a baseline: unique (as_of_date, symbol), numbers or null."""
+    require_columns(rows, ["as_of_date", "symbol", *features, target], "training rows")
+    clean = observations(rows, list(dict.fromkeys([*features, target])))
+    _enforce(clean, {"no key": F.col("as_of_date").isNull() | F.col("symbol").isNull()}, ["as_of_date", "symbol"], "training rows")
+    return clean
+
+
 def validate_predictions(predictions: DataFrame) -> None:
     keys = ["phase", "fold", "as_of_date", "symbol", "model"]
     require_columns(predictions, [*keys, "score", "target", "realized_return"], "predictions")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contracts import ContractError
 from ..functions.numeric import clean_double, on_each
+from ..registry import IDENTITY
 
 # Roles, reasons and columns of the assignment table.
 ROLES = ("training", "evaluation", "excluded")
@@ -140,11 +141,7 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise ContractError(f"{what}: {', '.join(found)}")
 
 
-# What a run says about itself, and flags that a development run can't have set.
-IDENTITY = (
-    "study", "hypothesis", "dataset_version", "universe_id", "target", "features", "panel_sha256", "config_sha256", "source_sha256",
-    "development_start", "development_end", "locked_start", "locked_end",
-)
+# Flags that a development run can't have set.
 FINAL_FLAGS = ("model_gate_passed", "final_outcomes_evaluated", "lockbox_evaluated")
 
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.contracts import ContractError
 from ..functions.numeric import EPSILON, pct_rank, safe_ratio
-from .grid import active_members, adjacent_returns
+from .grid import active_members, adjacent_returns, off_calendar
 
 # The trailing metrics.
 METRICS = (
@@ -173,6 +174,27 @@ def price_factors(grid: DataFrame, names: tuple[str, ...] = tuple(FACTORS)) -> D
     return out.select("symbol", "session", *columns)
 
 
+def compute_price_factors(prices: DataFrame, cal: DataFrame, as_of, names: tuple[str, ...] = tuple(FACTORS)) -> DataFrame:
+    """The factors of one series (session, price) at one decision date, one row a name in the order asked for.
+
+    Values after the decision don't matter, but their dates must be sessions as
+    all others, and so must the decision date.
+    """
+    if n := off_calendar(prices, cal).count():
+        raise ContractError(f"{n} prices on days that are no sessions")
+    if prices.groupBy("session").count().where("count > 1").count():
+        raise ContractError("repeated sessions in a series")
+    if not cal.where(F.col("session") == F.lit(as_of)).count():
+        raise ContractError("the decision date is no session")
+    known = prices.where(F.col("session") <= F.lit(as_of)).select(F.lit("_").alias("symbol"), "session", "price")
+    # A series without an earlier price has a grid all the same.
+    grid = cal.where(F.col("session") <= F.lit(as_of)).select(F.lit("_").alias("symbol"), "pos", "session").join(known, ["symbol", "session"], "left")
+    row = price_factors(grid, names).where(F.col("session") == F.lit(as_of))
+    parts = ("available_at", "status", "window_start", "window_end", "required_price_count", "observed_price_count", "formula_version")
+    records = [F.struct(F.lit(n).alias("factor"), F.lit(i).alias("n"), F.col(n).alias("value"), *[F.col(f"{n}_{p}").alias(p) for p in parts]) for i, n in enumerate(names)]
+    return row.select(F.inline(F.array(*records))).orderBy("n").drop("n")
+
+
 def add_factors(panel: DataFrame, factors: DataFrame) -> DataFrame:
     """The panel with factor columns at each decision date; names must not collide."""
     new = [c for c in factors.columns if c not in ("symbol", "session")]

@@ -77,6 +77,8 @@ def redundancy(panel: DataFrame, features: list[str], least: int, date: str = "a
     """
     ordered = list(features)
     pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), clean_double(a).alias("x"), clean_double(b).alias("y")) for i, a in enumerate(ordered) for b in ordered[i + 1 :]]
+    if not pairs:
+        return panel.sparkSession.createDataFrame([], "left string, right string, mean_spearman double, mean_abs_spearman double, date_count long")
     long = panel.select(date, F.explode(F.array(*pairs)).alias("p")).select(date, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     keys = ["left", "right", date]
     ranked = long.withColumn("rx", average_rank("x", *keys)).withColumn("ry", average_rank("y", *keys))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..operators import audit as A
+from ..operators import comparison as CP
 from ..operators import evaluation as E
 from ..operators import grid as G
 from ..operators import models as M
@@ -19,11 +20,16 @@ from ..registry import ExperimentRegistry
 
 FAMILIES = ("ridge", "ridge_pca", "gbt")
 
+# The settings of the public demonstration.
+DEMO_PANEL = PanelConfig(lookback_sessions=252, min_observations=126, target_horizon_sessions=20, entry_lag_sessions=1)
+DEMO_SPLIT = {"outer_folds": 3, "outer_dates": 63, "inner_folds": 2, "inner_dates": 42, "locked_dates": 63}
+
 
 @dataclass(frozen=True)
 class BenchmarkConfig:
     """Settings of a nested benchmark; lags of the inference must be stated."""
 
+    # The defaults.
     features: tuple[str, ...]
     hac_lags: int
     target: str = "forward_excess_return"
@@ -79,7 +85,8 @@ def panel_from_tables(prices: DataFrame, memberships: DataFrame, dates: DataFram
 
 
 def run_research(panel: DataFrame, features: list[str], target: str, train_end, *, cutoff=None, least: int = 50, lags: int = 2, quantiles: int = 5, folds: int | None = None, test_dates: int = 4, least_train: int = 12, pca_share: float | None = None) -> dict:
-    """Screen up to ``train_end``, with targets known by the cutoff; optionally components and a walk-forward report."""
+    """Screen up to ``train_end``, with targets known by the cutoff; optionally components and a walk-forward report with its roll-up."""
+    panel = C.validate_signal_panel(panel, features, target, least)
     masked = SP.maturity_mask(panel, target, cutoff or train_end)
     out = S.metric_screen(masked, features, target, train_end, least=least, lags=lags)
     out["spreads"] = S.quantile_spreads(masked.where(F.col("as_of_date") <= F.lit(train_end)), features, target, quantiles, least)
@@ -87,10 +94,29 @@ def run_research(panel: DataFrame, features: list[str], target: str, train_end,
         out["pca_scores"], out["pca"] = M.pca_baseline(panel, out["selected"], train_end, pca_share)
     if folds:
         blocks = SP.walk_forward(panel, folds=folds, test_dates=test_dates, least_train=least_train)
-        out["walk_forward"] = E.walk_forward_report(SP.walk_forward_rows(panel, blocks), features, target, least, quantiles)
+        rows = SP.walk_forward_rows(panel, blocks)
+        out["walk_forward"] = E.walk_forward_report(rows, features, target, least, quantiles)
+        picked = []
+        for b in blocks.collect():
+            train = rows.where((F.col("fold") == b["fold"]) & (F.col("role") == "training"))
+            screen = S.metric_screen(train, features, target, train.agg(F.max("as_of_date")).first()[0], least=least, lags=lags)
+            picked += [(b["fold"], r["feature"], r["selected"]) for r in screen["selection"]]
+        selected = panel.sparkSession.createDataFrame(picked, "fold int, feature string, selected boolean")
+        out["walk_forward_rollup"] = E.walk_forward_rollup(out["walk_forward"], selected)
     return out
 
 
+def audit_inputs(prices: DataFrame, memberships: DataFrame, dates: DataFrame, config: PanelConfig, least: int) -> dict:
+    """Coverage by date and by security, and coded warnings; no panel is built."""
+    rows = C.validate_prices(prices).select("symbol", F.col("date").alias("session"), F.col("adjusted_close").alias("price"))
+    members = C.validate_memberships(memberships).where(F.col("universe_id") == config.universe_id)
+    bench = rows.where(F.col("symbol") == config.benchmark_symbol.upper()).select("session", "price")
+    cal = G.calendar(bench)
+    grid = G.dense_grid(rows.where(F.col("symbol") != config.benchmark_symbol.upper()), cal, bench)
+    by_date, by_security = A.coverage(grid, C.validate_as_of_dates(dates), members, lookback=config.lookback_sessions, least=config.min_observations, horizon=config.target_horizon_sessions, lag=config.entry_lag_sessions)
+    return {"by_date": by_date, "by_security": by_security, "warnings": A.warnings(by_date, least)}
+
+
 def _fit_block(panel: DataFrame, train: DataFrame, evaluation: DataFrame, config: BenchmarkConfig, phase: str, fold: int) -> tuple[DataFrame, dict]:
     """Screen, baselines, tuned models: predictions of one evaluation block. Training rows carry outcomes of their own labels only."""
     screen = S.metric_screen(train, list(config.features), config.target, train.agg(F.max("as_of_date")).first()[0], least=config.min_cross_section, lags=config.hac_lags, least_coverage=config.minimum_coverage, least_ic=config.minimum_rank_ic, threshold=config.redundancy_threshold)
@@ -142,11 +168,12 @@ def preflight_benchmark(panel: DataFrame, config: BenchmarkConfig) -> dict:
     return out | {"lock_start": start.isoformat()}
 
 
-def run_benchmark(panel: DataFrame, config: BenchmarkConfig, *, registry: ExperimentRegistry | None = None, manifest: dict | None = None, final: bool = False) -> dict:
+def run_benchmark(panel: DataFrame, config: BenchmarkConfig, *, registry: ExperimentRegistry | None = None, manifest: dict | None = None, final: bool = False, finish: bool = True) -> dict:
     """Development folds, and on request the final block, governed by the registry.
 
     Outcomes of the locked dates reach nothing before the final stage: training
     and evaluation rows carry outcomes only where their labels end before it.
+    Without ``finish`` the registry's entry stays running, for the caller to end.
     """
     # The panel is read by each fold.
     panel = panel.persist()
@@ -183,12 +210,12 @@ def run_benchmark(panel: DataFrame, config: BenchmarkConfig, *, registry: Experi
         common = E.common_daily_metrics(predictions, [config.baseline, *config.families], config.min_cross_section, config.quantiles)
         summary = E.phase_summary(common, config.hac_lags)
         frozen = E.frozen_family(summary.where("phase = 'development'"), list(config.families)).first()
-        out = {"predictions": predictions, "native_daily": native, "common_daily": common, "fold_metrics": E.fold_metrics(common), "summary": summary, "frozen": frozen["model"] if frozen else None, "details": details, "preflight": state, "acceptance": None}
+        out = {"predictions": predictions, "native_daily": native, "common_daily": common, "fold_metrics": E.fold_metrics(common), "summary": summary, "frozen": frozen["model"] if frozen else None, "details": details, "preflight": state, "acceptance": None, "assignments": CP.assignment_table(assigned, C.row_id())}
         if final and frozen:
             out["acceptance"] = E.acceptance(_facts(out, config), config.limits)
-        if registry:
+        if registry and finish:
             registry.complete(run, {"frozen": out["frozen"]})
-        return out
+        return out | {"run": run}
     except BaseException as e:
         if registry:
             registry.fail(run, repr(e))
@@ -219,6 +246,55 @@ def _facts(out: dict, config: BenchmarkConfig) -> dict:
     }
 
 
+def _tables(out: dict, details: DataFrame) -> dict[str, DataFrame]:
+    return {k: out[k] for k in ("predictions", "native_daily", "common_daily", "fold_metrics", "summary", "assignments")} | {"selection": details}
+
+
+def develop(prices: DataFrame, memberships: DataFrame, dates: DataFrame, panel_config: PanelConfig, config: BenchmarkConfig, *, registry: ExperimentRegistry, manifest: dict, path: str, factors: tuple[str, ...] = ()) -> dict:
+    """A development run from input tables to a verified bundle: audit, panel, preflight, plan, fits, tables, report last.
+
+    A run that fails leaves a failed entry and no bundle.
+    """
+    from ..sources import sinks
+
+    audit = audit_inputs(prices, memberships, dates, panel_config, config.min_cross_section)
+    panel = panel_from_tables(prices, memberships, dates, panel_config, factors).persist()
+    panel = C.validate_panel(panel, list(config.features), config.target, config.realized_return)
+    out = run_benchmark(panel, config, registry=registry, manifest=manifest, finish=False)
+    try:
+        rows = [(d["fold"], r["feature"], r["selected"], r["reason"]) for d in out["details"] for r in d["selection"]]
+        tables = _tables(out, panel.sparkSession.createDataFrame(rows, "fold int, feature string, selected boolean, reason string"))
+        report = {"run": out["run"], "phase": "development", "manifest": manifest, "preflight": out["preflight"], "warnings": audit["warnings"], "frozen": out["frozen"], "panel_sha256": C.fingerprint(panel.select("row_id", *config.features, config.target))}
+        digests = sinks.write_bundle(path, tables, report)
+        registry.complete(out["run"], {"frozen": out["frozen"], "files": digests})
+    except BaseException as e:
+        registry.fail(out["run"], repr(e))
+        raise
+    return out | {"report": report, "files": digests, "audit": audit}
+
+
+def verify_development(spark, path: str, registry: ExperimentRegistry) -> dict:
+    """The report of a bundle that matches its completed entry: the files' digests, the plan, and development rows alone."""
+    import hashlib
+    import json
+
+    raw = spark.read.format("binaryFile").load(f"{path}/*").select("path", "content").collect()
+    files = {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in raw}
+    report = json.loads(files.pop("manifest.json", b"null"))
+    if not report or report.get("phase") != "development":
+        raise C.ContractError("no development report")
+    entry = next((r for r in registry.records() if r["id"] == report["run"]), None)
+    if not entry or entry["status"] != "complete" or entry["phase"] != "development" or entry["manifest"] != report["manifest"]:
+        raise C.ContractError("the registry holds no such completed development run")
+    seen = {name: hashlib.sha256(data).hexdigest() for name, data in files.items()}
+    if not seen == report["files"] == entry["result"]["files"] or entry["result"]["frozen"] != report["frozen"]:
+        raise C.ContractError("the bundle's files aren't those of the run")
+    for name in ("predictions", "native_daily", "common_daily", "fold_metrics", "summary", "assignments"):
+        if spark.read.csv(f"{path}/{name}.csv", header=True).where("phase <> 'development' OR phase IS NULL").count():
+            raise C.ContractError(f"{name} holds rows of another phase")
+    return report
+
+
 def compare_bundles(reference: DataFrame, candidate: DataFrame, schedule: DataFrame, *, model: str = "ridge", baseline: str = "equal_weight_rank", least: int = 50, quantiles: int = 5) -> dict:
     """Three arms on one footing: the reference run's baseline and model, and the candidate's model.
 

@@ -88,6 +88,13 @@ class ExperimentRegistry:
             names = ("id", "study", "hypothesis", "phase", "status")
             return [dict(zip(names, r, strict=True)) for r in db.execute(f"SELECT {', '.join(names)} FROM runs ORDER BY rowid")]
 
+    def records(self) -> list[dict]:
+        """Every entry with its manifest, result and error."""
+        with self._open() as db:
+            names = ("id", "study", "hypothesis", "phase", "status", "manifest", "result", "error")
+            rows = [dict(zip(names, r, strict=True)) for r in db.execute(f"SELECT {', '.join(names)} FROM runs ORDER BY rowid")]
+        return [r | {k: json.loads(r[k]) if r[k] else None for k in ("manifest", "result")} for r in rows]
+
     def _end(self, run: str, status: str, column: str, value: str) -> None:
         with self._open(write=True) as db:
             self._running(db, run)

@@ -5,13 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
-import shutil
-import tempfile
+import uuid
 from datetime import date, datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -40,41 +37,86 @@ def sha256_json(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def write_run(path: str, panel: DataFrame, reports: dict[str, DataFrame], documents: dict[str, object]) -> None:
-    """A research run: the panel as Parquet, reports as CSV folders, JSON beside them. Refuses a path that exists."""
-    if os.path.exists(path):
-        raise FileExistsError(path)
-    panel.write.mode("error").parquet(f"{path}/panel.parquet")
-    for name, df in reports.items():
-        df.write.mode("error").csv(f"{path}/{name}", header=True)
-    for name, value in documents.items():
-        Path(path, f"{name}.json").write_text(canonical_json(value))
+class Folder:
+    """A folder that appears whole or not at all, on any file system that Spark writes to.
 
-
-def write_bundle(path: str, tables: dict[str, DataFrame], manifest: dict) -> dict[str, str]:
-    """Small tables as single CSV files and a manifest of their digests, built beside the target and renamed into place.
-
-    Tables are report-sized; a failure leaves nothing behind.
+    Everything is written to a hidden sibling, which takes the folder's name when
+    the block ends and is deleted when it fails. The folder must not exist.
     """
-    target = Path(path)
-    if target.exists():
-        raise FileExistsError(path)
-    build = Path(tempfile.mkdtemp(prefix=f".{target.name}-", dir=target.parent))
-    try:
-        digests = {}
-        for name, df in tables.items():
-            df.coalesce(1).write.mode("error").csv(str(build / f"{name}.d"), header=True)
-            part = next((build / f"{name}.d").glob("part-*.csv"), None)
-            data = part.read_bytes() if part else (",".join(df.columns) + "\n").encode()
-            (build / f"{name}.csv").write_bytes(data)
-            digests[f"{name}.csv"] = hashlib.sha256(data).hexdigest()
-            shutil.rmtree(build / f"{name}.d")
-        (build / "manifest.json").write_text(canonical_json(manifest | {"files": digests}))  # last
-        os.rename(build, target)
-        return digests
-    except BaseException:
-        shutil.rmtree(build, ignore_errors=True)
-        raise
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.target = spark, path.rstrip("/")
+        head, slash, name = self.target.rpartition("/")
+        self.path = f"{head}{slash}.{name}-{uuid.uuid4().hex}"
+
+    def _at(self, path: str):
+        made = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return made.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), made
+
+    def exists(self) -> bool:
+        files, path = self._at(self.target)
+        return files.exists(path)
+
+    def __enter__(self) -> Folder:
+        if self.exists():
+            raise FileExistsError(self.target)
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        files, path = self._at(self.path)
+        if kind is not None:
+            files.delete(path, True)
+        elif self.exists() or not files.rename(path, self._at(self.target)[1]):
+            files.delete(path, True)
+            raise FileExistsError(self.target)
+
+    def text(self, name: str, content: str) -> str:
+        """Write a small file; returns its digest."""
+        data = content.encode()
+        files, path = self._at(f"{self.path}/{name}")
+        stream = files.create(path, False)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        return hashlib.sha256(data).hexdigest()
+
+    def table(self, name: str, df: DataFrame) -> str:
+        """Write a report-sized table as one CSV file, in the order of its columns; returns its digest."""
+        parts = f"{self.path}/{name}.parts"
+        df.repartition(1).sortWithinPartitions(*df.columns).write.mode("error").csv(parts, header=True)
+        files, folder = self._at(parts)
+        found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        data = bytes(self.spark.read.format("binaryFile").load(found[0].toString()).first()["content"]) if found else b""
+        if not data:  # no rows, no file or an empty one
+            files.delete(folder, True)
+            return self.text(f"{name}.csv", ",".join(df.columns) + "\n")
+        if not files.rename(found[0], self._at(f"{self.path}/{name}.csv")[1]):
+            raise OSError(f"{name}.csv can't be moved into place")
+        files.delete(folder, True)
+        return hashlib.sha256(data).hexdigest()
+
+
+def write_run(path: str, panel: DataFrame, reports: dict[str, DataFrame], documents: dict[str, object], order: tuple[str, ...] = ("as_of_date", "symbol")) -> None:
+    """A research run: the panel as Parquet in canonical order, reports as CSV, JSON beside them, the manifest last."""
+    with Folder(panel.sparkSession, path) as folder:
+        keys = [c for c in order if c in panel.columns]
+        (panel.orderBy(*keys) if keys else panel).write.mode("error").parquet(f"{folder.path}/panel.parquet")
+        files = {f"{name}.csv": folder.table(name, df) for name, df in reports.items()}
+        for name, value in documents.items():
+            files[f"{name}.json"] = folder.text(f"{name}.json", canonical_json(value))
+        folder.text("manifest.json", canonical_json({"files": files}))
+
+
+def write_bundle(path: str, tables: dict[str, DataFrame], manifest: dict, schemas: dict[str, str] | None = None) -> dict[str, str]:
+    """Report-sized tables as CSV files and a manifest of their digests, written last. Schemas that are given must match exactly."""
+    for name, expected in (schemas or {}).items():
+        check_schema(tables[name], expected)
+    spark = next((df.sparkSession for df in tables.values()), None) or SparkSession.active()
+    with Folder(spark, path) as folder:
+        digests = {f"{name}.csv": folder.table(name, df) for name, df in tables.items()}
+        folder.text("manifest.json", canonical_json(manifest | {"files": digests}))
+    return digests
 
 
 def check_schema(df: DataFrame, expected: str) -> None:

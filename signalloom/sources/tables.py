@@ -158,6 +158,18 @@ def archive_coverage(prices: DataFrame, sessions: DataFrame, by_year: bool = Fal
     return out.withColumn("missing", F.col("expected") - F.col("observed")).withColumn("missing_rate", F.col("missing") / F.col("expected"))
 
 
+def require_factor_dates(prices: DataFrame, factors: DataFrame) -> None:
+    """Every date with a price must have a factor row."""
+    if n := prices.select("date").distinct().join(factors.select("date"), "date", "left_anti").count():
+        raise ContractError(f"{n} dates have prices and no factors")
+
+
+def move_counts(returns: DataFrame, limit: float = 0.5) -> DataFrame:
+    """How many adjacent-session returns there are, lie beyond the limit, or aren't finite."""
+    clean = clean_double("r")
+    return returns.agg(F.count("r").alias("returns"), F.count_if(F.abs(clean) > limit).alias("large"), F.count_if(F.col("r").isNotNull() & clean.isNull()).alias("nonfinite"))
+
+
 def large_moves(returns: DataFrame, limit: float = 0.5, first: int | None = 20) -> DataFrame:
     """Adjacent-session returns beyond the limit, the first ones by date and symbol."""
     out = returns.where(F.abs("r") > limit).select("session", "symbol", "r")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import contracts as C
 from signalloom.functions import statistics as ST
-from signalloom.functions.numeric import pct_rank
+from signalloom.functions.numeric import on_each, pct_rank
 from signalloom.operators import evaluation as E
 from signalloom.operators import grid as G
 from signalloom.operators import models as M
@@ -319,6 +319,15 @@ def test_sinks_are_whole_or_absent(spark, tmp_path):
     tables.verify_files({str(tmp_path / "run" / k): v for k, v in digests.items()})
     with pytest.raises(FileExistsError):
         sinks.write_bundle(str(tmp_path / "run"), {}, {})
+    sinks.write_bundle(str(tmp_path / "typed"), {"t": df}, {}, {"t": "x int, y string"})
+    with pytest.raises(ValueError):
+        sinks.write_bundle(str(tmp_path / "broken"), {"t": df}, {}, {"t": "x long, y string"})
+    rows = spark.createDataFrame([(d, s, float(i)) for i, (d, s) in enumerate((d, s) for s in "BA" for d in days(3))], "as_of_date date, symbol string, v double").repartition(4)
+    sinks.write_run(str(tmp_path / "whole"), rows, {"report": rows}, {"config": {"a": 1}})
+    assert (tmp_path / "whole/report.csv").read_text().splitlines()[1:3] == ["2025-01-01,A,3.0", "2025-01-01,B,0.0"] and list(tables.read_json_object(tmp_path / "whole/manifest.json")["files"]) == ["config.json", "report.csv"]
+    assert [tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "whole/panel.parquet")).collect()] == [(d, s) for d in days(3) for s in "AB"]
+    with pytest.raises(Exception):
+        sinks.write_run(str(tmp_path / "broken"), rows, {"report": rows.withColumn("z", F.raise_error(F.lit("no")))}, {})
     with pytest.raises(Exception):
         sinks.write_bundle(str(tmp_path / "broken"), {"t": df.withColumn("z", F.raise_error(F.lit("no")))}, {})
     assert not [p for p in tmp_path.iterdir() if "broken" in p.name]
@@ -327,6 +336,22 @@ def test_sinks_are_whole_or_absent(spark, tmp_path):
     assert C.fingerprint(df) == C.fingerprint(df.select("y", "x")) != C.fingerprint(df.limit(0))
 
 
+def test_few_rows_are_proven_to_be_few(spark):
+    rows, few = spark.range(3).toDF("x"), spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert sorted(map(tuple, on_each(rows, few, 2).collect())) == [(x, k, v) for x in range(3) for k, v in ((1, "a"), (2, "b"))]
+    assert on_each(rows, few.limit(0), 2).collect() == [] and on_each(rows, few.limit(0), 2).columns == ["x", "k", "v"]
+    with pytest.raises(Exception, match="more than 1 rows"):
+        on_each(rows, few, 1).collect()
+
+
+def test_training_weights_need_no_window_over_rows(spark):
+    rows = spark.createDataFrame([(1, days(3)[k % 3], k) for k in range(9)] + [(2, DAY, 9), (2, DAY, 10)], "fold int, as_of_date date, n int").where("n <> 2")
+    out = {(r["fold"], r["n"]): r["weight"] for r in SP.training_weights(rows, ["fold"]).collect()}
+    assert math.isclose(out[1, 5], 8 / 3 / 2) and math.isclose(out[1, 0], 8 / 3 / 3) and out[2, 9] == 1 and len(out) == 10
+    per_date = SP.training_weights(rows, []).groupBy("as_of_date").agg(F.sum("weight").alias("w")).collect()
+    assert all(math.isclose(r["w"], 10 / 3) for r in per_date)
+
+
 def test_registry(tmp_path):
     reg = ExperimentRegistry(str(tmp_path / "r.db"))
     manifest = dict.fromkeys(("study", "hypothesis", "dataset_version", "universe_id", "target", "features"), "v") | dict.fromkeys(("panel_sha256", "config_sha256", "source_sha256"), "0" * 64)

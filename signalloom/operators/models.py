@@ -164,6 +164,27 @@ def candidate_grid(family: str, grid: dict[str, list]) -> list[tuple[str, dict]]
     return [(f"{family}:{json.dumps(p, sort_keys=True, separators=(',', ':'))}", p) for p in made]
 
 
+def tune_trees(folds: list[tuple[DataFrame, DataFrame]], features: list[str], target: str, grid: dict[str, list], least: int, seed: int = 42) -> tuple[str, dict, list[dict]]:
+    """The candidate with the largest mean daily IC pooled over inner folds, ties by grid order: its id, its settings, and all trials.
+
+    A grid of one candidate, or no inner fold, leaves nothing to choose and nothing is fitted.
+    """
+    from .signals import rank_ic
+
+    candidates = candidate_grid("gbt", grid)
+    if len(candidates) == 1 or not folds:
+        return *candidates[0], []
+    trials = []
+    for name, settings in candidates:
+        values = []
+        for train, evaluation in folds:
+            score = fit_trees(training_weights(train, []), features, target, seed=seed, **settings)
+            values += [r["rank_ic"] for r in rank_ic(score(evaluation), ["as_of_date"], "score", target, least).select("rank_ic").collect()]  # one row a date
+        trials.append({"candidate": name, "mean_rank_ic": float(np.mean(values)) if values else None, "dates": len(values)})
+    best = max((i for i, t in enumerate(trials) if t["mean_rank_ic"] is not None), key=lambda i: trials[i]["mean_rank_ic"], default=0)
+    return *candidates[best], trials
+
+
 def tune_ridge(folds: list[tuple[DataFrame, DataFrame]], features: list[str], target: str, alphas: list[float], least: int, components: float | None = None) -> tuple[float, list[dict]]:
     """The alpha with the largest mean daily IC pooled over inner folds, ties by grid order; and all trials.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -47,6 +48,10 @@ class BenchmarkConfig:
     locked_dates: int = 63
     ridge_alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)
     pca_variance: float = 0.95
+    tree_depths: tuple[int, ...] = (3,)
+    tree_steps: tuple[float, ...] = (0.05,)
+    tree_rounds: int = 200
+    tree_leaf: int = 20
     families: tuple[str, ...] = ("ridge",)
     baseline: str = "equal_weight_rank"
     seed: int = 42
@@ -68,6 +73,17 @@ class BenchmarkConfig:
         counts = (self.outer_folds, self.outer_dates, self.inner_folds, self.inner_dates, self.minimum_train_dates, self.locked_dates)
         if any(n < 1 for n in counts):
             raise ValueError("split counts must be positive")
+        if not self.tree_depths or not self.tree_steps or any(d < 1 for d in (*self.tree_depths, self.tree_rounds, self.tree_leaf)) or any(not 0 < s <= 1 for s in self.tree_steps):
+            raise ValueError("trees need depths, rounds and leaves from 1 and steps up to 1")
+
+    @property
+    def tree_grid(self) -> dict[str, list]:
+        return {"depth": [*self.tree_depths], "step": [*self.tree_steps], "rounds": [self.tree_rounds], "leaf": [self.tree_leaf]}
+
+    def candidates(self, family: str) -> list[str]:
+        """The ids of a family's grid."""
+        grid = self.tree_grid if family == "gbt" else {"alpha": [*self.ridge_alphas]}
+        return [name for name, _ in M.candidate_grid(family, grid)]
 
 
 def panel_from_tables(prices: DataFrame, memberships: DataFrame, dates: DataFrame, config: PanelConfig, factors: tuple[str, ...] = ()) -> DataFrame:
@@ -117,17 +133,19 @@ def audit_inputs(prices: DataFrame, memberships: DataFrame, dates: DataFrame, co
     return {"by_date": by_date, "by_security": by_security, "warnings": A.warnings(by_date, least)}
 
 
-def _fit_block(panel: DataFrame, train: DataFrame, evaluation: DataFrame, config: BenchmarkConfig, phase: str, fold: int) -> tuple[DataFrame, dict]:
-    """Screen, baselines, tuned models: predictions of one evaluation block. Training rows carry outcomes of their own labels only."""
+def _fit_block(train: DataFrame, evaluation: DataFrame, config: BenchmarkConfig, phase: str, fold: int, start) -> tuple[DataFrame, dict]:
+    """Screen, baselines, tuned models: predictions of one evaluation block with their evidence. Training rows carry outcomes of their own labels only."""
     screen = S.metric_screen(train, list(config.features), config.target, train.agg(F.max("as_of_date")).first()[0], least=config.min_cross_section, lags=config.hac_lags, least_coverage=config.minimum_coverage, least_ic=config.minimum_rank_ic, threshold=config.redundancy_threshold)
     chosen = screen["selected"]
     if not chosen:
         raise ValueError(f"fold {fold}: no feature passes the screen")
     signs = {r["feature"]: r["direction"] for r in E.baseline_signs(screen["daily_ic"]).collect() if r["direction"] and r["feature"] in chosen}
-    scored = {"equal_weight_rank": E.equal_weight_scores(evaluation, signs).select("as_of_date", "symbol", "score")}
+    # By model: its scores with how many features a row has, the features it uses, and the candidate it is.
+    scored = {"equal_weight_rank": (E.equal_weight_scores(evaluation, signs), sorted(signs), None)}
     best = E.best_metric(E.baseline_signs(screen["daily_ic"]).where(F.col("feature").isin(chosen))).first()
     if best:
-        scored["best_metric"] = E.signed_ranks(evaluation, {best["feature"]: best["direction"]}).select("as_of_date", "symbol", F.col(f"_rank_{best['feature']}").alias("score"))
+        rank = F.col(f"_rank_{best['feature']}")
+        scored["best_metric"] = (E.signed_ranks(evaluation, {best["feature"]: best["direction"]}).withColumn("score", rank).withColumn("feature_count", rank.isNotNull().cast("int")), [best["feature"]], None)
     keep = ["as_of_date", "symbol", "label_end_date", config.target]
     ranked = M.rank_features(train.select(*keep, *chosen), chosen)
     labelled = ranked.where(F.col(config.target).isNotNull() & F.col("label_end_date").isNotNull()).persist()
@@ -141,16 +159,24 @@ def _fit_block(panel: DataFrame, train: DataFrame, evaluation: DataFrame, config
     for family in config.families:
         weighted = SP.training_weights(labelled, [])
         if family == "gbt":
-            scored[family] = M.fit_trees(weighted, chosen, config.target, seed=config.seed)(later).select("as_of_date", "symbol", "score")
+            name, settings, trials = M.tune_trees(inner, chosen, config.target, config.tree_grid, config.min_cross_section, config.seed)
+            details["trials"] += [{"family": family, **t} for t in trials]
+            scored[family] = (M.fit_trees(weighted, chosen, config.target, seed=config.seed, **settings)(later), chosen, name)
             continue
         share = config.pca_variance if family == "ridge_pca" else None
         alpha, trials = M.tune_ridge(inner, chosen, config.target, list(config.ridge_alphas), config.min_cross_section, share) if inner else (config.ridge_alphas[0], [])
         details["trials"] += [{"family": family, **t} for t in trials]
-        scored[family] = M.fit_ridge(weighted, chosen, config.target, [alpha], components=share)[0].score(later).select("as_of_date", "symbol", "score")
-    outcome = evaluation.select("as_of_date", "symbol", F.col(config.target).alias("target"), F.col(config.realized_return).alias("_r"))
+        scored[family] = (M.fit_ridge(weighted, chosen, config.target, [alpha], components=share)[0].score(later), chosen, M.candidate_grid(family, {"alpha": [alpha]})[0][0])
+    outcome = evaluation.select("as_of_date", "symbol", C.row_id().alias("row_id"), F.col(config.target).alias("target"), F.col(config.realized_return).alias("_r"))
+    ends = labelled.agg(F.max("as_of_date"), F.max("label_end_date")).first()
     rows = None
-    for model, frame in scored.items():
-        one = outcome.join(frame, ["as_of_date", "symbol"], "left").select(F.lit(phase).alias("phase"), F.lit(fold).alias("fold"), "as_of_date", "symbol", F.lit(model).alias("model"), "score", "target", F.col("_r").alias("realized_return"))
+    for model, (frame, used, candidate) in scored.items():
+        one = outcome.join(frame.select("as_of_date", "symbol", "score", "feature_count"), ["as_of_date", "symbol"], "left").withColumn("feature_count", F.coalesce("feature_count", F.lit(0)).cast("int"))
+        one = one.select(
+            F.lit(phase).alias("phase"), F.lit(fold).alias("fold"), "as_of_date", "symbol", F.lit(model).alias("model"), "score", "target", F.col("_r").alias("realized_return"), "row_id",
+            F.lit(candidate).cast("string").alias("candidate_id"), F.lit(ends[0]).cast("date").alias("fit_end_date"), F.lit(ends[1]).cast("date").alias("train_label_end_max"), F.lit(start).cast("date").alias("evaluation_start"),
+            F.lit(json.dumps(used)).alias("selected_features"), "feature_count", F.lit(len(used)).alias("selected_feature_count"), (F.col("feature_count") == 0).alias("zero_observed_features"),
+        )
         rows = one if rows is None else rows.unionByName(one)
     return rows, details
 
@@ -194,12 +220,12 @@ def run_benchmark(panel: DataFrame, config: BenchmarkConfig, *, registry: Experi
             known = F.col("label_end_date").isNotNull() & (F.col("label_end_date") < start)
             for c in dict.fromkeys((config.target, config.realized_return)):
                 evaluation = evaluation.withColumn(c, F.when(known, F.col(c)))
-            rows, found = _fit_block(panel, train, evaluation, config, "development", b["fold"])
+            rows, found = _fit_block(train, evaluation, config, "development", b["fold"], b["evaluation_start"])
             outs.append(rows)
             details.append(found)
         if final:
             train = panel.where((F.col("as_of_date") < start) & (F.col("label_end_date") < start))
-            rows, found = _fit_block(panel, train, panel.where(F.col("as_of_date") >= start), config, "locked", 0)
+            rows, found = _fit_block(train, panel.where(F.col("as_of_date") >= start), config, "locked", 0, state["lock_start"])
             outs.append(rows)
             details.append(found)
         predictions = outs[0]
@@ -210,7 +236,7 @@ def run_benchmark(panel: DataFrame, config: BenchmarkConfig, *, registry: Experi
         common = E.common_daily_metrics(predictions, [config.baseline, *config.families], config.min_cross_section, config.quantiles)
         summary = E.phase_summary(common, config.hac_lags)
         frozen = E.frozen_family(summary.where("phase = 'development'"), list(config.families)).first()
-        out = {"predictions": predictions, "native_daily": native, "common_daily": common, "fold_metrics": E.fold_metrics(common), "summary": summary, "frozen": frozen["model"] if frozen else None, "details": details, "preflight": state, "acceptance": None, "assignments": CP.assignment_table(assigned, C.row_id())}
+        out = {"predictions": predictions, "native_daily": native, "common_daily": common, "fold_metrics": E.fold_metrics(common), "summary": summary, "frozen": frozen["model"] if frozen else None, "details": details, "preflight": state, "acceptance": None, "assignments": CP.assignment_table(assigned, C.row_id()), "schedule": SP.phase_schedule(panel, blocks)}
         if final and frozen:
             out["acceptance"] = E.acceptance(_facts(out, config), config.limits)
         if registry and finish:
@@ -276,7 +302,6 @@ def develop(prices: DataFrame, memberships: DataFrame, dates: DataFrame, panel_c
 def verify_development(spark, path: str, registry: ExperimentRegistry) -> dict:
     """The report of a bundle that matches its completed entry: the files' digests, the plan, and development rows alone."""
     import hashlib
-    import json
 
     raw = spark.read.format("binaryFile").load(f"{path}/*").select("path", "content").collect()
     files = {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in raw}
@@ -295,14 +320,26 @@ def verify_development(spark, path: str, registry: ExperimentRegistry) -> dict:
     return report
 
 
-def compare_bundles(reference: DataFrame, candidate: DataFrame, schedule: DataFrame, *, model: str = "ridge", baseline: str = "equal_weight_rank", least: int = 50, quantiles: int = 5) -> dict:
+def compare_bundles(reference: DataFrame, candidate: DataFrame, schedule: DataFrame, *, model: str = "ridge", baseline: str = "equal_weight_rank", least: int = 50, quantiles: int = 5, assignments: DataFrame | None = None, candidate_assignments: DataFrame | None = None, manifests: tuple[dict, ...] = ()) -> dict:
     """Three arms on one footing: the reference run's baseline and model, and the candidate's model.
 
-    Keys and outcomes of the arms must agree exactly, nulls included.
+    Keys and outcomes of the arms must agree exactly, nulls included; so must the
+    runs' identities and assignments, where given, and scores must carry the
+    evidence that the assignments demand.
     """
+    for m in manifests:
+        CP.check_scope(m)
+    if manifests:
+        CP.check_identity(*manifests)
+    if assignments is not None and candidate_assignments is not None and (n := CP.assignment_differences(assignments, candidate_assignments).count()):
+        raise C.ContractError(f"{n} assignments differ")
     keys = ["phase", "fold", "as_of_date", "symbol"]
     arm = lambda df, m, name: df.where(F.col("model") == m).withColumn("model", F.lit(name))
     arms = [arm(reference, baseline, "legacy_equal_rank"), arm(reference, model, "legacy_model"), arm(candidate, model, "candidate_model")]
+    if all("row_id" in a.columns for a in arms) and assignments is not None:
+        for a in arms:
+            CP.enforce(CP.evidence_violations(a, assignments, schedule), "scores")
+            CP.enforce(CP.outcome_violations(a, assignments), "outcomes")
     outcome = [a.select(*keys, "target", "realized_return") for a in arms]
     if not all(C.same_rows(outcome[0], o) for o in outcome[1:]):
         raise C.ContractError("the arms' rows or outcomes differ")

@@ -132,6 +132,44 @@ def test_development_run_is_verified(spark, tmp_path):
         R.verify_development(spark, path, registry)
 
 
+def test_saved_scores_carry_their_evidence(spark, panel):
+    from dataclasses import replace
+
+    from signalloom.functions.contracts import ContractError
+    from signalloom.operators import comparison as CP
+    from signalloom.operators.portfolio import LongOnlyConfig
+    from signalloom.plans import holdings as H
+
+    config = replace(CONFIG, features=("momentum", "patchy"), ridge_alphas=(1.0,))
+    out = R.run_benchmark(panel, config)
+    folds = {"folds": 1, "fold_dates": 4}
+    for model, grid in (("ridge", config.candidates("ridge")), ("equal_weight_rank", None)):
+        scores = out["predictions"].where(F.col("model") == model)
+        for found in (CP.evidence_violations(scores, out["assignments"], out["schedule"]), CP.outcome_violations(scores, out["assignments"]), CP.feature_violations(scores, list(config.features), grid)):
+            assert found.where("violations > 0").collect() == []
+    dates = [r["as_of_date"] for r in out["schedule"].orderBy("as_of_date").collect()]
+    prices = spark.createDataFrame([(day(i), s, 10.0 + (i * (k + 2)) % 7) for i in range(30) for k, s in enumerate([*(f"S{j}" for j in range(8)), "BENCH"])], "date date, symbol string, adjusted_close double")
+    sessions = prices.select(F.col("date").alias("session")).distinct()
+    plan = H.HoldingsConfig(tuple(dates), dates[0], dates[-1] + timedelta(days=2), "BENCH", LongOnlyConfig(top_k=2, initial_cash=100.0))
+    bounds = manifest() | {"locked_start": "2024-01-28", "locked_end": "2024-01-30"}
+    made = H.evaluate_long_only(out["predictions"], out["assignments"], out["schedule"], prices, sessions, model="ridge", models=["ridge"], config=plan, manifest=bounds, **folds)
+    assert made["summary"].first()["status"] == "ok" and made["days"].count() == 6 and made["trades"].count() > 4
+    both = R.compare_bundles(out["predictions"], out["predictions"], out["schedule"], least=5, quantiles=2, assignments=out["assignments"], candidate_assignments=out["assignments"], manifests=(bounds, bounds))
+    assert both["paired"]["native", "legacy_model"].first()["mean_paired_delta"] == 0
+    with pytest.raises(ContractError):
+        R.compare_bundles(out["predictions"], out["predictions"], out["schedule"], assignments=out["assignments"], candidate_assignments=out["assignments"].where("fold < 1"))
+
+
+def test_tree_tuning_picks_by_pooled_correlation(panel):
+    from signalloom.operators import models as M
+
+    rows = M.rank_features(panel.select("as_of_date", "symbol", "label_end_date", "forward_excess_return", "momentum", "value"), ["momentum", "value"]).where("forward_excess_return IS NOT NULL")
+    folds = [(rows.where(F.col("as_of_date") < F.lit(day(18))), rows.where(F.col("as_of_date").between(day(20), day(27))))]
+    name, settings, trials = M.tune_trees(folds, ["momentum", "value"], "forward_excess_return", {"depth": [1, 2], "step": [0.3], "rounds": [3], "leaf": [2]}, 5)
+    assert len(trials) == 2 and trials[0]["dates"] == 8 and name == max(trials, key=lambda t: t["mean_rank_ic"])["candidate"] and f'"depth":{settings["depth"]}' in name
+    assert M.tune_trees(folds, ["momentum"], "forward_excess_return", {"depth": [1]}, 5)[2] == []
+
+
 def test_target_ablation(panel):
     from dataclasses import replace
 

@@ -342,24 +342,18 @@ def _scored(hot, total: float):
     """The part of the base score that hot words give, and the other words."""
 
     def make():
-        logs = {w: math.log10((n + 1) / total) for w, n in hot.value.items()}
+        known = {w: math.log10((n + 1) / total) for w, n in hot.value.items()}.get
 
         def work(low: list[bytes]) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "hot_known", "hot_score", "rest", "rest_n")}
             for t in low:
                 words = t.split()
-                counts = Counter(words)
-                n, score, rest = 0, 0.0, {}
-                for w, k in counts.items():
-                    if w in logs:
-                        n += k
-                        score += k * logs[w]
-                    else:
-                        rest[w] = k
+                logs = list(map(known, words))
+                rest = Counter(w for w, x in zip(words, logs, strict=True) if x is None) if None in logs else {}
                 out["n_bytes"].append(len(t) + 1)
                 out["n_tokens"].append(len(words) + 1)
-                out["hot_known"].append(n)
-                out["hot_score"].append(score)
+                out["hot_known"].append(len(words) - sum(rest.values()))
+                out["hot_score"].append(sum(filter(None, logs)))
                 out["rest"].append([*rest])
                 out["rest_n"].append([*rest.values()])
             return out

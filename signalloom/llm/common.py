@@ -53,19 +53,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Materialise ``df`` as Parquet in the shared folder, which takes less disk than a checkpoint."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str = "table", *, few: bool = False) -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared folder, which takes less disk than a checkpoint.
 
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
+    ``few`` is for results of a shuffle that are much smaller than what was
+    shuffled: a quarter of the tasks writes a quarter of the files.
+    """
     spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    path = shared_folder(spark, name)
+    (df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)) if few else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more, and let Spark drop the shuffles that made them."""
+    spark = tables[0].sparkSession
+    for folder in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    settle(spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's collector finds that nothing refers to them, which may else take half an hour."""
+    spark._jvm.System.gc()
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema) -> DataFrame:

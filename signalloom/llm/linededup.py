@@ -37,7 +37,7 @@ empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import append, discard, map_batches, read, stored, texts
+from .common import discard, map_batches, read, settle, stored, texts
 
 MIN_WORDS, LINE_WORDS, FILTER_BITS = 50, 8, 27
 #: Most windows of a stretch, bytes hashed at a time, words looked at a time, and words that are hashed one by one.
@@ -208,12 +208,6 @@ class Stretches:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _signed(text: bytes) -> int:
-    import xxhash
-
-    return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
-
-
 def _selected(least: int):
     """Fingerprints of a batch and how many stretches have them, tied ones twice."""
 
@@ -235,8 +229,7 @@ def _positions(least: int, bits):
         lit = bits.value
 
         def handle(batch: pa.RecordBatch) -> dict:
-            rows = texts(batch)
-            body = np.array([_signed(t) for t in rows], np.int64)
+            rows, body = texts(batch), batch.column("body").to_numpy()
             out: dict[str, list] = {k: [] for k in ("doc_id", "body", "first", "n", "mark", "tied", "whole", "windows")}
             for words, row, number in pieces(rows, least):
                 found = Stretches(words, row, least)
@@ -270,29 +263,31 @@ def _bitmap(marks: DataFrame) -> np.ndarray:
 
 def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, body (a hash of the text), spans: intervals [first, end) of words that stand earlier; they may overlap."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
     marks = map_batches(chosen.select("text"), _selected(min_words), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1")
     lit = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
     near = stored(map_batches(chosen, _positions(min_words, lit), "doc_id long, body long, first long, n long, mark long, tied boolean, whole long, windows array<long>"), "positions")
     place = F.struct("doc_id", "body", "first")
     # Written, as the joins below then stand alone and skewed ones are split.
-    kinds = stored(near.groupBy("mark", "whole").agg(F.min(place).alias("origin"), F.max(place).alias("final"), F.bool_or("tied").alias("tied"), F.first("windows").alias("windows")), "stretches")
+    kinds = stored(near.groupBy("mark", "whole").agg(F.min(place).alias("origin"), F.max(place).alias("final"), F.bool_or("tied").alias("tied"), F.first("windows").alias("windows")), "stretches", few=True)
     copied = kinds.where("origin <> final").select("mark", "whole", "origin")
     later = near.select("mark", "whole", "doc_id", "body", "first", "n").join(copied, ["mark", "whole"]).where(~place.eqNullSafe(F.col("origin")))
-    later = later.select("doc_id", "body", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end"))
+    later = stored(later.select("doc_id", "body", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end")), "copies", few=True)
+    discard(near)
 
-    shared = stored(kinds.groupBy("mark").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied")).where("n > 1 OR tied").select("mark"), "shared")
+    shared = stored(kinds.groupBy("mark").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied")).where("n > 1 OR tied").select("mark"), "shared", few=True)
     differing = kinds.join(shared, "mark", "left_semi").select("mark", "origin.*", "windows").orderBy("doc_id", "body", "first")
     # Sorted by place, so that a number stands for the place of a window; a stretch has fewer windows than 2^10.
     differing = stored(differing.withColumn("number", F.monotonically_increasing_id()), "differing")
+    discard(kinds, shared)
     each = differing.select("mark", "number", "doc_id", "body", "first", F.posexplode("windows").alias("i", "window"))
     each = each.withColumn("number", F.expr("number * 1024 + i"))
     found = each.groupBy("mark", "window").agg(F.min("number").alias("origin"), F.max("number").alias("final")).where("origin <> final").select("mark", "window", "origin")
-    found = stored(found, "windows")
+    found = stored(found, "windows", few=True)
+    settle(docs.sparkSession)
     partly = each.join(found, ["mark", "window"]).where("number <> origin").select("doc_id", "body", (F.col("first") + F.col("i")).alias("first"), (F.col("first") + F.col("i") + min_words).alias("end"))
-    spans = stored(later.unionByName(partly).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
-    for table in (near, kinds, shared, differing, found):
-        discard(table)
+    spans = stored(later.unionByName(partly).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans", few=True)
+    discard(later, differing, found)
     return spans
 
 
@@ -302,7 +297,7 @@ def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "
     names = docs.columns
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     hidden = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    keyed = append(hidden, text, lambda: lambda rows: {"body": [_signed(t) for t in rows]}, "body long")
+    keyed = hidden.withColumn("body", F.xxhash64(text))
     spans = found.select(F.col("doc_id").alias("of"), F.col("body").alias("hash"), "spans")
     joined = keyed.join(spans, F.col(key).cast("long").eqNullSafe(F.col("of")) & (F.col("body") == F.col("hash")), "left").drop("of", "hash", "body")
     kept = [f for f in hidden.schema if f.name != text]
@@ -313,7 +308,10 @@ def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "
             left, spans = batch.column(text), batch.column("spans")
             changed = spans.is_valid()
             rows = texts(batch.filter(changed), text)
-            each = [cut(t, s) for t, s in zip(rows, spans.drop_null().to_pylist(), strict=True)]
+            spans = spans.drop_null()
+            first, end = (spans.flatten().field(k).to_numpy() for k in ("first", "end"))
+            at = np.concatenate([[0], np.cumsum(pc.list_value_length(spans).to_numpy())])
+            each = [cut(t, zip(first[a:b].tolist(), end[a:b].tolist(), strict=True)) for t, a, b in zip(rows, at[:-1], at[1:], strict=True)]
             if each:
                 left = pc.replace_with_mask(left, changed, pa.array([x[0].decode() for x in each], left.type))
             gone = np.zeros(batch.num_rows, np.int64)
@@ -343,22 +341,23 @@ def count_words(column: pa.StringArray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
+def cut(text: bytes, spans: Iterable[tuple[int, int]]) -> tuple[bytes, int]:
     """The text without the words of the spans, and how many went."""
     lines = text.split(b"\n")
     parts = [line.split() for line in lines]
     gone = np.zeros(sum(map(len, parts)), bool)
-    for s in spans:
-        gone[s["first"] : s["end"]] = True
+    for first, end in spans:
+        gone[first:end] = True
     out, at = [], 0
+    sums = np.concatenate([[0], np.cumsum(gone)]).tolist()
     for line, words in zip(lines, parts, strict=True):
-        here = gone[at : at + len(words)]
-        at += len(words)
-        if not here.any():
+        before, at = at, at + len(words)
+        lost = sums[at] - sums[before]
+        if not lost:
             out.append(line)
-        elif not here.all():
-            out.append(b" ".join(w for w, g in zip(words, here, strict=True) if not g))
-    return b"\n".join(out), int(gone.sum())
+        elif lost < len(words):
+            out.append(b" ".join(w for w, g in zip(words, gone[before:at].tolist(), strict=True) if not g))
+    return b"\n".join(out), sums[-1]
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import checkpoint, read
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, PARTS, ROUNDS, SHARD_SLOTS, RUN, RUNS_A_TASK, SEED = 256, 1 << 16, 16, 1 << 14, 4096, 4, 20240229
@@ -142,7 +142,7 @@ def shard_counts(plan: DataFrame, *, shard_slots: int = SHARD_SLOTS) -> DataFram
     drawn = drawn.select(F.expr(f"id div {shard_slots}").alias("shard"), F.expr(f"(((d * d + c) % {_P}) * {_P} + d) % {max(total, 1)}").alias("v"))
     met = drawn.withColumn("cell", F.expr(f"v div {width}")).join(_shared(cells), "cell").where("v >= low AND v < low + slots")
     counts = met.groupBy("shard", "rank").agg(F.count("*").alias("drawn"), F.first("slots").alias("slots"))
-    summed = stored(_before(counts, "shard", "drawn").withColumn("until", F.expr("before + drawn")), "draws")
+    summed = checkpoint(_before(counts, "shard", "drawn").withColumn("until", F.expr("before + drawn")))
     given = summed.select("shard", "rank", F.least("before", "slots").alias("first"), F.least("until", "slots").alias("end"))
     # What no draw has given makes further shards.
     ends = summed.groupBy("rank").agg(F.max("until").alias("until"))
@@ -200,8 +200,8 @@ def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, parts: int = PARTS, shard_slots: int = SHARD_SLOTS, **targets
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target and taken words."""
-    sizes = stored(_sizes(docs, id_col, text_col, source_col), "sizes")
-    planned = stored(plan(sizes, block=block, **targets), "plan")
+    sizes = checkpoint(_sizes(docs, id_col, text_col, source_col))
+    planned = checkpoint(plan(sizes, block=block, **targets))
     uses = slots(planned, block=block, shard_slots=shard_slots).groupBy("rank", "block_no").agg(
         F.sum((F.col("words") == block).cast("long")).alias("uses"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("cut")
     )
@@ -224,7 +224,7 @@ def packed(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, parts: int = PARTS, shard_slots: int = SHARD_SLOTS, **targets
 ) -> DataFrame:
     """The mix itself: shard, place, source, pass_no, block_no, n_words, doc_ids (in order) and the block's text."""
-    planned = stored(plan(_sizes(docs, id_col, text_col, source_col), block=block, **targets), "plan")
+    planned = checkpoint(plan(_sizes(docs, id_col, text_col, source_col), block=block, **targets))
     lain = stretches(_sizes(docs, id_col, text_col, source_col, F.col(text_col).alias("text")), planned, parts=parts)
     # The outer lambda binds the words, so that they are split once a document and not once a block.
     pieces = F.expr(

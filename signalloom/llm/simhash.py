@@ -9,8 +9,8 @@ traversed together from the root, differing bits add up, and a pair is dropped
 once it exceeds the budget. The traversal is vectorised over many buckets and
 works through its frontier in bounded slices. Buckets give spanning links only
 (a node to the least of its local component), never all pairs; alternating
-large-star and small-star steps, each written to the shared folder, join them
-into components.
+large-star and small-star steps, with a checkpoint each, join them into
+components.
 
 A bucket above ``bucket_rows`` is split into groups by a hash, and each pair of
 groups is a bucket of its own, so that no task holds a large bucket.
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD_CASE, append, discard, map_batches, read, stored
+from .common import FOLD_CASE, append, checkpoint, map_batches, read, stored
 
 BUCKET_ROWS = 4096
 #: Minimum hashes a group, and groups: of pairs at a similarity of 0.8 all but 1 in 1,500 share a group.
@@ -248,7 +248,7 @@ def connected(links: DataFrame) -> DataFrame:
     Large-star hangs each larger neighbour of a node on the node's least
     neighbour; small-star does so with the smaller neighbours and the node.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -256,9 +256,8 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, edges = edges, stored(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = checkpoint(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
-        discard(last)
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 

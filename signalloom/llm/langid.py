@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import append, read, sheltered, stored
+from .common import append, checkpoint, read, sheltered, stored
 
 PER_LANG, LANG_BYTES = 150, 1 << 19
 #: One in so many sampled texts is spliced, in pieces of so many words.
@@ -217,7 +217,7 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     """lang, h and text of a bounded number of labelled texts of each language that aren't held out."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("i"), folds) != held)).withColumn("h", F.xxhash64("i", "text"))
-    kinds = stored(rows.select("lang", "h", F.octet_length("text").cast("long").alias("size")).distinct(), "labelled")
+    kinds = checkpoint(rows.select("lang", "h", F.octet_length("text").cast("long").alias("size")).distinct())
     # Hashes are even, so that about four times as many as are asked for lie below this share of their range.
     below = stored(kinds.groupBy("lang").agg((4.0 * per_lang / F.count("*")).alias("share")), "shares")
     kinds = kinds.join(below, "lang").where(F.col("h").cast("double") / 2.0**64 + 0.5 < F.col("share"))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,18 +54,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str = "table", *, few: bool = False) -> DataFrame:
-    """Materialise ``df`` as Parquet in the shared folder, which takes less disk than a checkpoint.
-
-    ``few`` is for results of a shuffle that are much smaller than what was
-    shuffled: a quarter of the tasks writes a quarter of the files.
-    """
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared folder, which takes less disk than a checkpoint."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    (df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)) if few else df).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` on the executors' disks until ``dismiss``; what is lost with an executor is computed again.
+
+    Spark forgets that it is dealt by the whole-number ``keys``: a join on them
+    deals both sides, and only so it can split a skewed one.
+    """
+    df = df.select(*[F.bitwise_not(F.bitwise_not(c)).alias(c) if c in keys else c for c in df.columns]).persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def dismiss(*tables: DataFrame) -> None:
+    for df in tables:
+        df.unpersist()
+    settle(tables[0].sparkSession)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of ``stored`` tables that nothing reads any more, and let Spark drop the shuffles that made them."""
     spark = tables[0].sparkSession

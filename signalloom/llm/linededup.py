@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import discard, map_batches, read, settle, stored, texts
+from .common import discard, dismiss, held, map_batches, read, stored, texts
 
 MIN_WORDS, LINE_WORDS, FILTER_BITS = 50, 8, 27
 #: Most windows of a stretch, bytes hashed at a time, words looked at a time, and words that are hashed one by one.
@@ -266,28 +266,29 @@ def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_i
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
     marks = map_batches(chosen.select("text"), _selected(min_words), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1")
     lit = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
-    near = stored(map_batches(chosen, _positions(min_words, lit), "doc_id long, body long, first long, n long, mark long, tied boolean, whole long, windows array<long>"), "positions")
+    near = held(map_batches(chosen, _positions(min_words, lit), "doc_id long, body long, first long, n long, mark long, tied boolean, whole long, windows array<long>"))
     place = F.struct("doc_id", "body", "first")
-    # Written, as the joins below then stand alone and skewed ones are split.
-    kinds = stored(near.groupBy("mark", "whole").agg(F.min(place).alias("origin"), F.max(place).alias("final"), F.bool_or("tied").alias("tied"), F.first("windows").alias("windows")), "stretches", few=True)
+    # Held, as the joins below then stand alone and skewed ones are split.
+    kinds = held(near.groupBy("mark", "whole").agg(F.min(place).alias("origin"), F.max(place).alias("final"), F.bool_or("tied").alias("tied"), F.first("windows").alias("windows")), "mark", "whole")
     copied = kinds.where("origin <> final").select("mark", "whole", "origin")
     later = near.select("mark", "whole", "doc_id", "body", "first", "n").join(copied, ["mark", "whole"]).where(~place.eqNullSafe(F.col("origin")))
-    later = stored(later.select("doc_id", "body", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end")), "copies", few=True)
-    discard(near)
+    later = held(later.select("doc_id", "body", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end")))
+    dismiss(near)
 
-    shared = stored(kinds.groupBy("mark").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied")).where("n > 1 OR tied").select("mark"), "shared", few=True)
+    shared = held(kinds.groupBy("mark").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied")).where("n > 1 OR tied").select("mark"), "mark")
     differing = kinds.join(shared, "mark", "left_semi").select("mark", "origin.*", "windows").orderBy("doc_id", "body", "first")
     # Sorted by place, so that a number stands for the place of a window; a stretch has fewer windows than 2^10.
+    # Written, as the numbers must be the same whenever they are read.
     differing = stored(differing.withColumn("number", F.monotonically_increasing_id()), "differing")
-    discard(kinds, shared)
+    dismiss(kinds, shared)
     each = differing.select("mark", "number", "doc_id", "body", "first", F.posexplode("windows").alias("i", "window"))
     each = each.withColumn("number", F.expr("number * 1024 + i"))
     found = each.groupBy("mark", "window").agg(F.min("number").alias("origin"), F.max("number").alias("final")).where("origin <> final").select("mark", "window", "origin")
-    found = stored(found, "windows", few=True)
-    settle(docs.sparkSession)
+    found = held(found, "mark", "window")
     partly = each.join(found, ["mark", "window"]).where("number <> origin").select("doc_id", "body", (F.col("first") + F.col("i")).alias("first"), (F.col("first") + F.col("i") + min_words).alias("end"))
-    spans = stored(later.unionByName(partly).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans", few=True)
-    discard(later, differing, found)
+    spans = stored(later.unionByName(partly).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    dismiss(later, found)
+    discard(differing)
     return spans
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, langid, licenses, linededup, merkle, mixing, secrets, simhash, topk, warc
+from . import collisions, ctw, decontaminate, langid, licenses, linededup, merkle, mixing, secrets, simhash, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_collisions": collisions.op11_collisions,
     "op12_merkle": merkle.op12_merkle,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op7_warc": warc.SQL,
     "op9_topk": topk.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_collisions": collisions.SQL,
     "op12_merkle": merkle.SQL,
 }

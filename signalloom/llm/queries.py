@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collisions, ctw, decontaminate, langid, licenses, linededup, merkle, mixing, secrets, simhash, topk, warc
+from . import collisions, collocations, ctw, decontaminate, langid, licenses, linededup, merkle, mixing, secrets, simhash, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_collisions": collisions.op11_collisions,
     "op12_merkle": merkle.op12_merkle,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op10_decontaminate": decontaminate.SQL,
     "op11_collisions": collisions.SQL,
     "op12_merkle": merkle.SQL,
+    "op13_collocations": collocations.SQL,
 }

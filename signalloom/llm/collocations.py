@@ -6,9 +6,10 @@ of k - 1 words, its first part's and its rest's (one word less at either end):
 unless both are frequent it can't be, so frequent phrases are found level by
 level, each from the numbers of the one below:
 
-1. candidates: pairs of neighbouring numbers that occur in some task so often
-   that they could reach the least count overall (a pair below its share in
-   every task is below the least count in sum);
+1. candidates: pairs of neighbouring numbers that could reach the least count.
+   Tasks count hashes of pairs in arrays of buckets, which are summed in a tree:
+   a pair whose bucket is below the least count is so itself. And a pair below
+   its share of the least count in every task is below it in sum;
 2. a minimal perfect hash over the candidates, made on the executors, a shard of
    bounded size at a time; the pair itself is stored in its slot, so nothing
    else is counted there;
@@ -45,6 +46,8 @@ from .merkle import numbered
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: Keys of a shard, the group of keys that a task makes a hash of, and shards that are broadcast at a time (25 MB).
 SHARD_KEYS, SHARDS = 1 << 17, 16
+#: Buckets at most and their number a pair, which a task keeps as bytes, and buckets of a piece.
+MOST_BUCKETS, BUCKETS_A_PAIR, PIECE = 1 << 24, 0.25, 1 << 20
 #: Words that are broadcast at a time, and the length from which a digest stands for a word.
 SHARD_WORDS, LONG_WORD = 1 << 18, 64
 #: Arrays that one task sums.
@@ -246,31 +249,87 @@ def _blobs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(b, np.int32)
 
 
-def _proposer(least: int, pairs: int):
-    """Pairs that a task sees at least as often as its share of the least count."""
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair; their number is a power of two."""
+    x = (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+
+
+def _bucket_counter(buckets: int, least: int):
+    """Counts of a task by bucket, up to ``least``, in pieces."""
+    kind = np.uint8 if least < 256 else np.uint32
+
+    def make():
+        from pyspark import TaskContext
+
+        sums, held = np.zeros(buckets, np.uint32), []
+
+        def count() -> None:
+            if held:
+                at, n = np.unique(_bucket_of(np.concatenate(held), buckets), return_counts=True)
+                sums[at] += n.astype(np.uint32)
+                held.clear()
+
+        def handle(batch: pa.RecordBatch) -> None:
+            for numbers in _blobs(batch):
+                held.append(_pairs(numbers)[1])
+                if sum(map(len, held)) > KEPT_PAIRS:
+                    count()
+
+        def finish():
+            count()
+            here = TaskContext.get().partitionId()
+            for at in range(0, buckets, PIECE):
+                if sums[at : at + PIECE].any():
+                    yield {"shard": [at // PIECE], "task": [here], "counts": [np.minimum(sums[at : at + PIECE], least).astype(kind).tobytes()]}
+
+        handle.finish = finish
+        return handle
+
+    def add(arrays: list[bytes]) -> bytes:
+        total = np.frombuffer(arrays[0], kind)
+        for more in arrays[1:]:
+            total = np.minimum(total.astype(np.uint64) + np.frombuffer(more, kind), least).astype(kind)
+        return total.tobytes()
+
+    return make, add
+
+
+def _full(least: int):
+    """A bit a bucket: whether it reaches the least count."""
+    kind = np.uint8 if least < 256 else np.uint32
+    return lambda: lambda batch: {"shard": batch.column("shard"), "bits": [np.packbits(np.frombuffer(b, kind) >= least).tobytes() for b in batch.column("counts").to_pylist()]}
+
+
+def _proposer(least: int, pairs: int, full, buckets: int):
+    """Pairs of full buckets that a task sees at least as often as its share of the least count."""
 
     def make():
         held: list[np.ndarray] = []
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys, counts, seen = np.empty(0, np.uint64), np.empty(0, np.int64), 0
 
         def count() -> None:
             nonlocal keys, counts
             new, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
 
         def passed() -> dict:
-            nonlocal keys, counts
-            # In whole numbers: count / least >= seen / pairs.
-            likely = counts.astype(object) * pairs >= least * int(counts.sum()) if pairs > 1 << 40 else counts * pairs >= least * counts.sum()
-            out = {"key": keys[likely.astype(bool)].view(np.int64)}
-            keys, counts = keys[:0], counts[:0]
+            nonlocal keys, counts, seen
+            # count / seen >= least / pairs, in whole numbers.
+            floor = -(-least * seen // pairs)
+            out = {"key": keys[counts >= floor].view(np.int64)}
+            keys, counts, seen = keys[:0], counts[:0], 0
             return out
 
         def handle(batch: pa.RecordBatch) -> dict | None:
+            nonlocal seen
             for numbers in _blobs(batch):
-                held.append(_pairs(numbers)[1])
+                found = _pairs(numbers)[1]
+                at = _bucket_of(found, buckets)
+                seen += len(found)
+                held.append(found[full.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1])
                 if sum(map(len, held)) > KEPT_PAIRS:
                     count()
             return passed() if len(keys) > KEPT_COUNTS else None
@@ -287,6 +346,23 @@ def _proposer(least: int, pairs: int):
     return make
 
 
+def candidates(below: DataFrame, least: int) -> DataFrame:
+    """Pairs (key) of neighbouring numbers of ``below`` that could occur ``least`` times; the others can't."""
+    pairs = max(1, below.agg(F.sum("pairs")).first()[0] or 0)
+    buckets = max(1 << 10, min(MOST_BUCKETS, 1 << int(pairs * BUCKETS_A_PAIR).bit_length()))
+    make, add = _bucket_counter(buckets, least)
+    numbers = below.select("numbers")
+    counts = _summed(map_batches(numbers, make, "shard long, task long, counts binary"), numbers.rdd.getNumPartitions(), add)
+    size = min(PIECE, buckets) // 8
+    bits = np.zeros(-(-buckets // 8), np.uint8)
+    for piece in map_batches(counts, _full(least), "shard long, bits binary").toLocalIterator():
+        bits[piece["shard"] * size : (piece["shard"] + 1) * size] = np.frombuffer(bytes(piece["bits"]), np.uint8)
+    full = below.sparkSession.sparkContext.broadcast(bits)
+    found = stored(map_batches(numbers, _proposer(least, pairs, full, buckets), "key long").distinct(), "candidates")
+    full.destroy()
+    return found
+
+
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     x = keys * np.uint64(0xD6E8FEB86659FD93)
     return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -365,15 +441,18 @@ def _counter(sent, shards: int):
     return make
 
 
-def _summed(parts: DataFrame, tasks: int) -> DataFrame:
+def _sum(arrays: list[bytes]) -> bytes:
+    return sum(np.frombuffer(b, np.int64) for b in arrays).tobytes()
+
+
+def _summed(parts: DataFrame, tasks: int, add=_sum) -> DataFrame:
     """One array a shard from those of all tasks, ``FAN`` at a time."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py(), np.int64) for b in table["counts"])
-        return pa.table({"shard": table["shard"][:1], "task": table["task"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    def one(table: pa.Table) -> pa.Table:
+        return pa.table({"shard": table["shard"][:1], "task": table["task"][:1], "counts": pa.array([add(table["counts"].to_pylist())], pa.binary())})
 
     while tasks > 1:
-        parts = parts.withColumn("task", F.expr(f"task div {FAN}")).groupBy("shard", "task").applyInArrow(add, "shard long, task long, counts binary")
+        parts = parts.withColumn("task", F.expr(f"task div {FAN}")).groupBy("shard", "task").applyInArrow(one, "shard long, task long, counts binary")
         tasks = -(-tasks // FAN)
     return parts
 
@@ -420,9 +499,7 @@ def _next_numbers(sent, shards: int, last: bool):
 
 def level(below: DataFrame, least: int, shard_keys: int = SHARD_KEYS, at_once: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """The frequent pairs of neighbouring numbers of ``below`` (key, a, number), and the runs of their numbers."""
-    pairs = below.agg(F.sum("pairs")).first()[0] or 0
-    proposed = map_batches(below.select("numbers"), _proposer(least, pairs), "key long")
-    proposed = stored(proposed.distinct().withColumn("number", F.lit(0).cast("long")), "candidates")
+    proposed = candidates(below, least).withColumn("number", F.lit(0).cast("long"))
     shards = max(1, -(-proposed.count() // shard_keys))
     table = hashes(proposed, shards)
     tasks = below.select("numbers").rdd.getNumPartitions()

@@ -48,6 +48,8 @@ LEAST, LONGEST, FIRST = 100, 5, 2000
 SHARD_KEYS, SHARDS = 1 << 17, 16
 #: Buckets at most and their number a pair, which a task keeps as bytes, and buckets of a piece.
 MOST_BUCKETS, BUCKETS_A_PAIR, PIECE = 1 << 24, 0.25, 1 << 20
+#: Pairs that occur, for each part of those that are proposed.
+PART_PAIRS = 1 << 22
 #: Words that are broadcast at a time, and the length from which a digest stands for a word.
 SHARD_WORDS, LONG_WORD = 1 << 18, 64
 #: Arrays that one task sums.
@@ -301,8 +303,8 @@ def _full(least: int):
     return lambda: lambda batch: {"shard": batch.column("shard"), "bits": [np.packbits(np.frombuffer(b, kind) >= least).tobytes() for b in batch.column("counts").to_pylist()]}
 
 
-def _proposer(least: int, pairs: int, full, buckets: int):
-    """Pairs of full buckets that a task sees at least as often as its share of the least count."""
+def _proposer(least: int, pairs: int, full, buckets: int, parts: int):
+    """Pairs of full buckets that a task sees at least as often as its share of the least count, an array a part."""
 
     def make():
         held: list[np.ndarray] = []
@@ -318,10 +320,12 @@ def _proposer(least: int, pairs: int, full, buckets: int):
         def passed() -> dict:
             nonlocal keys, counts, seen
             # count / seen >= least / pairs, in whole numbers.
-            floor = -(-least * seen // pairs)
-            out = {"key": keys[counts >= floor].view(np.int64)}
+            likely = keys[counts >= -(-least * seen // pairs)]
             keys, counts, seen = keys[:0], counts[:0], 0
-            return out
+            of = _shard_of(likely, parts)
+            order = np.argsort(of, kind="stable")
+            here, first = np.unique(of[order], return_index=True)
+            return {"part": here, "keys": [k.tobytes() for k in np.split(likely[order], first[1:])] if len(here) else []}
 
         def handle(batch: pa.RecordBatch) -> dict | None:
             nonlocal seen
@@ -358,7 +362,14 @@ def candidates(below: DataFrame, least: int) -> DataFrame:
     for piece in map_batches(counts, _full(least), "shard long, bits binary").toLocalIterator():
         bits[piece["shard"] * size : (piece["shard"] + 1) * size] = np.frombuffer(bytes(piece["bits"]), np.uint8)
     full = below.sparkSession.sparkContext.broadcast(bits)
-    found = stored(map_batches(numbers, _proposer(least, pairs, full, buckets), "key long").distinct(), "candidates")
+    # Most tasks propose what is frequent, so arrays travel and not rows.
+    parts = -(-pairs // PART_PAIRS)
+    proposed = map_batches(numbers, _proposer(least, pairs, full, buckets, parts), "part long, keys binary")
+
+    def once(table: pa.Table) -> pa.Table:
+        return pa.table({"key": np.unique(np.concatenate([np.frombuffer(k, np.int64) for k in table["keys"].to_pylist()]))})
+
+    found = stored(proposed.groupBy("part").applyInArrow(once, "key long"), "candidates")
     full.destroy()
     return found
 

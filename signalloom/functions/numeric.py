@@ -57,6 +57,20 @@ def on_each(df: DataFrame, few: DataFrame, most: int) -> DataFrame:
     return df.join(F.broadcast(proven)).select(*df.columns, F.explode("_few").alias("_one")).select(*df.columns, "_one.*")
 
 
+def look_up(df: DataFrame, few: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``df`` with the other columns of ``few``, a table of at most ``most`` rows with one a key; rows without one are dropped.
+
+    The table rides on each row as one map, whose size is proven before it is
+    broadcast, so keys that few values share shuffle nothing.
+    """
+    others = [c for c in few.columns if c not in keys]
+    pairs = few.limit(most + 1).agg(F.collect_list(F.struct(F.struct(*keys).alias("k"), F.struct(*others).alias("v"))).alias("_few"))
+    message = F.lit(f"more than {most} rows of {', '.join(few.columns)}")
+    proven = pairs.select(F.when(F.size("_few") <= most, F.map_from_entries("_few")).otherwise(F.raise_error(message)).alias("_few"))
+    found = df.join(F.broadcast(proven)).withColumn("_one", F.try_element_at("_few", F.struct(*[F.col(k).cast(few.schema[k].dataType).alias(k) for k in keys])))
+    return found.where("_one IS NOT NULL").select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in others])
+
+
 def erfc_sql(x: str) -> str:
     """SQL text of the complementary error function for x >= 0, by its Chebyshev fit (relative error 1.2e-7).
 

@@ -1,4 +1,4 @@
-"""Models on cross-sectional ranks: ridge and ridge on components from Gram aggregates, and boosted trees.
+"""Models on cross-sectional ranks: ridge and ridge on components from Gram aggregates.
 
 A fit needs one aggregation pass a training set: medians, then weighted sums of
 products. The driver solves a system of as many unknowns as there are inputs;
@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean_double, pct_rank
-from .splits import training_weights
 
 
 def rank_features(panel: DataFrame, features: list[str], date: str = "as_of_date") -> DataFrame:
@@ -135,75 +134,8 @@ def pca_baseline(panel: DataFrame, features: list[str], train_end, share: float
     return panel.select(date, "symbol", *columns), details | {"weights": {f: turn[i].tolist() for i, f in enumerate(features)}}
 
 
-def fit_trees(train: DataFrame, features: list[str], target: str, *, rounds: int = 200, depth: int = 3, step: float = 0.05, leaf: int = 20, seed: int = 42, weight: str = "weight"):
-    """Boosted trees after median imputation, as the family ``gbt``.
-
-    Spark grows trees by depth, without an L2 term and without routing missing
-    values, so this approximates histogram boosting and isn't the same model.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    medians, indicators = imputation(train, features)
-    names = [f"_x{i}" for i in range(len(features) + len(indicators))]
-    prepare = lambda df: VectorAssembler(inputCols=names, outputCol="_inputs").transform(df.select("*", *[x.alias(n) for n, x in zip(names, design(features, medians, indicators), strict=True)]))
-    model = GBTRegressor(featuresCol="_inputs", labelCol=target, weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, maxBins=255, seed=seed).fit(prepare(train))
-
-    def score(df: DataFrame, name: str = "score") -> DataFrame:
-        observed = sum((F.col(f).isNotNull().cast("int") for f in features), F.lit(0))
-        scored = model.transform(prepare(df)).withColumn("feature_count", observed).withColumn(name, F.when(observed > 0, F.col("prediction")))
-        return scored.drop("_inputs", "prediction", *names)
-
-    return score
-
-
 def candidate_grid(family: str, grid: dict[str, list]) -> list[tuple[str, dict]]:
     """All combinations in order, each under ``family:{sorted json}``."""
     names = list(grid)
     made = [dict(zip(names, values, strict=True)) for values in product(*grid.values())]
     return [(f"{family}:{json.dumps(p, sort_keys=True, separators=(',', ':'))}", p) for p in made]
-
-
-def tune_trees(folds: list[tuple[DataFrame, DataFrame]], features: list[str], target: str, grid: dict[str, list], least: int, seed: int = 42) -> tuple[str, dict, list[dict]]:
-    """The candidate with the largest mean daily IC pooled over inner folds, ties by grid order: its id, its settings, and all trials.
-
-    A grid of one candidate, or no inner fold, leaves nothing to choose and nothing is fitted.
-    """
-    from .signals import rank_ic
-
-    candidates = candidate_grid("gbt", grid)
-    if len(candidates) == 1 or not folds:
-        return *candidates[0], []
-    trials = []
-    for name, settings in candidates:
-        values = []
-        for train, evaluation in folds:
-            score = fit_trees(training_weights(train, []), features, target, seed=seed, **settings)
-            values += [r["rank_ic"] for r in rank_ic(score(evaluation), ["as_of_date"], "score", target, least).select("rank_ic").collect()]  # one row a date
-        trials.append({"candidate": name, "mean_rank_ic": float(np.mean(values)) if values else None, "dates": len(values)})
-    best = max((i for i, t in enumerate(trials) if t["mean_rank_ic"] is not None), key=lambda i: trials[i]["mean_rank_ic"], default=0)
-    return *candidates[best], trials
-
-
-def tune_ridge(folds: list[tuple[DataFrame, DataFrame]], features: list[str], target: str, alphas: list[float], least: int, components: float | None = None) -> tuple[float, list[dict]]:
-    """The alpha with the largest mean daily IC pooled over inner folds, ties by grid order; and all trials.
-
-    ``folds`` holds (training rows with features ranked, evaluation rows). All
-    alphas of a fold come from one Gram pass and are evaluated together.
-    """
-    from .signals import rank_ic
-
-    daily = []
-    for i, (train, evaluation) in enumerate(folds):
-        models = fit_ridge(training_weights(train, []), features, target, alphas, components=components)
-        for a, m in enumerate(models):
-            scored = m.score(evaluation).select("as_of_date", target, "score").withColumn("candidate", F.lit(a))
-            daily.append(rank_ic(scored, ["candidate", "as_of_date"], "score", target, least).withColumn("inner_fold", F.lit(i)))
-    pooled = daily[0]
-    for d in daily[1:]:
-        pooled = pooled.unionByName(d)
-    rows = {r["candidate"]: r for r in pooled.groupBy("candidate").agg(F.avg("rank_ic").alias("mean_rank_ic"), F.count("*").alias("dates")).collect()}
-    trials = [{"alpha": alpha, "mean_rank_ic": rows[a]["mean_rank_ic"] if a in rows else None, "dates": rows[a]["dates"] if a in rows else 0} for a, alpha in enumerate(alphas)]
-    scored = [t for t in trials if t["mean_rank_ic"] is not None]
-    best = max(scored, key=lambda t: t["mean_rank_ic"])["alpha"] if scored else alphas[0]
-    return best, trials

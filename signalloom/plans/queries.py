@@ -530,14 +530,6 @@ query("ridge_pca_scores")(lambda u: _model_scores(u, 0.95))
 query("pca_baseline")(lambda u: M.pca_baseline(u.panel, list(SIGNALS), date(2000, 1, 1))[0])
 
 
-def _tree_scores(u: Universe) -> DataFrame:
-    score = M.fit_trees(training(u), _INPUTS, TARGET)
-    later = M.rank_features(u.panel.select("as_of_date", "symbol", *_INPUTS), _INPUTS).where(F.col("as_of_date") >= F.lit(date(2000, 1, 1)))
-    return score(later).select("as_of_date", "symbol", "feature_count", "score")
-
-
-query("gbt_scores")(_tree_scores)
-
 # Archive adapters
 
 
@@ -570,3 +562,6 @@ query("coverage_profile", f"WITH {sql.base()}, e AS (SELECT count(*) AS expected
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel, splits, baseline scores and their native daily metrics."""
     return native(Universe(spark, sf_dir))
+
+
+from . import model_queries  # noqa: E402, F401  (adds its queries)

@@ -16,10 +16,12 @@ from ..operators import grid as G
 from ..operators import models as M
 from ..operators import signals as S
 from ..operators import splits as SP
+from ..operators import tuning as TU
+from ..operators.boosting import Boosting, fit_boosted
 from ..operators.panel import FACTORS, PanelConfig, add_factors, build_panel, price_factors
 from ..registry import ExperimentRegistry
 
-FAMILIES = ("ridge", "ridge_pca", "gbt")
+FAMILIES = ("ridge", "ridge_pca", "hist_gradient_boosting")
 
 # The settings of the public demonstration.
 DEMO_PANEL = PanelConfig(lookback_sessions=252, min_observations=126, target_horizon_sessions=20, entry_lag_sessions=1)
@@ -48,10 +50,11 @@ class BenchmarkConfig:
     locked_dates: int = 63
     ridge_alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)
     pca_variance: float = 0.95
-    tree_depths: tuple[int, ...] = (3,)
-    tree_steps: tuple[float, ...] = (0.05,)
-    tree_rounds: int = 200
-    tree_leaf: int = 20
+    hist_learning_rates: tuple[float, ...] = (0.05,)
+    hist_max_leaf_nodes: tuple[int, ...] = (7,)
+    hist_l2_regularization: tuple[float, ...] = (1.0,)
+    hist_max_iter: int = 200
+    hist_min_samples_leaf: int = 20
     families: tuple[str, ...] = ("ridge",)
     baseline: str = "equal_weight_rank"
     seed: int = 42
@@ -73,17 +76,21 @@ class BenchmarkConfig:
         counts = (self.outer_folds, self.outer_dates, self.inner_folds, self.inner_dates, self.minimum_train_dates, self.locked_dates)
         if any(n < 1 for n in counts):
             raise ValueError("split counts must be positive")
-        if not self.tree_depths or not self.tree_steps or any(d < 1 for d in (*self.tree_depths, self.tree_rounds, self.tree_leaf)) or any(not 0 < s <= 1 for s in self.tree_steps):
-            raise ValueError("trees need depths, rounds and leaves from 1 and steps up to 1")
-
-    @property
-    def tree_grid(self) -> dict[str, list]:
-        return {"depth": [*self.tree_depths], "step": [*self.tree_steps], "rounds": [self.tree_rounds], "leaf": [self.tree_leaf]}
+        grids = (self.hist_learning_rates, self.hist_max_leaf_nodes, self.hist_l2_regularization)
+        if any(not g or len(set(g)) != len(g) for g in grids):
+            raise ValueError("grids of trees must be unique and not empty")
+        if any(not r > 0 for r in self.hist_learning_rates) or any(n < 2 for n in self.hist_max_leaf_nodes) or any(x < 0 for x in self.hist_l2_regularization) or self.hist_max_iter < 1 or self.hist_min_samples_leaf < 1:
+            raise ValueError("trees need positive rates, two leaves, a penalty from 0, and rounds and rows from 1")
+
+    def grid(self, family: str) -> list[tuple[str, dict]]:
+        """The candidates of a family in order, by id."""
+        if family == "hist_gradient_boosting":
+            return M.candidate_grid(family, {"learning_rate": [*self.hist_learning_rates], "max_leaf_nodes": [*self.hist_max_leaf_nodes], "l2_regularization": [*self.hist_l2_regularization]})
+        return M.candidate_grid(family, {"alpha": [*self.ridge_alphas]} | ({"variance_to_keep": [self.pca_variance]} if family == "ridge_pca" else {}))
 
     def candidates(self, family: str) -> list[str]:
         """The ids of a family's grid."""
-        grid = self.tree_grid if family == "gbt" else {"alpha": [*self.ridge_alphas]}
-        return [name for name, _ in M.candidate_grid(family, grid)]
+        return [name for name, _ in self.grid(family)]
 
 
 def panel_from_tables(prices: DataFrame, memberships: DataFrame, dates: DataFrame, config: PanelConfig, factors: tuple[str, ...] = ()) -> DataFrame:
@@ -146,27 +153,33 @@ def _fit_block(train: DataFrame, evaluation: DataFrame, config: BenchmarkConfig,
     if best:
         rank = F.col(f"_rank_{best['feature']}")
         scored["best_metric"] = (E.signed_ranks(evaluation, {best["feature"]: best["direction"]}).withColumn("score", rank).withColumn("feature_count", rank.isNotNull().cast("int")), [best["feature"]], None)
-    keep = ["as_of_date", "symbol", "label_end_date", config.target]
+    keep = list(dict.fromkeys(("as_of_date", "symbol", "label_end_date", config.target, config.realized_return)))
     ranked = M.rank_features(train.select(*keep, *chosen), chosen)
     labelled = ranked.where(F.col(config.target).isNotNull() & F.col("label_end_date").isNotNull()).persist()
     later = M.rank_features(evaluation.select("as_of_date", "symbol", *chosen), chosen)
-    blocks = SP.walk_forward(labelled, folds=config.inner_folds, test_dates=config.inner_dates, least_train=2).collect()
-    inner = []
-    for b in blocks:
-        fit = labelled.where((F.col("as_of_date") < F.lit(b["test_start"])) & (F.col("label_end_date") < F.lit(b["test_start"])))
-        inner.append((fit, labelled.where(F.col("as_of_date").between(b["test_start"], b["test_end"]))))
+    inside = labelled.withColumn("fold", F.lit(fold))
+    inner = TU.nested_rows(inside, TU.nested_blocks(inside, folds=config.inner_folds, test_dates=config.inner_dates, least_train=2))
     details = {"fold": fold, "selected": chosen, "selection": screen["selection"], "trials": []}
+    weighted = SP.training_weights(labelled, [])
     for family in config.families:
-        weighted = SP.training_weights(labelled, [])
-        if family == "gbt":
-            name, settings, trials = M.tune_trees(inner, chosen, config.target, config.tree_grid, config.min_cross_section, config.seed)
-            details["trials"] += [{"family": family, **t} for t in trials]
-            scored[family] = (M.fit_trees(weighted, chosen, config.target, seed=config.seed, **settings)(later), chosen, name)
-            continue
-        share = config.pca_variance if family == "ridge_pca" else None
-        alpha, trials = M.tune_ridge(inner, chosen, config.target, list(config.ridge_alphas), config.min_cross_section, share) if inner else (config.ridge_alphas[0], [])
-        details["trials"] += [{"family": family, **t} for t in trials]
-        scored[family] = (M.fit_ridge(weighted, chosen, config.target, [alpha], components=share)[0].score(later), chosen, M.candidate_grid(family, {"alpha": [alpha]})[0][0])
+        grid, trees = config.grid(family), family == "hist_gradient_boosting"
+        name, settings = grid[0]
+        # A grid of one leaves nothing to choose.
+        if len(grid) > 1:
+            figures = {"least": config.min_cross_section, "quantiles": config.quantiles, "family": family}
+            if trees:
+                trials = TU.tune_boosted(inner, chosen, config.target, config.realized_return, [c for _, c in grid], rounds=config.hist_max_iter, leaf=config.hist_min_samples_leaf, **figures)
+            else:
+                trials = TU.tune_linear(inner, chosen, config.target, config.realized_return, [c for _, c in grid], **figures)
+            told = [r.asDict() for r in trials.orderBy("candidate_order").collect()]
+            details["trials"] += told
+            name, settings = grid[next((r["candidate_order"] for r in told if r["selected"]), 0)]
+        if trees:
+            fitted = fit_boosted(weighted, [], chosen, config.target, [Boosting(**settings)], rounds=config.hist_max_iter, least=config.hist_min_samples_leaf)
+            scored[family] = (fitted.score(later).drop("candidate"), chosen, name)
+        else:
+            model = M.fit_ridge(weighted, chosen, config.target, [settings["alpha"]], components=settings.get("variance_to_keep"))[0]
+            scored[family] = (model.score(later), chosen, name)
     outcome = evaluation.select("as_of_date", "symbol", C.row_id().alias("row_id"), F.col(config.target).alias("target"), F.col(config.realized_return).alias("_r"))
     ends = labelled.agg(F.max("as_of_date"), F.max("label_end_date")).first()
     rows = None

@@ -160,14 +160,19 @@ def test_saved_scores_carry_their_evidence(spark, panel):
         R.compare_bundles(out["predictions"], out["predictions"], out["schedule"], assignments=out["assignments"], candidate_assignments=out["assignments"].where("fold < 1"))
 
 
-def test_tree_tuning_picks_by_pooled_correlation(panel):
-    from signalloom.operators import models as M
-
-    rows = M.rank_features(panel.select("as_of_date", "symbol", "label_end_date", "forward_excess_return", "momentum", "value"), ["momentum", "value"]).where("forward_excess_return IS NOT NULL")
-    folds = [(rows.where(F.col("as_of_date") < F.lit(day(18))), rows.where(F.col("as_of_date").between(day(20), day(27))))]
-    name, settings, trials = M.tune_trees(folds, ["momentum", "value"], "forward_excess_return", {"depth": [1, 2], "step": [0.3], "rounds": [3], "leaf": [2]}, 5)
-    assert len(trials) == 2 and trials[0]["dates"] == 8 and name == max(trials, key=lambda t: t["mean_rank_ic"])["candidate"] and f'"depth":{settings["depth"]}' in name
-    assert M.tune_trees(folds, ["momentum"], "forward_excess_return", {"depth": [1]}, 5)[2] == []
+def test_tuning_of_trees_and_ridge_on_inner_folds(panel):
+    from dataclasses import replace
+
+    small = replace(CONFIG, features=("momentum", "value"), outer_folds=1, ridge_alphas=(0.5, 50.0), families=("ridge", "hist_gradient_boosting"), hist_max_iter=1, hist_min_samples_leaf=3, hist_max_leaf_nodes=(2, 3))
+    out = R.run_benchmark(panel, small)
+    for d in out["details"]:
+        by = {}
+        for t in d["trials"]:
+            by.setdefault(t["family"], []).append(t)
+        for family, trials in by.items():
+            assert [t["candidate_id"] for t in trials] == small.candidates(family) and sum(t["selected"] for t in trials) == 1
+            assert max(trials, key=lambda t: (round(t["mean_rank_ic"], 12), -t["candidate_order"]))["selected"]
+    assert {r["model"] for r in out["predictions"].select("model").distinct().collect()} >= {"ridge", "hist_gradient_boosting"}
 
 
 def test_target_ablation(panel):

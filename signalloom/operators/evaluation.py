@@ -82,6 +82,23 @@ def common_daily_metrics(predictions: DataFrame, models: list[str], least: int,
     return _daily(rows.withColumn("_scored", scored).where(F.col("_scored") == len(models)), least, quantiles, "_all")
 
 
+def common_scope_violations(predictions: DataFrame, models: list[str]) -> DataFrame:
+    """How often models may not be compared on common rows: check, violations.
+
+    All models must know the same outcomes of a row, have each row once, and have
+    rows on each date of a fold.
+    """
+    rows = _clean(predictions).where(F.col("model").isin(models))
+    row = ["phase", "fold", "as_of_date", "symbol"]
+    kinds = lambda c: F.countDistinct(c) + F.when((F.count(c) > 0) & (F.count(c) < F.count("*")), 1).otherwise(0)
+    by_row = rows.groupBy(*row).agg(F.count("*").alias("n"), F.countDistinct("model").alias("m"), kinds("target").alias("t"), kinds("realized_return").alias("r"))
+    faults = by_row.agg(F.count_if(F.col("t") > 1).alias("targets"), F.count_if(F.col("r") > 1).alias("returns"), F.coalesce(F.sum(F.col("n") - F.col("m")), F.lit(0)).alias("repeats"))
+    by_date = rows.groupBy(*row[:3]).agg(F.countDistinct("model").alias("m")).agg(F.coalesce(F.sum(F.lit(len(models)) - F.col("m")), F.lit(0)).alias("absent"))
+    both = faults.crossJoin(by_date)  # one row each
+    names = {"differing_targets": "targets", "differing_returns": "returns", "repeated_rows": "repeats", "absent_models": "absent"}
+    return both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(v).cast("long").alias("violations")) for k, v in names.items()])).alias("x")).select("x.*")
+
+
 def _rolled(daily: DataFrame, keys: list[str], lags: int | None) -> DataFrame:
     sums = (
         F.count("*").alias("date_count"), F.count("rank_ic").alias("ic_date_count"), F.avg("rank_ic").alias("mean_rank_ic"), F.median("rank_ic").alias("median_rank_ic"),

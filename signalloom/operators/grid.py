@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import on_each
+from .intervals import points_in_intervals
 
 #: Sessions of a calendar at most, which bounds what is broadcast; over two thousand years of days.
 MOST_SESSIONS = 1 << 20
@@ -39,14 +40,15 @@ def adjacent_returns(grid: DataFrame) -> DataFrame:
 def active_members(dates: DataFrame, members: DataFrame, universe: str | None = None) -> DataFrame:
     """as_of_date and symbol of members whose half-open interval holds the date."""
     m = members if universe is None else members.where(F.col("universe_id") == universe)
-    inside = (m["effective_from"] <= dates["as_of_date"]) & (m["effective_to"].isNull() | (dates["as_of_date"] < m["effective_to"]))
-    return dates.join(m, inside).select("as_of_date", "symbol").distinct()
+    spans = m.select("symbol", "effective_from", "effective_to").distinct()
+    return points_in_intervals(dates, spans, "as_of_date", "effective_from", "effective_to").select("as_of_date", "symbol").distinct()
 
 
 def missing_sessions(prices: DataFrame, cal: DataFrame) -> DataFrame:
     """Per symbol, the sessions between its first and last price that it has none on."""
     spans = prices.groupBy("symbol").agg(F.min("session").alias("first"), F.max("session").alias("last"))
-    due = spans.join(cal, cal["session"].between(spans["first"], spans["last"])).select("symbol", "session")
+    until = spans.select("symbol", "first", F.date_add("last", 1).alias("after"))
+    due = points_in_intervals(cal, until, "session", "first", "after").select("symbol", "session")
     return due.join(prices.select("symbol", "session"), ["symbol", "session"], "left_anti")
 
 

@@ -10,13 +10,17 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import companion as CO
+from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators import splits as SP
 from ..operators import tuning as TU
 from ..operators.boosting import Boosting, fit_boosted
 from . import sql
 from .derived import TARGET, Universe
-from .queries import _INPUTS, _SPLIT, _THREE, _assigned, _cramer, query, r6, s6, training
+from ..shared import shared_folder
+from ..streaming import events
+from .queries import _INPUTS, _PREDICTIONS, _SPLIT, _THREE, MODELS, QUERIES, SIGNALS, ORACLE_SQL, _assigned, _cramer, predictions, query, r6, s6, training
 
 INNER, INNER_DATES, INNER_LEAST = 2, 6, 5
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
@@ -96,3 +100,64 @@ def _boosted(u: Universe) -> DataFrame:
 
 
 query("hgb_scores")(_boosted)
+
+
+# Scope of a comparison
+
+
+def _odd_predictions(u: Universe) -> DataFrame:
+    """Predictions with planted faults: other targets, repeated rows, a model without rows on some dates."""
+    beta = F.col("model") == "metric:beta"
+    rows = predictions(u).where(~(beta & (F.month("as_of_date") % 3 == 0)))
+    rows = rows.withColumn("target", F.when(beta & (F.col("symbol") % 11 == 0), F.col("target") + 1).otherwise(F.col("target")))
+    rows = rows.withColumn("realized_return", F.when(~beta | (F.col("symbol") % 7 != 0), F.col("realized_return")))
+    return rows.unionByName(rows.where((F.col("symbol") % 13 == 0) & (F.col("model") == "equal_weight_rank")))
+
+
+query("common_scope_violations", f"""{_PREDICTIONS}, po AS (SELECT * REPLACE (CASE WHEN model = 'metric:beta' AND symbol % 11 = 0 THEN target + 1 ELSE target END AS target, CASE WHEN model <> 'metric:beta' OR symbol % 7 <> 0 THEN realized_return END AS realized_return) FROM pd WHERE NOT (model = 'metric:beta' AND month(as_of_date) % 3 = 0)),
+pp AS (SELECT * FROM po UNION ALL SELECT * FROM po WHERE symbol % 13 = 0 AND model = 'equal_weight_rank'),
+pr AS (SELECT count(*) AS n, count(DISTINCT model) AS m, count(DISTINCT coalesce(target::VARCHAR, 'none')) AS t, count(DISTINCT coalesce(realized_return::VARCHAR, 'none')) AS r FROM pp GROUP BY phase, fold, as_of_date, symbol),
+pm AS (SELECT count(DISTINCT model) AS m FROM pp GROUP BY phase, fold, as_of_date)
+SELECT unnest(['differing_targets', 'differing_returns', 'repeated_rows', 'absent_models']) AS "check", unnest([(SELECT count(*) FROM pr WHERE t > 1), (SELECT count(*) FROM pr WHERE r > 1), (SELECT sum(n - m) FROM pr)::BIGINT, (SELECT sum({len(MODELS)} - m) FROM pm)::BIGINT]) AS violations""")(
+    lambda u: E.common_scope_violations(_odd_predictions(u), list(MODELS))
+)
+
+# Companion analysis
+
+_LONG = f"WITH {sql.panel()}, {sql.long(SIGNALS, 'as_of_date')}"
+query("feature_describe", f"""{_LONG} SELECT feature, count(value) AS count, {s6('mean', 'std', 'min', 'q25', 'q50', 'q75', 'max')} FROM (SELECT feature, value, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS std, min(value) OVER f AS min, quantile_cont(value, 0.25) OVER f AS q25, quantile_cont(value, 0.5) OVER f AS q50, quantile_cont(value, 0.75) OVER f AS q75, max(value) OVER f AS max
+  FROM long WINDOW f AS (PARTITION BY feature)) GROUP BY ALL""")(lambda u: CO.describe(u.panel, list(SIGNALS)).select("feature", "count", *r6("mean", "std", "min", "q25", "q50", "q75", "max")))
+query("feature_correlations", f"""WITH {sql.panel()} {" UNION ALL ".join(f"SELECT '{a}' AS left, '{b}' AS right, count(*) AS n, round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) + 0.0e0 AS r FROM panel WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, a in enumerate(SIGNALS) for b in SIGNALS[i + 1 :])}""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))(
+    lambda u: CO.correlations(u.panel, list(SIGNALS)).select("left", "right", "n", *r6("r"))
+)
+query("feature_linkage")(lambda u: CO.feature_linkage(u.panel, list(SIGNALS)).select("step", "left", "right", "size", *r6("height")))
+
+
+def _rows(u: Universe) -> DataFrame:
+    """Complete rows of the signals, standardised, with whether the outcome beat the benchmark."""
+    labelled = u.panel.where(F.col(TARGET).isNotNull())
+    return CO.standardised(labelled.withColumn("beat", (F.col(TARGET) > 0).cast("int")), ["as_of_date", "symbol", "beat"], list(SIGNALS))
+
+
+def _key() -> F.Column:
+    return F.concat(F.col("as_of_date").cast("string"), F.lit("|"), F.col("symbol").cast("string"))
+
+
+query("kmeans_silhouette")(lambda u: CO.k_means(_rows(u), len(SIGNALS), _key()).select("k", "n", *r6("inertia", "silhouette")))
+query("holdout_split", f"""WITH {sql.panel()} SELECT ('0x' || substr(md5(as_of_date || '|' || symbol), 1, 8))::BIGINT % 5 = 0 AS held_out, CAST(forward_excess_return > 0 AS INTEGER) AS beat, count(*) AS n FROM panel
+  WHERE forward_excess_return IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in SIGNALS)} GROUP BY ALL""")(lambda u: CO.dealt(_rows(u), _key()).groupBy("held_out", "beat").agg(F.count("*").alias("n")))
+query("logistic_holdout")(lambda u: CO.held_out_report(CO.dealt(_rows(u), _key()), len(SIGNALS), "beat").select("held_out", "n", "positives", "correct", *r6("loss")))
+
+# Events
+
+
+def _windows(spark, sf_dir: str) -> DataFrame:
+    """Hours of the event stream, drained into files and read from them."""
+    folder, keys, values = shared_folder(spark, "windows"), ["window_start", "event_type"], ["n", "total"]
+    # Events of any age count: files come in no order of time.
+    events.drain(events.event_windows(events.read_events(spark, f"{sf_dir}/events.parquet"), late="36500 days"), folder, shared_folder(spark, "offsets"))
+    return events.latest(spark, folder, keys, values).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", *r6("total"))
+
+
+QUERIES["events_windowed"] = _windows
+ORACLE_SQL["events_windowed"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 6) + 0.0e0 AS total FROM events GROUP BY ALL"

@@ -245,6 +245,9 @@ def run_benchmark(panel: DataFrame, config: BenchmarkConfig, *, registry: Experi
         for o in outs[1:]:
             predictions = predictions.unionByName(o)
         predictions = predictions.persist()
+        broken = {r["check"]: r["violations"] for r in E.common_scope_violations(predictions, [config.baseline, *config.families]).where("violations > 0").collect()}
+        if broken:
+            raise C.ContractError(f"models can't be compared: {broken}")
         native = E.native_daily_metrics(predictions, config.min_cross_section, config.quantiles)
         common = E.common_daily_metrics(predictions, [config.baseline, *config.families], config.min_cross_section, config.quantiles)
         summary = E.phase_summary(common, config.hac_lags)

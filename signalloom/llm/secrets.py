@@ -52,6 +52,9 @@ _LEX = re.compile(
     rb"""|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)|(?P<number>[0-9][A-Za-z0-9_.-]*)|(?P<op>:=|=>|==|!=|[=:+,;(){}\[\]<>])|(?P<rest>[^\s])"""
 )
 _DECLARE = {b"const", b"let", b"var", b"export", b"set", b"final", b"static", b"public", b"private", b"String", b"string", b"str", b"val", b"def"}
+_PREFIXES = {b"b", b"f", b"r", b"u", b"br", b"rb", b"fr", b"rf"}
+_BLOCKS = {b"|", b">", b"|-", b">-"}
+_TAG = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.-]*)>([^<>\n]+)</\1>")
 _ASSIGNS = (b"=", b":", b":=", b"=>")
 _BARE = re.compile(rb"""\s*([^\s"'`,;(){}\[\]]+)(?=\s*$|\s+(?:#|//|--|;)|\s*[,;)}\]])""")
 _REFERENCE = re.compile(rb"[A-Za-z_.]+")
@@ -74,10 +77,16 @@ def strength(literal: bytes) -> float:
 
 
 def _values(tokens: list, i: int) -> tuple[list[tuple[int, int, bytes]], bytes, int]:
-    """The literals from token i on (joined by +), or else the name that stands there."""
+    """The literals from token i on (joined by +, in parentheses, with prefixes or in threefold quotes), or else the name that stands there."""
     parts, name = [], b""
+    while i < len(tokens) and tokens[i][1] == b"(":
+        i += 1
     while i < len(tokens):
         kind, text, a, b = tokens[i]
+        touching = i + 1 < len(tokens) and tokens[i + 1][0] == "string" and tokens[i + 1][2] == b
+        if touching and (kind == "name" and text.lower() in _PREFIXES or kind == "string" and len(text) == 2):
+            i += 1
+            continue
         if kind == "string":
             parts.append((a + 1, b - 1, text[1:-1]))
         elif kind == "name" and not parts:
@@ -103,22 +112,31 @@ def _assignments(text: bytes) -> list[tuple]:
     """(name, literals, name that stands for a value, value without quotes) of each assignment, with byte places."""
     found, at, pending = [], 0, None
     for line in text.split(b"\n"):
-        if pending or b"=" in line or b":" in line:
+        if b"</" in line:
+            found += [(m[1], [(at + m.start(2), at + m.end(2), m[2])], b"", None) for m in _TAG.finditer(line)]
+        if pending or b"=" in line or b":" in line or b"(" in line:
             tokens = [(m.lastgroup, m[0], at + m.start(), at + m.end()) for m in _LEX.finditer(line)]
             if pending and tokens:
                 if not any(t[0] == "op" and t[1] in _ASSIGNS for t in tokens):
                     parts, source, _ = _values(tokens, 0)
                     found.append((pending, parts, source, None if parts else _bare(line, 0, at)))
                 pending = None
+            for i in range(1, len(tokens) - 2):  # a call with a name and its value
+                if tokens[i][0] == "string" and tokens[i - 1][1] == b"(" and tokens[i + 1][1] == b",":
+                    parts, _, _ = _values(tokens, i + 2)
+                    if parts:
+                        found.append((tokens[i][1].strip(b"\"'`"), parts, b"", None))
             for i in range(1, len(tokens)):
                 if tokens[i][1] not in _ASSIGNS or tokens[i][0] != "op":
                     continue
                 typed = i >= 3 and tokens[i][1] == b"=" and tokens[i - 2][1] == b":" and tokens[i - 1][0] == "name"
-                kind, name, _, _ = tokens[i - 3 if typed else i - 1]  # name: Type = value
+                keyed = i >= 3 and tokens[i - 1][1] == b"]" and tokens[i - 2][0] == "string" and tokens[i - 3][1] == b"["
+                kind, name, _, _ = tokens[i - 3 if typed else i - 2 if keyed else i - 1]  # name: Type = value, table["name"] = value
                 if kind not in ("name", "string") or name in _DECLARE:
                     continue
                 name = name.strip(b"\"'`")
-                if i + 1 == len(tokens) or tokens[i + 1 :][0][1] == b"\\":
+                rest = b"".join(t[1] for t in tokens[i + 1 :])
+                if not rest or rest == b"\\" or rest in _BLOCKS and tokens[i][1] == b":":
                     pending = name
                     continue
                 parts, source, end = _values(tokens, i + 1)
@@ -137,17 +155,30 @@ def literals(text: bytes, min_score: float = 0.5) -> list[tuple[int, int, float]
         if parts or source or bare:
             first.setdefault(name, (parts, source, bare))
 
-    def reached(name: bytes, seen: set) -> list:
-        """The literal that a name is bound to anywhere, over other names."""
-        parts, source, bare = first.get(name, ((), b"", None))
-        if name in seen or not parts and not source and not bare:
-            return []
-        return list(parts) or (reached(source, seen | {name}) if source and len(seen) < 100 else []) or ([bare] if bare else [])
+    known: dict[bytes, list] = {}
+
+    def reached(name: bytes, start: bytes) -> list:
+        """The literal that a name is bound to anywhere, over any number of other names; the nearest to it without quotes, if there is no other."""
+        chain, seen, bare = [], {start}, None
+        while name not in seen and name in first:
+            if name in known:
+                return known[name]
+            seen.add(name)
+            chain.append(name)
+            parts, source, plain = first[name]
+            bare = plain or bare
+            if parts or not source:
+                found = list(parts) or ([bare] if bare else [])
+                if found:
+                    known.update(dict.fromkeys(chain, found))
+                return found
+            name = source
+        return [bare] if bare else []
 
     bound: dict[bytes, list[tuple[int, int, bytes]]] = {}
     found: dict[tuple[int, int], float] = {}
     for name, parts, source, bare in made:
-        parts = parts or bound.get(source) or (reached(source, {name}) if source else []) or ([bare] if bare else [])
+        parts = parts or bound.get(source) or (reached(source, name) if source else []) or ([bare] if bare else [])
         if parts:
             bound[name] = parts
             score = sensitivity(name) * strength(b"".join(p[2] for p in parts))
@@ -168,7 +199,7 @@ def scan(text: bytes) -> tuple[list[tuple[int, int, int]], float]:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
     if b"x" * 16 in text.translate(_HEX_MAP):
         spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if (b"=" in text or b":" in text) and any(part in flat for part in _PARTS):
+    if any(part in flat for part in _PARTS):
         for a, b, s in literals(text):
             spans.append((a, 3, b))
             score = max(score, s)

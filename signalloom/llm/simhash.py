@@ -389,16 +389,19 @@ def _alike(least: float):
 def like_links(docs: DataFrame, *, size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class) of each row of ``docs`` (doc_id, text), and links (a, b) of alike classes."""
     classed = stored(append(docs, "text", _sets(size), "_class long, _groups array<long>").select("doc_id", F.col("_class").alias("class"), F.col("_groups").alias("groups")), "classes")
-    first = classed.groupBy("class").agg(F.min_by("groups", "doc_id").alias("groups"), F.min("doc_id").alias("doc_id"))
+    first = classed.groupBy("class").agg(F.first("groups").alias("groups"), F.min("doc_id").alias("doc_id"))
     dealt = first.select("class", F.explode("groups").alias("value"))
     hubs = dealt.groupBy("value").agg(F.array(F.min("class"), F.max("class")).alias("ends"), F.count("*").alias("n")).where("n > 1").select("value", F.explode("ends").alias("b"))
     pairs = stored(dealt.join(hubs, "value").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "pairs")
     # One row of a class stands for it; only those of a pair are read.
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     ids = first.select("class", "doc_id").join(asked, "class", "left_semi")
-    stands = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select("class", "text")
-    # Documents of one id may differ.
-    sets = append(stands, "text", _shingle_set(size), "_set binary, _class long").where("class = _class").groupBy("class").agg(F.first("_set").alias("set"))
+    stands = docs.join(ids, "doc_id").select("class", "text")
+    # Documents of one id may differ. Those without an id are found by their class, so that no two of them meet.
+    sets = append(stands, "text", _shingle_set(size), "_set binary, _class long").where("class = _class").select("class", "_set")
+    alone = ids.where("doc_id IS NULL").select("class")
+    unnamed = append(docs.where("doc_id IS NULL").select("text"), "text", _shingle_set(size), "_set binary, _class long")
+    sets = sets.unionByName(unnamed.select(F.col("_class").alias("class"), "_set").join(alone, "class", "left_semi")).groupBy("class").agg(F.first("_set").alias("set"))
     left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("left")), sets.select(F.col("class").alias("b"), F.col("set").alias("right"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return classed.select("doc_id", "class"), map_batches(met, lambda: _alike(least), "a long, b long")

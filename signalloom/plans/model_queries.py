@@ -10,6 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sums
 from ..operators import companion as CO
 from ..operators import evaluation as E
 from ..operators import models as M
@@ -161,3 +162,15 @@ def _windows(spark, sf_dir: str) -> DataFrame:
 
 QUERIES["events_windowed"] = _windows
 ORACLE_SQL["events_windowed"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 6) + 0.0e0 AS total FROM events GROUP BY ALL"
+
+
+# Sums that don't depend on an order
+
+
+def _totals(spark, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("gross", F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    return exact_sums(lines, ["l_returnflag", "l_linestatus"], "gross").withColumn("total", F.round("total", 4))
+
+
+QUERIES["exact_totals"] = _totals
+ORACLE_SQL["exact_totals"] = "SELECT l_returnflag, l_linestatus, count(*) AS n, round(fsum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 4) AS total FROM lineitem GROUP BY ALL"

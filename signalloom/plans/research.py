@@ -317,17 +317,16 @@ def develop(prices: DataFrame, memberships: DataFrame, dates: DataFrame, panel_c
 
 def verify_development(spark, path: str, registry: ExperimentRegistry) -> dict:
     """The report of a bundle that matches its completed entry: the files' digests, the plan, and development rows alone."""
-    import hashlib
+    from ..sources import sinks
 
-    raw = spark.read.format("binaryFile").load(f"{path}/*").select("path", "content").collect()
-    files = {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in raw}
-    report = json.loads(files.pop("manifest.json", b"null"))
+    names = {r["path"].rpartition("/")[2] for r in spark.read.format("binaryFile").load(f"{path}/*").select("path").collect()}
+    report = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json", wholetext=True).collect())) if "manifest.json" in names else None
     if not report or report.get("phase") != "development":
         raise C.ContractError("no development report")
     entry = next((r for r in registry.records() if r["id"] == report["run"]), None)
     if not entry or entry["status"] != "complete" or entry["phase"] != "development" or entry["manifest"] != report["manifest"]:
         raise C.ContractError("the registry holds no such completed development run")
-    seen = {name: hashlib.sha256(data).hexdigest() for name, data in files.items()}
+    seen = {name: sinks.digest(spark, f"{path}/{name}") for name in names - {"manifest.json"}}
     if not seen == report["files"] == entry["result"]["files"] or entry["result"]["frozen"] != report["frozen"]:
         raise C.ContractError("the bundle's files aren't those of the run")
     for name in ("predictions", "native_daily", "common_daily", "fold_metrics", "summary", "assignments"):
@@ -366,6 +365,29 @@ def compare_bundles(reference: DataFrame, candidate: DataFrame, schedule: DataFr
     return {"daily": daily, "paired": deltas}
 
 
+def write_comparison(path: str, comparison: dict, lags: int, metadata: dict | None = None) -> dict[str, str]:
+    """What ``compare_bundles`` found as a bundle: daily figures of both scopes, their folds and phases, and paired differences.
+
+    A comparison describes development runs; it holds no other phase and makes no claim beyond them.
+    """
+    from ..sources import sinks
+
+    scoped = {scope: daily.withColumn("scope", F.lit(scope)) for scope, daily in comparison["daily"].items()}
+    if n := sum(d.where("phase <> 'development' OR phase IS NULL").count() for d in scoped.values()):
+        raise C.ContractError(f"{n} rows of another phase")
+    both = lambda f: f("native").unionByName(f("common"))
+    paired = None
+    for (scope, reference), summary in comparison["paired"].items():
+        one = summary.select(F.lit(scope).alias("scope"), F.lit(reference).alias("reference"), "*")
+        paired = one if paired is None else paired.unionByName(one)
+    tables = {
+        "native_daily": scoped["native"], "common_daily": scoped["common"], "paired_summary": paired,
+        "fold_metrics": both(lambda s: E.fold_metrics(scoped[s]).withColumn("scope", F.lit(s))),
+        "phase_summary": both(lambda s: E.phase_summary(scoped[s], lags).withColumn("scope", F.lit(s))),
+    }
+    return sinks.write_bundle(path, tables, {"phase": "development", "kind": "comparison", "claim": "descriptive", "metadata": metadata or {}})
+
+
 def target_ablation(panel: DataFrame, config: BenchmarkConfig) -> dict[str, dict]:
     """The benchmark trained on returns and on within-date ranks of them, both judged by returns."""
     from dataclasses import replace

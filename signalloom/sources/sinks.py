@@ -8,7 +8,9 @@ import math
 import uuid
 from datetime import date, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -87,14 +89,27 @@ class Folder:
         df.repartition(1).sortWithinPartitions(*df.columns).write.mode("error").csv(parts, header=True)
         files, folder = self._at(parts)
         found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")]
-        data = bytes(self.spark.read.format("binaryFile").load(found[0].toString()).first()["content"]) if found else b""
-        if not data:  # no rows, no file or an empty one
+        if not found or not files.getFileStatus(found[0]).getLen():  # no rows, no file or an empty one
             files.delete(folder, True)
             return self.text(f"{name}.csv", ",".join(df.columns) + "\n")
         if not files.rename(found[0], self._at(f"{self.path}/{name}.csv")[1]):
             raise OSError(f"{name}.csv can't be moved into place")
         files.delete(folder, True)
-        return hashlib.sha256(data).hexdigest()
+        return digest(self.spark, f"{self.path}/{name}.csv")
+
+
+def digest(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file, read as a stream; ``damaged`` if it doesn't pass its file system's own checksums."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = made.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(made)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    except Py4JJavaError as e:
+        if "ChecksumException" in str(e.java_exception):
+            return "damaged"
+        raise
+    finally:
+        stream.close()
 
 
 def write_run(path: str, panel: DataFrame, reports: dict[str, DataFrame], documents: dict[str, object], order: tuple[str, ...] = ("as_of_date", "symbol")) -> None:
@@ -115,10 +130,40 @@ def write_bundle(path: str, tables: dict[str, DataFrame], manifest: dict, schema
     spark = next((df.sparkSession for df in tables.values()), None) or SparkSession.active()
     with Folder(spark, path) as folder:
         digests = {f"{name}.csv": folder.table(name, df) for name, df in tables.items()}
-        folder.text("manifest.json", canonical_json(manifest | {"files": digests}))
+        types = {name: [[f.name, f.dataType.simpleString()] for f in df.schema] for name, df in tables.items()}
+        folder.text("manifest.json", canonical_json(manifest | {"files": digests, "types": types}))
     return digests
 
 
+def read_bundle(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """The manifest of a bundle and its tables with their types.
+
+    Files must be the ones that the manifest lists, to the byte, with its columns
+    in order, and every cell must be a value of its column's type; otherwise the
+    first cells that aren't are named.
+    """
+    manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json", wholetext=True).collect()))
+    out = {}
+    for name, types in manifest["types"].items():
+        if digest(spark, f"{path}/{name}.csv") != manifest["files"][f"{name}.csv"]:
+            raise ValueError(f"{name}.csv isn't the file that was written")
+        out[name] = typed(spark.read.csv(f"{path}/{name}.csv", header=True), types, name)
+    return manifest, out
+
+
+def typed(cells: DataFrame, types: list[list[str]], name: str) -> DataFrame:
+    """A table of text as its types; a cell that isn't a value of its column's type is an error that names it."""
+    if cells.columns != [c for c, _ in types]:
+        raise ValueError(f"{name} has columns {cells.columns}")
+    value = lambda c, kind: F.col(c).try_cast(kind)
+    wrong = [F.when(F.col(c).isNotNull() & value(c, kind).isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(kind).alias("type"))) for c, kind in types if kind != "string"]
+    if wrong:
+        bad = cells.select(F.explode(F.array_compact(F.array(*wrong))).alias("x")).select("x.*").limit(5).collect()
+        if bad:
+            raise ValueError("; ".join(f"{name}.{r['column']}: {r['value']!r} is no {r['type']}" for r in bad))
+    return cells.select(*[value(c, kind).alias(c) for c, kind in types])
+
+
 def check_schema(df: DataFrame, expected: str) -> None:
     """Exact columns in order and their types."""
     want = T.StructType.fromDDL(expected)

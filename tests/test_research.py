@@ -132,7 +132,7 @@ def test_development_run_is_verified(spark, tmp_path):
         R.verify_development(spark, path, registry)
 
 
-def test_saved_scores_carry_their_evidence(spark, panel):
+def test_saved_scores_carry_their_evidence(spark, panel, tmp_path):
     from dataclasses import replace
 
     from signalloom.functions.contracts import ContractError
@@ -156,6 +156,15 @@ def test_saved_scores_carry_their_evidence(spark, panel):
     assert made["summary"].first()["status"] == "ok" and made["days"].count() == 6 and made["trades"].count() > 4
     both = R.compare_bundles(out["predictions"], out["predictions"], out["schedule"], least=5, quantiles=2, assignments=out["assignments"], candidate_assignments=out["assignments"], manifests=(bounds, bounds))
     assert both["paired"]["native", "legacy_model"].first()["mean_paired_delta"] == 0
+    where = str(tmp_path / "comparison")
+    files = R.write_comparison(where, both, 1, {"arms": 3})
+    from signalloom.sources import sinks
+
+    told, tables = sinks.read_bundle(spark, where)
+    assert told["files"] == files and told["claim"] == "descriptive" and set(tables) == {"native_daily", "common_daily", "paired_summary", "fold_metrics", "phase_summary"}
+    assert tables["paired_summary"].count() == 4 and tables["phase_summary"].where("scope = 'common'").count() == 3 and tables["native_daily"].count() == both["daily"]["native"].count()
+    with pytest.raises(FileExistsError):
+        R.write_comparison(where, both, 1)
     with pytest.raises(ContractError):
         R.compare_bundles(out["predictions"], out["predictions"], out["schedule"], assignments=out["assignments"], candidate_assignments=out["assignments"].where("fold < 1"))
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +13,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .numeric import clean_double
 
-#: Bits of the halves that a double's 53 bits are split into, and rows after which a task passes on its sums: halves' sums then fit 63 bits.
-HALF, MOST_ROWS = 27, 1 << 30
+#: Bits of the lower half of a double's 53 bits: sums of a batch's halves fit 63 bits.
+HALF = 27
 
 
 def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total") -> DataFrame:
@@ -26,19 +25,21 @@ def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total")
     what the tasks have, in decimals, and a key's few powers are added as fractions
     and rounded to the nearest double. A key without values has a null sum.
     """
-    rows = df.select(*keys, clean_double(value).alias("_v"))
+    asked, keys = keys, [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(a).alias(k) for a, k in zip(asked, keys, strict=True)], clean_double(value).alias("_v"))
     fields = [rows.schema[k] for k in keys]
     parts = StructType([*fields, StructField("e", LongType()), StructField("high", LongType()), StructField("low", LongType()), StructField("n", LongType())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            known = frame["_v"].notna()
-            m, e = np.frexp(frame["_v"].fillna(0.0).to_numpy())
+            v = batch.column("_v").to_numpy(zero_copy_only=False).astype(float)
+            known = ~np.isnan(v)
+            m, e = np.frexp(np.where(known, v, 0.0))
             whole = (m * 2.0**53).astype(np.int64)
-            frame["e"], frame["high"], frame["low"], frame["n"] = np.where(known & (whole != 0), e - 53, 0).astype(np.int64), whole >> HALF, whole & ((1 << HALF) - 1), known.astype(np.int64)
-            told = frame.groupby([*keys, "e"], dropna=False, sort=False)[["high", "low", "n"]].sum().reset_index()
-            yield pa.RecordBatch.from_pandas(told, schema=batch_schema, preserve_index=False)
+            made = {"e": np.where(whole != 0, e - 53, 0).astype(np.int64), "high": whole >> HALF, "low": whole & ((1 << HALF) - 1), "n": known.astype(np.int64)}
+            told = pa.table({**{k: batch.column(k) for k in keys}, **made}).group_by([*keys, "e"], use_threads=False).aggregate([(c, "sum") for c in ("high", "low", "n")])
+            told = told.rename_columns([c.removesuffix("_sum") for c in told.column_names]).select(batch_schema.names).cast(batch_schema).combine_chunks()
+            yield from told.to_batches()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -48,13 +49,13 @@ def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total")
     each = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list(F.struct("e", "high", "low")).alias("_p"))  # at most 2,100 powers
     out = StructType([*fields, StructField("n", LongType()), StructField(name, DoubleType())])
 
-    def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [sum(((int(p["high"]) << HALF) + int(p["low"])) * Fraction(2) ** int(p["e"]) for p in ps) for ps in frame.pop("_p")]
-            frame[name] = pd.Series([_nearest(x) if n else None for x, n in zip(made, frame["n"], strict=True)], dtype="float64")
-            yield frame
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sum(((int(p["high"]) << HALF) + int(p["low"])) * Fraction(2) ** int(p["e"]) for p in ps) for ps in batch.column("_p").to_pylist()]
+            sums = [_nearest(x) if n else None for x, n in zip(made, batch.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keys, "n")], pa.array(sums, pa.float64())], names=out.names)
 
-    return each.mapInPandas(total, out)
+    return each.mapInArrow(total, out).toDF(*asked, "n", name)
 
 
 def _nearest(x: Fraction) -> float:

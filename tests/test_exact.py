@@ -22,6 +22,8 @@ def test_sums_are_rounded_once_for_any_partitions(spark):
         out = {r["k"]: r for r in exact_sums(df.repartition(parts), ["k"], "v").collect()}
         assert {k: r["total"] for k, r in out.items()} == want and (out["a"]["n"], out["b"]["n"], out[None]["n"]) == (312, 0, 1)
     assert exact_sums(df.limit(0), ["k"], "v").count() == 0
+    odd = spark.createDataFrame([(2**53 + 1, 0.1), (2**53 + 1, 0.2), (None, 1.0)], "e long, v double")
+    assert {tuple(r) for r in exact_sums(odd, ["e"], "v", "n_total").collect()} == {(2**53 + 1, 2, 0.1 + 0.2), (None, 1, 1.0)}
 
 
 def test_bundles_are_read_with_their_types_and_bad_cells_are_named(spark, tmp_path):

@@ -90,18 +90,23 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 class Nodes:
-    """Nodes by number: the probability of a one, and the weight."""
+    """Nodes by number: the probability of the rarer bit (less than 0 if that is a zero), and the weight.
 
-    def __init__(self, node: np.ndarray, one: np.ndarray, weight: np.ndarray):
+    A probability near one isn't kept as such: in single precision it is one
+    from some 17 million counts on, and the other bit would be impossible.
+    """
+
+    def __init__(self, node: np.ndarray, rare: np.ndarray, weight: np.ndarray):
         order = np.argsort(node)
-        self.node, self.one, self.weight = node[order], one[order], weight[order]
+        self.node, self.rare, self.weight = node[order], rare[order], weight[order]
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether the nodes are there, with their values."""
+        """Whether the nodes are there, with the probabilities of a one and the weights."""
         if not len(self.node):
             return np.zeros(len(wanted), bool), np.zeros(len(wanted)), np.zeros(len(wanted))
         at = np.minimum(np.searchsorted(self.node, wanted), len(self.node) - 1)
-        return self.node[at] == wanted, self.one[at].astype(np.float64), self.weight[at].astype(np.float64)
+        rare = self.rare[at].astype(np.float64)
+        return self.node[at] == wanted, np.where(rare > 0, rare, 1.0 + rare), self.weight[at].astype(np.float64)
 
 
 def log10(keys: np.ndarray, short: Nodes, long: Nodes) -> np.ndarray:
@@ -204,7 +209,7 @@ class Model:
 
         def valued(key, strings: pa.Table, nodes: pa.Table) -> pa.Table:
             distinct, which = np.unique(strings.column("key").to_numpy().view(np.uint64), return_inverse=True)
-            long = Nodes(*(nodes.column(c).to_numpy() for c in ("node", "one", "weight")))
+            long = Nodes(*(nodes.column(c).to_numpy() for c in ("node", "rare", "weight")))
             values = log10(distinct, short.value, long)[which]
             return pa.table({"chunk": strings.column("chunk"), "key": strings.column("key"), "value": values})
 
@@ -325,17 +330,18 @@ def train(texts_only: DataFrame) -> Model:
     nodes = counted.select(shift(F.col("key"), 8).alias("context"), "n", steps).groupBy("context", F.col("s.path").alias("path"))
     nodes = nodes.agg(F.sum(F.when(F.col("s.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("s.bit") == 1, F.col("n")).otherwise(0)).alias("ones"), F.lit(None).cast("double").alias("below"))
     kept = {}
-    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    share = lambda c: (F.col(c) + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    rare = F.when(F.col("ones") <= F.col("zeros"), share("ones")).otherwise(-share("zeros"))
     for depth in range(DEPTH, -1, -1):
         done = stored(map_batches(nodes, lambda: _weighted(), "context long, path int, zeros long, ones long, weighted double, weight double"), f"nodes-{depth}")
         number = F.shiftleft("context", 8).bitwiseOR(F.col("path").cast("long")).bitwiseOR(F.lit(depth << 48))
-        kept[depth] = done.select(number.alias("node"), one.cast("float").alias("one"), F.col("weight").cast("float").alias("weight"))
+        kept[depth] = done.select(number.alias("node"), rare.cast("float").alias("rare"), F.col("weight").cast("float").alias("weight"))
         if depth:
             parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
             nodes = done.groupBy(parent.alias("context"), "path").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
     # At most 256 ** SHORT * 255 rows of the deepest, whatever the input.
     short = reduce(DataFrame.unionByName, [kept[d] for d in range(SHORT + 1)]).toArrow()
-    return Model(Nodes(*(short.column(c).to_numpy() for c in ("node", "one", "weight"))), reduce(DataFrame.unionByName, [kept[d] for d in range(SHORT + 1, DEPTH + 1)]))
+    return Model(Nodes(*(short.column(c).to_numpy() for c in ("node", "rare", "weight"))), reduce(DataFrame.unionByName, [kept[d] for d in range(SHORT + 1, DEPTH + 1)]))
 
 
 def _scored(hot, total: float):

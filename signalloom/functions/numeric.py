@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPSILON = 2.220446049250313e-16
@@ -20,18 +20,29 @@ def safe_ratio(n: Column, d: Column) -> Column:
 
 
 def pct_rank(value: str, *keys: str) -> Column:
-    """Percentile rank with average ties; nulls have no rank and don't count."""
-    present = F.col(value).isNotNull()
-    within = Window.partitionBy(*keys, present).orderBy(value)
-    peers = Window.partitionBy(*keys, value)
-    rank = F.rank().over(within) + (F.count("*").over(peers) - 1) / F.lit(2.0)
-    return F.when(present, rank / F.count(value).over(Window.partitionBy(*keys)))
+    """Percentile rank with average ties; nulls have no rank and don't count.
+
+    Nulls come last, so ranks of several values share the keys' partitions and each takes one sort.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.when(F.col(value).isNotNull(), _average_rank(order) / F.count(value).over(every))
 
 
 def average_rank(value: str, *keys: str) -> Column:
     """Rank with average ties among rows of the keys; the value is never null."""
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-    return rank + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
+    return _average_rank(Window.partitionBy(*keys).orderBy(value))
+
+
+def _average_rank(order: WindowSpec) -> Column:
+    """From the first to the last place of a row's peers, in the one order."""
+    first, last = F.rank().over(order), F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return first + (last - first) / F.lit(2.0)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by the keys, in as many partitions as are configured: what sorts several times in a task is not put into fewer ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def pearson(x: str, y: str) -> Column:
@@ -57,6 +68,14 @@ def on_each(df: DataFrame, few: DataFrame, most: int) -> DataFrame:
     return df.join(F.broadcast(proven)).select(*df.columns, F.explode("_few").alias("_one")).select(*df.columns, "_one.*")
 
 
+def proven_few(few: DataFrame, most: int) -> DataFrame:
+    """A table of at most ``most`` rows, its size proven, to be broadcast in a join; more are an error."""
+    packed = few.limit(most + 1).agg(F.collect_list(F.struct(*few.columns)).alias("_few"))
+    message = F.lit(f"more than {most} rows of {', '.join(few.columns)}")
+    proven = packed.select(F.explode(F.when(F.size("_few") <= most, F.col("_few")).otherwise(F.raise_error(message))).alias("_one"))
+    return F.broadcast(proven.select("_one.*"))
+
+
 def look_up(df: DataFrame, few: DataFrame, keys: list[str], most: int) -> DataFrame:
     """``df`` with the other columns of ``few``, a table of at most ``most`` rows with one a key; rows without one are dropped.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import average_rank, clean_double, pct_rank, pearson
+from ..functions.numeric import average_rank, clean_double, dealt, pct_rank, pearson
 from ..functions.statistics import newey_west
 from .signals import spread_masses
 
@@ -28,7 +28,7 @@ def best_metric(signs: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def signed_ranks(panel: DataFrame, signs: dict[str, int], date: str = "as_of_date") -> DataFrame:
     """Per row and feature: its percentile rank, or one minus it for a negative direction."""
-    out = panel
+    out = dealt(panel, date)
     for f, sign in signs.items():
         rank = pct_rank(f, date)
         out = out.withColumn(f"_rank_{f}", rank if sign > 0 else 1 - rank)
@@ -37,10 +37,16 @@ def signed_ranks(panel: DataFrame, signs: dict[str, int], date: str = "as_of_dat
 
 def equal_weight_scores(panel: DataFrame, signs: dict[str, int], date: str = "as_of_date", symbol: str = "symbol") -> DataFrame:
     """The mean of a row's available signed ranks, and how many there are; null without any."""
-    ranked = signed_ranks(panel, signs, date)
-    some = F.filter(F.array(*[F.col(f"_rank_{f}") for f in signs]), lambda x: x.isNotNull())
+    ranked = signed_ranks(panel.select(date, symbol, *signs), signs, date)
+    count, score = mean_rank([F.col(f"_rank_{f}") for f in signs])
+    return ranked.select(date, symbol, count.alias("feature_count"), score.alias("score"))
+
+
+def mean_rank(ranks: list[Column]) -> tuple[Column, Column]:
+    """How many of the ranks there are, and their mean; null without any."""
+    some = F.filter(F.array(*ranks), lambda x: x.isNotNull())
     total = F.aggregate(some, F.lit(0.0), lambda a, x: a + x)
-    return ranked.select(date, symbol, F.size(some).alias("feature_count"), F.when(F.size(some) > 0, total / F.size(some)).alias("score"))
+    return F.size(some), F.when(F.size(some) > 0, total / F.size(some))
 
 
 def _daily(rows: DataFrame, least: int, quantiles: int, universe: str) -> DataFrame:
@@ -52,7 +58,7 @@ def _daily(rows: DataFrame, least: int, quantiles: int, universe: str) -> DataFr
         F.countDistinct("score").alias("distinct_scores"),
     )
     pairs = rows.where("score IS NOT NULL AND target IS NOT NULL")
-    ranked = pairs.withColumn("_x", average_rank("score", *KEYS)).withColumn("_y", average_rank("target", *KEYS))
+    ranked = dealt(pairs, *KEYS).withColumn("_x", average_rank("score", *KEYS)).withColumn("_y", average_rank("target", *KEYS))
     ic = ranked.groupBy(*KEYS).agg(F.when(F.count("*") >= least, pearson("_x", "_y")).alias("rank_ic"))
     spread = spread_masses(rows, KEYS, "score", "realized_return", quantiles)
     spread = spread.select(*KEYS, F.when((F.col("pairs") >= least) & (F.col("scores") > 1), F.col("spread")).alias("spread"))

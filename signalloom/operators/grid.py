@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import on_each
+from ..functions.numeric import on_each, proven_few
 from .intervals import points_in_intervals
 
 #: Sessions of a calendar at most, which bounds what is broadcast; over two thousand years of days.
@@ -26,7 +26,7 @@ def dense_grid(prices: DataFrame, cal: DataFrame, bench: DataFrame | None = None
     dense = on_each(prices.select("symbol").distinct(), cal.select("pos", "session"), MOST_SESSIONS)
     out = dense.join(prices.select("symbol", "session", "price"), ["symbol", "session"], "left")
     if bench is not None:
-        out = out.join(bench.select("session", F.col("price").alias("bench")), "session", "left")
+        out = out.join(proven_few(bench.select("session", F.col("price").alias("bench")), MOST_SESSIONS), "session", "left")
     return out
 
 

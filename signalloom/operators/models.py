@@ -15,12 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clean_double, pct_rank
+from ..functions.numeric import clean_double, dealt, pct_rank
 
 
 def rank_features(panel: DataFrame, features: list[str], date: str = "as_of_date") -> DataFrame:
     """Replace features by their percentile rank over the whole cross-section, labelled or not."""
-    out = panel.select("*", *[clean_double(f).alias(f"_c_{f}") for f in features])
+    out = dealt(panel.select("*", *[clean_double(f).alias(f"_c_{f}") for f in features]), date)
     out = out.select("*", *[pct_rank(f"_c_{f}", date).alias(f"_p_{f}") for f in features])
     keep = [c for c in panel.columns if c not in features]
     return out.select(*keep, *[F.col(f"_p_{f}").alias(f) for f in features])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contracts import ContractError
-from ..functions.numeric import EPSILON, pct_rank, safe_ratio
-from .grid import active_members, adjacent_returns, off_calendar
+from ..functions.numeric import EPSILON, dealt, pct_rank, proven_few, safe_ratio
+from .grid import MOST_SESSIONS, active_members, adjacent_returns, off_calendar
 
 # The trailing metrics.
 METRICS = (
@@ -21,6 +21,8 @@ METRICS = (
 FACTORS = {"return_21s": (21, 0, 22), "momentum_252s_skip_21s": (252, 21, 232), "ma_distance_63s": (62, 0, 63)}
 FACTOR_VERSION = "1"
 
+_LABELS = ("label_start_date", "label_end_date", "target_available", "target_status", "forward_return", "benchmark_forward_return", "forward_excess_return", "forward_excess_rank")
+
 
 @dataclass(frozen=True)
 class PanelConfig:
@@ -48,11 +50,18 @@ class PanelConfig:
 
 
 def trailing_metrics(grid: DataFrame, cal: DataFrame, active: DataFrame, config: PanelConfig) -> DataFrame:
-    """Ten metrics over the lookback of each active (as_of_date, symbol).
+    """Ten metrics over the lookback of each active (as_of_date, symbol)."""
+    rows = active.join(_framed(grid, active, config), ["as_of_date", "symbol"], "left")
+    return rows.select(*_features(config))
+
+
+def _framed(grid: DataFrame, active: DataFrame, config: PanelConfig, *more: Column) -> DataFrame:
+    """The metrics of every symbol on the decision dates, and further columns of the grid.
 
     The grid is dense, so a lookback is a frame of rows: one shuffle by symbol,
     and each grid row moves once. Two frames of a symbol's sessions serve all
-    metrics; rows of active decision dates are taken after them.
+    metrics. Rows of decision dates are taken, and their metrics made, before
+    they meet the active members, so that no list of a lookback is shuffled.
     """
     n_year, rf = float(config.annualization_sessions), float(config.annual_risk_free_rate)
     paired = F.col("r").isNotNull() & F.col("b").isNotNull()
@@ -66,7 +75,7 @@ def trailing_metrics(grid: DataFrame, cal: DataFrame, active: DataFrame, config:
         F.first("session").over(prices).alias("feature_window_start"), F.first("price").over(prices).alias("first_price"), F.collect_list("price").over(prices).alias("path"),
         F.count("x").over(returns).alias("n"), F.avg("x").over(returns).alias("mean_r"), F.stddev_samp("x").over(returns).alias("sd_r"), F.avg("y").over(returns).alias("mean_b"),
         F.var_samp("y").over(returns).alias("var_b"), F.covar_samp("x", "y").over(returns).alias("cov"), F.avg("s").over(returns).alias("down"),
-        F.avg("d").over(returns).alias("mean_d"), F.stddev_samp("d").over(returns).alias("sd_d"), F.sort_array(F.collect_list("x").over(returns)).alias("xs"),
+        F.avg("d").over(returns).alias("mean_d"), F.stddev_samp("d").over(returns).alias("sd_d"), F.sort_array(F.collect_list("x").over(returns)).alias("xs"), *more,
     )
     zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
     fall = lambda a, p: F.struct(F.greatest(a["peak"], p).alias("peak"), F.least(a["worst"], p / F.greatest(a["peak"], p) - 1).alias("worst"))
@@ -92,29 +101,53 @@ def trailing_metrics(grid: DataFrame, cal: DataFrame, active: DataFrame, config:
         "historical_var_5pct": F.greatest(F.lit(0.0), -q05),
     }
     enough = F.col("n") >= config.min_observations
-    all_active = active.join(framed, ["as_of_date", "symbol"], "left")
-    return all_active.select(
-        "as_of_date", "symbol", F.col("as_of_date").alias("feature_available_at"), "feature_window_start", F.col("as_of_date").alias("feature_window_end"),
-        *[F.when(enough, made[f]).alias(f) for f in config.features],
-        F.coalesce("n", F.lit(0)).cast("long").alias("observation_count"),
-        F.when(enough, "ok").otherwise("insufficient_history").alias("feature_status"),
-        F.col("first_price").isNotNull().alias("window_start_price_available"), F.col("last_price").isNotNull().alias("decision_price_available"),
-        F.coalesce(enough, F.lit(False)).alias("feature_eligible"),
+    rest = framed.columns[len(framed.columns) - len(more) :]
+    return _decided(framed, active).select(
+        "as_of_date", "symbol", "feature_window_start", *[F.when(enough, made[f]).alias(f) for f in config.features], "n", enough.alias("enough"),
+        F.col("first_price").isNotNull().alias("starts"), F.col("last_price").isNotNull().alias("ends"), *rest,
     )
 
 
+def _features(config: PanelConfig) -> list[Column]:
+    """The features' columns of active rows beside their frames, if they have any."""
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return [
+        F.col("as_of_date"), F.col("symbol"), F.col("as_of_date").alias("feature_available_at"), F.col("feature_window_start"), F.col("as_of_date").alias("feature_window_end"),
+        *map(F.col, config.features),
+        F.coalesce("n", F.lit(0)).cast("long").alias("observation_count"),
+        F.when(F.col("enough"), "ok").otherwise("insufficient_history").alias("feature_status"),
+        known("starts").alias("window_start_price_available"), known("ends").alias("decision_price_available"), known("enough").alias("feature_eligible"),
+    ]
+
+
+def _decided(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """The rows of dates on which anyone is active."""
+    return rows.join(proven_few(active.select("as_of_date").distinct(), MOST_SESSIONS), "as_of_date", "left_semi")
+
+
 def forward_labels(grid: DataFrame, cal: DataFrame, bench: DataFrame, active: DataFrame, config: PanelConfig) -> DataFrame:
     """Entry and exit sessions, availability, status, forward returns and their rank."""
+    if "bench" not in grid.columns:
+        grid = grid.join(bench.select("session", F.col("price").alias("bench")), "session", "left")
+    ends = _decided(grid.select("symbol", F.col("session").alias("as_of_date"), *_ends(config)), active)
+    return _labelled(active.join(ends, ["as_of_date", "symbol"], "left"), cal, config).select("as_of_date", "symbol", *_LABELS)
+
+
+def _ends(config: PanelConfig) -> list[Column]:
+    """Prices at both ends of the label: the grid is dense, so they are so many rows on."""
+    w, begin, length = Window.partitionBy("symbol").orderBy("pos"), config.entry_lag_sessions, config.target_horizon_sessions
+    return [F.lead(c, n).over(w).alias(f"{p}{name}") for c, p in (("price", ""), ("bench", "bench_")) for name, n in (("entry", begin), ("exit", begin + length))]
+
+
+def _labelled(active: DataFrame, cal: DataFrame, config: PanelConfig) -> DataFrame:
+    """Active rows, beside the prices of ``_ends``, with their labels."""
     begin, length = config.entry_lag_sessions, config.target_horizon_sessions
     at = cal.select(F.col("session").alias("as_of_date"), F.col("pos").alias("at"))
     # The sessions of both ends; a window that leaves the calendar has neither.
     ends = at.join(cal.select((F.col("pos") - begin).alias("at"), F.col("session").alias("s0")), "at", "left")
     ends = ends.join(cal.select((F.col("pos") - begin - length).alias("at"), F.col("session").alias("label_end_date")), "at", "left")
-    ends = ends.withColumn("label_start_date", F.when(F.col("label_end_date").isNotNull(), F.col("s0"))).drop("s0")
-    rows = active.join(ends, "as_of_date", "left")
-    for name, date in (("entry", "label_start_date"), ("exit", "label_end_date")):
-        rows = rows.join(grid.select("symbol", F.col("session").alias(date), F.col("price").alias(name)), ["symbol", date], "left")
-        rows = rows.join(bench.select(F.col("session").alias(date), F.col("price").alias(f"bench_{name}")), date, "left")
+    ends = ends.select("as_of_date", F.when(F.col("label_end_date").isNotNull(), F.col("s0")).alias("label_start_date"), "label_end_date")
+    rows = active.join(proven_few(ends, MOST_SESSIONS), "as_of_date", "left")
     status = (
         F.when(F.col("label_end_date").isNull(), "insufficient_future_benchmark_history")
         .when(F.col("entry").isNull() | F.col("exit").isNull(), "missing_symbol_price")
@@ -126,11 +159,7 @@ def forward_labels(grid: DataFrame, cal: DataFrame, bench: DataFrame, active: Da
     out = out.withColumn("target_available", ok).withColumn("forward_return", F.when(ok, F.col("exit") / F.col("entry") - 1))
     out = out.withColumn("benchmark_forward_return", F.when(ok, F.col("bench_exit") / F.col("bench_entry") - 1))
     out = out.withColumn("forward_excess_return", F.col("forward_return") - F.col("benchmark_forward_return"))
-    out = out.withColumn("forward_excess_rank", pct_rank("forward_excess_return", "as_of_date"))
-    return out.select(
-        "as_of_date", "symbol", "label_start_date", "label_end_date", "target_available", "target_status",
-        "forward_return", "benchmark_forward_return", "forward_excess_return", "forward_excess_rank",
-    )
+    return dealt(out, "as_of_date").withColumn("forward_excess_rank", pct_rank("forward_excess_return", "as_of_date"))
 
 
 def build_panel(prices: DataFrame, cal: DataFrame, bench: DataFrame, members: DataFrame, dates: DataFrame, config: PanelConfig) -> DataFrame:
@@ -139,14 +168,15 @@ def build_panel(prices: DataFrame, cal: DataFrame, bench: DataFrame, members: Da
 
     grid = dense_grid(prices, cal, bench)
     active = active_members(dates, members)
-    features = trailing_metrics(grid, cal, active, config)
-    labels = forward_labels(grid, cal, bench, active, config)
+    # One pass over the grid for features and labels.
+    rows = active.join(_framed(grid, active, config, *_ends(config)), ["as_of_date", "symbol"], "left")
+    rows = _labelled(rows, cal, config)
     fixed = {
         "dataset_version": config.dataset_version, "universe_id": config.universe_id, "benchmark_symbol": config.benchmark_symbol,
         "lookback_sessions": config.lookback_sessions, "min_observations": config.min_observations, "target_horizon_sessions": config.target_horizon_sessions,
         "entry_lag_sessions": config.entry_lag_sessions, "annualization_sessions": config.annualization_sessions, "annual_risk_free_rate": config.annual_risk_free_rate,
     }
-    return features.join(labels, ["as_of_date", "symbol"]).select(*[F.lit(v).alias(k) for k, v in fixed.items()], *features.columns, *labels.columns[2:])
+    return rows.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *_features(config), *_LABELS)
 
 
 def price_factors(grid: DataFrame, names: tuple[str, ...] = tuple(FACTORS)) -> DataFrame:

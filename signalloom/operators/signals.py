@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import average_rank, clean_double, pearson, unpivoted
+from ..functions.numeric import average_rank, clean_double, dealt, pearson, unpivoted
 from ..functions.statistics import bh_q_values, newey_west, scheduled_inference
 
 
@@ -24,7 +24,7 @@ def feature_quality(panel: DataFrame, features: list[str], date: str = "as_of_da
 def rank_ic(long: DataFrame, keys: list[str], value: str, target: str, least: int) -> DataFrame:
     """Per key: complete pairs and their Spearman correlation; skipped below ``least`` pairs or where a side is constant."""
     pairs = long.select(*keys, clean_double(value).alias("_x"), clean_double(target).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
-    ranked = pairs.withColumn("_rx", average_rank("_x", *keys)).withColumn("_ry", average_rank("_y", *keys))
+    ranked = dealt(pairs, *keys).withColumn("_rx", average_rank("_x", *keys)).withColumn("_ry", average_rank("_y", *keys))
     out = ranked.groupBy(*keys).agg(F.count("*").alias("pairs"), pearson("_rx", "_ry").alias("rank_ic"))
     return out.where((F.col("pairs") >= least) & F.col("rank_ic").isNotNull())
 
@@ -81,7 +81,7 @@ def redundancy(panel: DataFrame, features: list[str], least: int, date: str = "a
         return panel.sparkSession.createDataFrame([], "left string, right string, mean_spearman double, mean_abs_spearman double, date_count long")
     long = panel.select(date, F.explode(F.array(*pairs)).alias("p")).select(date, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     keys = ["left", "right", date]
-    ranked = long.withColumn("rx", average_rank("x", *keys)).withColumn("ry", average_rank("y", *keys))
+    ranked = dealt(long, *keys).withColumn("rx", average_rank("x", *keys)).withColumn("ry", average_rank("y", *keys))
     daily = ranked.groupBy(*keys).agg(F.count("*").alias("n"), pearson("rx", "ry").alias("rho")).where((F.col("n") >= least) & F.col("rho").isNotNull())
     limit = 1 - 1e-12
     z = F.atanh(F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("rho"))))

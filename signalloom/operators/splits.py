@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import on_each
+from ..functions.numeric import on_each, proven_few
+from .grid import MOST_SESSIONS
 
 #: Folds at most.
 MOST_FOLDS = 1000
@@ -61,7 +62,7 @@ def fold_assignments(panel: DataFrame, blocks: DataFrame, lock_start, target: st
     """
     locked = F.lit(lock_start).cast("date")
     safe = panel.where(F.col(target).isNotNull() & (F.col("label_end_date") < locked) & (F.col(date) < locked)).select(F.col(date).alias("safe_date")).distinct()
-    rows = on_each(panel, blocks, MOST_FOLDS).join(safe, F.col(date) == F.col("safe_date"), "left")
+    rows = on_each(panel, blocks, MOST_FOLDS).join(proven_few(safe, MOST_SESSIONS), F.col(date) == F.col("safe_date"), "left")
     start, end, label = F.col("evaluation_start"), F.col("evaluation_end"), F.col("label_end_date")
     lacking = F.when(label.isNull(), "missing_label").when(F.col(target).isNull(), "missing_target")
     reason = (
@@ -91,7 +92,7 @@ def training_weights(rows: DataFrame, keys: list[str], date: str = "as_of_date")
     counts = rows.groupBy(*keys, date).agg(F.count("*").alias("_n"))
     every = Window.partitionBy(*keys)
     weights = counts.select(*keys, date, (F.sum("_n").over(every) / F.count("*").over(every) / F.col("_n")).alias("weight"))
-    return rows.join(weights, [*keys, date])
+    return rows.join(proven_few(weights, MOST_SESSIONS), [*keys, date])
 
 
 def maturity_mask(panel: DataFrame, target: str, cutoff) -> DataFrame:
@@ -103,7 +104,7 @@ def training_cross_sections(assigned: DataFrame, target: str, date: str = "as_of
     """All rows of dates with a training row; outcomes only on training rows."""
     some = assigned.where("role = 'training'").select("fold", date).distinct()
     training = F.col("role") == "training"
-    out = assigned.join(some, ["fold", date], "left_semi")
+    out = assigned.join(proven_few(some, MOST_SESSIONS), ["fold", date], "left_semi")
     return out.withColumn(target, F.when(training, F.col(target))).withColumn("label_end_date", F.when(training, F.col("label_end_date")))
 
 

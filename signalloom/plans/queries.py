@@ -285,10 +285,9 @@ pd AS (SELECT phase, fold, as_of_date, symbol, 'equal_weight_rank' AS model, equ
 
 def predictions(u: Universe) -> DataFrame:
     """Scores of the fixed baselines over the outer folds' date ranges, for everyone in them."""
-    wide = E.signed_ranks(u.panel, dict.fromkeys(SIGNS, 1))
-    equal = E.equal_weight_scores(u.panel, SIGNS).select("as_of_date", "symbol", F.col("score").alias("equal_weight_rank"))
-    rows = wide.join(equal, ["as_of_date", "symbol"])
-    rows = on_each(rows, _blocks(u), SP.MOST_FOLDS).where(F.col("as_of_date").between(F.col("evaluation_start"), F.col("evaluation_end")))
+    wide = E.signed_ranks(u.panel.select("as_of_date", "symbol", TARGET, "forward_return", *SIGNS), dict.fromkeys(SIGNS, 1))
+    _, equal = E.mean_rank([F.col(f"_rank_{f}") if sign > 0 else 1 - F.col(f"_rank_{f}") for f, sign in SIGNS.items()])
+    rows = on_each(wide.withColumn("equal_weight_rank", equal), _blocks(u), SP.MOST_FOLDS).where(F.col("as_of_date").between(F.col("evaluation_start"), F.col("evaluation_end")))
     scores = {"equal_weight_rank": F.col("equal_weight_rank"), "metric:trailing_return": F.col("_rank_trailing_return"), "metric:beta": F.col("_rank_beta")}
     kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), s.alias("score")) for m, s in scores.items()])).alias("m")
     out = rows.select(F.lit("development").alias("phase"), "fold", "as_of_date", "symbol", kinds, F.col(TARGET).alias("target"), F.col("forward_return").alias("realized_return"))

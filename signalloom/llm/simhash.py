@@ -17,9 +17,12 @@ groups is a bucket of its own, so that no task holds a large bucket.
 
 ``keep_unlike`` is for stages that remove near copies: texts are alike when the
 sets of their word shingles have a Jaccard similarity of ``least`` or more.
-Texts of equal sets are one class. The other candidates share one of ``GROUPS``
-groups of ``HASHES`` minimum hashes with the least or the greatest class of
-that value, and each pair is held against the sets themselves.
+Texts of equal sets are one class. Candidates are the links of the trie
+self-join over the classes' fingerprints; as fingerprints of texts at a
+similarity of 0.8 differ in ten bits on average, those are joined by classes
+that share one of ``GROUPS`` groups of ``HASHES`` minimum hashes with the least
+or the greatest class of that value. Each pair of either kind is held against
+the sets themselves.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like
 any other; a very long text is hashed whole; repeated rows have equal
@@ -330,9 +333,10 @@ def _sets(size: int):
         odd, more = _least_hashes()
 
         def work(rows: list[bytes]) -> dict:
-            out: dict[str, list] = {"_class": [], "_groups": []}
+            out: dict[str, list] = {"_class": [], "_print": [], "_groups": []}
             for text in rows:
                 found = np.unique(shingle_hashes(text, size))
+                out["_print"].append(int(np.uint64(fingerprint(found)).view(np.int64)))
                 out["_class"].append(int.from_bytes(xxhash.xxh64_digest(found.tobytes(), 8), "big", signed=True))
                 groups = []
                 if len(found):
@@ -386,13 +390,37 @@ def _alike(least: float):
     return handle
 
 
-def like_links(docs: DataFrame, *, size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def _pairs(of: DataFrame) -> DataFrame:
+    return of.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def trie_pairs(classes: DataFrame, *, budget: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (class, simhash) by the trie self-join.
+
+    The least class of a fingerprint stands for it; the fingerprint's other
+    classes pair with that one.
+    """
+    heads = stored(classes.groupBy("simhash").agg(F.min("class").alias("head"), F.max("class").alias("last")), "heads")
+    links = near_links(heads.select("simhash"), budget=budget, bucket_rows=bucket_rows).distinct()
+    left, right = heads.select(F.col("simhash").alias("a"), F.col("head").alias("left")), heads.select(F.col("simhash").alias("b"), F.col("head").alias("right"))
+    near = links.join(left, "a").join(right, "b").select(F.col("left").alias("a"), F.col("right").alias("b"))
+    equal = classes.join(heads.where("head <> last"), "simhash").select(F.col("class").alias("a"), F.col("head").alias("b"))
+    return _pairs(near.unionByName(equal))
+
+
+def group_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (class, groups) that share a group of minimum hashes."""
+    dealt = classes.select(F.col("class").alias("a"), F.explode("groups").alias("value"))
+    hubs = dealt.groupBy("value").agg(F.array(F.min("a"), F.max("a")).alias("ends"), F.count("*").alias("n")).where("n > 1").select("value", F.explode("ends").alias("b"))
+    return _pairs(dealt.join(hubs, "value"))
+
+
+def like_links(docs: DataFrame, *, size: int = 5, least: float = 0.8, budget: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class) of each row of ``docs`` (doc_id, text), and links (a, b) of alike classes."""
-    classed = stored(append(docs, "text", _sets(size), "_class long, _groups array<long>").select("doc_id", F.col("_class").alias("class"), F.col("_groups").alias("groups")), "classes")
-    first = classed.groupBy("class").agg(F.first("groups").alias("groups"), F.min("doc_id").alias("doc_id"))
-    dealt = first.select("class", F.explode("groups").alias("value"))
-    hubs = dealt.groupBy("value").agg(F.array(F.min("class"), F.max("class")).alias("ends"), F.count("*").alias("n")).where("n > 1").select("value", F.explode("ends").alias("b"))
-    pairs = stored(dealt.join(hubs, "value").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct(), "pairs")
+    made = append(docs, "text", _sets(size), "_class long, _print long, _groups array<long>")
+    classed = stored(made.select("doc_id", F.col("_class").alias("class"), F.col("_print").alias("simhash"), F.col("_groups").alias("groups")), "classes")
+    first = classed.groupBy("class").agg(F.first("groups").alias("groups"), F.first("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"))
+    pairs = stored(trie_pairs(first, budget=budget).unionByName(group_pairs(first)).distinct(), "pairs")
     # One row of a class stands for it; only those of a pair are read.
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     ids = first.select("class", "doc_id").join(asked, "class", "left_semi")

@@ -1,4 +1,4 @@
-"""Faults found in the third round: estimates beyond single precision."""
+"""Faults found in the third round: estimates beyond single precision, and near copies that come through the trie."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import math
 import os
 import sys
 
+import numpy as np
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from signalloom.llm import ctw  # noqa: E402
+from signalloom.llm import ctw, simhash  # noqa: E402
 
 
 def test_rare_bits_stay_possible(spark):
@@ -19,3 +21,19 @@ def test_rare_bits_stay_possible(spark):
     model = ctw.train(spark.range(40).select(F.expr("repeat('a', 524288)").alias("text")))
     score = model.scores([b"aaaaaa@"])[0]
     assert math.isfinite(score) and -40 < score < math.log10(1 / n)
+
+
+def test_near_copies_come_through_the_trie(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 3000)) for _ in range(20)]
+    copies = [f"{t} and more" for t in texts]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate(copies))], "doc_id long, text string")
+    classes = simhash.append(docs, "text", simhash._sets(5), "_class long, _print long, _groups array<long>")
+    known = {r["doc_id"]: r["_class"] for r in classes.collect()}
+    pairs = simhash.trie_pairs(classes.selectExpr("_class as class", "_print as simhash")).collect()
+    assert {(r["a"], r["b"]) for r in pairs} == {(max(known[i], known[100 + i]), min(known[i], known[100 + i])) for i in range(20)}
+    # The trie's links are links of the stage, without the groups of minimum hashes.
+    monkeypatch.setattr(simhash, "group_pairs", lambda classes: classes.selectExpr("class as a", "class as b").where("false"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(20))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contracts import ContractError
-from ..functions.numeric import clean_double, on_each
+from ..functions.numeric import clean_double, on_each, proven_few
 from ..registry import IDENTITY
+from .splits import MOST_FOLDS
 
 # Roles, reasons and columns of the assignment table.
 ROLES = ("training", "evaluation", "excluded")
@@ -24,13 +25,16 @@ SCORED = ("missing_label", "missing_target", "locked_test_overlap")
 
 
 def assignment_table(assigned: DataFrame, row_id: Column, phase: str = "development") -> DataFrame:
-    """Rows of ``fold_assignments`` with their fold's bounds, one a fold and row."""
-    training = F.col("role") == "training"
-    every = Window.partitionBy("fold")
-    last = lambda c: F.max(F.when(training, F.col(c))).over(every)
-    return assigned.select(
+    """Rows of ``fold_assignments`` with their fold's bounds, one a fold and row.
+
+    A fold holds a share of all rows, so its bounds are summed up first and
+    meet the rows as a table of one row a fold; no task gathers a fold.
+    """
+    last = lambda c: F.max(F.when(F.col("role") == "training", F.col(c)))
+    ends = assigned.groupBy("fold").agg(last("as_of_date").alias("train_end_date"), last("label_end_date").alias("train_label_end_max"))
+    return assigned.join(proven_few(ends, MOST_FOLDS), "fold", "left").select(
         F.lit(phase).alias("phase"), "fold", F.concat(F.lit(f"{phase}_fold_"), (F.col("fold") - 1).cast("string")).alias("split_id"), row_id.alias("row_id"), "role", "exclusion_reason",
-        last("as_of_date").alias("train_end_date"), last("label_end_date").alias("train_label_end_max"), "evaluation_start", "evaluation_end",
+        "train_end_date", "train_label_end_max", "evaluation_start", "evaluation_end",
     )
 
 
@@ -90,7 +94,7 @@ def assignment_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 def evidence_violations(predictions: DataFrame, table: DataFrame, schedule: DataFrame) -> DataFrame:
     """(check, violations) of one model's scores against assignments: fold bounds, scheduled dates and row ids."""
     bounds = table.groupBy("fold").agg(*[F.min(c).alias(f"b_{c}") for c in BOUNDS])
-    met = predictions.join(bounds, "fold", "left")
+    met = predictions.join(proven_few(bounds, MOST_FOLDS), "fold", "left")
     pairs = (("fit_end_date", "train_end_date"), ("train_label_end_max", "train_label_end_max"), ("evaluation_start", "evaluation_start"))
     rows = met.agg(*[F.count_if(~F.col(mine).eqNullSafe(F.col(f"b_{theirs}"))).alias(f"{mine}_differs") for mine, theirs in pairs])
     ids = predictions.select("fold", "row_id", F.lit(True).alias("scored")).join(table.select("fold", "row_id", "role", "exclusion_reason"), ["fold", "row_id"], "full")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..functions import statistics as ST
-from ..functions.numeric import on_each
+from ..functions.numeric import on_each, proven_few
 from ..operators import audit as A
 from ..operators import comparison as CP
 from ..operators import evaluation as E
@@ -386,7 +386,7 @@ def _evidence(u: Universe) -> DataFrame:
     rows = _assigned(u).where((F.col("role") == "evaluation") | F.col("exclusion_reason").isin("missing_label", "missing_target") & F.col("as_of_date").between(F.col("evaluation_start"), F.col("evaluation_end")))
     row = F.concat(F.col("as_of_date").cast("string"), F.lit("|"), F.col("symbol").cast("string"))
     ends = _table(u).groupBy("fold").agg(F.min("train_end_date").alias("fit_end_date"), F.min("train_label_end_max").alias("train_label_end_max"))
-    made = rows.where("symbol % 29 <> 0").join(ends, "fold").withColumn("fit_end_date", F.when(F.col("symbol") % 31 == 0, F.date_sub("fit_end_date", 7)).otherwise(F.col("fit_end_date")))
+    made = rows.where("symbol % 29 <> 0").join(proven_few(ends, SP.MOST_FOLDS), "fold").withColumn("fit_end_date", F.when(F.col("symbol") % 31 == 0, F.date_sub("fit_end_date", 7)).otherwise(F.col("fit_end_date")))
     odd = F.when(F.col("symbol") % 37 == 0, F.col("fold") % FOLDS + 1).otherwise(F.col("fold")).cast("int")
     return made.select(odd.alias("fold"), "as_of_date", "symbol", row.alias("row_id"), "fit_end_date", "train_label_end_max", "evaluation_start", F.col(TARGET).alias("target"), F.when(F.col("symbol") % 5 != 0, F.col("forward_return")).alias("realized_return"))
 

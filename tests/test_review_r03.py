@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from signalloom.operators.comparison import assignment_table
+from signalloom.operators.evaluation import walk_forward_report
+from signalloom.operators.grid import calendar, dense_grid
 from signalloom.operators.panel import build_panel
-from signalloom.operators.signals import rank_ic, redundancy
+from signalloom.operators.portfolio import balance
+from signalloom.operators.signals import daily_rank_ic, rank_ic, redundancy
+from signalloom.operators.tuning import grouped_moments
+from signalloom.plans import queries
 from signalloom.plans.derived import CONFIG, Universe
 
 
@@ -27,3 +35,20 @@ def test_panel_reads_the_grid_once_and_shuffles_no_lookback(spark):
     joined = steps[: steps.index("collect_list(price")]
     assert "LeftSemi" in joined and steps.count("collect_list(price") <= 2
     assert sum("lead(price" in line and "Window" in line for line in steps.splitlines()) == 1
+
+
+def test_no_task_gathers_a_fold(spark):
+    rows = spark.createDataFrame(
+        [(1, "training", "2020-01-01", "2020-01-09"), (1, "training", "2020-01-02", "2020-01-08"), (1, "evaluation", "2020-02-01", None), (2, "excluded", "2020-01-01", "2020-01-09")],
+        "fold int, role string, as_of_date string, label_end_date string",
+    ).selectExpr("*", "null AS exclusion_reason", "'2020-02-01' AS evaluation_start", "'2020-02-02' AS evaluation_end")
+    table = assignment_table(rows, F.col("as_of_date"))
+    assert "Window" not in plan(table)
+    assert {(r["fold"], r["row_id"], r["train_end_date"], r["train_label_end_max"]) for r in table.collect()} == {
+        (1, "2020-01-01", "2020-01-02", "2020-01-09"), (1, "2020-01-02", "2020-01-02", "2020-01-09"), (1, "2020-02-01", "2020-01-02", "2020-01-09"), (2, "2020-01-01", None, None),
+    }
+
+
+def test_scores_meet_the_bounds_of_folds_without_a_shuffle(spark):
+    steps = plan(queries.QUERIES["evidence_violations"](spark, "/root/testdata/sf0.001"))
+    assert not [line for line in steps.splitlines() if "SortMergeJoin [fold#" in line and line.split("SortMergeJoin [")[1].split("]")[0].count("#") == 1]

@@ -40,7 +40,7 @@ def _average_rank(order: WindowSpec) -> Column:
     return first + (last - first) / F.lit(2.0)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
     """``df`` by the keys, in as many partitions as are configured: what sorts several times in a task is not put into fewer ones."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
@@ -56,6 +56,17 @@ def unpivoted(panel: DataFrame, keep: list[str], features: list[str]) -> DataFra
     return panel.select(*keep, *[clean_double(f).alias(f) for f in features]).unpivot(keep, features, "feature", "value")
 
 
+def numbered(panel: DataFrame, keep: list[str | Column], features: list[str]) -> DataFrame:
+    """As ``unpivoted``, with a feature's place in the list as ``_f`` for its name: rows that are shuffled and sorted stay short."""
+    cells = [F.struct(F.lit(i).alias("_f"), clean_double(f).alias("value")) for i, f in enumerate(features)]
+    return panel.select(*keep, F.explode(F.array(*cells)).alias("_cell")).select("*", "_cell._f", "_cell.value").drop("_cell")
+
+
+def name_of(features: list[str]) -> Column:
+    """The name behind a number of ``numbered``."""
+    return F.get(F.array(*map(F.lit, features)), F.col("_f")).alias("feature")
+
+
 def on_each(df: DataFrame, few: DataFrame, most: int) -> DataFrame:
     """Every row of ``df`` beside every row of a table of at most ``most`` rows; more are an error.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import on_each, proven_few
+from ..functions.numeric import dealt, on_each, proven_few
 from .intervals import points_in_intervals
 
 #: Sessions of a calendar at most, which bounds what is broadcast; over two thousand years of days.
@@ -21,9 +21,11 @@ def dense_grid(prices: DataFrame, cal: DataFrame, bench: DataFrame | None = None
     """symbol, pos, session, price (NULL in gaps) and the benchmark's price, on every session.
 
     The calendar rides on each symbol as one array, so no cross join is made;
-    off-calendar prices vanish.
+    off-calendar prices vanish. Symbols are dealt first: they are so few bytes
+    that adaptive execution would put all of them, and so the grid, in one task
+    (a hash of theirs, as dealing by what is distinct already is left out).
     """
-    dense = on_each(prices.select("symbol").distinct(), cal.select("pos", "session"), MOST_SESSIONS)
+    dense = on_each(dealt(prices.select("symbol").distinct(), F.hash("symbol")), cal.select("pos", "session"), MOST_SESSIONS)
     out = dense.join(prices.select("symbol", "session", "price"), ["symbol", "session"], "left")
     if bench is not None:
         out = out.join(proven_few(bench.select("session", F.col("price").alias("bench")), MOST_SESSIONS), "session", "left")

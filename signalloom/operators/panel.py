@@ -59,13 +59,14 @@ def _framed(grid: DataFrame, active: DataFrame, config: PanelConfig, *more: Colu
     """The metrics of every symbol on the decision dates, and further columns of the grid.
 
     The grid is dense, so a lookback is a frame of rows: one shuffle by symbol,
-    and each grid row moves once. Two frames of a symbol's sessions serve all
+    into all partitions that are configured, as frames cost far more than a
+    row's bytes tell, and each grid row moves once. Two frames of a symbol's sessions serve all
     metrics. Rows of decision dates are taken, and their metrics made, before
     they meet the active members, so that no list of a lookback is shuffled.
     """
     n_year, rf = float(config.annualization_sessions), float(config.annual_risk_free_rate)
     paired = F.col("r").isNotNull() & F.col("b").isNotNull()
-    rows = adjacent_returns(grid).withColumn("x", F.when(paired, F.col("r"))).withColumn("y", F.when(paired, F.col("b")))
+    rows = adjacent_returns(dealt(grid, "symbol")).withColumn("x", F.when(paired, F.col("r"))).withColumn("y", F.when(paired, F.col("b")))
     short = F.when(F.col("x").isNotNull(), F.least(F.col("x") - rf / n_year, F.lit(0.0)))
     rows = rows.withColumn("s", short * short).withColumn("d", F.col("x") - F.col("y"))
     by_symbol = Window.partitionBy("symbol").orderBy("pos")

@@ -52,3 +52,16 @@ def test_no_task_gathers_a_fold(spark):
 def test_scores_meet_the_bounds_of_folds_without_a_shuffle(spark):
     steps = plan(queries.QUERIES["evidence_violations"](spark, "/root/testdata/sf0.001"))
     assert not [line for line in steps.splitlines() if "SortMergeJoin [fold#" in line and line.split("SortMergeJoin [")[1].split("]")[0].count("#") == 1]
+
+
+def test_the_grid_is_made_by_all_tasks(spark):
+    prices = spark.createDataFrame([(s, d, 1.0) for s in range(40) for d in ("2020-01-06", "2020-01-13")], "symbol long, session string, price double").selectExpr("symbol", "CAST(session AS date) AS session", "price")
+    grid = dense_grid(prices, calendar(prices))
+    assert grid.count() == 80 and "REPARTITION_BY_NUM" in plan(grid)
+
+
+def test_frames_of_symbols_are_not_put_into_fewer_tasks(spark):
+    u = Universe(spark, "/root/testdata/sf0.001")
+    below = plan(build_panel(u.prices, u.calendar, u.bench, u.members, u.dates, CONFIG)).split("collect_list(price")[-1]
+    frames = next(line for line in below.splitlines() if "Exchange hashpartitioning(symbol" in line)
+    assert "REPARTITION_BY_NUM" in frames

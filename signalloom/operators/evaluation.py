@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import average_rank, clean_double, dealt, pct_rank, pearson
+from ..functions.numeric import average_rank, clean_double, dealt, name_of, numbered, pct_rank, pearson
 from ..functions.statistics import newey_west
 from .signals import spread_masses
 
@@ -149,14 +149,16 @@ def walk_forward_report(rows: DataFrame, features: list[str], target: str, least
     """Per fold and feature: mean training and test IC, the direction-adjusted test IC and the test spread."""
     from .signals import rank_ic
 
-    long = rows.where("role != 'purged'").select("fold", "role", "as_of_date", target, *[clean_double(f).alias(f) for f in features])
-    long = long.unpivot(["fold", "role", "as_of_date", target], features, "feature", "value")
-    ic = rank_ic(long, ["fold", "role", "feature", "as_of_date"], "value", target, least)
-    mean = lambda role: F.avg(F.when(F.col("role") == role, F.col("rank_ic")))
-    out = ic.groupBy("fold", "feature").agg(mean("training").alias("train_ic"), mean("test").alias("test_ic"))
+    # Roles and features as numbers: each row is shuffled and sorted for every fold and feature.
+    part = F.when(F.col("role") == "training", 0).when(F.col("role") == "test", 1).alias("part")
+    long = numbered(rows.where("role != 'purged'"), ["fold", part, "as_of_date", target], features)
+    ic = rank_ic(long, ["fold", "part", "_f", "as_of_date"], "value", target, least)
+    mean = lambda n: F.avg(F.when(F.col("part") == n, F.col("rank_ic")))
+    out = ic.groupBy("fold", "_f").agg(mean(0).alias("train_ic"), mean(1).alias("test_ic"))
     out = out.withColumn("adjusted_ic", F.signum("train_ic") * F.col("test_ic"))
-    spread = spread_masses(long.where("role = 'test'"), ["fold", "feature", "as_of_date"], "value", target, quantiles).where(F.col("pairs") >= quantiles)
-    return out.join(spread.groupBy("fold", "feature").agg(F.avg("spread").alias("mean_spread")), ["fold", "feature"], "left")
+    spread = spread_masses(long.where("part = 1"), ["fold", "_f", "as_of_date"], "value", target, quantiles).where(F.col("pairs") >= quantiles)
+    out = out.join(spread.groupBy("fold", "_f").agg(F.avg("spread").alias("mean_spread")), ["fold", "_f"], "left")
+    return out.select("fold", name_of(features), "train_ic", "test_ic", "adjusted_ic", "mean_spread")
 
 
 def walk_forward_rollup(report: DataFrame, selected: DataFrame | None = None) -> DataFrame:

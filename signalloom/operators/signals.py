@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import average_rank, clean_double, dealt, pearson, unpivoted
+from ..functions.numeric import average_rank, clean_double, dealt, name_of, numbered, pearson, unpivoted
 from ..functions.statistics import bh_q_values, newey_west, scheduled_inference
 
 
@@ -30,7 +30,8 @@ def rank_ic(long: DataFrame, keys: list[str], value: str, target: str, least: in
 
 
 def daily_rank_ic(panel: DataFrame, features: list[str], target: str, least: int, date: str = "as_of_date") -> DataFrame:
-    return rank_ic(unpivoted(panel, [date, target], features), ["feature", date], "value", target, least)
+    ranked = rank_ic(numbered(panel, [date, target], features), ["_f", date], "value", target, least)
+    return ranked.select(name_of(features), date, "pairs", "rank_ic")
 
 
 def spread_masses(scored: DataFrame, keys: list[str], score: str, outcome: str, quantiles: int) -> DataFrame:
@@ -73,19 +74,23 @@ def redundancy(panel: DataFrame, features: list[str], least: int, date: str = "a
     """Per pair of features: Fisher-z mean and mean absolute daily Spearman over pair-complete rows.
 
     Pairs of features of a row are exploded from the row itself, which takes no
-    join; ranks are taken anew on each pair's complete rows.
+    join; ranks are taken anew on each pair's complete rows. These rows are
+    sorted twice, so they carry a pair's number, not its names.
     """
     ordered = list(features)
-    pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), clean_double(a).alias("x"), clean_double(b).alias("y")) for i, a in enumerate(ordered) for b in ordered[i + 1 :]]
+    names = [(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :]]
+    pairs = [F.struct(F.lit(n).alias("pair"), clean_double(a).alias("x"), clean_double(b).alias("y")) for n, (a, b) in enumerate(names)]
     if not pairs:
         return panel.sparkSession.createDataFrame([], "left string, right string, mean_spearman double, mean_abs_spearman double, date_count long")
     long = panel.select(date, F.explode(F.array(*pairs)).alias("p")).select(date, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
-    keys = ["left", "right", date]
+    keys = ["pair", date]
     ranked = dealt(long, *keys).withColumn("rx", average_rank("x", *keys)).withColumn("ry", average_rank("y", *keys))
     daily = ranked.groupBy(*keys).agg(F.count("*").alias("n"), pearson("rx", "ry").alias("rho")).where((F.col("n") >= least) & F.col("rho").isNotNull())
     limit = 1 - 1e-12
     z = F.atanh(F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("rho"))))
-    return daily.groupBy("left", "right").agg(F.tanh(F.avg(z)).alias("mean_spearman"), F.avg(F.abs("rho")).alias("mean_abs_spearman"), F.count("*").alias("date_count"))
+    out = daily.groupBy("pair").agg(F.tanh(F.avg(z)).alias("mean_spearman"), F.avg(F.abs("rho")).alias("mean_abs_spearman"), F.count("*").alias("date_count"))
+    name = lambda side: F.get(F.array(*[F.lit(n[side]) for n in names]), F.col("pair"))
+    return out.select(name(0).alias("left"), name(1).alias("right"), "mean_spearman", "mean_abs_spearman", "date_count")
 
 
 def select_features(summary: list[dict], quality: list[dict], pairs: list[dict], *, least_coverage: float, least_ic: float, threshold: float) -> list[dict]:

@@ -65,3 +65,13 @@ def test_frames_of_symbols_are_not_put_into_fewer_tasks(spark):
     below = plan(build_panel(u.prices, u.calendar, u.bench, u.members, u.dates, CONFIG)).split("collect_list(price")[-1]
     frames = next(line for line in below.splitlines() if "Exchange hashpartitioning(symbol" in line)
     assert "REPARTITION_BY_NUM" in frames
+
+
+def test_rows_of_ranks_carry_numbers_for_names(spark):
+    rows = spark.range(60).selectExpr("id % 3 AS as_of_date", "id AS symbol", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y", "CAST(id % 11 AS DOUBLE) AS z", "1 AS fold", "IF(id % 3 = 2, 'test', 'training') AS role")
+    for made in (redundancy(rows, ["x", "y", "z"], 2), daily_rank_ic(rows, ["x", "y"], "z", 2), walk_forward_report(rows, ["x", "y"], "z", 2, 2)):
+        dealt = [line for line in plan(made).splitlines() if "REPARTITION_BY_NUM" in line]
+        assert dealt and not any(name in line for line in dealt for name in ("left", "feature", "role"))
+    assert {(r["left"], r["right"]) for r in redundancy(rows, ["x", "y", "z"], 2).collect()} == {("x", "y"), ("x", "z"), ("y", "z")}
+    assert {r["feature"] for r in daily_rank_ic(rows, ["x", "y"], "z", 2).collect()} == {"x", "y"}
+    assert {r["feature"] for r in walk_forward_report(rows, ["x", "y"], "z", 2, 2).collect()} == {"x", "y"}

@@ -63,20 +63,21 @@ def window_counts(rows: DataFrame, target: str, features: list[str], date: str =
 def grouped_moments(train: DataFrame, keys: list[str], features: list[str], target: str, weight: str = "weight") -> DataFrame:
     """One row a key: medians, and plain and weighted sums of products of [1, features, indicators, target] as (i, j, p, w).
 
-    Terms are exploded out of a row and summed by key and place, which Spark
-    combines before it shuffles; a key's row holds as many terms as there are
-    pairs of inputs.
+    A sum stands for each pair of terms, so a row is met once, not once a pair,
+    and Spark combines before it shuffles; a key's row holds as many sums as
+    there are pairs of inputs.
     """
     medians = train.groupBy(*keys).agg(F.array(*[F.median(f) for f in features]).alias("medians"))
     rows = look_up(train, medians, keys, MOST_FOLDS)
     inputs = [F.coalesce(F.col(f), F.col("medians")[i], F.lit(0.0)) for i, f in enumerate(features)] + [F.col(f).isNull().cast("double") for f in features]
     terms = [F.lit(1.0), *inputs, F.col(target)]
-    rows = rows.select(*keys, F.array(*terms).alias("v"), F.col(weight).alias("_w"))
+    rows = rows.select(*keys, *[t.alias(f"v{i}") for i, t in enumerate(terms)], F.col(weight).alias("_w"))
     n = len(terms)
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i, n)])
-    long = rows.select(*keys, "v", "_w", F.explode(places).alias("at")).select(*keys, "at.i", "at.j", (F.get("v", F.col("at.i")) * F.get("v", F.col("at.j"))).alias("p"), "_w")
-    sums = long.groupBy(*keys, "i", "j").agg(F.sum("p").alias("p"), F.sum(F.col("p") * F.col("_w")).alias("w"))
-    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", "p", "w"))).alias("sums")).join(medians, keys)
+    places = [(i, j) for i in range(n) for j in range(i, n)]
+    product = lambda i, j: F.col(f"v{i}") * F.col(f"v{j}")
+    sums = rows.groupBy(*keys).agg(*[f for i, j in places for f in (F.sum(product(i, j)).alias(f"p{i}_{j}"), F.sum(product(i, j) * F.col("_w")).alias(f"w{i}_{j}"))])
+    told = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("p"), F.col(f"w{i}_{j}").alias("w")) for i, j in places])
+    return sums.select(*keys, told.alias("sums")).join(medians, keys)
 
 
 def grouped_ridge(train: DataFrame, keys: list[str], features: list[str], target: str, candidates: list[dict]) -> DataFrame:

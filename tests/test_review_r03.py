@@ -75,3 +75,16 @@ def test_rows_of_ranks_carry_numbers_for_names(spark):
     assert {(r["left"], r["right"]) for r in redundancy(rows, ["x", "y", "z"], 2).collect()} == {("x", "y"), ("x", "z"), ("y", "z")}
     assert {r["feature"] for r in daily_rank_ic(rows, ["x", "y"], "z", 2).collect()} == {"x", "y"}
     assert {r["feature"] for r in walk_forward_report(rows, ["x", "y"], "z", 2, 2).collect()} == {"x", "y"}
+
+
+def test_moments_meet_a_row_once(spark):
+    train = spark.range(30).selectExpr("1 AS outer", "CAST(id % 2 AS INT) AS inner", "CAST(id AS DOUBLE) AS x", "IF(id % 5 = 0, NULL, CAST(id % 4 AS DOUBLE)) AS z", "CAST(id % 3 AS DOUBLE) AS y", "1.0D AS weight")
+    made = grouped_moments(train, ["outer", "inner"], ["x", "z"], "y")
+    assert "explode(array(struct" not in made._jdf.queryExecution().optimizedPlan().toString() and plan(made).count("Generate") == 0
+    for r in made.collect():
+        ids = [i for i in range(30) if i % 2 == r["inner"]]
+        middle = sorted(i % 4 for i in ids if i % 5)
+        half = (middle[(len(middle) - 1) // 2] + middle[len(middle) // 2]) / 2
+        rows = [(1.0, float(i), half if i % 5 == 0 else float(i % 4), 0.0, float(i % 5 == 0), float(i % 3)) for i in ids]
+        want = {(a, b): sum(v[a] * v[b] for v in rows) for a in range(6) for b in range(a, 6)}
+        assert {(t["i"], t["j"]): t["p"] for t in r["sums"]} == want == {(t["i"], t["j"]): t["w"] for t in r["sums"]}

@@ -40,9 +40,12 @@ def adjacent_returns(grid: DataFrame) -> DataFrame:
 
 
 def active_members(dates: DataFrame, members: DataFrame, universe: str | None = None) -> DataFrame:
-    """as_of_date and symbol of members whose half-open interval holds the date."""
+    """as_of_date and symbol of members whose half-open interval holds the date.
+
+    Intervals are dealt before they meet their dates: by their bytes, adaptive execution would put all of them, and so every row, in one task.
+    """
     m = members if universe is None else members.where(F.col("universe_id") == universe)
-    spans = m.select("symbol", "effective_from", "effective_to").distinct()
+    spans = dealt(m.select("symbol", "effective_from", "effective_to").distinct(), F.hash("symbol"))
     return points_in_intervals(dates, spans, "as_of_date", "effective_from", "effective_to").select("as_of_date", "symbol").distinct()
 
 

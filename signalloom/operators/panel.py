@@ -142,13 +142,21 @@ def _ends(config: PanelConfig) -> list[Column]:
 
 def _labelled(active: DataFrame, cal: DataFrame, config: PanelConfig) -> DataFrame:
     """Active rows, beside the prices of ``_ends``, with their labels."""
+    rows = active.join(proven_few(label_sessions(cal, config), MOST_SESSIONS), "as_of_date", "left")
+    return dealt(_returned(rows), "as_of_date").withColumn("forward_excess_rank", pct_rank("forward_excess_return", "as_of_date"))
+
+
+def label_sessions(cal: DataFrame, config: PanelConfig) -> DataFrame:
+    """as_of_date, label_start_date and label_end_date of every session; a window that leaves the calendar has neither."""
     begin, length = config.entry_lag_sessions, config.target_horizon_sessions
     at = cal.select(F.col("session").alias("as_of_date"), F.col("pos").alias("at"))
-    # The sessions of both ends; a window that leaves the calendar has neither.
     ends = at.join(cal.select((F.col("pos") - begin).alias("at"), F.col("session").alias("s0")), "at", "left")
     ends = ends.join(cal.select((F.col("pos") - begin - length).alias("at"), F.col("session").alias("label_end_date")), "at", "left")
-    ends = ends.select("as_of_date", F.when(F.col("label_end_date").isNotNull(), F.col("s0")).alias("label_start_date"), "label_end_date")
-    rows = active.join(proven_few(ends, MOST_SESSIONS), "as_of_date", "left")
+    return ends.select("as_of_date", F.when(F.col("label_end_date").isNotNull(), F.col("s0")).alias("label_start_date"), "label_end_date")
+
+
+def _returned(rows: DataFrame) -> DataFrame:
+    """Status, availability and returns beside both sessions of a label and the prices on them."""
     status = (
         F.when(F.col("label_end_date").isNull(), "insufficient_future_benchmark_history")
         .when(F.col("entry").isNull() | F.col("exit").isNull(), "missing_symbol_price")
@@ -159,8 +167,25 @@ def _labelled(active: DataFrame, cal: DataFrame, config: PanelConfig) -> DataFra
     ok = F.col("target_status") == "ok"
     out = out.withColumn("target_available", ok).withColumn("forward_return", F.when(ok, F.col("exit") / F.col("entry") - 1))
     out = out.withColumn("benchmark_forward_return", F.when(ok, F.col("bench_exit") / F.col("bench_entry") - 1))
-    out = out.withColumn("forward_excess_return", F.col("forward_return") - F.col("benchmark_forward_return"))
-    return dealt(out, "as_of_date").withColumn("forward_excess_rank", pct_rank("forward_excess_return", "as_of_date"))
+    return out.withColumn("forward_excess_return", F.col("forward_return") - F.col("benchmark_forward_return"))
+
+
+def forward_targets(prices: DataFrame, bench: DataFrame, ends: DataFrame, active: DataFrame) -> DataFrame:
+    """label_end_date, forward_return and forward_excess_return of active rows as ``forward_labels`` has them, without a grid.
+
+    ``ends``: ``label_sessions`` of the decision dates. A price meets the dates
+    whose labels begin or end on its session by a broadcast; other prices aren't needed.
+    """
+    side = lambda name: F.struct(F.col(f"label_{'start' if name == 'entry' else 'end'}_date").alias("session"), F.lit(name == "entry").alias("first"))
+    sides = ends.where("label_end_date IS NOT NULL").select("as_of_date", F.inline(F.array(side("entry"), side("exit"))))
+    met = prices.select("symbol", "session", "price").join(proven_few(sides, 2 * MOST_SESSIONS), "session")
+    price = lambda first: F.max(F.when(F.col("first") if first else ~F.col("first"), F.col("price")))
+    seen = met.groupBy("as_of_date", "symbol").agg(price(True).alias("entry"), price(False).alias("exit"))
+    levels = ends
+    for end, name in (("label_start_date", "bench_entry"), ("label_end_date", "bench_exit")):
+        levels = levels.join(bench.select(F.col("session").alias(end), F.col("price").alias(name)), end, "left")
+    rows = active.join(seen, ["as_of_date", "symbol"], "left").join(proven_few(levels, MOST_SESSIONS), "as_of_date", "left")
+    return _returned(rows).select("as_of_date", "symbol", "label_end_date", "forward_return", "forward_excess_return")
 
 
 def build_panel(prices: DataFrame, cal: DataFrame, bench: DataFrame, members: DataFrame, dates: DataFrame, config: PanelConfig) -> DataFrame:

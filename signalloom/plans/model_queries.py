@@ -32,7 +32,7 @@ ALPHAS = (0.1, 1.0, 10.0, 100.0)
 def _cross(u: Universe) -> DataFrame:
     """Training cross-sections of the outer folds with inputs ranked by date."""
     ranked = M.rank_features(u.panel.select("as_of_date", "symbol", "forward_return", *_INPUTS), _INPUTS)
-    roles = _assigned(u).select("as_of_date", "symbol", "fold", "role", "label_end_date", TARGET)
+    roles = _assigned(u, u.panel).select("as_of_date", "symbol", "fold", "role", "label_end_date", TARGET)
     rows = SP.training_cross_sections(roles.join(ranked, ["as_of_date", "symbol"]), TARGET)
     return rows.withColumn("forward_return", F.when(F.col("role") == "training", F.col("forward_return"))).drop("role")
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from signalloom.operators.comparison import assignment_table
 from signalloom.operators.evaluation import walk_forward_report
-from signalloom.operators.grid import calendar, dense_grid
-from signalloom.operators.panel import build_panel
+from signalloom.operators.grid import active_members, calendar, dense_grid
+from signalloom.operators.panel import PanelConfig, build_panel, forward_labels, forward_targets, label_sessions
 from signalloom.operators.portfolio import balance
 from signalloom.operators.signals import daily_rank_ic, rank_ic, redundancy
 from signalloom.operators.tuning import grouped_moments
-from signalloom.plans import queries
-from signalloom.plans.derived import CONFIG, Universe
+from signalloom.plans import derived, queries
+from signalloom.plans.derived import CONFIG, TARGET, Universe
 
 
 def plan(df) -> str:
@@ -93,3 +93,37 @@ def test_moments_meet_a_row_once(spark):
         rows = [(1.0, float(i), half if i % 5 == 0 else float(i % 4), 0.0, float(i % 5 == 0), float(i % 3)) for i in ids]
         want = {(a, b): sum(v[a] * v[b] for v in rows) for a in range(6) for b in range(a, 6)}
         assert {(t["i"], t["j"]): t["p"] for t in r["sums"]} == want == {(t["i"], t["j"]): t["w"] for t in r["sums"]}
+
+
+def test_splits_build_no_panel(spark):
+    derived.release()
+    for name in ("training_weights", "fold_assignments", "outer_folds", "training_cross_sections", "evaluation_cross_sections", "maturity_mask", "assignment_violations", "evidence_violations"):
+        steps = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "collect_list(price" not in steps and "lead(price" not in steps
+    assert not {"panel", "prices"} & {key[3] for key in derived._KEPT}
+
+
+def test_targets_are_those_of_the_panel(spark):
+    for by in ("supplier", "brand"):
+        u = Universe(spark, "/root/testdata/sf0.01", by)
+        want = u.panel.select("as_of_date", "symbol", "label_end_date", "forward_return", TARGET)
+        assert u.targets.count() == want.count() > 0 and not u.targets.exceptAll(want).count()
+
+
+def test_targets_of_gaps_and_of_the_calendar_s_end(spark):
+    day = "DATE_ADD(DATE '2020-01-06', CAST(7 * id AS INT))"
+    prices = spark.range(6).selectExpr(f"{day} AS session", "EXPLODE(ARRAY(1, 2, 3)) AS symbol", "CAST(10 + id * id AS DOUBLE) AS price").where("NOT (symbol = 2 AND session = '2020-01-20') AND NOT (symbol = 3 AND session = '2020-02-03')")
+    cal, bench = calendar(prices), prices.groupBy("session").agg(F.avg("price").alias("price")).where("session <> '2020-02-10'")
+    active = cal.select(F.col("session").alias("as_of_date")).crossJoin(spark.range(1, 5).select(F.col("id").cast("int").alias("symbol")))
+    config = PanelConfig(target_horizon_sessions=2)
+    made = forward_targets(prices, bench, label_sessions(cal, config), active)
+    want = forward_labels(dense_grid(prices, cal, bench), cal, bench, active, config).select(*made.columns)
+    assert made.count() == 24 and not made.exceptAll(want).count() and 0 < made.where("forward_return IS NULL").count() < 24
+
+
+def test_members_meet_their_dates_in_all_tasks(spark):
+    dates = spark.createDataFrame([("2020-01-06",), ("2020-01-13",)], "as_of_date string").selectExpr("CAST(as_of_date AS date) AS as_of_date")
+    members = spark.range(40).selectExpr("id AS symbol", "DATE '2020-01-01' AS effective_from", "CAST(NULL AS date) AS effective_to")
+    active = active_members(dates, members)
+    below = plan(active).split("Generate explode(filter(_bins")[1]
+    assert active.count() == 80 and "REPARTITION_BY_NUM" in below

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean_double, dealt, pct_rank
+from ..shared import written
+from .trees import added, grow
 
 
 def rank_features(panel: DataFrame, features: list[str], date: str = "as_of_date") -> DataFrame:
@@ -134,24 +136,22 @@ def pca_baseline(panel: DataFrame, features: list[str], train_end, share: float
     return panel.select(date, "symbol", *columns), details | {"weights": {f: turn[i].tolist() for i, f in enumerate(features)}}
 
 
-def fit_trees(train: DataFrame, features: list[str], target: str, *, rounds: int = 200, depth: int = 3, step: float = 0.05, leaf: int = 20, seed: int = 42, weight: str = "weight"):
-    """Spark's own boosted trees after median imputation, to set beside ``boosting``.
+def fit_trees(train: DataFrame, features: list[str], target: str, *, rounds: int = 200, depth: int = 3, step: float = 0.05, leaf: int = 20, weight: str = "weight"):
+    """Boosted trees by Spark's rules after median imputation, to set beside ``boosting``.
 
     They grow by depth, without an L2 term and without routing missing values, so
     they are another model.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    medians, indicators = imputation(train, features)
+    rows = written(train.where(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w")), "trees")
+    medians, indicators = imputation(rows, features)
     names = [f"_x{i}" for i in range(len(features) + len(indicators))]
-    prepare = lambda df: VectorAssembler(inputCols=names, outputCol="_inputs").transform(df.select("*", *[x.alias(n) for n, x in zip(names, design(features, medians, indicators), strict=True)]))
-    model = GBTRegressor(featuresCol="_inputs", labelCol=target, weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, maxBins=255, seed=seed).fit(prepare(train))
+    prepare = lambda df: df.select("*", *[x.alias(n) for n, x in zip(names, design(features, medians, indicators), strict=True)])
+    trees = grow(prepare(rows), names, "_y", "_w", rounds=rounds, depth=depth, step=step, leaf=leaf)
 
     def score(df: DataFrame, name: str = "score") -> DataFrame:
         observed = sum((F.col(f).isNotNull().cast("int") for f in features), F.lit(0))
-        scored = model.transform(prepare(df)).withColumn("feature_count", observed).withColumn(name, F.when(observed > 0, F.col("prediction")))
-        return scored.drop("_inputs", "prediction", *names)
+        scored = added(prepare(df.withColumn("feature_count", observed)), names, trees, depth, name)
+        return scored.withColumn(name, F.when(F.col("feature_count") > 0, F.col(name)))
 
     return score
 
